@@ -6,23 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import quality_rules
+from tremorlake.llm import license_scan, quality_rules, url_filter
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_url_filter": op3_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.scan_sql(),
         "op2_quality_rules": quality_rules.OP2_SQL,
     }

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import license_scan, quality_rules, url_filter
+import public_tokenizers
+
+from tremorlake.llm import license_scan, packing, quality_rules, sharding, url_filter
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +26,21 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_quality_rules": op2_quality_rules,
         "op3_url_filter": op3_url_filter,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_lpt_sharding": op5_lpt_sharding,
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tremorlake.llm import license_scan, packing, quality_rules, sharding, url_filter
+from tremorlake.llm import embedding_dedup, license_scan, packing, quality_rules, sharding, url_filter
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -41,6 +45,7 @@ def queries() -> dict[str, Query]:
         "op3_url_filter": op3_url_filter,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_lpt_sharding": op5_lpt_sharding,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
     }
 
 

@@ -29,15 +29,15 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_CLASS + "+"))
 
 
-def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, salts: int = 32) -> DataFrame:
-    """Inner join of many ``rows`` with ``keys`` that are unique on ``on``.
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of many ``rows`` with ``keys`` that are unique on ``on``.
 
     A key that holds a large part of ``rows`` is spread over ``salts`` partitions by the column ``spread``;
     each key row is repeated ``salts`` times, so ``keys`` should be the smaller side.
     """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def shared_folder(spark: SparkSession) -> str:

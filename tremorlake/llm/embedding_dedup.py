@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import materialised
+from tremorlake.llm.common import materialised, salted_join
 from tremorlake.llm.components import components, local_roots
 
 THRESHOLD = 0.9
@@ -108,7 +108,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     # Equal vectors are compared once: their group's smallest vec_id stands for them.
     groups = materialised(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n = groups.count()
-    members = rows.where("v IS NOT NULL").join(groups.select("v", "rep", "copies"), "v").select("vec_id", "rep", "copies")
+    members = salted_join(rows.where("v IS NOT NULL"), groups, ["v"], F.col("vec_id"), salts=8).select("vec_id", "rep", "copies")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if n == 0:
         return alone
@@ -129,7 +129,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     edges = found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
     labels = components(edges).withColumnsRenamed({"node": "rep"})
-    linked = members.join(counts, "rep", "left").join(labels, "rep", "left")
+    linked = salted_join(members, counts.join(labels, "rep", "left"), ["rep"], F.col("vec_id"), how="left")
     return linked.select(
         "vec_id",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),

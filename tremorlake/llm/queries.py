@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tremorlake.llm import embedding_dedup, license_scan, packing, quality_rules, sharding, url_filter
+from tremorlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_rules, sharding, url_filter
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_lpt_sharding": op5_lpt_sharding,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 

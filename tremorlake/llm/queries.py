@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tremorlake.llm import embedding_dedup, license_scan, ngram_join, packing, quality_rules, sharding, url_filter
+from tremorlake.llm import embedding_dedup, knn_quality, license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, url_filter, warc
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,18 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +61,9 @@ def queries() -> dict[str, Query]:
         "op3_url_filter": op3_url_filter,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_lpt_sharding": op5_lpt_sharding,
+        "op6_sentencepiece_codec": op6_sentencepiece_codec,
+        "op7_knn_quality": op7_knn_quality,
+        "op8_warc": op8_warc,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
@@ -58,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.scan_sql(),
         "op2_quality_rules": quality_rules.OP2_SQL,
+        "op8_warc": warc.OP8_SQL,
     }

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import gapless, materialised
-from tremorlake.llm.tokens import WordTable, slices
+from tremorlake.llm.tokens import WordTable, ragged, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -27,13 +29,19 @@ END_ID = 0
 SEARCH_NODES = 3000
 #: Words that are encoded together, with a special token between them.
 CHUNK_WORDS = 2000
+#: Runs of letters that are encoded together, with spaces between them.
+CHUNK_LETTERS = 100
+#: Latin characters without the apostrophe (it begins contractions) and without those that change under NFC or whose
+#: lower case is not a letter.
+LATIN = r"^[!-&(-~\x{A1}-\x{12F}\x{131}-\x{24F}]+$"
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def word_encoder(path: str):
     """Encodes single words by the tokenizer in ``path``, whose tokens never span white space."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
@@ -46,7 +54,49 @@ def word_encoder(path: str):
         cuts = np.flatnonzero(ids == special[gap])
         return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1
 
+    # A run of Latin letters is one unit to the model, whatever the normaliser and the splitting pattern do otherwise.
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ending = np.zeros(tokenizer.get_vocab_size(), bool)
+    ending[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def letters(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, joined by spaces; a run ends where a token does that closes a word."""
+        low = [w.lower() for w in runs]
+        chunks = [" ".join(low[i : i + CHUNK_LETTERS]) for i in range(0, len(low), CHUNK_LETTERS)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in bare.encode_batch_fast(chunks, add_special_tokens=False)), np.int64)
+        lengths = np.diff(np.flatnonzero(ending[ids]), prepend=-1)
+        return (ids, lengths) if len(lengths) == len(runs) else together(runs)
+
+    def merged(mask: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and starts and lengths of items: ``a`` where ``mask`` holds, ``b`` elsewhere."""
+        lengths, starts = np.empty(len(mask), np.int64), np.empty(len(mask), np.int64)
+        lengths[mask], lengths[~mask] = a[1], b[1]
+        starts[mask], starts[~mask] = np.cumsum(a[1]) - a[1], len(a[0]) + np.cumsum(b[1]) - b[1]
+        return np.concatenate([a[0], b[0]]), starts, lengths
+
+    def latin(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words of LATIN characters: each distinct run of letters, or of others, is encoded once."""
+        parts = _without_empty(pc.ascii_split_whitespace(pc.replace_substring_regex(words, r"(\p{L}+)", r" \1 ")))
+        coded = parts.flatten().dictionary_encode()
+        units = coded.dictionary
+        is_run = pc.match_substring_regex(units, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        a, b = units.filter(pa.array(is_run)).to_pylist(), units.filter(pa.array(~is_run)).to_pylist()
+        ids, starts, lengths = merged(is_run, letters(a) if a else NOTHING, together(b) if b else NOTHING)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], np.cumsum(lengths[at])])
+        return ids[ragged(starts[at], lengths[at])], np.diff(before[ends], prepend=0)
+
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array(words, pa.string())
+        simple = pc.and_(pc.match_substring_regex(column, LATIN), pc.invert(pc.match_substring(column, "<|"))).to_numpy(zero_copy_only=False)
+        rest = column.filter(pa.array(~simple)).to_pylist()
+        ids, starts, lengths = merged(simple, latin(column.filter(pa.array(simple))) if simple.any() else NOTHING, others(rest) if rest else NOTHING)
+        return ids[ragged(starts, lengths)], lengths
+
+    def others(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not any(x in "\0".join(words) for x in special):
             return together(words)
         # A word that holds a special token's string is encoded by itself.
@@ -63,9 +113,15 @@ def word_encoder(path: str):
     return encode
 
 
+@lru_cache(1)
+def _table(path: str) -> WordTable:
+    """One table for all tasks of a worker."""
+    return WordTable(word_encoder(path))
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(word_encoder(path))
+        table = _table(path)
         for batch in slices(batches, "text"):
             words = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             if isinstance(words, pa.ChunkedArray):

@@ -35,7 +35,7 @@ def _usable(embedding: str = "embedding"):
 
 
 def rotation(vectors: DataFrame, rows: int = PCA_ROWS) -> np.ndarray:
-    """Principal axes of at most ``rows`` vectors (those with the smallest hashes), by falling variance."""
+    """Principal axes of at most ``rows`` vectors of one length (those with the smallest hashes), by falling variance."""
     sample = vectors.orderBy(F.xxhash64("rep")).limit(rows).select("v").toPandas()["v"]
     x = np.vstack(sample.to_list()).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -71,7 +71,8 @@ def _compare(axes: np.ndarray, threshold: float):
     def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         x = np.vstack(rows["v"].to_list()).astype(np.float64)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        return x, x @ axes
+        # Vectors of another length than the axes' are compared as they are.
+        return x, x @ axes if x.shape[1] == len(axes) else x
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
@@ -99,24 +100,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """Links of every row of ``vectors`` (vec_id, embedding; other columns, labels included, are ignored).
 
     n_links counts the other vectors with cosine >= threshold, equal ones included; component_id is the smallest
-    vec_id that links reach. Null, empty, zero and non-finite vectors, and vectors of another length than the most
-    common one among their tile's, link with nothing. Repeated rows are vectors of their own with one vec_id; a null
+    vec_id that links reach. Null, empty, zero and non-finite vectors link with nothing; vectors link only with those
+    of their own length. Repeated rows are vectors of their own with one vec_id; a null
     vec_id links with nothing. An empty table gives an empty result.
     """
     spark: SparkSession = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.when(_usable() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("v"))
     # Equal vectors are compared once: their group's smallest vec_id stands for them.
     groups = materialised(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    n = groups.count()
     members = salted_join(rows.where("v IS NOT NULL"), groups, ["v"], F.col("vec_id"), salts=8).select("vec_id", "rep", "copies")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if n == 0:
+    if groups.isEmpty():
         return alone
-    axes = rotation(groups)
-    tiles = max(1, -(-n // tile))
-    numbered = groups.withColumn("tile", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int"))
+    groups = groups.withColumn("dim", F.size("v"))
+    sizes = groups.groupBy("dim").agg(F.count("*").alias("n"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    common = sizes.orderBy(F.col("n").desc(), "dim").first()["dim"]
+    axes = rotation(groups.where(F.col("dim") == common))
+    numbered = salted_join(groups, sizes.select("dim", "tiles"), ["dim"], F.col("rep")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     # Each tile meets every other once: it goes to the pairs (tile, k) and (k, tile).
-    pairs = numbered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+    pairs = numbered.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "dim",
         "rep",
         "copies",
         "v",
@@ -124,7 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         F.greatest("tile", "k").alias("high"),
         F.when(F.col("tile") <= F.col("k"), 0).otherwise(1).alias("side"),
     )
-    found = pairs.groupBy("low", "high").applyInPandas(_compare(axes, threshold), "rep long, n long, root long")
+    found = pairs.groupBy("dim", "low", "high").applyInPandas(_compare(axes, threshold), "rep long, n long, root long")
     found = materialised(found, "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     edges = found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))

@@ -83,7 +83,7 @@ def with_features(urls: DataFrame) -> DataFrame:
             "depth": count(F.col("path"), "/"),
             "host_depth": count(F.col("host"), "."),
             "digit_ratio": F.when(F.length(url) > 0, digits / F.length(url)).otherwise(0.0),
-            "entropy": _entropy(F.substring(url, 1, 2048)),
+            "entropy": _entropy(url),
             "n_params": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
             "query_length": F.length(query).cast("double"),
             "n_dashes": count(url, "-"),

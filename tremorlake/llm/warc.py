@@ -156,10 +156,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     store.create_dir(root, recursive=True)
     low, width, starts = _ranges(pages, shard_bytes)
     bin_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    # The shards' first bins rise, so a record's shard is the number of first bins at or below its own, less one.
-    edges = F.array(*[F.lit(s) for s in starts]) if len(starts) <= 64 else F.from_json(F.lit(str(starts)), "array<int>")
-    shard = F.size(F.filter(edges, lambda s: s <= bin_of)) - 1
-    dealt = with_types(pages).withColumn("shard", shard.cast("int")).repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "url")
+    # At most BINS rows, so they may be broadcast: each bin's shard is the last one that begins at or before it.
+    shards = spark.createDataFrame([(b, k) for k, (s, e) in enumerate(zip(starts, [*starts[1:], BINS], strict=True)) for b in range(s, e)], "bin int, shard int")
+    placed = with_types(pages).withColumn("bin", bin_of).join(F.broadcast(shards), "bin")
+    dealt = placed.repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "url")
     written = dealt.select("shard", "page_id", "url", "payload", "kind", "refers_to").mapInPandas(_writer(folder, file_bytes), "name string, records long, bytes long, sha1 string")
     written.write.mode("overwrite").json(f"{folder}/_manifest")
     return spark.read.schema("name string, records long, bytes long, sha1 string").json(f"{folder}/_manifest")

@@ -1,0 +1,20 @@
+"""The pipeline's stages keep columns, pass rows on and end in whole sequences."""
+
+import corpus_pipeline
+from tremorlake.llm.common import materialised, table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        docs = materialised(stage(spark, docs, SF), name)
+        after = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert after <= before and after
+        if k < 3:
+            assert docs.columns == columns
+        else:
+            assert after == before

@@ -85,7 +85,8 @@ class Codec:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of marked words; each word is compared with the original library, whose ids hold where they differ."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        plain = [w[len(self.prefix) :].replace(SPACE, " ") if w.startswith(self.prefix) else None for w in words]
+        # A marker alone ends a text; as a text of its own it would be empty, so it has no counterpart to compare.
+        plain = [w[len(self.prefix) :].replace(SPACE, " ") if w.startswith(self.prefix) and w != self.prefix else None for w in words]
         expected = iter(self.original.encode([w for w in plain if w is not None], num_threads=self.threads))
         for k, (word, w) in enumerate(zip(words, plain, strict=True)):
             if w is not None and found[k] != (ids := next(expected)):

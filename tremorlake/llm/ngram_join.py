@@ -6,7 +6,10 @@ shuffled, texts that share a band become candidates, and every pair among candid
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.common import gapless, materialised, salted_join
 from tremorlake.llm.components import components, local_roots
-from tremorlake.llm.tokens import slices
+from tremorlake.llm.tokens import ragged, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,74 +43,106 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _word_points() -> np.ndarray:
+    """For every code point: is it a letter or a digit (categories L and N)?"""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (letters and digits) of all texts in a row, and each text's number of words."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+")
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    flat, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(lengths)), lengths)[full]
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
-    return hashes[coded.indices.to_numpy(zero_copy_only=False)].astype(np.uint64), np.bincount(owner, minlength=len(lengths))
-
-
-def grams_of(words: np.ndarray, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; a shorter text has one gram of all its words."""
-    if len(words) == 0:
-        return np.zeros(0, np.uint64)
-    n = min(n, len(words))
+    """Hashes of the lower-cased words (letters and digits) of all texts in a row, and each text's number of words.
+
+    A word's hash is the sum of its characters times a multiplier per position, mixed.
+    """
+    lowered = ["" if t is None else t.lower() for t in texts.to_pylist()]
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
+    inside = np.zeros(len(points) + 2, np.int8)
+    inside[1:-1] = _word_points()[points]
+    turns = np.diff(inside)
+    starts, stops = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(lowered), np.int64)
+    sizes = stops - starts
+    places = ragged(np.zeros(len(starts), np.int64), sizes)
+    factors = _mix(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    letters = points[inside[1:-1].view(bool)].astype(np.uint64) * factors[places]
+    hashes = _mix(np.add.reduceat(letters, np.cumsum(sizes) - sizes))
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def _chained(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row."""
     out = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         out = _mix(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def gram_sets(words: np.ndarray, counts: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word n-grams; a shorter text has one gram of all its words.
+
+    ``words``: the words' hashes of all texts in a row, ``counts`` of each text.
+    """
+    chained = _chained(words, n) if len(words) >= n else np.zeros(0, np.uint64)
+    out, start = [], 0
+    for count in counts.tolist():
+        if count >= n:
+            out.append(_distinct(chained[start : start + count - n + 1]))
+        else:
+            out.append(_chained(words[start : start + count], count) if count else np.zeros(0, np.uint64))
+        start += count
+    return out
 
 
 def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in slices(batches, "text", 4 << 20):
-        words, counts = word_hashes(batch.column("text"))
-        yield batch, [grams_of(w) for w in np.split(words, np.cumsum(counts)[:-1])]
+    for batch in slices(batches, "text", 2 << 20):
+        yield batch, gram_sets(*word_hashes(batch.column("text")))
 
 
-def _set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document two hashes of its set of n-grams; null where it has none."""
-    for batch, sets in _text_grams(batches):
-        with np.errstate(over="ignore"):
-            a = [int(g.sum(dtype=np.uint64).view(np.int64)) if len(g) else None for g in sets]
-            b = [int(np.bitwise_xor.reduce(_mix(g)).view(np.int64)) if len(g) else None for g in sets]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "a", "b"])
-
-
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240501)
-    return draw.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1), draw.integers(0, 2**63, BANDS * ROWS, np.uint64)
-
-
-def signature(grams: np.ndarray) -> np.ndarray:
-    """The band hashes of a set: each of BANDS * ROWS random orders of the grams gives its smallest value."""
-    scale, shift = _seeds()
-    mins = np.full(len(scale), np.uint64(2**64 - 1))
-    step = max(1, (1 << 19) // len(scale))
-    for k in range(0, len(grams), step):
-        # The high half of a multiply-shift hash; grams are well mixed already.
-        mins = np.minimum(mins, ((grams[k : k + step, None] * scale + shift) >> np.uint64(20)).min(0))
-    bands = np.zeros(BANDS, np.uint64)
+@cache
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(20240501).integers(0, 2**32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """The BANDS band hashes of each set of grams, a row per set; sets are not empty.
+
+    Each of BANDS * ROWS orders of the grams (an odd multiplier over 32 bits of their hashes) gives its smallest value.
+    """
+    mins = np.full((len(sets), BANDS * ROWS), np.uint32(2**32 - 1))
+    step = 512
+    work = np.empty((BANDS * ROWS, step), np.uint32)
+    for least, grams in zip(mins, sets, strict=True):
+        short = (grams >> np.uint64(32)).astype(np.uint32)
+        for k in range(0, len(short), step):
+            part = short[k : k + step]
+            product = np.multiply(part, _multipliers(), out=work[:, : len(part)])
+            np.minimum(least, product.min(1), out=least)
+    bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
     for r in range(ROWS):
-        bands = _mix(bands * np.uint64(31) + mins[r::ROWS])
+        bands = _mix(bands * np.uint64(31) + mins[:, r::ROWS])
     return bands.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document two hashes of its set of n-grams and its band hashes; null where it has no words."""
     for batch, sets in _text_grams(batches):
-        full = [(d, g) for d, g in zip(batch.column("rep").to_pylist(), sets, strict=True) if len(g)]
-        if not full:
-            continue
-        hashes = np.concatenate([signature(g) for _, g in full])
-        yield pa.record_batch(
-            [pa.array(np.repeat([d for d, _ in full], BANDS), pa.int64()), pa.array(np.tile(np.arange(BANDS), len(full)), pa.int32()), pa.array(hashes, pa.int64())],
-            names=["rep", "band", "h"],
-        )
+        full = [g for g in sets if len(g)]
+        some = pa.array([len(g) > 0 for g in sets], pa.bool_())
+        at = pc.if_else(some, pc.subtract(pc.cumulative_sum(some.cast(pa.int64())), 1), None)
+        sums = np.fromiter((g.sum(dtype=np.uint64) for g in full), np.uint64, len(full))
+        mixed = np.fromiter((np.bitwise_xor.reduce(_mix(g)) for g in full), np.uint64, len(full))
+        bands = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, signatures(full).reshape(-1)) if full else pa.array([], pa.list_(pa.int64()))
+        columns = [pa.array(sums.view(np.int64)), pa.array(mixed.view(np.int64)), bands]
+        yield pa.record_batch([batch.column("doc_id"), *[c.take(at) for c in columns]], names=["doc_id", "a", "b", "bands"])
 
 
 def _grams_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +203,22 @@ def _verify(threshold: float):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep, copies: documents with equal sets of n-grams share the smallest doc_id; null rep without words."""
+    """doc_id, rep, copies, bands: documents with equal sets of n-grams share the smallest doc_id, which alone keeps
+    its band hashes; null rep without words. Texts are read and signed once."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    keys = materialised(keyed.mapInArrow(_set_keys, "doc_id long, a long, b long"), "gram-sets")
-    reps = keys.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    known = salted_join(keys.where("a IS NOT NULL"), reps, ["a", "b"], F.col("doc_id")).select("doc_id", "rep", "copies")
-    none = keys.where("a IS NULL").select("doc_id", F.lit(None).cast("long").alias("rep"), F.lit(1).cast("long").alias("copies"))
-    return materialised(known.unionByName(none), "classes")
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """rep, cluster: texts (rep, text) that share a band with another, directly or over others, have one cluster."""
-    signed = materialised(texts.mapInArrow(_signatures, "rep long, band int, h long"), "signatures")
-    shared = signed.groupBy("band", "h").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    links = salted_join(signed, shared, ["band", "h"], F.col("rep"), salts=4).where("rep <> first")
+    signed = materialised(keyed.mapInArrow(_signed, "doc_id long, a long, b long, bands array<long>"), "signed")
+    sets = signed.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    known = salted_join(signed, sets.where("copies > 1"), ["a", "b"], F.col("doc_id"), salts=16, how="left")
+    rep = F.coalesce("rep", F.when(F.col("a").isNotNull(), F.col("doc_id")))
+    found = known.select("doc_id", rep.alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.when(rep == F.col("doc_id"), F.col("bands")).alias("bands"))
+    return materialised(found, "classes")
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """rep, cluster: texts (rep, bands) that share a band with another, directly or over others, have one cluster."""
+    spread = signed.select("rep", F.explode("bands").alias("h"))
+    shared = spread.groupBy("h").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
+    links = salted_join(spread, shared, ["h"], F.col("rep"), salts=4).where("rep <> first")
     found = components(links.select(F.col("rep").alias("src"), F.col("first").alias("dst")))
     return found.withColumnsRenamed({"node": "rep", "component": "cluster"})
 
@@ -189,13 +226,14 @@ def candidates(texts: DataFrame) -> DataFrame:
 def verified(texts: DataFrame, clusters: DataFrame, threshold: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """rep, n, root per comparison: linked documents (copies included) and a text that the links reach.
 
-    ``texts``: rep, copies, text. A cluster is cut into tiles of ``tile`` texts, each pair of tiles is one task's
-    work, so no task holds a large cluster and no pair becomes a row.
+    ``texts``: rep, text; ``clusters``: rep, copies, cluster. A cluster is cut into tiles of ``tile`` texts, each pair
+    of tiles is one task's work, so no task holds a large cluster and no pair becomes a row.
     """
     placed = gapless(clusters, ["cluster"], ["rep"], "rank").withColumn("tile", F.floor(F.col("rank") / tile).cast("int"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     placed = salted_join(placed, sizes, ["cluster"], F.col("rep"))
-    grams = texts.join(placed.select("rep", "cluster", "tile", "tiles"), "rep").mapInArrow(_grams_out, "rep long, copies long, cluster long, tile int, tiles int, grams array<long>")
+    chosen = texts.join(placed.select("rep", "copies", "cluster", "tile", "tiles"), "rep").dropDuplicates(["rep"])
+    grams = chosen.select("rep", "copies", "cluster", "tile", "tiles", "text").mapInArrow(_grams_out, "rep long, copies long, cluster long, tile int, tiles int, grams array<long>")
     dealt = grams.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "rep",
         "copies",
@@ -217,9 +255,11 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     one doc_id; rows with a null doc_id are left out. An empty table gives an empty result.
     """
     members = classes(docs)
-    reps = members.where("rep = doc_id").select("rep", "copies").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(reps, "rep").dropDuplicates(["rep"])
-    links = materialised(verified(texts.select("rep", "copies", "text"), candidates(texts.select("rep", "text")), threshold), "text-links")
+    reps = members.where("rep = doc_id").groupBy("rep").agg(F.max("copies").alias("copies"), F.first("bands").alias("bands"))
+    found = candidates(reps.select("rep", "bands"))
+    clusters = found.join(reps.select("rep", "copies"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    links = materialised(verified(texts, clusters, threshold), "text-links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = components(links.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     found = counts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")

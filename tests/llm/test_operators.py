@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import regex
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +230,14 @@ def test_jaccard_join(spark):
 
 def test_band_recall():
     assert ngram_join.band_recall() > 0.999
+
+
+def test_words_and_grams_of_the_join():
+    texts = ["One two, two!", None, "", "É́ straße_Ünder 12٣ x²\none", "...", "Ωmega one two one two three"]
+    words = [regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()) for t in texts]
+    hashes, counts = ngram_join.word_hashes(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+    sets = ngram_join.gram_sets(hashes, counts, 2)
+    assert [len(s) for s in sets] == [len({tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))}) if w else 0 for w in words]

@@ -65,6 +65,53 @@ def test_gardner_knopoff(spark):
     assert got == want
 
 
+def test_gardner_knopoff_across_the_date_line(spark):
+    rows = [(1, START, 10.0, 179.6, 0.0, 5.0), (2, START + timedelta(days=1), 10.0, -179.6, 0.0, 4.0), (3, START + timedelta(days=1), 10.0, -176.0, 0.0, 3.0)]
+    frame = spark.createDataFrame(rows, "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")
+    got = {r["event_id"]: r["seed_id"] for r in decluster.gardner_knopoff(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def grown(rows, days):
+    """The reference's loop: a cluster grows to a fixpoint, links from any member, before or after it."""
+    length = lambda m: 1.0 if m < 4 else max(1.0, 10 ** (-3.22 + 0.69 * m))
+    order, want = sorted(rows, key=lambda r: (r[1], r[0])), {}
+    for seed in order:
+        if seed[0] in want:
+            continue
+        members, want[seed[0]], changed = [seed], seed[0], True
+        while changed:
+            changed = False
+            for y in order:
+                if y[0] not in want and any(abs((y[1] - x[1]).total_seconds()) <= days * 86400 and km(x, y) <= 10 * (length(seed[5]) + length(x[5])) for x in members):
+                    members.append(y)
+                    want[y[0]], changed = seed[0], True
+        main = max(members, key=lambda r: (r[5], -r[1].timestamp(), -r[0]))[0]
+        want |= {x[0]: main for x in members}
+    return want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("block_events", [25, 1000])
+def test_reasenberg(spark, seed, block_events):
+    rows, _ = catalog(spark, 300, seed)
+    rows = [(*x[:2], 20 + (x[2] - 20) / 2, 88 + (x[3] - 88) / 2, *x[4:]) for x in rows]
+    frame = spark.createDataFrame(rows, "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")
+    got = {r["event_id"]: r["main_id"] for r in decluster.reasenberg(frame, 3.0, block_events=block_events).collect()}
+    want = grown(rows, 3.0)
+    assert 10 < len(set(want.values())) < 290
+    assert got == want
+
+
+def test_declustering_queries_take_all_events(spark):
+    from tremorlake import queries
+
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/events.parquet").count()
+    for name in ("gardner_knopoff", "reasenberg"):
+        assert queries.QUERIES[name](spark, folder).count() == n
+
+
 def test_scores_by_hand(spark):
     frame = spark.createDataFrame([(0.1, 0), (0.8, 1), (0.4, 0)], "p double, y int").withColumn("g", F.lit(1))
     assert metrics.scores(frame, ["g"]).first()["brier"] == pytest.approx(0.07)

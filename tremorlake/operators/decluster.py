@@ -12,26 +12,36 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
-from tremorlake.functions.seismo import gk_days, gk_radius_km
-from tremorlake.operators.joins import interval_join
+from tremorlake.functions.seismo import gk_days, gk_radius_km, rupture_length_km
+from tremorlake.operators.joins import interval_join, near_cells
 from tremorlake.operators.lineage import written
 
 MAX_ROUNDS = 100
+#: Events of a block of time that one task grows, besides those around it.
+BLOCK_EVENTS = 10_000
+#: Clusters of more events are few and are broadcast.
+HEAVY = 2_000
+STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "seed_us", "seed_id", "seed_size", "depth", "changed", "cut"]
 
 
 def _coverage(events: DataFrame) -> DataFrame:
     """(a, b): a event of higher rank (magnitude, then time, then id) whose window holds b.
 
-    The window grows with magnitude, so events are joined band by band with the band's widest window.
+    The window grows with magnitude, so events are joined band by band, in time buckets of the band's widest window
+    and cells of its widest radius.
     """
     a = events.select(F.col("event_id").alias("a"), F.col("t").alias("t_a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), F.col("m").alias("m_a"))
     b = events.select(F.col("event_id").alias("b"), F.col("t").alias("t_b"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"), F.col("m").alias("m_b"))
-    low, high = (math.floor(x * 2) / 2 for x in events.agg(F.coalesce(F.min("m"), F.lit(0.0)), F.coalesce(F.max("m"), F.lit(0.0))).first())
+    low, high, lat = events.agg(*[F.coalesce(x, F.lit(0.0)) for x in (F.min("m"), F.max("m"), F.max(F.abs("latitude")))]).first()
+    low, high = math.floor(low * 2) / 2, math.floor(high * 2) / 2
     parts = []
     for k in range(round((high - low) * 2) + 1):
         least = low + k / 2
         band = a.where((F.col("m_a") >= least) & (F.col("m_a") < least + 0.5))
-        parts.append(interval_join(band, b, "t_a", "t_b", 86400 * 10 ** (0.5 * (least + 0.5) - 0.052)))
+        radius = (0.1238 * (least + 0.5) + 0.983) * 111.0
+        wide = band.withColumn("_c", F.explode(near_cells(F.col("lat_a"), F.col("lon_a"), radius, lat, True)))
+        own = b.withColumn("_c", near_cells(F.col("lat_b"), F.col("lon_b"), radius, lat, False)[0])
+        parts.append(interval_join(wide, own, "t_a", "t_b", 86400 * 10 ** (0.5 * (least + 0.5) - 0.052), on=("_c",)).drop("_c"))
     pairs = reduce(DataFrame.unionByName, parts)
     higher = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.struct("t_a", "a") < F.struct("t_b", "b")))
     days = F.abs(F.unix_micros("t_b") - F.unix_micros("t_a")) / 86400e6
@@ -63,41 +73,101 @@ def gardner_knopoff(events: DataFrame) -> DataFrame:
     return state.join(owner, "event_id", "left").select("event_id", F.when(F.col("seed"), F.col("event_id")).otherwise(F.col("o.a")).alias("seed_id"), role.alias("role"))
 
 
-def _grow(days: float, factor: float):
+def _grow(days: float, factor: float, max_depth: int):
+    """Labels of one block's own events, where the labels of the events around it (``own`` false) are as given.
+
+    Seeds are taken in order of time; each takes all unlabelled events that it reaches. ``depth`` counts the blocks
+    that a label has crossed since its seed; labels that would be deeper than ``max_depth`` are not taken over.
+    """
+    window = round(days * 86400e6)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, m, key, ids = (rows[c].tolist() for c in ("day", "m", "_key", "event_id"))
-        size = [1.0 if x < 4 else max(1.0, 10 ** (-3.22 + 0.69 * x)) for x in m]
-        lat, lon = np.radians(rows["latitude"]).tolist(), np.radians(rows["longitude"]).tolist()
-        main = [-1] * len(ids)
-        for i in range(len(ids)):
-            if main[i] >= 0:
+        rows = rows.sort_values(["us", "event_id"], ignore_index=True)
+        us, ids, own = rows["us"].to_numpy(), rows["event_id"].to_numpy(), rows["own"].to_numpy()
+        size = rows["size"].to_numpy()
+        lat, lon = np.radians(rows["latitude"].to_numpy()), np.radians(rows["longitude"].to_numpy())
+        cos = np.cos(lat)
+        first, last = np.searchsorted(us, us - window, "left"), np.searchsorted(us, us + window, "right")
+        open_, depth, cut = own.copy(), np.zeros(len(us), "int64"), np.zeros(len(us), bool)
+        label_us, label_id, label_size = rows["seed_us"].to_numpy().copy(), rows["seed_id"].to_numpy().copy(), rows["seed_size"].to_numpy().copy()
+        outside: dict[tuple[int, int], list[int]] = {}
+        for k in np.flatnonzero(~own):
+            outside.setdefault((label_us[k], label_id[k]), []).append(k)
+        given = rows["depth"].to_numpy()
+        seeds = {(us[k], ids[k]): k for k in np.flatnonzero(own)}
+        for seed in sorted({*seeds, *outside}):
+            mine = seeds.get(seed)
+            # Fewest crossings first, so that depths do not depend on the order of the search.
+            levels: dict[int, list[int]] = {}
+            if mine is not None and open_[mine]:
+                open_[mine] = False
+                label_us[mine], label_id[mine], label_size[mine] = us[mine], ids[mine], size[mine]
+                levels[0] = [mine]
+                reach = size[mine]
+            elif mine is None:
+                reach = label_size[outside[seed][0]]
+            else:
+                # The seed itself belongs to an earlier cluster, so labels around the block that name it are void.
                 continue
-            members, last = [i], t[i]
-            for j in range(i + 1, len(ids)):
-                if key[j] != key[i] or t[j] - last > days:
-                    break
-                if main[j] < 0:
-                    a = math.sin((lat[j] - lat[i]) / 2) ** 2 + math.cos(lat[i]) * math.cos(lat[j]) * math.sin((lon[j] - lon[i]) / 2) ** 2
-                    if 2 * C.EARTH_RADIUS_KM * math.asin(min(1.0, math.sqrt(a))) <= factor * (size[i] + size[j]):
-                        members.append(j)
-                        last = t[j]
-            largest = max(members, key=lambda x: (m[x], -x))
-            for x in members:
-                main[x] = largest
-        return pd.DataFrame({"event_id": ids, "main_id": [ids[x] for x in main]})
+            for k in outside.get(seed, ()):
+                levels.setdefault(int(given[k]) + 1, []).append(k)
+            while levels:
+                level = min(levels)
+                todo = levels.pop(level)
+                while todo:
+                    k = todo.pop()
+                    found = first[k] + np.flatnonzero(open_[first[k] : last[k]])
+                    if not len(found):
+                        continue
+                    a = np.sin((lat[found] - lat[k]) / 2) ** 2 + cos[k] * cos[found] * np.sin((lon[found] - lon[k]) / 2) ** 2
+                    found = found[2 * C.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= factor * (reach + size[k])]
+                    if level > max_depth:
+                        cut[found] = True
+                        continue
+                    open_[found] = False
+                    label_us[found], label_id[found], label_size[found], depth[found] = seed[0], seed[1], reach, level
+                    todo += found.tolist()
+        out = rows.assign(changed=(label_us != rows["seed_us"]) | (label_id != rows["seed_id"]) | (depth != given), cut=cut, seed_us=label_us, seed_id=label_id, seed_size=label_size, depth=depth)
+        return out.loc[own, STATE]
 
     return run
 
 
-def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0) -> DataFrame:
-    """event_id, main_id: clusters grow in time while an event comes within ``days`` of the last member.
+def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0, block_events: int = BLOCK_EVENTS) -> DataFrame:
+    """event_id, main_id of every event: the largest event of its cluster, the earliest of equal ones.
 
-    Links are within ``factor`` times both rupture lengths of the cluster's first event. Runs of events without a
-    gap above ``days`` are independent and are grown each in its own task.
-    """
-    from tremorlake.operators.reconcile import each_block, time_blocks
+    The first event (by time, then id) without a cluster is the next seed. Its cluster takes every event without one
+    that is within ``days``, before or after, of any member and no farther from that member than ``factor`` times
+    the rupture lengths of seed and member together.
 
-    named = events.select(F.col("event_id").alias("native_event_id"), F.col("t").alias("origin_time"), "latitude", "longitude", "m")
-    blocks = time_blocks(named, days * 86400).select(F.col("native_event_id").alias("event_id"), F.col("origin_time").alias("t"), "latitude", "longitude", "m", "block")
-    timed = blocks.withColumn("day", F.unix_micros("t") / 86400e6).drop("t")
-    return each_block(timed, _grow(days, factor), "event_id long, main_id long", ["day", "event_id"])
+    Blocks of time are grown each in its own task, given the labels that events up to ``days`` around have; rounds
+    repeat until no label and no depth changes. Every label then stands on a chain of links from its seed.
+    """
+    size = rupture_length_km(F.col("m"))
+    us = F.unix_micros("t")
+    start = events.select("event_id", us.alias("us"), "latitude", "longitude", "m", size.alias("size"), us.alias("seed_us"), F.col("event_id").alias("seed_id"), size.alias("seed_size"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("changed"), F.lit(False).alias("cut"))
+    state = written(start, "clusters")
+    n = state.count()
+    count = max(1, math.ceil(n / block_events))
+    cuts = state.agg(F.percentile_approx("us", [k / count for k in range(1, count)], 100 * count)).first()[0] if count > 1 and n else []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<long>")
+    block = lambda x: F.size(F.filter(bounds, lambda c: c <= x))
+    window = round(days * 86400e6)
+    max_depth = 2 * count
+    while True:
+        near = state.withColumn("block", F.explode(F.sequence(block(F.col("us") - window), block(F.col("us") + window))))
+        near = near.withColumn("own", F.col("block") == block(F.col("us")))
+        state = written(near.repartition(count, "block").groupBy("block").applyInPandas(_grow(days, factor, max_depth), state.schema).select(*STATE), "clusters")
+        changed, cut = state.agg(F.coalesce(F.max("changed"), F.lit(False)), F.coalesce(F.max("cut"), F.lit(False))).first()
+        if not changed and not cut:
+            break
+        if not changed:
+            # Only what is cut off is left: either deep chains, or nothing once deeper ones have been tried.
+            max_depth *= 2
+    mains = state.groupBy("seed_id").agg(F.max_by("event_id", F.struct("m", -F.col("us"), -F.col("event_id"))).alias("main_id"), F.count("*").alias("n"))
+    mains = written(mains, "mains")
+    # A cluster may hold most of the catalog; there are few of such ones, and the others are joined by key.
+    heavy = mains.where(F.col("n") > HEAVY).select("seed_id", "main_id")
+    tagged = state.select("event_id", "seed_id").join(F.broadcast(heavy), "seed_id", "left")
+    light = tagged.where("main_id IS NULL").drop("main_id").join(mains.where(F.col("n") <= HEAVY), "seed_id")
+    return tagged.where("main_id IS NOT NULL").select("event_id", "main_id").unionByName(light.select("event_id", "main_id"))

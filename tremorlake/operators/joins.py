@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / 86400e6
 
 
-def interval_join(left: DataFrame, right: DataFrame, t_left: str, t_right: str, window_s: float, forward: bool = False) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, t_left: str, t_right: str, window_s: float, forward: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with 0 < right - left <= window (``forward``), or |right - left| <= window.
 
     Time is cut into buckets of the window's width; a left row meets its own bucket and the next one (or both
-    neighbours), so each pair is made in exactly one bucket. Column names must differ.
+    neighbours), so each pair is made in exactly one bucket. Column names must differ, but for those of ``on``, which
+    both sides have and pairs agree in.
     """
     width = max(1, round(window_s * 1e6))
     micros = lambda c: F.unix_micros(F.col(c))
@@ -32,7 +35,20 @@ def interval_join(left: DataFrame, right: DataFrame, t_left: str, t_right: str,
     b = right.withColumn("_b", F.floor(micros(t_right) / width))
     gap = micros(t_right) - micros(t_left)
     within = (gap > 0) & (gap <= width) if forward else F.abs(gap) <= width
-    return a.join(b, "_b").where(within).drop("_b")
+    return a.join(b, ["_b", *on]).where(within).drop("_b")
+
+
+def near_cells(lat: Column, lon: Column, radius_km: float, max_abs_lat: float, around: bool) -> Column:
+    """Cells of at least ``radius_km`` on both axes as an array: the point's own one, or those ``around`` it too.
+
+    Two points within the radius are in the same cell or in neighbours, also across the date line; where the radius
+    reaches a pole, all longitudes are one cell.
+    """
+    reach = radius_km / C.EARTH_RADIUS_KM * (1 + 1e-9)
+    high, steps = math.radians(max_abs_lat), (-1, 0, 1) if around else (0,)
+    n = 1 if reach + high >= math.pi / 2 else math.floor(2 * math.pi / math.asin(math.sin(reach) / math.cos(high)))
+    i, j = F.floor(F.radians(lat) / reach), F.floor((lon + 180) / 360 * n)
+    return F.array_distinct(F.array(*[F.struct((i + di).alias("i"), F.pmod(j + dj, F.lit(n)).alias("j")) for di in steps for dj in steps]))
 
 
 def grid(spark, size: float = 1.0) -> DataFrame:

@@ -734,12 +734,12 @@ def adaptive_bandwidth(spark, sf_dir):
 
 @query()
 def gardner_knopoff(spark, sf_dir):
-    return decluster.gardner_knopoff(catalog.quakes(spark, sf_dir).where("m >= 5.0D"))
+    return decluster.gardner_knopoff(catalog.quakes(spark, sf_dir))
 
 
 @query()
 def reasenberg(spark, sf_dir):
-    return decluster.reasenberg(catalog.quakes(spark, sf_dir).where("m >= 5.0D"), 5.0)
+    return decluster.reasenberg(catalog.quakes(spark, sf_dir))
 
 
 # ---- features, stress, ledger --------------------------------------------------------------------------------

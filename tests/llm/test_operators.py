@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -94,6 +95,21 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.where("FALSE")).count() == 0
 
 
+def test_url_filter_suffixes_of_all_rows_and_sample_of_distinct_urls(spark, monkeypatch):
+    urls = [(f"http://a.{s}/{k}", f"a.{s}", f"/{k}", float(k % 2)) for s in ("com", "net", "xyz", "info") for k in range(10)]
+    columns = "url string, host string, path string, label double"
+    hot = spark.createDataFrame(urls, columns).orderBy(F.xxhash64("url")).first()
+    rows = spark.createDataFrame(urls + [tuple(hot)] * 50, columns)
+    model = url_filter.UrlModel(rows, 20)
+    assert model.trees is not None
+    counts = Counter(h.split(".")[1] for _, h, _, _ in urls) + Counter({hot["host"].split(".")[1]: 50})
+    got = {r["suffix"]: round(math.expm1(r["suffix_log_count"])) for r in model.suffixes.collect()}
+    assert got == counts
+    plain = sorted(model.blocked(rows).collect())
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_SUFFIXES", 0)
+    assert sorted(model.blocked(rows).collect()) == plain
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 

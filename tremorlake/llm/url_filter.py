@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import let
+from tremorlake.llm.common import let, salted_join
 
 #: (rule, verdict); a rule is a host, then the beginning of a path.
 RULES = [
@@ -22,8 +22,10 @@ RULES = [
 ]
 #: Rules become one CASE expression, so their number is bounded.
 MAX_RULES = 1000
-#: The trees are fitted on at most so many labelled URLs, those with the smallest hashes.
+#: The trees are fitted on at most so many distinct labelled URLs, those with the smallest hashes.
 MAX_TRAINING_ROWS = 10_000
+#: Statistics of more suffixes are joined by salted keys, not broadcast.
+MAX_BROADCAST_SUFFIXES = 10_000
 TREES, DEPTH = 12, 4
 #: Prior weight of the overall block rate in a suffix's block rate.
 SUFFIX_PRIOR = 5.0
@@ -93,32 +95,39 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """Trees with the suffix statistics of the labelled sample; without both labels, the one label (or allow)."""
+    """Trees with the suffix statistics of all labelled rows; without both labels among the
+    distinct URLs of the sample, the label of most rows (or allow)."""
 
     def __init__(self, labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS):
         """``labelled``: url, host, path, label (1 block, 0 allow)."""
-        sample = labelled.select("url", "host", "path", F.col("label").cast("double")).dropna(subset=["label"])
-        sample = with_features(sample.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)).cache()
-        counts = sample.agg(F.count("*"), F.sum("label")).first()
-        n, blocked = counts[0], counts[1] or 0.0
+        rows = labelled.select("url", "host", "path", F.col("label").cast("double")).dropna(subset=["label"])
+        stats = rows.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).cache()
+        n, blocked, self.n_suffixes = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0)), F.count("*")).first()
         self.rate = blocked / n if n else 0.0
-        # One row per suffix of at most max_rows labelled URLs: small enough to broadcast at every size of the corpus.
-        rate = (F.sum("label") + SUFFIX_PRIOR * self.rate) / (F.count("*") + SUFFIX_PRIOR)
-        self.suffixes = sample.groupBy("suffix").agg(rate.alias("suffix_block_rate"), F.log1p(F.count("*")).alias("suffix_log_count")).cache()
+        rate = (F.col("blocked") + SUFFIX_PRIOR * self.rate) / (F.col("n") + SUFFIX_PRIOR)
+        self.suffixes = stats.select("suffix", rate.alias("suffix_block_rate"), F.log1p("n").alias("suffix_log_count"))
+        # Each URL once, with the label that most of its rows have, so that copies do not fill the sample.
+        urls = rows.groupBy("url", "host", "path").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+        sample = with_features(urls.orderBy(F.xxhash64("url"), "url").limit(max_rows)).cache()
+        kinds = sample.agg(F.count_distinct("label")).first()[0]
         self.trees: GBTClassificationModel | None = None
-        if 0 < blocked < n:
+        if kinds == 2:
             rows = self._assembled(sample).select("features", "label").coalesce(4)
             self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(rows)
         sample.unpersist()
 
     def _assembled(self, urls: DataFrame) -> DataFrame:
-        known = urls.join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_block_rate": self.rate, "suffix_log_count": 0.0})
+        if self.n_suffixes <= MAX_BROADCAST_SUFFIXES:
+            known = urls.join(F.broadcast(self.suffixes), "suffix", "left")
+        else:
+            known = salted_join(urls, self.suffixes, ["suffix"], F.struct(*urls.columns), how="left")
+        known = known.fillna({"suffix_block_rate": self.rate, "suffix_log_count": 0.0})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
 
     def blocked(self, urls: DataFrame) -> DataFrame:
         """Adds method_verdict to rows with url, host and path."""
         if self.trees is None:
-            return urls.withColumn("method_verdict", F.lit("block" if self.rate == 1 else "allow"))
+            return urls.withColumn("method_verdict", F.lit("block" if self.rate > 0.5 else "allow"))
         scored = self.trees.transform(self._assembled(with_features(urls)))
         verdict = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
         return scored.withColumn("method_verdict", verdict).select(*urls.columns, "method_verdict")

@@ -134,6 +134,21 @@ def test_best_filling_finds_an_exact_one():
     assert sum(packing.best_filling(1048, lengths, dict.fromkeys(lengths, 1))) == 1048
 
 
+def test_best_filling_wastes_least():
+    lengths = [*range(990, 950, -1), 500]
+    assert packing.best_filling(1000, lengths, dict.fromkeys(lengths, 2)) == [500, 500]
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        room, lengths = int(r.integers(20, 60)), sorted({int(x) for x in r.integers(5, 40, 6)}, reverse=True)
+        counts = {n: int(r.integers(1, 4)) for n in lengths}
+        sums = {0}
+        for n in lengths:
+            sums = {s + n * k for s in sums for k in range(counts[n] + 1)}
+        found = packing.best_filling(room, lengths, counts)
+        assert sum(found) == max(s for s in sums if s <= room)
+        assert all(found.count(n) <= counts[n] for n in found) and found == sorted(found, reverse=True)
+
+
 def test_sharding(docs):
     rows = sharding.shard_documents(docs, 3).collect()
     texts = dict(texts_of(docs))

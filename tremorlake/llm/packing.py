@@ -2,8 +2,8 @@
 
 Documents become pieces of at most CAPACITY tokens in one distributed pass. Which lengths share a sequence is
 decided on the histogram of piece lengths, at most CAPACITY numbers however large the corpus is: each step takes
-the largest length left, searches its best undominated filling by branch and bound, and repeats it as often as the
-histogram allows. Pieces then find their sequence by their rank among the pieces of their length.
+the largest length left, finds its filling of least waste exactly by a subset-sum table, and repeats it as often as
+the histogram allows. Sequences are not revisited, so each is the best one then, not the whole packing. Pieces then find their sequence by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from tremorlake.llm.tokens import WordTable, ragged, slices
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes that the search for one filling visits before it takes the best filling found.
-SEARCH_NODES = 3000
 #: Words that are encoded together, with a special token between them.
 CHUNK_WORDS = 2000
 #: Runs of letters that are encoded together, with spaces between them.
@@ -153,45 +151,40 @@ def _without_empty(words: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(keep))
 
 
-def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: int = SEARCH_NODES) -> list[int]:
-    """Lengths (falling) that fill ``room`` with the least waste found; ``lengths``: those with a count, falling.
+def best_filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """Lengths (falling) that fill ``room`` with the least waste; ``lengths``: those with a count, falling.
 
-    Depth first, longer lengths first, so that a filling comes before those it dominates; a branch is cut when
-    even its full remainder cannot beat the incumbent, and all ends at no waste. The incumbent starts as best fit.
+    Exact: a table holds, as bits, the sums that each tail of ``lengths`` reaches within its counts. Of the fillings
+    with the least waste it is the one with the longest lengths first, so none of these dominates it.
     """
-    incumbent: list[int] = []
-    left, used = room, {}
+    greedy: list[int] = []
+    left = room
     for n in lengths:
-        while n <= left and used.get(n, 0) < counts[n]:
-            incumbent.append(n)
-            used[n] = used.get(n, 0) + 1
-            left -= n
-    best = left
-    if best == 0:
-        return incumbent
-    available = set(lengths)
-    smallest = lengths[-1] if lengths else room + 1
-    visited = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, 0, ())]
-    while stack and best and visited < nodes:
-        rest, at, chosen = stack.pop()
-        visited += 1
-        # A last length that fills the rest exactly is looked up instead of searched.
-        if rest in available and chosen.count(rest) < counts[rest] and (not chosen or rest <= chosen[-1]):
-            return [*chosen, rest]
-        if rest < best:
-            best, incumbent = rest, list(chosen)
-        if rest < smallest:
-            continue
-        branches = []
-        for k in range(at, len(lengths)):
-            n = lengths[k]
-            if n <= rest and chosen.count(n) < counts[n]:
-                branches.append((rest - n, k, (*chosen, n)))
-                if len(branches) >= 24:
-                    break
-        stack.extend(reversed(branches))
-    return incumbent
+        k = min(counts[n], left // n)
+        greedy += [n] * k
+        left -= n * k
+    if left == 0:
+        return greedy
+    within = (1 << (room + 1)) - 1
+    sums = [1]
+    for n in reversed(lengths):
+        reached, rest, step = sums[-1], min(counts[n], room // n), 1
+        while rest:
+            step = min(step, rest)
+            reached |= (reached << (n * step)) & within
+            rest -= step
+            step *= 2
+        sums.append(reached)
+    left = sums.pop().bit_length() - 1
+    filling: list[int] = []
+    for n in lengths:
+        tail = sums.pop()
+        k = min(counts[n], left // n)
+        while not tail >> (left - n * k) & 1:
+            k -= 1
+        filling += [n] * k
+        left -= n * k
+    return filling
 
 
 def completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:

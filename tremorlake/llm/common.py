@@ -41,17 +41,27 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, one below the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, one below the warehouse.
+
+    A path without a scheme belongs to Hadoop's default file system, as it does for Spark's own readers and writers.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        folder = warehouse.rstrip("/") + "/_checkpoints"
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     if not urlparse(folder).scheme:
-        folder = f"file://{folder}"
+        folder = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + folder
     return folder
 
 
+def removed(frame: DataFrame) -> None:
+    """Deletes the table that ``materialised`` wrote, once a later round has been written whole."""
+    spark = frame.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read again: its lineage ends here."""
     spark = frame.sparkSession
@@ -60,22 +70,24 @@ def materialised(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def gapless(frame: DataFrame, group: list[str], order: list[str], to: str, rows_per_chunk: int = 200_000) -> DataFrame:
-    """Adds ``to``: a number from 0 without gaps within each ``group``.
+def gapless(frame: DataFrame, group: list[str], order: list[str], to: str, rows_per_chunk: int = 200_000, weight: str | None = None) -> DataFrame:
+    """Adds ``to``: a number from 0 without gaps within each ``group``; with ``weight``, the weight of earlier rows.
 
     A group may hold all rows: each is dealt into chunks by a hash of ``order``, rows are numbered within a
     chunk, and a chunk starts where the earlier ones of its group end. ``order`` should tell rows apart.
     """
     n = frame.count()
     chunks = max(16, -(-n // rows_per_chunk))
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     dealt = frame.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    sizes = dealt.groupBy(*group, "_chunk").agg(F.count("*").alias("_n"))
+    sizes = dealt.groupBy(*group, "_chunk").agg(F.sum(one).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*group, "_chunk").orderBy(*order)
-    numbered = dealt.withColumn("_rank", F.row_number().over(within) - 1)
+    rank = F.row_number().over(within) - 1 if weight is None else F.sum(one).over(within.rowsBetween(Window.unboundedPreceding, 0)) - one
     return (
-        numbered.join(starts, [*group, "_chunk"])
+        dealt.withColumn("_rank", rank)
+        .join(starts, [*group, "_chunk"])
         .withColumn(to, (F.col("_start") + F.col("_rank")).cast("long"))
         .drop("_chunk", "_start", "_rank")
     )

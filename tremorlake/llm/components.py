@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import materialised, salted_join
+from tremorlake.llm.common import materialised, removed, salted_join
 
 MAX_ROUNDS = 60
 
@@ -55,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        now = materialised(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        old, now = now, materialised(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        removed(old)
         last, seen = seen, _mark(now)
         if seen == last:
             break

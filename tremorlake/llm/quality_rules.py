@@ -1,7 +1,8 @@
 """Quality rules: base word rules, then cross-document line frequency per host.
 
 Lines are normalised and hashed; a line that occurs in too many distinct documents of one host is removed, and a
-document of which too little remains is rejected. DataFrame functions only.
+document of which too little remains is rejected. DataFrame functions only. Texts are read once for measures and line
+keys, which are written as a narrow table; counting and removing work on that table.
 """
 
 from __future__ import annotations
@@ -9,20 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import BLANKS, let, salted_join, words
+from tremorlake.llm.common import BLANKS, let, materialised, salted_join, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed when more distinct texts of its host hold it than both of these allow.
+#: A line is removed when more distinct documents of its host hold it, however large the host is.
 MAX_DOCS = 25
-MAX_DOC_SHARE = 0.01
-#: Longer lines are content; repeated paragraphs belong to the near-duplicate operators.
-MAX_LINE_CHARS = 200
 #: A document is depleted when less than this share of its words remains.
 MIN_WORDS_LEFT = 0.3
-#: Bits of a line key that hold the line's number of words.
-WORD_BITS = 7
-
 
 #: Low bits of a window's sort key that hold its position; longer texts take a wider key.
 POSITION_BITS = 17
@@ -56,10 +51,17 @@ def _repeated_starts(w: Column, s: Column, size: int) -> Column:
 
 
 def _repeated_starts_long(w: Column, size: int) -> Column:
+    """The same for texts of any length, by wider keys."""
     keys = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(size)]).alias("h"), i.alias("i")))
 
     def repeated(s: Column) -> Column:
-        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        def same(x: Column, k: Column) -> Column:
+            y = F.get(s, k)
+            out = y["h"] == x["h"]
+            for j in range(size):
+                out = out & (F.get(w, x["i"] + j) == F.get(w, y["i"] + j))
+            return F.coalesce(out, F.lit(False))
+
         return F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
 
     return let(F.sort_array(keys), repeated)
@@ -72,12 +74,14 @@ def _covered(starts: Column, size: int) -> Column:
     return F.aggregate(F.sort_array(starts), first, step, lambda a: a["n"])
 
 
-def measured(docs: DataFrame, size: int = 3) -> DataFrame:
-    """Adds ``m``, the struct of base measures of ``text``; null counts as an empty text.
+def parsed(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, host, two hashes of doc_id, source and text, the hash of the text, ``m``: the struct of base measures,
+    and ``lines``: key and words of each line, null where it has no words. Null counts as an empty text.
 
     n_repeat_words: words in ``size``-word windows that occur at least twice in the text.
     """
-    whole = F.coalesce(F.col("text"), F.lit(""))
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    whole = F.coalesce(F.col("_t"), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     blanks = F.length(F.regexp_replace(whole, r"[^\x20\x09-\x0D]+", ""))
     w, n = F.col("_w"), F.size("_w")
@@ -90,100 +94,86 @@ def measured(docs: DataFrame, size: int = 3) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _covered(starts, size).cast("long").alias("n_repeat_words"),
     ]
-    return (
-        docs.withColumns({"_w": words(F.col("text")), "_lines": lines})
-        .withColumn("_s", F.when(short, F.sort_array(_window_keys(w, size))))
-        # A generated column: filters on it are not pushed below, where they would repeat the measures for each use.
-        .withColumn("m", F.explode(F.array(F.struct(*measures))))
-        .drop("_w", "_lines", "_s")
-    )
+    rows = docs.select("doc_id", F.coalesce(source, F.lit("\x00")).alias("host"), text.alias("_t"), *_identity(docs))
+    rows = rows.withColumns({"_w": words(F.col("_t")), "_lines": lines, "text_hash": F.xxhash64("_t")})
+    rows = rows.withColumn("_s", F.when(short, F.sort_array(_window_keys(w, size))))
+    # A generated column: filters on it are not pushed below, where they would repeat the measures for each use.
+    return rows.withColumn("m", F.explode(F.array(F.struct(*measures)))).select("doc_id", "host", "h1", "h2", "text_hash", "m", line_keys(F.col("_t")).alias("lines"))
+
+
+def _identity(docs: DataFrame) -> list[Column]:
+    """Two hashes of doc_id, source and text; rows equal in these get equal verdicts."""
+    named = [F.col("doc_id"), F.col("source").cast("string"), F.col("text").cast("string")]
+    known = [F.coalesce(c.isNull(), F.lit(True)) for c in named]
+    return [F.xxhash64(*named, *known).alias("h1"), F.xxhash64(F.lit(1), *reversed(named), *known).alias("h2")]
 
 
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def line_key(line: Column) -> Column:
-    """Hash of the line in lower case, digits as 0 and blanks as one space, with its word count in the low bits.
-
-    Null for lines without words and for lines of more than MAX_LINE_CHARS characters.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+def line_keys(text: Column) -> Column:
+    """Per line the hash of its normal form (lower case, digits as 0, blanks as one space) and its number of words;
+    null for lines without words. Lines of any length have a key."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
 
     def key(norm: Column) -> Column:
         n = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
-        return F.when(norm != "", F.shiftleft(F.xxhash64(norm), WORD_BITS).bitwiseOR(n.cast("long")))
-
-    return F.when(F.length(line) <= MAX_LINE_CHARS, let(F.btrim(plain, F.lit(" ")), key))
-
+        return F.when(norm != "", F.struct(F.xxhash64(norm).alias("key"), n.cast("int").alias("n")))
 
-def line_keys(text: Column) -> Column:
-    """One key per line, null for lines that the rule never removes."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_key)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A row's identity: doc_id with the hash of its text; rows equal in both get equal verdicts."""
-    return docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("\x00")), "_text": F.xxhash64("text")})
+    return F.transform(F.split(plain, "\n"), lambda x: let(F.btrim(x, F.lit(" ")), key))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_DOC_SHARE) -> DataFrame:
-    """(_host, _key) of the lines above the limits. Exact copies of a text count once per host."""
-    keyed = _keyed(docs)
-    keys = F.array_compact(F.array_distinct(line_keys(F.col("text"))))
-    texts = keyed.select("_host", "_text", keys.alias("keys")).groupBy("_host", "_text").agg(F.first("keys").alias("keys"))
-    lines = texts.select("_host", F.explode("keys").alias("_key")).groupBy("_host", "_key").agg(F.count("*").alias("n"))
-    sizes = keyed.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("texts"))
-    return lines.where(F.col("n") > max_docs).join(sizes, "_host").where(F.col("n") > F.col("texts") * max_share).select("_host", "_key")
+def frequent_lines(base: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host, key of the lines that more than ``max_docs`` distinct documents of the host hold; ``base``: parsed rows.
 
+    Rows with equal texts are one document: else a page that was fetched often would make all its own lines frequent,
+    and no copy of it would be left for the deduplication that follows.
+    """
+    texts = base.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["key"]))
+    return texts.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "key")
 
-def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Per document that loses lines: doc_id, _text, _host, keys of these lines, words in them."""
-    lines = _keyed(docs).select("doc_id", "_text", "_host", F.posexplode(line_keys(F.col("text"))).alias("_pos", "_key")).where("_key IS NOT NULL")
-    hit = salted_join(lines, frequent, ["_host", "_key"], F.struct("doc_id", "_text", "_pos"))
-    one = hit.repartition("doc_id", "_text", "_host").dropDuplicates(["doc_id", "_text", "_host", "_pos"])
-    n_words = F.col("_key").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    return one.groupBy("doc_id", "_text", "_host").agg(F.collect_set("_key").alias("_removed"), F.sum(n_words).alias("removed_words"))
 
+def judged(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Parsed rows of ``docs`` with positions and words of removed lines (null without any), base_failed and kept."""
+    base = materialised(parsed(docs).withColumn("row", F.monotonically_increasing_id()), "line-keys")
+    lines = base.select("row", "host", F.posexplode("lines").alias("at", "x")).where("x IS NOT NULL").select("row", "host", "at", F.col("x.key").alias("key"), F.col("x.n").alias("n"))
+    hit = salted_join(lines, frequent_lines(base, max_docs), ["host", "key"], F.struct("row", "at"), salts=8)
+    gone = hit.groupBy("row").agg(F.collect_list("at").alias("removed"), F.sum("n").alias("n_removed_words"))
+    n, failed = F.col("m.n_words"), base_failed(F.col("m"))
+    depleted = n - F.coalesce("n_removed_words", F.lit(0)) < MIN_WORDS_LEFT * n
+    return base.join(gone, "row", "left").withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
-def _joined(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    other = removed.withColumnsRenamed({"doc_id": "_r_id", "_text": "_r_text", "_host": "_r_host"})
-    same = F.col("doc_id").eqNullSafe(F.col("_r_id")) & (F.col("_text") == F.col("_r_text")) & (F.col("_host") == F.col("_r_host"))
-    return docs.join(other, same, "left").drop("_r_id", "_r_text", "_r_host")
 
+def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Measures and verdict of every row of ``docs`` (doc_id, text, source; other columns are ignored).
 
-def depleted(n_words: Column, removed_words: Column) -> Column:
-    return n_words - F.coalesce(removed_words, F.lit(0)) < MIN_WORDS_LEFT * n_words
+    Null and empty texts have no words and fail the base rules. A null source is a host of its own. Rows that
+    repeat doc_id, source and text repeat the verdict. Very long texts are measured whole. An empty table gives an
+    empty result.
+    """
+    return judged(docs, max_docs).select("doc_id", "m.*", "base_failed", "kept", F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """Measures and verdict of every row of ``docs`` (doc_id, text, source; other columns are ignored).
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The kept documents, with the frequent lines taken out of their texts; the columns of ``docs``, whatever their
+    names; n_chars, where there is one, follows the text.
 
-    Null and empty texts have no words and fail the base rules. A null source is a host of its own. Rows that
-    repeat doc_id and text repeat the verdict. An empty table gives an empty result.
+    Nulls, empty texts and repeats are judged as in ``quality_rules``: null and empty texts go, repeated rows stay
+    repeated, null ids stay. An empty table gives an empty result.
     """
-    removed = removed_lines(docs, frequent_lines(docs)).drop("_removed")
-    narrow = measured(_keyed(docs).select("doc_id", "_text", "_host", "text")).drop("text")
-    failed = base_failed(F.col("m"))
-    return _joined(narrow, removed).select(
-        "doc_id",
-        "m.*",
-        failed.alias("base_failed"),
-        (~failed & ~depleted(F.col("m.n_words"), F.col("removed_words"))).alias("kept"),
-        F.coalesce("removed_words", F.lit(0)).cast("long").alias("n_removed_words"),
-    )
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents, with the frequent lines taken out of their texts; the columns of ``docs``."""
-    removed = removed_lines(docs, frequent_lines(docs))
-    m = F.col("m")
-    passed = measured(_keyed(docs).select(*docs.columns, "_text", "_host")).where(~base_failed(m))
-    kept = _joined(passed, removed).where(~depleted(m["n_words"], F.col("removed_words")))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_removed", line_key(x)), F.lit(False))), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)
-    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return kept.withColumns(changed).select(*docs.columns)
+    verdict = judged(docs, max_docs).where("kept").groupBy("h1", "h2").agg(F.first("removed").alias("removed"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *_identity(docs))
+    kept = salted_join(rows, verdict, ["h1", "h2"], F.monotonically_increasing_id(), salts=4)
+    lines = F.split("doc.text", "\n")
+    # Set operations on positions, which stay linear in the lines of a long text.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")))
+    kept = kept.withColumn("doc", F.col("doc").withField("text", text))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("doc", F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select("doc.*")
 
 
 OP2_SQL = r"""
@@ -207,12 +197,9 @@ base AS (
 ln AS (
   SELECT rid, host, t, k, len(string_split(k, ' ')) AS n FROM (
     SELECT rid, host, t, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k
-    FROM (SELECT rid, host, t, unnest(ls) AS x FROM d) WHERE length(x) <= 200)
+    FROM (SELECT rid, host, t, unnest(ls) AS x FROM d))
   WHERE k <> ''),
-size AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-freq AS (
-  SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS c FROM ln GROUP BY host, k) JOIN size USING (host)
-  WHERE c > 25 AND c > texts * 0.01),
+freq AS (SELECT host, k FROM ln GROUP BY host, k HAVING count(DISTINCT t) > 25),
 gone AS (SELECT rid, sum(n)::BIGINT AS n FROM ln JOIN freq USING (host, k) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,

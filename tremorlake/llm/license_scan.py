@@ -1,6 +1,8 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-DataFrame functions only.
+DataFrame functions only. Windows of a template start at each of its shingles, those of a text at every ``step``-th
+one: where a text holds a run of a template that covers one of its windows, that window and one of the template's are
+equal and share every band; where edits broke the run, the windows' Jaccard similarity decides.
 """
 
 from __future__ import annotations
@@ -10,13 +12,17 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.common import let
 
+#: Words of a shingle; templates of fewer words have one shingle of all their words.
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
-#: Bands of one row each: windows share a band when they share the shingle that is smallest there.
-BANDS = 24
-#: (shingles in a window, step, smallest template in shingles). Templates take the windows of the last class they reach.
-WINDOWS = [(4, 2, 1), (16, 8, 12)]
+#: (shingles in a window, step in texts, bands of one row, smallest template in shingles). Templates take the windows
+#: of the last class they reach. Windows of one shingle need one band, equal ones share it.
+WINDOWS = [(1, 1, 1, 1), (4, 2, 8, 4), (16, 8, 12, 16)]
 MAX_TEMPLATES = 1000
+#: Bands of templates that may be broadcast; a thousand templates of 150 words have about as many.
+MAX_TEMPLATE_BANDS = 2_000_000
+#: Shingles of a text that are sketched in one row; longer texts take several rows, which overlap by a window.
+CHUNK = 4096
 
 #: License statements and notices as they are commonly written.
 TEMPLATES = {
@@ -28,11 +34,13 @@ TEMPLATES = {
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "rights-reserved": "All rights reserved.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
 
-def collision_probability(jaccard: float, bands: int = BANDS, rows: int = 1) -> float:
+def collision_probability(jaccard: float, bands: int, rows: int = 1) -> float:
+    """That windows of this Jaccard similarity share a band, over independent orders."""
     return 1 - (1 - jaccard**rows) ** bands
 
 
@@ -41,103 +49,97 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the runs of SHINGLE_WORDS words, in order."""
-    return let(
-        word_list(text),
-        lambda w: F.when(F.size(w) < SHINGLE_WORDS, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE_WORDS)]))
-        ),
-    )
+def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
+    """Hashes of the runs of ``size`` words, in order."""
+    some = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    return F.when(F.size(words) < size, F.array().cast("array<bigint>")).otherwise(some)
 
 
-def _band_mask(band: int) -> int:
-    """Masks that differ in their high bits: the smallest of the masked hashes is another shingle in each band."""
-    return ((band * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1)) - 2**63
+def _band(s: Column, starts: Column, length: int, band: int) -> Column:
+    """Distinct smallest hashes of the windows at ``starts`` in the order of ``band``."""
+    if length == 1:
+        return F.array_distinct(s)
+    ordered = F.transform(s, lambda x: F.xxhash64(x, F.lit(band)))
+    return let(ordered, lambda m: F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(m, i, length)))))
 
 
-def sketches(s: Column, length: int, step: int) -> Column:
-    """Distinct (band, smallest masked hash) of the windows of ``length`` shingles of the array ``s``."""
+def sketches(s: Column, k: int, step: int) -> Column:
+    """Structs (class, band, h) of the windows of class ``k`` that start at every ``step``-th shingle of ``s``."""
+    length, _, bands, _ = WINDOWS[k]
     starts = F.sequence(F.lit(1), F.greatest(F.size(s) - (length - step), F.lit(1)), F.lit(step))
-
-    def band(b: int) -> Column:
-        mixed = F.transform(s, lambda x: x.bitwiseXOR(F.lit(_band_mask(b))))
-        mins = let(mixed, lambda m: F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(m, i, length)))))
-        return F.transform(mins, lambda x: F.struct(F.lit(b).alias("band"), x.alias("h")))
-
-    return F.when(F.size(s) > 0, F.flatten(F.array(*[band(b) for b in range(BANDS)])))
-
-
-def _window_class(size: Column) -> Column:
-    out = F.lit(0)
-    for k, (_, _, least) in enumerate(WINDOWS):
-        out = F.when(size >= least, k).otherwise(out)
-    return out
-
-
-def _bands(rows: DataFrame, classes: Column) -> DataFrame:
-    """One row per distinct (class, band, h) of ``rows``' column ``s``."""
-
-    def of(k: int) -> Column:
-        length, step, _ = WINDOWS[k]
-        named = F.transform(sketches(F.col("s"), length, step), lambda x: F.struct(F.lit(k).alias("class"), x["band"].alias("band"), x["h"].alias("h")))
-        return F.when(F.array_contains(classes, k), named)
-
-    of_all = F.flatten(F.array_compact(F.array(*[of(k) for k in range(len(WINDOWS))])))
-    return rows.withColumn("x", F.explode(of_all)).select(*[c for c in rows.columns if c != "s"], "x.*")
-
-
-def _words_of(text: str) -> list[str]:
-    return [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
-
-
-def anchors(templates: dict[str, str], min_containment: float = MIN_CONTAINMENT) -> list[str]:
-    """Words of which every text that contains a template's share of shingles has at least one.
-
-    Per template, words are added, long ones first, until the shingles without any of them are fewer than the share.
-    """
-    out: set[str] = set()
-    for text in templates.values():
-        w = _words_of(text)
-        grams = {tuple(w[i : i + SHINGLE_WORDS]) for i in range(len(w) - SHINGLE_WORDS + 1)}
-        rest = {g for g in grams if not out & set(g)}
-        for word in sorted(set(w), key=lambda x: (-len(x), x)):
-            if len(rest) < min_containment * len(grams) - 1e-9:
-                break
-            out.add(word)
-            rest = {g for g in rest if word not in g}
-    return sorted(out)
+    named = lambda b: F.transform(_band(s, starts, length, b), lambda x: F.struct(F.lit(k).alias("class"), F.lit(b).alias("band"), x.alias("h")))
+    return F.when(F.size(s) > 0, F.flatten(F.array(*[named(b) for b in range(bands)])))
+
+
+def _template_bands(sized: DataFrame) -> DataFrame:
+    """Distinct (template, size, class, band, h) of templates (template, size, s, n)."""
+    parts = None
+    for k, (_, _, _, least) in enumerate(WINDOWS):
+        most = WINDOWS[k + 1][3] if k + 1 < len(WINDOWS) else None
+        mine = sized.where(F.col("n") >= least if most is None else (F.col("n") >= least) & (F.col("n") < most))
+        part = mine.select("template", "size", F.explode(sketches(F.col("s"), k, 1)).alias("x")).select("template", "size", "x.*").distinct()
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def _text_bands(texts: DataFrame) -> DataFrame:
+    """(size, class, band, h) of texts' shingles ``s`` in all classes; a long text is sketched in chunks."""
+    overlap = max(w[0] for w in WINDOWS)
+    n = F.size("s")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.slice("s", i * CHUNK + 1, CHUNK + overlap))
+    ids = [c for c in texts.columns if c != "s"]
+    cut = texts.where(n > 0).select(*ids, F.explode(chunks).alias("s"))
+    every = F.flatten(F.array(*[F.coalesce(sketches(F.col("s"), k, w[1]), F.array().cast("array<struct<class:int,band:int,h:bigint>>")) for k, w in enumerate(WINDOWS)]))
+    # Short shingles belong to templates of less than five words, which have windows of one shingle only.
+    first = F.when(F.col("size") == SHINGLE_WORDS, every).otherwise(sketches(F.col("s"), 0, 1))
+    return cut.withColumn("x", F.explode(first)).select(*ids, "x.*")
+
+
+def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """template, size (words of a shingle), s, n (distinct shingles)."""
+    rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").select("template", word_list(F.col("text")).alias("w"))
+    size = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
+    by_size = F.lit(None).cast("array<bigint>")
+    for k in range(1, SHINGLE_WORDS + 1):
+        by_size = F.when(size == k, shingles(F.col("w"), k)).otherwise(by_size)
+    return rows.select("template", size.alias("size"), by_size.alias("s")).withColumn("n", F.size(F.array_distinct("s")))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """Per document and template found: doc_id, template, n_shingles of the template, n_found, containment.
 
-    A template is found when at least ``min_containment`` of its distinct shingles occur in the text. Whole texts
-    are scanned; texts with none of the templates' anchor words cannot hold one and are left out before hashing.
-    Null and empty texts hold none. Rows that repeat doc_id and text give one row. Templates need five words.
+    A template is found when at least ``min_containment`` of its distinct shingles occur in the text. Every window
+    of whole texts of any length is looked up. Null and empty texts hold none. Rows that repeat doc_id and text give
+    one row. Other columns are ignored. An empty table gives an empty result. A template without words is an error.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are broadcast")
-    # A template's shingle is in a window of its own class with at least this Jaccard share.
-    assert collision_probability(0.2) > 0.99
+    if empty := sorted(name for name, text in templates.items() if not any(c.isalnum() for c in text)):
+        raise ValueError(f"templates without words: {empty}")
     spark: SparkSession = docs.sparkSession
-    known = spark.createDataFrame(sorted(templates.items()), "template string, text string").select("template", shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    sized = known.withColumn("n", F.size(F.array_distinct("s")))
-    template_bands = _bands(sized.select("template", "s", "n"), F.array(_window_class(F.col("n")))).select("template", "class", "band", "h").distinct()
-
-    anchored = F.lower("text").rlike(r"(?:" + "|".join(anchors(templates, min_containment)) + ")")
-    near = docs.where(anchored).select("doc_id", F.xxhash64("text").alias("_text"), shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    doc_bands = _bands(near, F.array(*[F.lit(k) for k in range(len(WINDOWS))]))
-    found = doc_bands.join(F.broadcast(template_bands), ["class", "band", "h"]).groupBy("doc_id", "_text").agg(F.collect_set("template").alias("_templates"))
-
-    other = found.withColumnsRenamed({"doc_id": "_f_id", "_text": "_f_text"})
-    same = F.col("doc_id").eqNullSafe(F.col("_f_id")) & (F.col("_text") == F.col("_f_text"))
-    candidates = near.join(other, same).withColumn("template", F.explode("_templates"))
+    sized = _templates(spark, templates)
+    bands = _template_bands(sized)
+    known = sized.select(F.collect_set("size")).first()[0]
+    n = bands.count()
+    if n > MAX_TEMPLATE_BANDS:
+        raise ValueError(f"the templates have {n} bands; at most {MAX_TEMPLATE_BANDS} are broadcast")
+
+    worded = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.xxhash64(F.lit(1), F.length("text"), "text").alias("_check"), word_list(F.col("text")).alias("w")).where(F.size("w") >= min(known, default=1))
+    by_size = F.array(*[F.struct(F.lit(k).alias("size"), shingles(F.col("w"), k).alias("s")) for k in sorted(known)])
+    near = worded.select("doc_id", "_text", "_check", F.inline(by_size))
+    same = ["_text", "_check", "size"]
+    found = _text_bands(near).join(F.broadcast(bands), ["size", "class", "band", "h"]).groupBy("doc_id", *same).agg(F.collect_set("template").alias("_templates"))
+
+    other = found.withColumnsRenamed({c: f"_f{c}" for c in ["doc_id", *same]})
+    on = F.col("doc_id").eqNullSafe(F.col("_fdoc_id"))
+    for c in same:
+        on = on & (F.col(c) == F.col(f"_f{c}"))
+    candidates = near.join(other, on).withColumn("template", F.explode("_templates"))
     shared = F.size(F.array_intersect(F.col("s"), F.col("t")))
     verified = candidates.join(F.broadcast(sized.select("template", F.col("s").alias("t"), "n")), "template").withColumn("n_found", shared)
     return (
         verified.where(F.col("n_found") >= min_containment * F.col("n") - 1e-9)
-        .groupBy("doc_id", "_text", "template")
+        .groupBy("doc_id", "_text", "_check", "template")
         .agg(F.first("n").cast("long").alias("n_shingles"), F.first("n_found").cast("long").alias("n_found"))
         .select("doc_id", "template", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"))
     )
@@ -146,14 +148,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_con
 def scan_sql(templates: dict[str, str] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> str:
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
     split = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    grams = "SELECT DISTINCT {0}, w[i:i + 4] AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 3)) AS i FROM {1} WHERE len(w) >= 5)"
     return f"""
 WITH tpl AS (SELECT * FROM (VALUES {values}) v(template, text)),
 tw AS (SELECT template, {split} AS w FROM tpl),
-tg AS ({grams.format("template", "tw")}),
+tz AS (SELECT template, w, least(len(w), 5) AS z FROM tw),
+tg AS (SELECT DISTINCT template, z, w[i:i + z - 1] AS g FROM (SELECT template, z, w, unnest(range(1, len(w) - z + 2)) AS i FROM tz)),
 tn AS (SELECT template, count(*) AS n FROM tg GROUP BY template),
 dw AS (SELECT DISTINCT doc_id, text, {split} AS w FROM documents WHERE text IS NOT NULL),
-dg AS ({grams.format("doc_id, text", "dw")}),
+dz AS (SELECT doc_id, text, w, z FROM dw JOIN (SELECT DISTINCT z FROM tz) ON len(w) >= z),
+dg AS (SELECT DISTINCT doc_id, text, w[i:i + z - 1] AS g FROM (SELECT doc_id, text, z, w, unnest(range(1, len(w) - z + 2)) AS i FROM dz)),
 hit AS (SELECT doc_id, text, template, count(*) AS f FROM dg JOIN tg USING (g) GROUP BY doc_id, text, template)
 SELECT doc_id, template, n::BIGINT AS n_shingles, f::BIGINT AS n_found, round(f / n::DOUBLE, 6) AS containment
 FROM hit JOIN tn USING (template) WHERE f >= {min_containment}::DOUBLE * n - 1e-9

@@ -1,4 +1,9 @@
-"""Sharding by longest-processing-time scheduling: equal texts stay together, sizes end up near equal."""
+"""Sharding by longest-processing-time scheduling: equal texts stay together, sizes end up near equal.
+
+Groups of one size are interchangeable, so the schedule is made on the histogram of group sizes: all groups of a size
+are dealt at once, just as the heap would deal them one by one. Groups then find their shard by their rank among the
+groups of their size.
+"""
 
 from __future__ import annotations
 
@@ -10,50 +15,77 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import gapless, materialised
 
 SHARDS = 24
-#: Small groups are scheduled together, by a hash of their text, in so many units for each shard.
-UNITS_PER_SHARD = 400
-#: Groups above this share of a shard's mean size are units of their own; there are at most SHARDS / share of them.
-LARGE_SHARE = 1 / 64
+#: Sizes whose cuts are broadcast; more are joined. Distinct sizes are fewer than the square root of twice the bytes.
+MAX_BROADCAST_SIZES = 200_000
+
+
+def dealt(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` groups of ``size`` each shard takes when each goes to the least-loaded shard, the first
+    of equal ones; ``loads`` are those before.
+
+    The heap takes the ``count`` smallest of the loads load, load + size, load + 2 size, ...: whole rounds below the
+    level that they reach are counted, the few groups that are left go through the heap.
+    """
+    taken = [0] * len(loads)
+    if count > 4 * len(loads):
+        low, high = min(loads), max(loads) + size * count
+        fit = lambda level: sum(max(0, -(-(level - x) // size)) for x in loads)
+        while high - low > 1:
+            level = (low + high) // 2
+            low, high = (level, high) if fit(level) <= count else (low, level)
+        taken = [max(0, -(-(low - x) // size)) for x in loads]
+    heap = [(x + size * k, shard) for shard, (x, k) in enumerate(zip(loads, taken, strict=True))]
+    heapq.heapify(heap)
+    for _ in range(count - sum(taken)):
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + size, shard))
+        taken[shard] += 1
+    return taken
 
 
-def schedule(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Longest processing time first: each unit, by falling size, goes to the shard with the least load."""
-    heap = [(0, shard) for shard in range(shards)]
-    out = {}
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return out
+def schedule(histogram: dict[int, int], shards: int) -> tuple[dict[int, list[int]], list[int]]:
+    """Longest processing time first over {size: groups}: per size the groups of each shard, and the final loads."""
+    loads, out = [0] * shards, {}
+    for size in sorted(histogram, reverse=True):
+        out[size] = dealt(loads, size, histogram[size])
+        loads = [x + size * k for x, k in zip(loads, out[size], strict=True)]
+    return out, loads
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shard and slot of every row of ``docs`` (doc_id, text; other columns are ignored), law ``bytes``.
 
-    Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard. Slots of a shard run from 0
-    without gaps. Repeated rows are rows of their own; an empty table gives an empty result. The driver sees only
-    large groups and hash units, at most shards * (UNITS_PER_SHARD + 1 / LARGE_SHARE), however many texts there are.
+    Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard; loads differ by no more than the
+    largest group. Slots of a shard run from 0 without gaps. Repeated rows are rows of their own, null doc_ids too;
+    an empty table gives an empty result. A very long text is one large group. The driver sees the histogram of group
+    sizes alone: s different sizes sum to s * s / 2 bytes at least, so 100 TB have 14 million sizes at most.
     """
     spark: SparkSession = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     sized = materialised(sized, "shard-sizes")
-    groups = sized.groupBy("_text").agg(F.sum("size").alias("bytes"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    least = max(1.0, total / shards * LARGE_SHARE)
-    hashed = F.concat(F.lit("u"), F.pmod("_text", F.lit(shards * UNITS_PER_SHARD)))
-    large = groups.where(F.col("bytes") >= least).select("_text").withColumn("large", F.lit(True))
-    named = groups.withColumn("unit", F.when(F.col("bytes") >= least, F.concat(F.lit("g"), "_text")).otherwise(hashed))
-    units = named.groupBy("unit").agg(F.sum("bytes").alias("bytes")).collect()
-    placed = schedule([(u["unit"], u["bytes"]) for u in units], shards)
-    # Both tables are bounded as the docstring says, so they may be broadcast.
-    unit_shards = spark.createDataFrame(list(placed.items()), "unit string, shard int")
-    with_unit = sized.join(F.broadcast(large), "_text", "left").withColumn("unit", F.when(F.col("large"), F.concat(F.lit("g"), "_text")).otherwise(hashed))
-    sharded = with_unit.join(F.broadcast(unit_shards), "unit").select("doc_id", "size", "text_crc32", "shard")
-    slotted = gapless(sharded, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    groups = materialised(sized.groupBy("_text").agg(F.sum("size").alias("bytes")), "shard-groups")
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n")).toPandas()
+    placed, _ = schedule(dict(zip(histogram["bytes"].tolist(), histogram["n"].tolist(), strict=True)), shards)
+    # Groups of a size are numbered; shard k takes the numbers from cuts[k - 1] on and below cuts[k].
+    rows = []
+    for size, taken in placed.items():
+        cuts, upto = [], 0
+        for k in taken:
+            upto += k
+            cuts.append(upto)
+        rows.append((size, cuts))
+    cuts = spark.createDataFrame(rows, "bytes long, cuts array<long>")
+    ranked = gapless(groups, ["bytes"], ["_text"], "rank")
+    met = ranked.join(F.broadcast(cuts) if len(rows) <= MAX_BROADCAST_SIZES else cuts, "bytes")
+    homes = met.select("_text", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).cast("int").alias("shard"))
+    # Both sides are narrow. A hot text is one key of one row, which adaptive execution splits.
+    sharded = sized.join(homes, "_text").select("doc_id", "size", "text_crc32", "shard", "_row")
+    slotted = gapless(sharded, ["shard"], ["_row"], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents by bin completion.
 
 Documents become pieces of at most CAPACITY tokens in one distributed pass. Which lengths share a sequence is
-decided on the histogram of piece lengths, at most CAPACITY numbers however large the corpus is: each step takes
-the largest length left, finds its filling of least waste exactly by a subset-sum table, and repeats it as often as
-the histogram allows. Sequences are not revisited, so each is the best one then, not the whole packing. Pieces then find their sequence by their rank among the pieces of their length.
+decided on the histogram of piece lengths, at most CAPACITY numbers however large the corpus is, by branch and bound:
+a node takes the largest length left and branches over the undominated fillings around it, those of least waste first;
+each is repeated as often as the histogram allows. A branch is pruned when its waste leaves no way below the incumbent,
+which begins as the best-fit packing. Pieces then find their sequence by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Words that are encoded together, with a special token between them.
 CHUNK_WORDS = 2000
+#: Distinct words of each worker whose shortcut ids are compared with the plain tokenizer's before any are used.
+CHECKED_WORDS = 2000
+#: Fillings, dominated ones too, that the search tries besides each node's first; None searches until no branch is left.
+SEARCH_FILLINGS = 2_000
 #: Runs of letters that are encoded together, with spaces between them.
 CHUNK_LETTERS = 100
 #: Latin characters without the apostrophe (it begins contractions) and without those that change under NFC or whose
@@ -38,7 +43,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def word_encoder(path: str):
     """Encodes single words by the tokenizer in ``path``, whose tokens never span white space."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
@@ -46,6 +50,8 @@ def word_encoder(path: str):
     gap = max(special, key=special.get)
 
     def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Another operator of a reused worker may want threads; here one task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunks = [gap.join(words[i : i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS)]
         found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         ids = np.concatenate([np.array([*x.ids, special[gap]], np.int64) for x in found])
@@ -87,7 +93,21 @@ def word_encoder(path: str):
         before = np.concatenate([[0], np.cumsum(lengths[at])])
         return ids[ragged(starts[at], lengths[at])], np.diff(before[ends], prepend=0)
 
+    checked = 0
+
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row and how many each has; a worker's first words are encoded both ways."""
+        nonlocal checked
+        ids, lengths = quick(words)
+        if checked < CHECKED_WORDS and words:
+            some = words[: CHECKED_WORDS - checked]
+            checked += len(some)
+            plain, plain_lengths = others(some)
+            if not (np.array_equal(plain_lengths, lengths[: len(some)]) and np.array_equal(plain, ids[: len(plain)])):
+                raise ValueError("the tokenizer does not encode runs of letters by themselves")
+        return ids, lengths
+
+    def quick(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         column = pa.array(words, pa.string())
         simple = pc.and_(pc.match_substring_regex(column, LATIN), pc.invert(pc.match_substring(column, "<|"))).to_numpy(zero_copy_only=False)
         rest = column.filter(pa.array(~simple)).to_pylist()
@@ -151,20 +171,8 @@ def _without_empty(words: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), flat.filter(keep))
 
 
-def best_filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
-    """Lengths (falling) that fill ``room`` with the least waste; ``lengths``: those with a count, falling.
-
-    Exact: a table holds, as bits, the sums that each tail of ``lengths`` reaches within its counts. Of the fillings
-    with the least waste it is the one with the longest lengths first, so none of these dominates it.
-    """
-    greedy: list[int] = []
-    left = room
-    for n in lengths:
-        k = min(counts[n], left // n)
-        greedy += [n] * k
-        left -= n * k
-    if left == 0:
-        return greedy
+def _sums(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """For each tail of ``lengths`` the sums up to ``room`` that it reaches within its counts, as bits."""
     within = (1 << (room + 1)) - 1
     sums = [1]
     for n in reversed(lengths):
@@ -175,37 +183,156 @@ def best_filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[
             rest -= step
             step *= 2
         sums.append(reached)
-    left = sums.pop().bit_length() - 1
-    filling: list[int] = []
-    for n in lengths:
-        tail = sums.pop()
-        k = min(counts[n], left // n)
-        while not tail >> (left - n * k) & 1:
-            k -= 1
-        filling += [n] * k
-        left -= n * k
-    return filling
-
-
-def completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of the sequences: every length of ``histogram`` as often as it is counted."""
-    counts = {n: c for n, c in histogram.items() if c > 0}
-    out = []
-    while counts:
+    return sums[::-1]
+
+
+def dominated(filling: list[int], waste: int, spare: int) -> bool:
+    """May a length that is left go into the waste too, or replace one or several shorter ones of ``filling``?
+
+    ``spare``: bits of the lengths that are left besides the filling. What such a replacement frees is shorter and
+    goes wherever the longer one would have gone, so the filling with the longer length is at least as good.
+    """
+    if spare & ((1 << (waste + 1)) - 1):
+        return True
+    one, more = 0, 0
+    for n in filling:
+        more |= (more | one) << n
+        one |= 1 << n
+    for _ in range(waste):
+        more |= more << 1
+    # A single length is replaced by a strictly longer one only.
+    single = 0
+    for n in set(filling):
+        single |= ((1 << (waste + 1)) - 1) << n & ~(1 << n)
+    return bool((more | single) & spare)
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int) -> Iterator[list[int] | None]:
+    """Undominated fillings of ``room`` (lengths falling) with at most ``most_waste`` left, the fullest first; of
+    equally full ones, those with longer lengths first. A table of sums keeps to lengths that can be completed. None
+    stands for a dominated filling."""
+    lengths = sorted((n for n, c in counts.items() if c > 0 and n <= room), reverse=True)
+    sums = _sums(room, lengths, counts)
+    first = True
+    for total in range(room, max(-1, room - most_waste - 1), -1):
+        if not sums[0] >> total & 1:
+            continue
+        stack: list[tuple[int, int, list[int]]] = [(0, total, [])]
+        while stack:
+            k, left, used = stack.pop()
+            if left == 0:
+                left_over = dict(counts)
+                for n in used:
+                    left_over[n] -= 1
+                spare = sum(1 << n for n in lengths if left_over[n] > 0)
+                yield used if first or not dominated(used, room - total, spare) else None
+                first = False
+                continue
+            if k == len(lengths):
+                continue
+            n = lengths[k]
+            # Pushed with few of this length first, so that many are tried first.
+            stack += [(k + 1, left - n * c, used + [n] * c) for c in range(min(counts[n], left // n) + 1) if sums[k + 1] >> (left - n * c) & 1]
+
+
+Packing = list[tuple[int, list[int]]]
+
+
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
+    """Best-fit decreasing: each length goes to the fullest sequence that has room. Equal sequences are one group."""
+    groups: dict[int, list[tuple[int, list[int]]]] = {}
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        while left > 0:
+            room = min((r for r in groups if r >= n), default=None)
+            if room is None:
+                k = min(capacity // n, left)
+                times = left // k
+                groups.setdefault(capacity - n * k, []).append((times, [n] * k))
+                left -= times * k
+                continue
+            times, pattern = groups[room].pop()
+            if not groups[room]:
+                del groups[room]
+            k = min(room // n, max(1, left // times))
+            taken = min(times, left // k)
+            groups.setdefault(room - n * k, []).append((taken, pattern + [n] * k))
+            if times > taken:
+                groups.setdefault(room, []).append((times - taken, pattern))
+            left -= taken * k
+    return [g for room in sorted(groups) for g in groups[room]]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """No packing has fewer sequences: by tokens, and by lengths that cannot share one with another of them.
+
+    For each t: lengths above capacity - t and above half stand alone; what the latter leave may hold lengths of t to half.
+    """
+    best = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    for t in {0, *(n for n in histogram if 2 * n <= capacity)}:
+        alone = sum(c for n, c in histogram.items() if n > capacity - t)
+        half = [(n, c) for n, c in histogram.items() if 2 * n > capacity and n <= capacity - t]
+        small = sum(n * c for n, c in histogram.items() if t <= n and 2 * n <= capacity)
+        room = sum((capacity - n) * c for n, c in half)
+        best = max(best, alone + sum(c for _, c in half) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def size_of(packing: Packing) -> int:
+    return sum(times for times, _ in packing)
+
+
+def completion(histogram: dict[int, int], capacity: int = CAPACITY, search: int | None = SEARCH_FILLINGS) -> Packing:
+    """(times, lengths) of the sequences: every length of ``histogram`` as often as it is counted.
+
+    Bin completion by depth-first branch and bound, as the module says. The search ends at the lower bound, when no
+    branch is left, or after ``search`` fillings beyond the first descent, with the incumbent as it is then.
+    """
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    total, least = sum(n * c for n, c in histogram.items()), lower_bound(histogram, capacity)
+    incumbent = best_fit(histogram, capacity)
+    best, tried = size_of(incumbent), 0
+
+    def branches(counts: dict[int, int], waste: int) -> Iterator[tuple[int, list[int], dict[int, int], int]]:
+        """(times, lengths, counts left, waste) of the node's children that may still beat the incumbent."""
+        nonlocal tried
         largest = max(counts)
-        counts[largest] -= 1
-        fits = sorted((n for n, c in counts.items() if c > 0 and n <= capacity - largest), reverse=True)
-        filling = best_filling(capacity - largest, fits, counts)
-        counts[largest] += 1
-        pattern = [largest, *filling]
-        uses = {n: pattern.count(n) for n in pattern}
-        times = min(counts[n] // k for n, k in uses.items())
-        for n, k in uses.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
-        out.append((times, pattern))
-    return out
+        rest = dict(counts)
+        rest[largest] -= 1
+        allowed = (best - 1) * capacity - total - waste
+        for nth, filling in enumerate(fillings(capacity - largest, rest, min(capacity - largest, max(0, allowed)))):
+            tried += nth > 0
+            if search is not None and tried > search:
+                return
+            if filling is None:
+                continue
+            pattern = [largest, *filling]
+            uses = {n: pattern.count(n) for n in pattern}
+            most = min(counts[n] // k for n, k in uses.items())
+            # As often as it goes; else once, and the child chooses anew.
+            for times in dict.fromkeys((most, 1)):
+                lost = waste + (capacity - sum(pattern)) * times
+                if total + lost <= (best - 1) * capacity:
+                    left = {n: c - uses.get(n, 0) * times for n, c in counts.items()}
+                    yield times, pattern, {n: c for n, c in left.items() if c}, lost
+
+    stack = [branches(histogram, 0)] if best > least else []
+    chosen: Packing = []
+    while stack and best > least and (search is None or tried <= search):
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        times, pattern, counts, waste = child
+        chosen.append((times, pattern))
+        if counts:
+            stack.append(branches(counts, waste))
+            continue
+        incumbent, best = list(chosen), size_of(chosen)
+        chosen.pop()
+    return incumbent
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -213,39 +340,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, capacity), PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Sequence and offset of every piece of ``docs``.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, search: int | None = SEARCH_FILLINGS) -> DataFrame:
+    """Sequence and offset of every piece of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null texts count as empty and give one piece of the end id. Repeated rows are packed each. An empty table gives
-    an empty result. Other columns are ignored.
+    Null texts count as empty and give one piece of the end id. Repeated rows and null doc_ids are packed each. A very
+    long text is one row's work and gives as many pieces as it needs. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
-    pieces = materialised(token_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = materialised(token_pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    places, sequence, ranks = [], 0, dict.fromkeys(histogram, 0)
-    for times, pattern in completion(histogram, capacity):
+    places: dict[int, list[tuple]] = {n: [] for n in histogram}
+    sequence, ranks = 0, dict.fromkeys(histogram, 0)
+    for times, pattern in completion(histogram, capacity, search):
         offset, uses = 0, {n: pattern.count(n) for n in pattern}
-        for n in dict.fromkeys(pattern):
-            places.append((n, ranks[n], ranks[n] + uses[n] * times, uses[n], sequence, offset))
-            ranks[n] += uses[n] * times
-            offset += n * uses[n]
+        for n, k in uses.items():
+            places[n].append((ranks[n], k, sequence, offset))
+            ranks[n] += k * times
+            offset += n * k
         sequence += times
-    # One row per length and pattern; patterns are at most a few per length, so this is bounded by the capacity.
-    places = spark.createDataFrame(places, "length long, first long, past long, uses long, base long, shift long")
-    ranked = gapless(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))
-    nth = F.col("rank") - F.col("first")
+    # A row per length with its patterns in order of rank: at most as many rows as the capacity.
+    by_length = spark.createDataFrame([(n, x, [y[0] for y in x]) for n, x in places.items()], "length long, places array<struct<first:long,uses:long,base:long,shift:long>>, firsts array<long>")
+    ranked = gapless(pieces, ["length"], ["row"], "rank")
+    placed = ranked.join(F.broadcast(by_length), "length").withColumn("at", F.element_at("places", F.size(F.filter("firsts", lambda x: x <= F.col("rank")))))
+    nth = F.col("rank") - F.col("at.first")
     # Other pieces of the same length in the sequence come before this one.
-    return (
-        ranked.join(F.broadcast(places), "length")
-        .where(within)
-        .select(
-            "doc_id",
-            "piece",
-            "start",
-            "length",
-            "ids_crc32",
-            (F.col("base") + F.floor(nth / F.col("uses"))).cast("long").alias("sequence_id"),
-            (F.col("shift") + F.pmod(nth, F.col("uses")) * F.col("length")).cast("long").alias("offset"),
-        )
+    return placed.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        (F.col("at.base") + F.floor(nth / F.col("at.uses"))).cast("long").alias("sequence_id"),
+        (F.col("at.shift") + F.pmod(nth, F.col("at.uses")) * F.col("length")).cast("long").alias("offset"),
     )

@@ -1,7 +1,9 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts with equal sets of word n-grams form a class; one text of a class is signed and compared. Band hashes are
-shuffled, texts that share a band become candidates, and every pair among candidates is verified on the full sets.
+shuffled; the texts of a bucket join the group of the bucket's smallest text, so a group holds texts that share a band
+with one text, and every pair that shares a band meets in a group. All pairs of a group are verified on the full sets,
+tile by tile; a pair that meets in several groups counts in the first one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import gapless, materialised, salted_join
@@ -26,8 +28,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: At a Jaccard similarity of 0.8, 30 bands of 7 rows share a band with probability 0.9992; at 0.3 with 0.007.
 BANDS, ROWS = 30, 7
-#: Texts that one task compares with each other or with as many others.
-TILE = 512
+#: n-grams that one task compares with each other or with as many others; a text counts as TEXT_GRAMS at least, so
+#: a tile holds 512 texts or fewer. A text of more n-grams is a tile of its own.
+TILE_GRAMS, TEXT_GRAMS = 1 << 18, 1 << 9
 
 
 def band_recall(similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -133,7 +136,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document two hashes of its set of n-grams and its band hashes; null where it has no words."""
+    """Per document two hashes of its set of n-grams, their number and its band hashes; null where it has no words."""
     for batch, sets in _text_grams(batches):
         full = [g for g in sets if len(g)]
         some = pa.array([len(g) > 0 for g in sets], pa.bool_())
@@ -141,8 +144,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.fromiter((g.sum(dtype=np.uint64) for g in full), np.uint64, len(full))
         mixed = np.fromiter((np.bitwise_xor.reduce(_mix(g)) for g in full), np.uint64, len(full))
         bands = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, signatures(full).reshape(-1)) if full else pa.array([], pa.list_(pa.int64()))
-        columns = [pa.array(sums.view(np.int64)), pa.array(mixed.view(np.int64)), bands]
-        yield pa.record_batch([batch.column("doc_id"), *[c.take(at) for c in columns]], names=["doc_id", "a", "b", "bands"])
+        columns = [pa.array(sums.view(np.int64)), pa.array(mixed.view(np.int64)), pa.array([len(g) for g in full], pa.int64()), bands]
+        yield pa.record_batch([*[batch.column(c) for c in ("doc_id", "h1", "h2")], *[c.take(at) for c in columns]], names=["doc_id", "h1", "h2", "a", "b", "n", "bands"])
 
 
 def _grams_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +185,18 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return np.nonzero(hit)
 
 
+def _met_before(left: list[np.ndarray], right: list[np.ndarray], group: int) -> np.ndarray:
+    """For each pair of left x right: do both belong to a group before ``group``? By incidence of these groups."""
+    earlier = [[int(g) for g in groups if g < group] for groups in [*left, *right]]
+    column = {g: k for k, g in enumerate(sorted({g for gs in earlier for g in gs}))}
+    x = np.zeros((len(earlier), len(column)), np.float32)
+    for row, gs in zip(x, earlier, strict=True):
+        row[[column[g] for g in gs]] = 1
+    return x[: len(left)] @ x[len(left) :].T > 0
+
+
 def _verify(threshold: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         empty = pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
@@ -191,6 +204,9 @@ def _verify(threshold: float):
             return empty
         grams = lambda part: [np.asarray(g, np.int64).view(np.uint64) for g in part["grams"]]
         i, j = similar(grams(left), None if right.empty else grams(right), threshold)
+        other = left if right.empty else right
+        fresh = ~_met_before(list(left["groups"]), list(other["groups"]), key[0])[i, j]
+        i, j = i[fresh], j[fresh]
         both = left if right.empty else pd.concat([left, right])
         j = j if right.empty else j + len(left)
         ids, copies = both["rep"].to_numpy(), both["copies"].to_numpy()
@@ -202,76 +218,112 @@ def _verify(threshold: float):
     return run
 
 
+def _identity() -> list[Column]:
+    """Two hashes of doc_id and text, by which a row's text is found again."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.xxhash64(doc_id, doc_id.isNull(), text).alias("h1"), F.xxhash64(F.lit(1), text, doc_id.isNull(), doc_id).alias("h2")]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep, copies, bands: documents with equal sets of n-grams share the smallest doc_id, which alone keeps
-    its band hashes; null rep without words. Texts are read and signed once."""
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    signed = materialised(keyed.mapInArrow(_signed, "doc_id long, a long, b long, bands array<long>"), "signed")
-    sets = signed.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    known = salted_join(signed, sets.where("copies > 1"), ["a", "b"], F.col("doc_id"), salts=16, how="left")
-    rep = F.coalesce("rep", F.when(F.col("a").isNotNull(), F.col("doc_id")))
-    found = known.select("doc_id", rep.alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.when(rep == F.col("doc_id"), F.col("bands")).alias("bands"))
+    """row, doc_id, h1, h2, rep, first_id, copies, n, bands: rows with equal sets of n-grams share ``rep``, the row number of one
+    of them, which alone keeps its band hashes; first_id is their smallest doc_id. Null rep without words. Texts are read and
+    signed once."""
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_identity())
+    signed = keyed.mapInArrow(_signed, "doc_id long, h1 long, h2 long, a long, b long, n long, bands array<long>")
+    signed = materialised(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    sets = signed.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    known = salted_join(signed, sets.where("copies > 1"), ["a", "b"], F.col("row"), salts=16, how="left")
+    single, rep = F.col("copies").isNull(), F.coalesce("rep", F.when(F.col("a").isNotNull(), F.col("row")))
+    found = known.select("row", "doc_id", "h1", "h2", rep.alias("rep"), F.when(single, F.col("doc_id")).otherwise(F.col("first_id")).alias("first_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n", F.when(rep == F.col("row"), F.col("bands")).alias("bands"))
     return materialised(found, "classes")
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """rep, cluster: texts (rep, bands) that share a band with another, directly or over others, have one cluster."""
+    """rep, group: a text (rep, bands) belongs to the group of the smallest text of each of its buckets that it shares."""
     spread = signed.select("rep", F.explode("bands").alias("h"))
-    shared = spread.groupBy("h").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    links = salted_join(spread, shared, ["h"], F.col("rep"), salts=4).where("rep <> first")
-    found = components(links.select(F.col("rep").alias("src"), F.col("first").alias("dst")))
-    return found.withColumnsRenamed({"node": "rep", "component": "cluster"})
+    shared = spread.groupBy("h").agg(F.min("rep").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return salted_join(spread, shared, ["h"], F.col("rep"), salts=4).select("rep", "group").distinct()
 
 
-def verified(texts: DataFrame, clusters: DataFrame, threshold: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def placed(groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, groups, places: for each text its groups, and in each of these its tile and how many tiles there are."""
+    weighed = groups.join(reps.select("rep", F.greatest("n", F.lit(TEXT_GRAMS)).alias("w")), "rep")
+    weighed = materialised(weighed, "groups")
+    at = gapless(weighed, ["group"], ["rep"], "at", weight="w").withColumn("tile", F.floor(F.col("at") / TILE_GRAMS).cast("int"))
+    large = at.groupBy("group").agg((F.max("tile") + 1).alias("tiles")).where("tiles > 1")
+    tiled = salted_join(at, large, ["group"], F.col("rep"), salts=8, how="left")
+    place = F.struct("group", "tile", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    return tiled.groupBy("rep").agg(F.collect_list("group").alias("groups"), F.collect_list(place).alias("places"))
+
+
+def verified(docs: DataFrame, wanted: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """rep, n, root per comparison: linked documents (copies included) and a text that the links reach.
 
-    ``texts``: rep, text; ``clusters``: rep, copies, cluster. A cluster is cut into tiles of ``tile`` texts, each pair
-    of tiles is one task's work, so no task holds a large cluster and no pair becomes a row.
+    ``wanted``: rep, h1, h2, copies, groups, places. A group is cut into tiles, each pair of its tiles is one task's
+    work, so no task holds a large group and no pair becomes a row.
     """
-    placed = gapless(clusters, ["cluster"], ["rep"], "rank").withColumn("tile", F.floor(F.col("rank") / tile).cast("int"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = salted_join(placed, sizes, ["cluster"], F.col("rep"))
-    chosen = texts.join(placed.select("rep", "copies", "cluster", "tile", "tiles"), "rep").dropDuplicates(["rep"])
-    grams = chosen.select("rep", "copies", "cluster", "tile", "tiles", "text").mapInArrow(_grams_out, "rep long, copies long, cluster long, tile int, tiles int, grams array<long>")
-    dealt = grams.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    texts = docs.select(F.col("text").cast("string").alias("text"), *_identity())
+    # Rows that repeat doc_id and text are one class; one of them is enough.
+    chosen = salted_join(texts, wanted, ["h1", "h2"], F.monotonically_increasing_id(), salts=4).dropDuplicates(["rep"])
+    grams = chosen.select("rep", "copies", "groups", "places", "text").mapInArrow(_grams_out, "rep long, copies long, groups array<long>, places array<struct<group:long,tile:int,tiles:int>>, grams array<long>")
+    dealt = grams.select("rep", "copies", "groups", "grams", F.inline("places")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "rep",
         "copies",
+        "groups",
         "grams",
-        "cluster",
+        "group",
         F.least("tile", "k").alias("low"),
         F.greatest("tile", "k").alias("high"),
         F.when(F.col("tile") <= F.col("k"), 0).otherwise(1).alias("side"),
     )
-    return dealt.groupBy("cluster", "low", "high").applyInPandas(_verify(threshold), "rep long, n long, root long")
+    return dealt.groupBy("group", "low", "high").applyInPandas(_verify(threshold), "rep long, n long, root long")
+
+
+def _joined(docs: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``classes`` with component (null where no link leads), class_id and n_links."""
+    members = classes(docs)
+    reps = members.where("rep = row").select("rep", "h1", "h2", "first_id", "copies", "n", "bands")
+    wanted = placed(candidates(reps.select("rep", "bands")), reps).join(reps.select("rep", "h1", "h2", "copies"), "rep")
+    links = materialised(verified(docs, wanted, threshold), "text-links")
+    counts = links.groupBy("rep").agg(F.sum("n").alias("links"))
+    labels = components(links.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
+    # The smallest doc_id of each component, nulls last.
+    least = labels.join(reps.select("rep", "first_id"), "rep").groupBy("component").agg(F.min("first_id").alias("least"))
+    found = salted_join(labels, least, ["component"], F.col("rep"), salts=8).join(counts, "rep", "left")
+    out = salted_join(members.drop("bands", "n"), found, ["rep"], F.col("row"), how="left")
+    return out.withColumns(
+        {
+            "class_id": F.coalesce("least", "first_id", "doc_id"),
+            "n_links": (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long"),
+        }
+    )
 
 
 def jaccard_join(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    n_links: other documents whose word 5-gram sets have a Jaccard similarity of at least ``threshold``, copies
-    included. class_id: the smallest doc_id that links reach. Documents without words (null and empty texts too)
-    link with nothing; texts of fewer than five words have one gram. Repeated rows are documents of their own with
-    one doc_id; rows with a null doc_id are left out. An empty table gives an empty result.
+    n_links: other rows whose word 5-gram sets have a Jaccard similarity of at least ``threshold``, copies included.
+    class_id: the smallest doc_id that links reach, null where only null ones are reached. Documents without words
+    (null and empty texts too) link with nothing; texts of fewer than five words have one gram. Rows that repeat a
+    doc_id, and rows with a null one, are documents of their own, whether their texts are equal or not. A very long
+    text is signed and compared whole. An empty table gives an empty result.
     """
-    members = classes(docs)
-    reps = members.where("rep = doc_id").groupBy("rep").agg(F.max("copies").alias("copies"), F.first("bands").alias("bands"))
-    found = candidates(reps.select("rep", "bands"))
-    clusters = found.join(reps.select("rep", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    links = materialised(verified(texts, clusters, threshold), "text-links")
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    labels = components(links.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    found = counts.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = salted_join(members, found, ["rep"], F.col("doc_id"), how="left")
-    return out.select(
-        "doc_id",
-        F.coalesce("component", "rep", "doc_id").alias("class_id"),
-        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-    )
+    return _joined(docs, threshold).select("doc_id", "class_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's; of repeated rows one stays. Null doc_ids stay."""
-    kept = jaccard_join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of linked rows: that with the smallest doc_id (nulls last), one of equal rows.
+
+    Rows without words stay, all of them. The columns of ``docs``, whatever their names. An empty table gives an
+    empty result.
+    """
+    members = _joined(docs, threshold)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("b")
+    kept = members.where("rep IS NOT NULL").groupBy(F.coalesce("component", "rep").alias("component")).agg(best, F.max(F.col("copies") > 1).alias("repeated"))
+    wordless = members.where("rep IS NULL").select("h1", "h2", F.lit(False).alias("repeated")).distinct()
+    keys = materialised(kept.select("b.h1", "b.h2", "repeated").unionByName(wordless), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *_identity())
+    found = salted_join(rows, keys, ["h1", "h2"], F.monotonically_increasing_id(), salts=4)
+    # Only classes of several rows may hold a row twice.
+    once = found.where("repeated").dropDuplicates(["h1", "h2"])
+    return found.where("NOT repeated").unionByName(once).select("doc.*")

@@ -45,18 +45,47 @@ def grams(text, n=5):
 
 def test_license_scan(spark):
     text = license_scan.TEMPLATES["apache-2.0-header"]
-    rows = [(1, "x y z " + text + " tail"), (2, None), (3, ""), (4, "Released under the MIT License. " + prose(50)), (5, "the license of nothing in particular is here"), (1, "x y z " + text + " tail")]
+    rows = [(1, "x y z " + text + " tail"), (2, None), (3, ""), (4, "Released under the MIT License. " + prose(50)), (5, "the license of nothing in particular is here"), (6, "All rights reserved."), (7, prose(9000, 21) + " ALL rights, reserved " + text), (1, "x y z " + text + " tail")]
     got = {(r["doc_id"], r["template"], r["n_found"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = set()
     for i, t in rows:
         for name, template in license_scan.TEMPLATES.items():
-            found = len(grams(template) & grams(t)) if len((t or "").split()) >= 5 else 0
-            if found >= 0.8 * len(grams(template)):
+            n = min(5, len(re.findall(r"\w+", template)))
+            found = len(grams(template, n) & grams(t, n)) if len(re.findall(r"\w+", t or "")) >= n else 0
+            if found >= 0.8 * len(grams(template, n)):
                 want.add((i, name, found))
-    assert got == want and {"apache-2.0-header", "mit"} <= {n for _, n, _ in got}
+    assert got == want and {"apache-2.0-header", "mit", "rights-reserved"} <= {n for _, n, _ in got}
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_scan_with_clashing_columns_and_bad_templates(spark):
+    docs = spark.createDataFrame([(None, "x Released under the MIT License. y", 1, 2, 3)], "doc_id long, text string, s int, template int, n int")
+    assert [(r["doc_id"], r["template"]) for r in license_scan.license_scan(docs).collect()] == [(None, "mit")]
+    with pytest.raises(ValueError, match="without words"):
+        license_scan.license_scan(docs, {"none": "..."})
+
+
+def test_license_bands_retrieve_edited_templates(spark):
+    """Templates with edits that leave 0.8 of their shingles, among other words at every offset."""
+    r = np.random.default_rng(8)
+    rows = []
+    for name, template in license_scan.TEMPLATES.items():
+        w = template.split()
+        for k in range(25):
+            edited = list(w)
+            for at in r.integers(0, len(w), k % (1 + len(w) // 25)):
+                edited[at] = "edited"
+            rows.append((len(rows), prose(int(r.integers(0, 40)), len(rows)) + " " + " ".join(edited) + " " + prose(20, 7), name))
+    want = set()
+    for i, t, _ in rows:
+        for name, template in license_scan.TEMPLATES.items():
+            n = min(5, len(re.findall(r"\w+", template)))
+            if len(grams(template, n) & grams(t, n)) >= 0.8 * len(grams(template, n)):
+                want.add((i, name))
+    got = {(x["doc_id"], x["template"]) for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 200
+
+
 def test_quality_measures(docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in texts_of(docs):
@@ -70,6 +99,24 @@ def test_quality_measures(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeat) > 50 * len(w))
 
 
+def test_quality_measures_of_long_texts(docs, monkeypatch):
+    """The wider keys of long texts give what the narrow ones give."""
+    plain = sorted(map(str, quality_rules.quality_rules(docs).collect()))
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 5)
+    assert sorted(map(str, quality_rules.quality_rules(docs).collect())) == plain
+
+
+def test_long_lines_count_and_columns_stay(spark):
+    line = prose(120, 33)
+    rows = [(i, f"{line}\n{prose(60, 300 + i)}", "h", i, "m", 5) for i in range(30)] + [(None, f"{line} {i}\n{prose(60, 400)}", None, 1, "m", 5) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m int, removed string, n_chars int")
+    kept = quality_rules.clean(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    found = kept.collect()
+    assert len(found) == 32 and all(line not in r["text"] and r["n_chars"] == len(r["text"]) for r in found if r["source"])
+    assert all(line in r["text"] for r in found if not r["source"])
+
+
 def test_frequent_lines_go(spark):
     rows = [(i, "Subscribe to our letter today\n" + prose(60, 100 + i), "h") for i in range(40)] + [(99, "Subscribe to our letter today\n" * 40 + prose(55, 7), "h"), (100, "Subscribe to our letter today\n" + prose(60, 8), "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -129,14 +176,57 @@ def test_packing(docs):
     assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + 1
 
 
-def test_best_filling_finds_an_exact_one():
-    lengths = [1000, 700, 600, 500, 348]
-    assert sum(packing.best_filling(1048, lengths, dict.fromkeys(lengths, 1))) == 1048
+def fewest(items, capacity):
+    """Sequences of a best packing, by trying every place of every length."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= items[k]}:
+            i = rooms.index(r)
+            go(k + 1, [*rooms[:i], r - items[k], *rooms[i + 1 :]])
+        go(k + 1, [*rooms, capacity - items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def whole(histogram, capacity, packing_):
+    seen = Counter()
+    for times, pattern in packing_:
+        assert sum(pattern) <= capacity
+        for n in pattern:
+            seen[n] += times
+    return seen == Counter(histogram)
+
+
+def test_completion_finds_the_fewest_sequences():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        capacity = int(r.integers(10, 40))
+        histogram = Counter(int(x) for x in r.integers(1, capacity + 1, r.integers(1, 9)))
+        found = packing.completion(histogram, capacity, None)
+        best = fewest(list(histogram.elements()), capacity)
+        assert whole(histogram, capacity, found) and packing.size_of(found) == best
+        assert packing.lower_bound(histogram, capacity) <= best <= packing.size_of(packing.best_fit(histogram, capacity))
+        assert whole(histogram, capacity, packing.best_fit(histogram, capacity))
+
+
+def test_completion_is_no_worse_than_best_fit():
+    r = np.random.default_rng(5)
+    for least in (20, 400, 600):
+        histogram = Counter(int(x) for x in r.integers(least, 2049, 1500))
+        found = packing.completion(histogram)
+        assert whole(histogram, 2048, found) and packing.size_of(found) <= packing.size_of(packing.best_fit(histogram))
 
 
-def test_best_filling_wastes_least():
+def test_first_filling_wastes_least_and_others_are_undominated():
     lengths = [*range(990, 950, -1), 500]
-    assert packing.best_filling(1000, lengths, dict.fromkeys(lengths, 2)) == [500, 500]
+    assert next(packing.fillings(1000, dict.fromkeys(lengths, 2), 1000)) == [500, 500]
     r = np.random.default_rng(5)
     for _ in range(50):
         room, lengths = int(r.integers(20, 60)), sorted({int(x) for x in r.integers(5, 40, 6)}, reverse=True)
@@ -144,9 +234,15 @@ def test_best_filling_wastes_least():
         sums = {0}
         for n in lengths:
             sums = {s + n * k for s in sums for k in range(counts[n] + 1)}
-        found = packing.best_filling(room, lengths, counts)
-        assert sum(found) == max(s for s in sums if s <= room)
-        assert all(found.count(n) <= counts[n] for n in found) and found == sorted(found, reverse=True)
+        found = [f for f in packing.fillings(room, counts, room) if f is not None]
+        assert sum(found[0]) == max(s for s in sums if s <= room)
+        for f in found:
+            assert all(f.count(n) <= counts[n] for n in f) and f == sorted(f, reverse=True)
+            assert f is found[0] or not any(counts[n] > f.count(n) and n <= room - sum(f) for n in lengths)
+
+
+def test_packing_of_an_empty_table(docs):
+    assert packing.pack(docs.where("FALSE"), public_tokenizers.path(WORD)).count() == 0
 
 
 def test_sharding(docs):
@@ -162,12 +258,40 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
 
 
-def test_schedule_puts_the_largest_first():
-    placed = sharding.schedule([("a", 7), ("b", 5), ("c", 4), ("d", 4)], 2)
+def heap_loads(sizes, shards):
+    import heapq
+
+    heap = [(0, k) for k in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, k))
+    return sorted(load for load, _ in heap)
+
+
+def test_schedule_equals_the_heap():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        sizes = [int(x) for x in r.integers(1, int(r.integers(2, 30)), int(r.integers(0, 400)))]
+        shards = int(r.integers(1, 8))
+        taken, loads = sharding.schedule(dict(Counter(sizes)), shards)
+        assert sorted(loads) == heap_loads(sizes, shards)
+        assert all(sum(taken[n]) == c for n, c in Counter(sizes).items())
+
+
+def test_shards_are_balanced(spark):
+    r = np.random.default_rng(4)
+    texts = ["x" * int(n) for n in r.integers(0, 3000, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 5).collect()
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 8
     loads = Counter()
-    for unit, size in (("a", 7), ("b", 5), ("c", 4), ("d", 4)):
-        loads[placed[unit]] += size
-    assert sorted(loads.values()) == [9, 11]
+    for x in rows:
+        loads[x["shard"]] += x["size"]
+    assert sorted(loads.values()) == heap_loads(list(groups.values()), 5)
+    assert max(loads.values()) - min(loads.values()) <= max(groups.values())
+    assert sharding.shard_documents(docs.where("FALSE"), 5).count() == 0
 
 
 def test_sentencepiece(docs):
@@ -231,7 +355,21 @@ def test_embedding_links(spark):
     assert rows0 and embedding_dedup.near_duplicates(frame.where("FALSE")).count() == 0
 
 
-def test_jaccard_join(spark):
+def components_of(links):
+    out = {}
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[i] = seen
+    return out
+
+
+@pytest.mark.parametrize("tile", [1 << 18, 2000])
+def test_jaccard_join(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", tile)
     r = np.random.default_rng(2)
     rows = []
     for k in range(12):
@@ -241,22 +379,23 @@ def test_jaccard_join(spark):
             for at in r.integers(0, 200, c * 2):
                 w[at] = "changed"
             rows.append((k * 10 + c, " ".join(w)))
-    rows += [(500, rows[0][1]), (501, None), (502, ""), (503, "two words"), (504, "Two, words!")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
-    got = {x["doc_id"]: (x["n_links"], x["class_id"]) for x in ngram_join.jaccard_join(docs).collect()}
-    sets = {i: grams(t) for i, t in rows}
+    # Copies, wordless texts, one id with different texts, null ids, repeated rows.
+    rows += [(500, rows[0][1]), (501, None), (502, ""), (503, "two words"), (504, "Two, words!"), (0, prose(90, 77)), (None, rows[4][1]), (None, rows[4][1]), (None, prose(80, 78)), rows[8], (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit(1), "doc": F.lit("x"), "h1": F.lit(2)})
+    got = Counter(tuple(x) for x in ngram_join.jaccard_join(docs).collect())
+    sets = [grams(t) for _, t in rows]
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b) if a and b else False
-    links = {i: {j for j in sets if j != i and near(sets[i], sets[j])} for i in sets}
-    for i in sets:
-        seen, todo = {i}, [i]
-        while todo:
-            new = links[todo.pop()] - seen
-            seen |= new
-            todo += new
-        assert got[i] == (len(links[i]), min(seen))
-    kept = {x["doc_id"] for x in ngram_join.deduplicate(docs).collect()}
-    assert kept == {i for i in sets if got[i][1] == i}
-    assert ngram_join.jaccard_join(docs.where("FALSE")).count() == 0
+    links = {i: {j for j in range(len(rows)) if j != i and near(sets[i], sets[j])} for i in range(len(rows))}
+    linked = components_of(links)
+    least = lambda i: min((rows[j][0] for j in linked[i] if rows[j][0] is not None), default=None)
+    assert got == Counter((rows[i][0], least(i), len(links[i])) for i in links)
+    kept = ngram_join.deduplicate(docs)
+    assert kept.columns == docs.columns
+    groups = {frozenset(c) for i, c in linked.items() if sets[i]}
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    want = Counter(rows[min(g, key=order)][0] for g in groups) + Counter(rows[i][0] for i in links if not sets[i])
+    assert Counter(x["doc_id"] for x in kept.collect()) == want
+    assert ngram_join.jaccard_join(docs.where("FALSE")).count() == 0 and ngram_join.deduplicate(docs.where("FALSE")).count() == 0
 
 
 def test_band_recall():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import let
+from tremorlake.llm.common import let, materialised
 
 #: Words of a shingle; templates of fewer words have one shingle of all their words.
 SHINGLE_WORDS = 5
@@ -21,6 +21,8 @@ WINDOWS = [(1, 1, 1, 1), (4, 2, 8, 4), (16, 8, 12, 16)]
 MAX_TEMPLATES = 1000
 #: Bands of templates that may be broadcast; a thousand templates of 150 words have about as many.
 MAX_TEMPLATE_BANDS = 2_000_000
+#: Texts with a candidate that are broadcast to find their words again; more are joined by a shuffle of all texts.
+MAX_BROADCAST_FOUND = 500_000
 #: Shingles of a text that are sketched in one row; longer texts take several rows, which overlap by a window.
 CHUNK = 4096
 
@@ -95,14 +97,19 @@ def _text_bands(texts: DataFrame) -> DataFrame:
     return cut.withColumn("x", F.explode(first)).select(*ids, "x.*")
 
 
+def _by_size(words: Column, size: Column) -> Column:
+    """The shingles of ``size`` words, a column from 1 to SHINGLE_WORDS."""
+    out = F.lit(None).cast("array<bigint>")
+    for k in range(1, SHINGLE_WORDS + 1):
+        out = F.when(size == k, shingles(words, k)).otherwise(out)
+    return out
+
+
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """template, size (words of a shingle), s, n (distinct shingles)."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").select("template", word_list(F.col("text")).alias("w"))
     size = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
-    by_size = F.lit(None).cast("array<bigint>")
-    for k in range(1, SHINGLE_WORDS + 1):
-        by_size = F.when(size == k, shingles(F.col("w"), k)).otherwise(by_size)
-    return rows.select("template", size.alias("size"), by_size.alias("s")).withColumn("n", F.size(F.array_distinct("s")))
+    return rows.select("template", size.alias("size"), _by_size(F.col("w"), size).alias("s")).withColumn("n", F.size(F.array_distinct("s")))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
@@ -124,17 +131,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_con
     if n > MAX_TEMPLATE_BANDS:
         raise ValueError(f"the templates have {n} bands; at most {MAX_TEMPLATE_BANDS} are broadcast")
 
-    worded = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.xxhash64(F.lit(1), F.length("text"), "text").alias("_check"), word_list(F.col("text")).alias("w")).where(F.size("w") >= min(known, default=1))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"_text": F.xxhash64("text"), "_check": F.xxhash64(F.lit(1), F.length("text"), "text")})
+    worded = keyed.select("doc_id", "_text", "_check", word_list(F.col("text")).alias("w")).where(F.size("w") >= min(known, default=1))
     by_size = F.array(*[F.struct(F.lit(k).alias("size"), shingles(F.col("w"), k).alias("s")) for k in sorted(known)])
     near = worded.select("doc_id", "_text", "_check", F.inline(by_size))
-    same = ["_text", "_check", "size"]
-    found = _text_bands(near).join(F.broadcast(bands), ["size", "class", "band", "h"]).groupBy("doc_id", *same).agg(F.collect_set("template").alias("_templates"))
+    same = ["_text", "_check"]
+    hits = _text_bands(near).join(F.broadcast(bands), ["size", "class", "band", "h"])
+    found = materialised(hits.groupBy("doc_id", *same, "size").agg(F.collect_set("template").alias("_templates")), "license-hits")
 
     other = found.withColumnsRenamed({c: f"_f{c}" for c in ["doc_id", *same]})
     on = F.col("doc_id").eqNullSafe(F.col("_fdoc_id"))
     for c in same:
         on = on & (F.col(c) == F.col(f"_f{c}"))
-    candidates = near.join(other, on).withColumn("template", F.explode("_templates"))
+    met = keyed.join(F.broadcast(other) if found.count() <= MAX_BROADCAST_FOUND else other, on)
+    candidates = met.withColumn("s", _by_size(word_list(F.col("text")), F.col("size"))).withColumn("template", F.explode("_templates"))
     shared = F.size(F.array_intersect(F.col("s"), F.col("t")))
     verified = candidates.join(F.broadcast(sized.select("template", F.col("s").alias("t"), "n")), "template").withColumn("n_found", shared)
     return (

@@ -294,16 +294,39 @@ def test_shards_are_balanced(spark):
     assert sharding.shard_documents(docs.where("FALSE"), 5).count() == 0
 
 
-def test_sentencepiece(docs):
+@pytest.mark.parametrize("unigram", [False, True])
+def test_sentencepiece(docs, spark, unigram):
     import sentencepiece
 
-    original = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECE))
-    encoded = sentencepiece_codec.encode(docs, public_tokenizers.path(PIECE))
+    path = public_tokenizers.path(PIECE)
+    model = sentencepiece_codec.as_unigram(path) if unigram else path
+    original = sentencepiece.SentencePieceProcessor(model_proto=model) if unigram else sentencepiece.SentencePieceProcessor(model_file=model)
+    odd = spark.createDataFrame([(100, "<s> a </s> <unk> <0x0A> $$$$$"), (101, "  lead  two  trail  "), (102, "\n\n tab\t x"), (103, "\U0001f600 \ud7ff\u0378"), (None, "null id"), (104, "a")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    docs = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    encoded = sentencepiece_codec.encode(docs, model)
     got = {r["doc_id"]: r for r in encoded.collect()}
-    decoded = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(encoded, public_tokenizers.path(PIECE)).collect()}
+    decoded = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(encoded, model).collect()}
     for i, t in texts_of(docs):
-        assert list(got[i]["ids"]) == original.encode(t or "")
-        assert decoded[i] == original.decode(original.encode(t or ""))
+        assert got[i]["parity"] == (list(got[i]["ids"]) == original.encode(t or ""))
+        assert got[i]["parity"] and decoded[i] == (t or "")
+    made = {r["doc_id"]: r for r in sentencepiece_codec.digests(odd, model).collect()}
+    assert all(r["round_trip"] and r["n_tokens"] == len(got[i]["ids"]) for i, r in made.items())
+    assert made[104]["ids_crc32"] == zlib.crc32(np.array(got[104]["ids"], "<u4").tobytes())
+    assert sentencepiece_codec.digests(odd.where("FALSE"), model).count() == 0
+    codec = sentencepiece_codec.Codec(model)
+    assert codec.decode([np.array([1, *got[104]["ids"], 2])]) == ["a"]
+
+
+def test_losing_parity_is_reported(spark):
+    """A unigram model whose scores the two libraries cannot agree on keeps the backend's ids."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(sentencepiece_codec.as_unigram(public_tokenizers.path(PIECE)))
+    codec = sentencepiece_codec.Codec(model.SerializeToString())
+    codec.original = type("Other", (), {"encode": lambda self, words, num_threads: [[0] for _ in words]})()
+    ids, ends, parity = codec.encode(pa.array(["some words", ""]))
+    assert parity.tolist() == [False, True] and ids.tolist() == codec.tokenizer.encode("▁some▁words").ids
 
 
 def test_quality_is_learned(spark):
@@ -318,6 +341,50 @@ def test_quality_is_learned(spark):
 def test_quality_without_labels(docs, spark):
     out = knn_quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in out.collect()} == {0.5}
+    assert knn_quality.classify(docs.where("FALSE"), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_quality_votes_equal_brute_force(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    extra = spark.createDataFrame([(None, None), (10**6, ""), (10**6 + 1, "\n \n"), (10**6 + 1, "\n \n"), (10**6 + 2, prose(30000, 9))], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra).withColumns({"score": F.lit("s"), "predicted": F.lit(7), "row": F.lit(1)})
+    known = labels.unionByName(spark.createDataFrame([(None, 1, 0), (10**6, None, 0)], labels.schema))
+    got = {(r["doc_id"], r["score"], r["predicted"]) for r in knn_quality.classify(docs, known).collect()}
+    model = knn_quality.Model(docs.select("doc_id", F.col("text").alias("_text")), known)
+    rows = docs.collect()
+    want = set()
+    for r in rows:
+        found = knn_quality.term_counts(pa.array([r["text"]], pa.string()))
+        dense = np.zeros(knn_quality.TERMS)
+        dense[found[1]] = model._weighted(*found, 1)
+        v = dense @ model.axes
+        cosines = [round(float(v @ u / max(np.linalg.norm(v), 1e-12)), 9) for u in model.vectors]
+        least = sorted(cosines, reverse=True)[min(25, len(cosines)) - 1]
+        near = [(max(c, 0) ** 8, y) for c, y in zip(cosines, model.labels, strict=True) if c >= least]
+        prior = model.labels.mean()
+        score = (sum(w * y for w, y in near) + 0.05 * prior) / (sum(w for w, _ in near) + 0.05)
+        score = prior if not (r["text"] or "").strip() else score
+        want.add((r["doc_id"], float(score), int(score >= 0.3)))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert (a[0], a[2]) == (b[0], b[2]) and a[1] == pytest.approx(b[1], abs=1e-6)
+    kept = knn_quality.good(docs, known)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows if (r["doc_id"], 1) in {(i, p) for i, _, p in want})
+    monkeypatch.setattr(knn_quality, "BLOCK", 7)
+    assert {(r["doc_id"], r["score"], r["predicted"]) for r in knn_quality.classify(docs.repartition(3), known).collect()} == got
+
+
+def test_terms_of_pieces_are_those_of_whole_texts(monkeypatch):
+    """Cutting a text loses only the pairs and n-grams across the cuts."""
+    text = pa.array([prose(400, 1)])
+    whole = dict(zip(knn_quality.term_counts(text)[1].tolist(), knn_quality.term_counts(text)[2].tolist(), strict=True))
+    monkeypatch.setattr(knn_quality, "PIECE", 500)
+    parts = dict(zip(knn_quality.term_counts(text)[1].tolist(), knn_quality.term_counts(text)[2].tolist(), strict=True))
+    words = range(knn_quality.GRAM_TERMS, knn_quality.GRAM_TERMS + knn_quality.WORD_TERMS)
+    assert {k: v for k, v in whole.items() if k in words} == {k: v for k, v in parts.items() if k in words}
+    assert 0 < sum(whole.values()) - sum(parts.values()) < 100
 
 
 def test_warc(spark, tmp_path):
@@ -340,11 +407,13 @@ def test_embedding_links(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((60, 48))
     x[30:50] = x[:20] + 0.3 * r.standard_normal((20, 48))
-    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(100, rows0 := [float(v) for v in x[0]]), (101, [0.0] * 48), (102, None), (103, [float("nan")] * 48), (104, [1.0, 2.0]), (105, [2.0, 4.0]), (106, [None, 1.0]), (107, [])]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(100, rows0 := [float(v) for v in x[0]]), (101, [0.0] * 48), (102, None), (103, [float("nan")] * 48), (104, [1.0, 2.0]), (105, [2.0, 4.0]), (106, [None, 1.0]), (107, []), (108, [1e200, 1e200]), (109, [2e200, 1.9e200]), (110, [1e-200, 2.1e-200]), (111, [1.0, float("inf")]), (200, [3.0] * 5), (200, [3.0] * 5)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(1))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame, tile=16).collect()}
     usable = {i: np.array(v, float) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    usable = {i: v / np.abs(v).max() for i, v in usable.items()}
     links = {i: {j for j in usable if j != i and len(usable[i]) == len(usable[j]) and usable[i] @ usable[j] / np.linalg.norm(usable[i]) / np.linalg.norm(usable[j]) >= 0.9} if i in usable else set() for i, _ in rows}
+    assert got.pop(200) == (1, 200) and rows.pop()[0] == rows.pop()[0] == 200
     for i, _ in rows:
         seen, todo = {i}, [i]
         while todo:

@@ -144,7 +144,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_con
     for c in same:
         on = on & (F.col(c) == F.col(f"_f{c}"))
     met = keyed.join(F.broadcast(other) if found.count() <= MAX_BROADCAST_FOUND else other, on)
-    candidates = met.withColumn("s", _by_size(word_list(F.col("text")), F.col("size"))).withColumn("template", F.explode("_templates"))
+    candidates = met.withColumn("s", let(word_list(F.col("text")), lambda w: _by_size(w, F.col("size")))).withColumn("template", F.explode("_templates"))
     shared = F.size(F.array_intersect(F.col("s"), F.col("t")))
     verified = candidates.join(F.broadcast(sized.select("template", F.col("s").alias("t"), "n")), "template").withColumn("n_found", shared)
     return (

@@ -37,7 +37,7 @@ def band_recall(similarity: float = SIMILARITY, bands: int = BANDS, rows: int =
     return 1 - (1 - similarity**rows) ** bands
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,9 +68,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(lowered), np.int64)
     sizes = stops - starts
     places = ragged(np.zeros(len(starts), np.int64), sizes)
-    factors = _mix(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    factors = mix(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     letters = points[inside[1:-1].view(bool)].astype(np.uint64) * factors[places]
-    hashes = _mix(np.add.reduceat(letters, np.cumsum(sizes) - sizes))
+    hashes = mix(np.add.reduceat(letters, np.cumsum(sizes) - sizes))
     return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
@@ -85,7 +85,7 @@ def _chained(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n words in a row."""
     out = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
-        out = _mix(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
+        out = mix(out * np.uint64(31) + words[k : len(words) - n + 1 + k])
     return out
 
 
@@ -131,7 +131,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             np.minimum(least, product.min(1), out=least)
     bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
     for r in range(ROWS):
-        bands = _mix(bands * np.uint64(31) + mins[:, r::ROWS])
+        bands = mix(bands * np.uint64(31) + mins[:, r::ROWS])
     return bands.view(np.int64)
 
 
@@ -142,7 +142,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = pa.array([len(g) > 0 for g in sets], pa.bool_())
         at = pc.if_else(some, pc.subtract(pc.cumulative_sum(some.cast(pa.int64())), 1), None)
         sums = np.fromiter((g.sum(dtype=np.uint64) for g in full), np.uint64, len(full))
-        mixed = np.fromiter((np.bitwise_xor.reduce(_mix(g)) for g in full), np.uint64, len(full))
+        mixed = np.fromiter((np.bitwise_xor.reduce(mix(g)) for g in full), np.uint64, len(full))
         bands = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, signatures(full).reshape(-1)) if full else pa.array([], pa.list_(pa.int64()))
         columns = [pa.array(sums.view(np.int64)), pa.array(mixed.view(np.int64)), pa.array([len(g) for g in full], pa.int64()), bands]
         yield pa.record_batch([*[batch.column(c) for c in ("doc_id", "h1", "h2")], *[c.take(at) for c in columns]], names=["doc_id", "h1", "h2", "a", "b", "n", "bands"])

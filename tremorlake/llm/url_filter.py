@@ -133,10 +133,29 @@ class UrlModel:
         return scored.withColumn("method_verdict", verdict).select(*urls.columns, "method_verdict")
 
 
+def held_out_scores(labelled: DataFrame) -> DataFrame:
+    """One row: n, accuracy, share of the more frequent label, blocked and caught, over the held-out fifth of distinct
+    URLs (by crc32), after training on the others. ``labelled``: url, label (1 block, 0 allow)."""
+    rows = labelled.select("url", host_path(F.col("url")).alias("p"), F.col("label").cast("double").alias("label")).select("url", "p.host", "p.path", "label").dropna(subset=["url", "label"])
+    out = F.crc32(F.encode("url", "utf-8")) % 5 == 0
+    tested = rows.where(out).groupBy("url", "host", "path").agg((F.avg("label") >= 0.5).alias("blocked"))
+    judged = UrlModel(rows.where(~out)).blocked(tested).withColumn("caught", F.col("method_verdict") == "block")
+    right = F.avg((F.col("blocked") == F.col("caught")).cast("double"))
+    share = F.avg(F.col("blocked").cast("double"))
+    return judged.agg(F.count("*").alias("n"), right.alias("accuracy"), F.greatest(share, 1 - share).alias("majority"), F.count_if("blocked").alias("blocked"), F.count_if(F.col("blocked") & F.col("caught")).alias("caught"))
+
+
+def ruled(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """url, label of the rows that a rule decides: the labelled URLs where no others are given."""
+    parsed = pages.select("url", host_path(F.col("url")).alias("p"))
+    return parsed.select("url", rule_of(F.col("p.host"), F.col("p.path"), rules)["verdict"].alias("v")).where("v IS NOT NULL").select("url", (F.col("v") == "block").cast("double").alias("label"))
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """Verdict of every row of ``pages`` (page_id, url; other columns are ignored).
 
-    ``labelled`` (url, label with 1 for block) trains the trees; without it, the URLs that a rule decides do.
+    ``labelled`` (url, label with 1 for block) trains the trees; without it, the URLs that a rule decides do, and the
+    trees carry the rules' verdicts over to URLs of like form. Other columns are ignored. Very long urls are read whole.
     Null urls, and urls without ``://``, have an empty host and path and are judged by the trees. Repeated rows
     repeat the verdict. An empty table gives an empty result; labels of one kind only give that verdict.
     """

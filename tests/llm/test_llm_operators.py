@@ -142,6 +142,16 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.where("FALSE")).count() == 0
 
 
+def test_url_trees_on_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    r = url_filter.held_out_scores(url_filter.ruled(pages)).first()
+    assert r["n"] > 150 and r["accuracy"] > max(0.9, r["majority"])
+    # Labels that the rules do not give: long hosts of one suffix are bad.
+    rows = [(f"http://{'a' * (3 + k % 30)}.{('xyz', 'com')[k % 2]}/{k}", float(k % 2 == 0 and k % 30 > 15)) for k in range(600)]
+    own = url_filter.held_out_scores(spark.createDataFrame(rows, "url string, label double")).first()
+    assert own["accuracy"] > 0.9 > own["majority"]
+
+
 def test_url_filter_suffixes_of_all_rows_and_sample_of_distinct_urls(spark, monkeypatch):
     urls = [(f"http://a.{s}/{k}", f"a.{s}", f"/{k}", float(k % 2)) for s in ("com", "net", "xyz", "info") for k in range(10)]
     columns = "url string, host string, path string, label double"

@@ -14,23 +14,39 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes frequent lines out of texts; documents that fail the base rules or are depleted go."""
+    """Takes frequent lines out of texts; documents that fail the base rules or are depleted go.
+
+    Null, blank and short texts fail the base rules. Rows with a null doc_id or source are judged like others, rows
+    that repeat each other stay repeated, columns keep their names and values (n_chars follows the text), very long
+    texts are judged whole, and an empty table gives an empty one.
+    """
     return quality_rules.clean(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that their labelled neighbours vote down go."""
-    scored = knn_quality.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Documents that their labelled neighbours vote down go.
+
+    Texts without words have the mean label as score. Null doc_ids are scored by their texts, equal texts alike, ties
+    among neighbours all vote; all columns stay, and an empty table gives an empty one.
+    """
+    return knn_quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each group of near duplicates stays: the smallest doc_id, nulls last, one of equal rows.
+
+    Texts without words are not duplicates of each other and stay; different texts with one doc_id are told apart;
+    all columns stay, and an empty table gives an empty one.
+    """
     return ngram_join.deduplicate(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in training sequences."""
+    """Places of the documents' pieces in training sequences.
+
+    Null and empty texts give one piece of the end id; repeated rows and null doc_ids are packed each; other columns
+    are left out; a very long text gives as many pieces as it needs; an empty table gives an empty one.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -41,7 +57,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer have no SQL; tests hold the stages against brute force instead.
+#: The classifier and the tokenizer have no SQL; tests/llm/test_llm_pipeline.py holds each stage's rows against brute force.
 ORACLE_SQL = None
 
 

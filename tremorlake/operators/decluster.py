@@ -14,9 +14,8 @@ from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
 from tremorlake.functions.seismo import gk_days, gk_radius_km, rupture_length_km
 from tremorlake.operators.joins import interval_join, near_cells
-from tremorlake.operators.lineage import written
+from tremorlake.operators.lineage import settled, written
 
-MAX_ROUNDS = 100
 #: Events of a block of time that one task grows, besides those around it.
 BLOCK_EVENTS = 10_000
 #: Clusters of more events are few and are broadcast.
@@ -56,21 +55,30 @@ def gardner_knopoff(events: DataFrame) -> DataFrame:
     settled. Others belong to the highest-ranked mainshock that covers them.
     """
     edges = written(_coverage(events), "coverage")
-    ids = events.select("event_id")
-    state = written(ids.withColumn("seed", F.lit(None).cast("boolean")), "seeds")
-    for _ in range(MAX_ROUNDS):
-        by = edges.join(state.select(F.col("event_id").alias("a"), F.col("seed").alias("a_seed")), "a")
-        seen = by.groupBy(F.col("b").alias("event_id")).agg(F.max(F.coalesce("a_seed", F.lit(False))).alias("covered"), F.max(F.col("a_seed").isNull()).alias("open"))
-        fresh = F.when(F.col("covered"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = written(state.join(seen, "event_id", "left").select("event_id", F.coalesce("seed", fresh).alias("seed")), "seeds")
-        if state.where("seed IS NULL").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"mainshocks did not settle in {MAX_ROUNDS} rounds")
-    seeds = state.where("seed").select(F.col("event_id").alias("a"))
+    state = settled(edges)
+    seeds = state.where("seed").select("a")
     owner = edges.join(seeds, "a").groupBy(F.col("b").alias("event_id")).agg(F.max_by(F.struct("a", "t_a", "t_b"), F.struct("m_a", -F.unix_micros("t_a"), -F.col("a"))).alias("o"))
-    role = F.when(F.col("seed"), "main").when(F.col("o.t_b") < F.col("o.t_a"), "foreshock").otherwise("aftershock")
-    return state.join(owner, "event_id", "left").select("event_id", F.when(F.col("seed"), F.col("event_id")).otherwise(F.col("o.a")).alias("seed_id"), role.alias("role"))
+    # An event that is no seed has an owner, all others are main ones.
+    role = F.when(F.col("o.a").isNull(), "main").when(F.col("o.t_b") < F.col("o.t_a"), "foreshock").otherwise("aftershock")
+    covered = owner.join(state.where("NOT seed").select(F.col("a").alias("event_id")), "event_id", "left_semi")
+    return events.select("event_id").join(covered, "event_id", "left").select("event_id", F.coalesce("o.a", "event_id").alias("seed_id"), role.alias("role"))
+
+
+def summary(clustered: DataFrame) -> DataFrame:
+    """One row: events, clusters, main events alone, fore- and aftershocks of ``gardner_knopoff``'s result."""
+    sizes = clustered.groupBy("seed_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "foreshock").alias("f"), F.count_if(F.col("role") == "aftershock").alias("a"))
+    return sizes.agg(F.sum("n").alias("n_events"), F.count("*").alias("n_main"), F.count_if(F.col("n") == 1).alias("n_single"), F.sum("f").alias("n_foreshocks"), F.sum("a").alias("n_aftershocks"), F.max("n").alias("largest"))
+
+
+def background(events: DataFrame, least: int = 10, fallback: int = 5) -> DataFrame:
+    """Rows of ``events`` that are main ones; none of fewer than ``least`` events; by ``reasenberg`` where the other
+    method leaves fewer than ``fallback``."""
+    if events.count() < least:
+        return events.where("FALSE")
+    mains = events.join(written(gardner_knopoff(events).where("role = 'main'").select("event_id"), "background"), "event_id", "left_semi")
+    if mains.count() >= fallback:
+        return mains
+    return events.join(reasenberg(events).where("event_id = main_id").select("event_id"), "event_id", "left_semi")
 
 
 def _grow(days: float, factor: float, max_depth: int):

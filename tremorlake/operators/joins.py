@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake import constants as C
@@ -13,6 +13,13 @@ from tremorlake import constants as C
 MAX_BROADCAST_ROWS = 100_000
 
 
+def small(frame: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``frame`` marked for broadcast, after a check that it is a dimension: at most ``most`` rows."""
+    if frame.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for a dimension of {frame.columns}")
+    return F.broadcast(frame)
+
+
 def seconds(t: Column) -> Column:
     return F.unix_micros(t) / 1e6
 
@@ -93,3 +100,35 @@ def asof_backward(probes: DataFrame, events: DataFrame, t_probe: str, t_event: s
     packed = F.struct(F.col(t_event), *values)
     joined = probes.join(events, F.col(t_event) < F.col(t_probe), "left")
     return joined.groupBy(*probes.columns).agg(F.max(packed).alias("_e")).select(*probes.columns, *[F.col(f"_e.{v}").alias(v) for v in [t_event, *values]])
+
+
+def pair_distances(events: DataFrame, edges_km: list[float]) -> DataFrame:
+    """bin, n: pairs of events per ring of distance, each pair once. ``events``: a selection of broadcast size."""
+    from tremorlake.functions.geo import haversine_km
+
+    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in ("event_id", "latitude", "longitude")]) for side in "ab")
+    d = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
+    ring = F.lit(None).cast("int")
+    for k in range(len(edges_km) - 1):
+        ring = F.when((F.col("d") >= edges_km[k]) & (F.col("d") < edges_km[k + 1]), k).otherwise(ring)
+    return a.join(small(b), F.col("event_id_a") < F.col("event_id_b")).withColumn("d", d).groupBy(ring.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def counted_before(probes: DataFrame, events: DataFrame, at: str, t: str, inclusive: bool = False) -> DataFrame:
+    """Adds n_before to ``probes``: events with t < at (<= with ``inclusive``). ``at``: microseconds; ``t``: a timestamp.
+
+    Probes and events are sorted together within a day, and days are added up, so no pair is made.
+    """
+    day = lambda c: F.floor(c / 86400000000)
+    us = F.unix_micros(t)
+    days = events.groupBy(day(us).alias("_day")).agg(F.count("*").alias("n"))
+    # A row per day of the catalog or of the probes.
+    every = days.unionByName(probes.select(day(F.col(at)).alias("_day"), F.lit(0).cast("long").alias("n")).distinct()).groupBy("_day").agg(F.sum("n").alias("n"))
+    before = every.select("_day", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    marked = probes.select(F.struct(*probes.columns).alias("_probe"), F.col(at).alias("_us"), F.lit(0).cast("long").alias("_one"))
+    others = events.select(F.lit(None).cast(marked.schema["_probe"].dataType).alias("_probe"), us.alias("_us"), F.lit(1).cast("long").alias("_one"))
+    rows = marked.unionByName(others).withColumn("_day", day(F.col("_us")))
+    # Of equal times, events that count come first.
+    order = F.col("_one") if not inclusive else -F.col("_one")
+    seen = F.sum("_one").over(Window.partitionBy("_day").orderBy("_us", order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_seen", seen).where("_probe IS NOT NULL").join(before, "_day").select("_probe.*", (F.col("_seen") + F.col("_before")).alias("n_before"))

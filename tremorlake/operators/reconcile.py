@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
-from tremorlake.operators.joins import interval_join
+from tremorlake.operators.joins import interval_join, near_cells
+from tremorlake.operators.lineage import settled, written
 
 # Lower is better, anything else ranks last.
 QUALITY_RANK = {"reviewed": 0, "historical": 1, "macroseismic": 2, "automatic": 3, "unknown": 4}
@@ -33,87 +29,26 @@ def near_duplicate_pairs(obs: DataFrame, window_s: float = 120.0, radius_km: flo
     ).where(F.col("dist_km") <= radius_km)
 
 
-def time_blocks(obs: DataFrame, window_s: float) -> DataFrame:
-    """Adds ``block``: runs of observations without a gap above the window; no match crosses a block.
-
-    Runs are found per day and joined across days by the days' borders, so no task holds the whole catalog.
-    """
-    gap = round(window_s * 1e6)
-    us = F.unix_micros("origin_time")
-    day = F.floor(us / 86400000000)
-    dated = obs.withColumns({"_us": us, "_day": day})
-    order = Window.partitionBy("_day").orderBy("_us", "native_event_id")
-    dated = dated.withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(order) > gap).cast("int"), F.lit(1)))
-    dated = dated.withColumn("_run", F.sum("_new").over(order))
-    runs = dated.groupBy("_day", "_run").agg(F.min("_us").alias("a"), F.max("_us").alias("z"))
-    days = runs.groupBy("_day").agg(F.max("z").alias("z"), F.max("_run").alias("last"), F.min("a").alias("a"))
-    # One row per day of the catalog, so one window over all days is small.
-    w = Window.orderBy("_day")
-    linked = days.withColumns({"joined": F.coalesce(F.col("a") - F.lag("z").over(w) <= gap, F.lit(False)), "before": F.lag(F.struct("_day", "last")).over(w)})
-    # A day whose only run goes on from the day before hands that block on to the next day.
-    through = F.coalesce(F.lag(F.col("joined") & (F.col("last") == 1)).over(w), F.lit(False))
-    linked = linked.withColumn("_starts", F.when(through, 0).otherwise(1))
-    linked = linked.withColumn("_chain", F.sum("_starts").over(w))
-    linked = linked.withColumn("head", F.first("before").over(Window.partitionBy("_chain").orderBy("_day")))
-    keyed = dated.join(linked.select("_day", "joined", "head"), "_day")
-    first = (F.col("_run") == 1) & F.col("joined")
-    block = F.struct(F.when(first, F.col("head._day")).otherwise(F.col("_day")).alias("day"), F.when(first, F.col("head.last")).otherwise(F.col("_run")).alias("run"))
-    return keyed.withColumn("block", block).drop("_us", "_day", "_new", "_run", "joined", "head")
-
-
-def each_block(blocked: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: list[str]) -> DataFrame:
-    """``work`` on frames of many whole blocks in ``order``; no call per block, and one block at most is carried over."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            last = batch["_key"].iloc[-1]
-            if not held or held[-1]["_key"].iloc[-1] != last:
-                # The block that ends the batch may go on in the next one; all before it are whole.
-                whole = pd.concat([*held, batch[batch["_key"] != last]])
-                held = []
-                if len(whole):
-                    yield work(whole)
-            held.append(batch[batch["_key"] == last])
-        if held:
-            yield work(pd.concat(held))
-
-    keyed = blocked.withColumn("_key", F.to_json("block")).drop("block")
-    return keyed.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(run, schema)
-
-
-def _greedy(window_s: float, radius_km: float):
-    window_us = round(window_s * 1e6)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, key, ids = rows["us"].tolist(), rows["_key"].tolist(), rows["native_event_id"].tolist()
-        lat, lon = np.radians(rows["latitude"]).tolist(), np.radians(rows["longitude"]).tolist()
-        anchor: list[str | None] = [None] * len(ids)
-        for i in range(len(ids)):
-            if anchor[i] is not None:
-                continue
-            anchor[i] = ids[i]
-            for j in range(i + 1, len(ids)):
-                if key[j] != key[i] or t[j] - t[i] > window_us:
-                    break
-                if anchor[j] is None:
-                    a = math.sin((lat[j] - lat[i]) / 2) ** 2 + math.cos(lat[i]) * math.cos(lat[j]) * math.sin((lon[j] - lon[i]) / 2) ** 2
-                    if 2 * C.EARTH_RADIUS_KM * math.asin(min(1.0, math.sqrt(a))) <= radius_km:
-                        anchor[j] = ids[i]
-        return pd.DataFrame({"native_event_id": ids, "anchor_id": anchor})
-
-    return run
-
-
 def match_observations(obs: DataFrame, window_s: float = 120.0, radius_km: float = 50.0) -> DataFrame:
     """Adds anchor_id: in order of time, a free observation becomes an anchor and takes later ones in its window.
 
-    Blocks between gaps longer than the window are independent, so the order-dependent step runs block by block.
+    An observation is an anchor iff no earlier anchor covers it, and belongs to the earliest anchor that does. Covering
+    pairs are joined on buckets of time and cells of space, and rounds over these pairs settle who is an anchor, so
+    neither a dense hour nor a long run of observations falls to one task.
     """
-    blocked = time_blocks(obs.select("native_event_id", "origin_time", "latitude", "longitude"), window_s)
-    timed = blocked.withColumn("us", F.unix_micros("origin_time")).drop("origin_time")
-    anchors = each_block(timed, _greedy(window_s, radius_km), "native_event_id string, anchor_id string", ["us", "native_event_id"])
-    return obs.join(anchors, "native_event_id")
+    cols = ["native_event_id", "origin_time", "latitude", "longitude"]
+    a, b = (obs.select(*[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
+    lat = obs.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0]
+    wide = a.withColumn("_c", F.explode(near_cells(F.col("a_latitude"), F.col("a_longitude"), radius_km, lat, True)))
+    own = b.withColumn("_c", near_cells(F.col("b_latitude"), F.col("b_longitude"), radius_km, lat, False)[0])
+    pairs = interval_join(wide, own, "a_origin_time", "b_origin_time", window_s, on=("_c",))
+    earlier = F.struct("a_origin_time", "a_native_event_id") < F.struct("b_origin_time", "b_native_event_id")
+    near = haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= radius_km
+    edges = pairs.where(earlier & near).select(F.col("a_native_event_id").alias("a"), F.col("b_native_event_id").alias("b"), F.col("a_origin_time").alias("t_a"))
+    edges = written(edges, "covering")
+    seeds = settled(edges).where("seed").select("a")
+    owner = edges.join(seeds, "a").groupBy(F.col("b").alias("native_event_id")).agg(F.min(F.struct("t_a", "a")).alias("_o"))
+    return obs.join(owner, "native_event_id", "left").withColumn("anchor_id", F.coalesce("_o.a", "native_event_id")).drop("_o")
 
 
 def canonical_events(matched: DataFrame) -> DataFrame:
@@ -136,3 +71,28 @@ def source_overlap(matched: DataFrame) -> DataFrame:
     sets = matched.groupBy("anchor_id").agg(F.array_sort(F.collect_set("source_catalog")).alias("s"))
     pairs = sets.select(F.explode("s").alias("source_a"), "s").select("source_a", F.explode("s").alias("source_b")).where("source_a < source_b")
     return pairs.groupBy("source_a", "source_b").agg(F.count("*").alias("n_events"))
+
+
+def overlap_summary(matched: DataFrame) -> DataFrame:
+    """One row: events, those that several sources observed, their share, observations per event and the most of one."""
+    per = matched.groupBy("anchor_id").agg(F.count("*").alias("n"), F.size(F.collect_set("source_catalog")).alias("s"))
+    multi = F.count_if(F.col("s") > 1)
+    return per.agg(F.count("*").alias("n_events"), multi.alias("n_multi"), F.round(multi / F.count("*"), 6).alias("multi_share"), F.round(F.avg("n"), 6).alias("observations_per_event"), F.max("n").alias("most"))
+
+
+def seen_by(matched: DataFrame, source: str) -> DataFrame:
+    """anchor_id of the events that ``source`` observed."""
+    return matched.select("anchor_id").distinct().join(matched.where(F.col("source_catalog") == source), "anchor_id", "left_semi")
+
+
+def numbered(matched: DataFrame) -> DataFrame:
+    """canonical_id, anchor_id: events numbered by the time of their anchor, ``ev_000001`` on.
+
+    Anchors are numbered within a day and days are added up, so no task sorts the catalog.
+    """
+    anchors = matched.where("native_event_id = anchor_id").select("anchor_id", "origin_time", F.floor(F.unix_micros("origin_time") / 86400000000).alias("_day"))
+    days = anchors.groupBy("_day").agg(F.count("*").alias("n"))
+    # One row per day of the catalog, so one window over all days is small.
+    before = days.select("_day", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_day").orderBy("origin_time", "anchor_id"))
+    return anchors.withColumn("_k", rank).join(before, "_day").select(F.format_string("ev_%06d", F.col("_k") + F.col("_before")).alias("canonical_id"), "anchor_id")

@@ -141,6 +141,17 @@ def read_isc_text(spark: SparkSession, path: str) -> DataFrame:
     ).where("origin_time IS NOT NULL AND original_magnitude BETWEEN -2 AND 10.5")
 
 
+def all_magnitudes(obs: DataFrame, key: str) -> DataFrame:
+    """key, n, magnitudes: all observed magnitudes of an event in order of source and id."""
+    one = F.struct("source_catalog", "native_event_id", F.col("original_magnitude").alias("magnitude"), "magnitude_type")
+    return obs.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("magnitudes"))
+
+
+def read_isc_allmags(spark: SparkSession, path: str) -> DataFrame:
+    """Every magnitude of each event of a bar-separated text."""
+    return all_magnitudes(read_isc_text(spark, path), "native_event_id")
+
+
 def read_iscgem_csv(spark: SparkSession, path: str) -> DataFrame:
     """Observations of a file whose header may use any alias; the first that is not empty counts."""
     raw = spark.read.option("header", True).csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlake import queries, queries_audit
+from tremorlake import queries, queries_audit, queries_rates
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
-MODULES = [queries, queries_audit]
+MODULES = [queries, queries_audit, queries_rates]

@@ -64,10 +64,25 @@ def productivity(m: Column, k: float, alpha: float, mc: float, base: float = 10.
     return k * F.pow(F.lit(base), alpha * (m - mc))
 
 
-def power_law_kernel(r: Column, sigma: float, q: float, kernel: str = "reference") -> Column:
-    """Density at distance r. ``reference`` keeps the literal factor q - 1, which is zero at q = 1; ``normalised`` integrates to 1."""
-    factor = (q - 1 if kernel == "reference" else q) / (3.141592653589793 * sigma**2)
-    return factor * F.pow(1 + r * r / sigma**2, F.lit(-(1 + q)))
+def power_law_kernel(r: Column, sigma: Column | float, q: float, kernel: str = "reference") -> Column:
+    """Density at distance r. ``reference`` keeps the literal factor q - 1, which is zero at q = 1; ``normalised``
+    integrates to 1; ``half`` has the exponent -(1 + q) / 2 and integrates to 1 for q > 1."""
+    s2 = sigma * sigma
+    if kernel == "half":
+        return (q - 1) / 2 / (3.141592653589793 * s2) * F.pow(1 + r * r / s2, F.lit(-(1 + q) / 2))
+    factor = (q - 1 if kernel == "reference" else q) / (3.141592653589793 * s2)
+    return factor * F.pow(1 + r * r / s2, F.lit(-(1 + q)))
+
+
+def magnitude_length(m: Column, gamma: float, mc: float) -> Column:
+    """How much an event's kernel is widened by its magnitude."""
+    return F.exp(gamma * (m - mc))
+
+
+def depth_spread_km(depth: Column) -> Column:
+    """Width of a depth group's vertical kernel."""
+    # Fixed values by depth group.
+    return F.when(depth < 25, 8.0).when(depth < 70, 15.0).otherwise(30.0)
 
 
 def gaussian_kernel(r: Column, sigma: Column | float) -> Column:
@@ -93,6 +108,11 @@ def moment_nm(mw: Column) -> Column:
     return F.pow(F.lit(10.0), 1.5 * mw + 9.1)
 
 
+def moment_from_slip(mw: Column, area_km2: Column, slip_m: Column, rigidity_pa: float = 3.0e10) -> Column:
+    """Rigidity times area times slip where both are given, else the moment of the magnitude."""
+    return F.coalesce(rigidity_pa * area_km2 * 1e6 * slip_m, moment_nm(mw))
+
+
 def gk_radius_km(m: Column) -> Column:
     return (0.1238 * m + 0.983) * 111.0
 

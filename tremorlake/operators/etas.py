@@ -4,54 +4,116 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.functions.geo import haversine_km
-from tremorlake.functions.seismo import omori_integral, omori_kernel, power_law_kernel, productivity
-from tremorlake.operators.joins import days_between, interval_join
+from tremorlake.functions.geo import equirect_km, haversine_km
+from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power_law_kernel, productivity
+from tremorlake.operators.joins import counted_before, days_between, interval_join, small
 
 
-def _pairs(events: DataFrame, max_days: float) -> DataFrame:
-    """Later and earlier events at most ``max_days`` apart: b, a, lag, m_a, m_b, coordinates."""
-    cols = ["event_id", "t", "m", "latitude", "longitude"]
-    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
-    pairs = interval_join(a, b, "t_a", "t_b", max_days * 86400, forward=True)
-    return pairs.withColumn("lag", days_between(F.col("t_b"), F.col("t_a")))
+#: Buckets that the longest lag is cut into, and those nearest to an event whose pairs are summed one by one.
+BUCKETS, NEAR = 90, 8
+#: Moments of a bucket's weights; an event is at least 8.5 buckets away, so the next term is below 17 ** -8.
+MOMENTS = 8
+DAY_US = 86400000000
+
+
+def _near_pairs(sel: DataFrame, width: int, offsets: list[int], limit: int | None) -> DataFrame:
+    """event_id, lag, m: later events with earlier ones that are as many buckets before as one of ``offsets``."""
+    us = F.unix_micros("t")
+    a = sel.select(us.alias("_ta"), F.col("m"), F.explode(F.array(*[F.floor(us / width) + F.lit(k) for k in offsets])).alias("_b"))
+    b = sel.select("event_id", us.alias("_tb"), F.floor(us / width).alias("_b"))
+    gap = F.col("_tb") - F.col("_ta")
+    return a.join(b, "_b").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit)).select("event_id", (gap / DAY_US).alias("lag"), "m")
+
+
+def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, width_days: float | None = None) -> DataFrame:
+    """kernel, event_id, s: the sum of 10 ** (alpha * (m - mc)) * (lag + c) ** -q over earlier events, at most
+    ``max_days`` before; rows without earlier events are left out. ``kernels``: kernel, alpha, c, q (a small table).
+
+    Pairs are summed one by one only where the lag is short, or about the longest one. Buckets of time between are
+    summed as wholes, by the moments of their weights around the bucket's middle and the power series of the kernel,
+    exact to some 1e-9 of a term. An event thus meets a fixed number of buckets, however dense the catalog is.
+    """
+    limit = None if max_days is None else round(max_days * DAY_US)
+    width = round((width_days or 30.0) * DAY_US) if limit is None else limit // BUCKETS
+    last = None if limit is None else limit // width
+    near = _near_pairs(events, width, [*range(NEAR + 1), *([] if last is None else [last, last + 1])], limit)
+    weight = lambda m: F.pow(F.lit(10.0), F.col("alpha") * (m - mc))
+    close = near.join(small(kernels)).groupBy("kernel", "event_id").agg(F.sum(weight(F.col("m")) * F.pow(F.col("lag") + F.col("c"), -F.col("q"))).alias("s"))
+
+    us = F.unix_micros("t")
+    bucket = F.floor(us / width)
+    off = (us - (bucket * width + width // 2)) / DAY_US
+    alphas = kernels.select("alpha").distinct()
+    parts = events.select(bucket.alias("_k"), off.alias("_d"), "m").join(small(alphas))
+    moments = parts.groupBy("alpha", "_k").agg(*[F.sum(weight(F.col("m")) * F.pow("_d", F.lit(j))).alias(f"_m{j}") for j in range(MOMENTS)])
+    first = events.agg(F.min(bucket).alias("_first"))
+    spread = events.select("event_id", us.alias("_us"), bucket.alias("_own")).join(F.broadcast(first))
+    low = F.col("_first") if last is None else F.greatest(F.col("_first"), F.col("_own") - (last - 1))
+    high = F.col("_own") - NEAR - 1
+    far = spread.where(low <= high).select("event_id", "_us", F.explode(F.sequence(low, high)).alias("_k"))
+    # A row for each bucket of time and alpha.
+    met = far.join(moments, "_k").join(small(kernels), "alpha")
+    base = (F.col("_us") - (F.col("_k") * width + width // 2)) / DAY_US + F.col("c")
+    series, factor = F.lit(0.0), F.lit(1.0)
+    for j in range(MOMENTS):
+        series = series + factor * F.col(f"_m{j}") * F.pow(base, -F.col("q") - j)
+        factor = factor * (F.col("q") + j) / (j + 1)
+    distant = met.groupBy("kernel", "event_id").agg(F.sum(series).alias("s"))
+    return close.unionByName(distant).groupBy("kernel", "event_id").agg(F.sum("s").alias("s"))
+
+
+def _one_kernel(events: DataFrame, alpha: float, c: float, q: float) -> DataFrame:
+    return events.sparkSession.createDataFrame([(0, float(alpha), float(c), float(q))], "kernel int, alpha double, c double, q double")
+
+
+def prepared(events: DataFrame, mc: float, depth: tuple[float, float] | None = None) -> DataFrame:
+    """event_id, days since the first selected event, coordinates, depth, m of the events from mc - 0.05 on."""
+    sel = events.where(F.col("m") >= mc - 0.05)
+    if depth:
+        sel = sel.where((F.col("depth_km") >= depth[0]) & (F.col("depth_km") < depth[1]))
+    start = sel.agg(F.min("t").alias("_t0"))
+    return sel.join(F.broadcast(start)).select("event_id", days_between(F.col("t"), F.col("_t0")).alias("days"), "latitude", "longitude", "depth_km", "m")
 
 
 def intensity(events: DataFrame, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, tau_max_days: float, **_: float) -> DataFrame:
     """event_id, lambda_per_day at every event, from events of the last tau_max days."""
     sel = events.where(F.col("m") >= mc)
-    part = productivity(F.col("m_a"), k, alpha, mc) * omori_kernel(F.col("lag"), c_days, p)
-    hit = _pairs(sel, tau_max_days).groupBy(F.col("event_id_b").alias("event_id")).agg(F.sum(part).alias("s"))
-    return sel.select("event_id").join(hit, "event_id", "left").select("event_id", (mu_per_year / 365.25 + F.coalesce("s", F.lit(0.0))).alias("lambda_per_day"))
+    sums = kernel_sums(sel, _one_kernel(sel, alpha, c_days, p), mc, tau_max_days)
+    scale = k * (p - 1) * c_days ** (p - 1)
+    return sel.select("event_id").join(sums, "event_id", "left").select("event_id", (mu_per_year / 365.25 + scale * F.coalesce("s", F.lit(0.0))).alias("lambda_per_day"))
 
 
-def nll_grid(events: DataFrame, thetas: DataFrame, mc: float, c_days: float, p: float, tau_max_days: float) -> DataFrame:
-    """theta_id, nll of every row of ``thetas`` (theta_id, mu_per_year, k, alpha; a small table), in one plan.
+def nll_of(events: DataFrame, thetas: DataFrame, mc: float, tau_max_days: float) -> DataFrame:
+    """theta_id, nll of every row of ``thetas`` (theta_id, mu_per_year, k, alpha, c, p; a small table), in one plan.
 
-    Pairs are made once. Per event and alpha the kernel sums are shared by all thetas with that alpha.
+    Thetas that agree in alpha, c and p share their kernel sums.
     """
     sel = events.where(F.col("m") >= mc)
-    alphas = thetas.select("alpha").distinct()
-    kernel = _pairs(sel, tau_max_days).withColumn("g", omori_kernel(F.col("lag"), c_days, p))
-    sums = kernel.join(F.broadcast(alphas)).groupBy("alpha", F.col("event_id_b").alias("event_id")).agg(F.sum(F.pow(F.lit(10.0), F.col("alpha") * (F.col("m_a") - mc)) * F.col("g")).alias("s"))
+    same = ["alpha", "c", "p"]
+    kernels = thetas.select(*same).distinct().select(F.xxhash64(*same).alias("kernel"), *same)
+    sums = kernel_sums(sel, kernels.select("kernel", "alpha", "c", F.col("p").alias("q")), mc, tau_max_days)
     span = sel.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    every = sel.select("event_id", "m", "t").join(F.broadcast(span)).join(F.broadcast(thetas))
-    joined = every.join(sums, ["alpha", "event_id"], "left")
-    lam = F.col("mu_per_year") / 365.25 + F.col("k") * F.coalesce("s", F.lit(0.0))
-    left = days_between(F.col("t1"), F.col("t"))
-    made = F.col("k") * F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * omori_integral(F.lit(0.0), F.least(left, F.lit(float(tau_max_days))), c_days, p)
-    total = F.sum(made) + F.first(F.col("mu_per_year") / 365.25 * days_between(F.col("t1"), F.col("t0")))
+    every = sel.select("event_id", "m", "t").join(F.broadcast(span)).join(small(thetas.withColumn("kernel", F.xxhash64(*same))))
+    joined = every.join(sums, ["kernel", "event_id"], "left")
+    mu, k, c, p = F.col("mu_per_year") / 365.25, F.col("k"), F.col("c"), F.col("p")
+    lam = mu + k * (p - 1) * F.pow(c, p - 1) * F.coalesce("s", F.lit(0.0))
+    left = F.least(days_between(F.col("t1"), F.col("t")), F.lit(float(tau_max_days)))
+    made = k * F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * (1 - F.pow(c / (left + c), p - 1))
+    total = F.sum(made) + F.first(mu * days_between(F.col("t1"), F.col("t0")))
     return joined.groupBy("theta_id").agg((total - F.sum(F.ln(F.greatest(lam, F.lit(1e-30))))).alias("nll"))
 
 
+def nll_grid(events: DataFrame, thetas: DataFrame, mc: float, c_days: float, p: float, tau_max_days: float) -> DataFrame:
+    """``nll_of`` where all ``thetas`` (theta_id, mu_per_year, k, alpha) share c and p."""
+    return nll_of(events, thetas.withColumns({"c": F.lit(float(c_days)), "p": F.lit(float(p))}), mc, tau_max_days)
+
+
 def temporal_forecast(events: DataFrame, origins: DataFrame, horizon_days: float, threshold: float, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, b: float, **_: float) -> DataFrame:
     """origin, expected, p of the whole region; origins are a small dimension and start where they say."""
-    past = events.where(F.col("m") >= mc - 0.05).select("t", "m").join(F.broadcast(origins), F.col("t") < F.col("origin"))
+    past = events.where(F.col("m") >= mc - 0.05).select("t", "m").join(small(origins), F.col("t") < F.col("origin"))
     lag = days_between(F.col("origin"), F.col("t"))
     part = productivity(F.col("m"), k, alpha, mc) * omori_integral(lag, lag + horizon_days, c_days, p)
     made = past.groupBy("origin").agg(F.sum(part).alias("s"))
@@ -60,46 +122,152 @@ def temporal_forecast(events: DataFrame, origins: DataFrame, horizon_days: float
     return origins.join(made, "origin", "left").withColumn("expected", expected).withColumn("p", 1 - F.exp(-F.col("expected"))).drop("s")
 
 
-def spatial_forecast(events: DataFrame, origins: DataFrame, cells: DataFrame, horizon_days: float, k: float, alpha: float, c_days: float, p: float, mc: float, sigma_km: float = 20.0, q: float = 1.5, kernel: str = "normalised", max_days: float = 365.0, **_: float) -> DataFrame:
-    """origin, cell_id, triggered: expected triggered events per cell from the last ``max_days``, by the kernel at its centre."""
-    past = events.where(F.col("m") >= mc).select("t", "m", "latitude", "longitude").join(F.broadcast(origins), (F.col("t") < F.col("origin")) & (F.col("t") >= F.col("origin") - F.expr(f"INTERVAL {int(max_days)} DAYS")))
-    lag = days_between(F.col("origin"), F.col("t"))
-    weighed = past.withColumn("w", productivity(F.col("m"), k, alpha, mc) * omori_integral(lag, lag + horizon_days, c_days, p))
+def uniform_background(cells: DataFrame) -> DataFrame:
+    """cell_id, share: every cell's part of the background by its area."""
+    area = F.cos(F.radians("lat_center"))
+    return cells.select("cell_id", (area / F.sum(area).over(Window.partitionBy())).alias("share"))
+
+
+def background_shares(events: DataFrame, cells: DataFrame, least: int = 5) -> DataFrame:
+    """cell_id, share by kernel density and area; by area alone under ``least`` events."""
+    if events.limit(least).count() < least:
+        return uniform_background(cells)
+    weighed = kde_background(events, cells).join(cells, "cell_id").withColumn("w", F.col("density") * F.cos(F.radians("lat_center")))
+    return weighed.select("cell_id", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
+
+
+def _past(events: DataFrame, origins: DataFrame, mc: float, max_days: float) -> DataFrame:
+    """Events of the ``max_days`` before each origin, which is a small dimension, with their lag."""
+    past = events.where(F.col("m") >= mc).select("t", "m", "latitude", "longitude").join(small(origins), (F.col("t") < F.col("origin")) & (days_between(F.col("origin"), F.col("t")) <= max_days))
+    return past.withColumn("lag", days_between(F.col("origin"), F.col("t")))
+
+
+def conditional_intensity(events: DataFrame, origins: DataFrame, cells: DataFrame, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, tau_max_days: float = 365.0, sigma_km: float = 20.0, q: float = 1.5, gamma: float = 0.0, kernel: str = "normalised", **_: float) -> DataFrame:
+    """origin, cell_id, lambda_per_day_km2: the intensity in time and space at cell centres, origins and cells small."""
+    area = (110.574 * 111.320) * F.cos(F.radians("lat_center"))
+    r = equirect_km(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
+    f = power_law_kernel(r, sigma_km * F.exp(gamma * (F.col("m") - mc)), q, kernel)
+    met = _past(events, origins, mc, tau_max_days).join(small(cells))
+    made = met.groupBy("origin", "cell_id").agg(F.sum(productivity(F.col("m"), k, alpha, mc) * omori_kernel(F.col("lag"), c_days, p) * f).alias("s"))
+    base = origins.join(F.broadcast(cells.join(uniform_background(cells), "cell_id")))
+    return base.join(made, ["origin", "cell_id"], "left").select("origin", "cell_id", (mu_per_year / 365.25 * F.col("share") / area + F.coalesce("s", F.lit(0.0))).alias("lambda_per_day_km2"))
+
+
+def spatial_forecast(events: DataFrame, origins: DataFrame, cells: DataFrame, horizon_days: float, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, b: float = 1.0, threshold: float | None = None, sigma_km: float = 20.0, q: float = 1.5, kernel: str = "normalised", max_days: float = 365.0, **_: float) -> DataFrame:
+    """origin, cell_id, triggered, expected, p: triggered events per cell from the last ``max_days``, by the kernel at
+    its centre, and the background by area; scaled to ``threshold`` where it is above mc."""
+    lag = F.col("lag")
+    weighed = _past(events, origins, mc, max_days).withColumn("w", productivity(F.col("m"), k, alpha, mc) * omori_integral(lag, lag + horizon_days, c_days, p))
     r = haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
     area = (110.574 * 111.320) * F.cos(F.radians("lat_center"))
-    met = weighed.join(F.broadcast(cells))
-    return met.groupBy("origin", "cell_id").agg(F.sum(F.col("w") * power_law_kernel(r, sigma_km, q, kernel) * area).alias("triggered"))
+    made = weighed.join(small(cells)).groupBy("origin", "cell_id").agg(F.sum(F.col("w") * power_law_kernel(r, sigma_km, q, kernel) * area).alias("triggered"))
+    scale = 10 ** (-b * (threshold - mc)) if threshold is not None and threshold > mc else 1.0
+    every = origins.join(F.broadcast(cells.join(uniform_background(cells), "cell_id"))).join(made, ["origin", "cell_id"], "left").withColumn("triggered", F.coalesce("triggered", F.lit(0.0)))
+    expected = (mu_per_year / 365.25 * horizon_days * F.col("share") + F.col("triggered")) * scale
+    return every.withColumn("expected", expected).select("origin", "cell_id", "triggered", "expected", (1 - F.exp(-F.col("expected"))).alias("p"))
+
 
+def transformed_times(events: DataFrame, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, **_: float) -> DataFrame:
+    """event_id, t, tau: the expected number of events up to each event, from all earlier ones. It never falls with time.
 
-def transformed_times(events: DataFrame, mu_per_year: float, k: float, alpha: float, c_days: float, p: float, mc: float, tau_max_days: float, **_: float) -> DataFrame:
-    """event_id, tau: the expected number of events up to each event; ancestors older than tau_max count whole."""
+    Sum of K 10^(alpha (m - mc)) (1 - (c / (lag + c))^(p - 1)): the first part is a running sum over days and within
+    them, the other one a kernel sum without a longest lag.
+    """
     sel = events.where(F.col("m") >= mc)
     start = sel.agg(F.min("t").alias("t0"))
-    made = productivity(F.col("m_a"), k, alpha, mc) * (omori_integral(F.lit(0.0), F.col("lag"), c_days, p))
-    near = _pairs(sel, tau_max_days).groupBy(F.col("event_id_b").alias("event_id")).agg(F.sum(made).alias("s"))
-    base = sel.select("event_id", "t").join(F.broadcast(start))
-    return base.join(near, "event_id", "left").select("event_id", "t", (mu_per_year / 365.25 * days_between(F.col("t"), F.col("t0")) + F.coalesce("s", F.lit(0.0))).alias("tau"))
+    weighed = sel.select("event_id", "t", F.pow(F.lit(10.0), alpha * (F.col("m") - mc)).alias("w"), F.floor(F.unix_micros("t") / DAY_US).alias("_day"))
+    # A row for each day of the catalog.
+    days = weighed.groupBy("_day").agg(F.sum("w").alias("n")).select("_day", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    # Events at one instant are not earlier than each other.
+    upto = F.sum("w").over(Window.partitionBy("_day").orderBy(F.unix_micros("t")).rangeBetween(Window.unboundedPreceding, -1))
+    whole = weighed.withColumn("_upto", F.coalesce(upto, F.lit(0.0))).join(days, "_day").select("event_id", "t", (F.col("_before") + F.col("_upto")).alias("whole"))
+    rest = kernel_sums(sel, _one_kernel(sel, alpha, c_days, p - 1), mc, None)
+    tau = mu_per_year / 365.25 * days_between(F.col("t"), F.col("t0")) + k * (F.col("whole") - c_days ** (p - 1) * F.coalesce("s", F.lit(0.0)))
+    return whole.join(rest, "event_id", "left").join(F.broadcast(start)).select("event_id", "t", tau.alias("tau"))
+
+
+def gaps(times: DataFrame) -> DataFrame:
+    """rank, event_id, gap: differences of successive ``tau`` of (event_id, t, tau), ranked by time and id from 1 on.
+
+    Ranks are made within a day and days are added up; an event meets the next one by its rank.
+    """
+    dated = times.withColumn("_day", F.floor(F.unix_micros("t") / DAY_US))
+    days = dated.groupBy("_day").agg(F.count("*").alias("n")).select("_day", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = dated.withColumn("_k", F.row_number().over(Window.partitionBy("_day").orderBy("t", "event_id"))).join(days, "_day").select((F.col("_k") + F.col("_before")).alias("rank"), "event_id", "tau")
+    ahead = ranked.select((F.col("rank") + 1).alias("rank"), F.col("tau").alias("_tau"))
+    return ranked.join(ahead, "rank").select("rank", "event_id", (F.col("tau") - F.col("_tau")).alias("gap"))
+
+
+def rolling_gaps(gaps_: DataFrame, width: int, step: int) -> DataFrame:
+    """window, mean: the mean gap of every ``step``-th run of ``width`` gaps; runs are whole."""
+    n = F.col("rank") - 2
+    first = F.greatest(F.lit(0), F.ceil((n - width + 1) / step))
+    runs = gaps_.withColumn("window", F.explode(F.sequence(first.cast("long"), F.floor(n / step).cast("long"))))
+    return runs.groupBy("window").agg(F.avg("gap").alias("mean"), F.count("*").alias("n")).where(F.col("n") == width).drop("n")
+
+
+def ks_of_gaps(gaps_: DataFrame, per_unit: int = 200) -> DataFrame:
+    """n, mean_gap, ks: the largest |i / n - F| of gaps against the unit exponential. Gaps are ranked within buckets of
+    their size and buckets are added up, so no task sorts them all."""
+    bucket = F.least(F.floor(F.col("gap") * per_unit), F.lit(per_unit * 50))
+    rows = gaps_.select(F.greatest("gap", F.lit(1e-12)).alias("gap")).withColumn("_b", bucket)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("n"))
+    every = Window.orderBy("_b")
+    before = sizes.select("_b", F.coalesce(F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_n"))
+    i = F.row_number().over(Window.partitionBy("_b").orderBy("gap"))
+    ranked = rows.withColumn("_i", i).join(before, "_b")
+    far = F.abs((F.col("_i") + F.col("_before")) / F.col("_n") - (1 - F.exp(-F.col("gap"))))
+    return ranked.agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.max(far), 6).alias("ks"))
+
+
+def magnitude_residuals(events: DataFrame, mc: float, b: float, width: float = 0.2) -> DataFrame:
+    """bin, observed, expected numbers of events per magnitude bin above mc under the Gutenberg-Richter law."""
+    k = F.floor((F.col("m") - mc) / width + 1e-9).cast("int")
+    total = events.where(F.col("m") >= mc).agg(F.count("*").alias("total"))
+    bins = events.where(F.col("m") >= mc).groupBy(k.alias("bin")).agg(F.count("*").alias("observed"))
+    low = lambda c: F.pow(F.lit(10.0), -b * width * c)
+    return bins.join(F.broadcast(total)).select("bin", "observed", F.round(F.col("total") * (low(F.col("bin")) - low(F.col("bin") + 1)), 6).alias("expected"))
 
 
 def omori_ratio(events: DataFrame, main_m: float, target_m: float, edges: list[float]) -> DataFrame:
-    """bin, n, exposure_days, ratio of the rate after mainshocks to the mean rate, per lag bin, exposure cut at the end."""
-    span = events.where(F.col("m") >= target_m).agg(F.count("*").alias("n_all"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    main = events.where(F.col("m") >= main_m).select(F.col("event_id").alias("a"), F.col("t").alias("t_a"))
-    target = events.where(F.col("m") >= target_m).select(F.col("event_id").alias("b"), F.col("t").alias("t_b"))
-    lag = days_between(F.col("t_b"), F.col("t_a"))
-    bins = F.lit(None).cast("int")
-    for k in range(len(edges) - 1):
-        bins = F.when((lag >= edges[k]) & (lag < edges[k + 1]), k).otherwise(bins)
-    counts = interval_join(main, target, "t_a", "t_b", edges[-1] * 86400, forward=True).withColumn("bin", bins).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
+    """bin, n, exposure_days, ratio of the rate after mainshocks to the mean rate, per lag bin, exposure cut at the end.
+
+    Targets in a bin are the difference of two counts up to a time, so no pair of events is made.
+    """
+    target = events.where(F.col("m") >= target_m).select("t")
+    span = target.agg(F.count("*").alias("n_all"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    main = events.where(F.col("m") >= main_m).select(F.unix_micros("t").alias("_us"), F.col("t").alias("t_a"))
+    marks = F.array(*[F.struct(F.lit(k).alias("edge"), F.lit(round(e * DAY_US)).alias("_e")) for k, e in enumerate(edges)])
+    probes = main.select("_us", F.inline(marks)).select("edge", (F.col("_us") + F.col("_e")).alias("at"))
+    # Bins are [low, high); an event is not its own aftershock, so the first edge counts itself as past.
+    first = counted_before(probes.where("edge = 0"), target, "at", "t", inclusive=True)
+    others = counted_before(probes.where("edge > 0"), target, "at", "t")
+    upto = first.unionByName(others).groupBy("edge").agg(F.sum("n_before").alias("n"))
+    counts = upto.withColumn("n", F.col("n") - F.lag("n").over(Window.orderBy("edge"))).where("edge > 0").select((F.col("edge") - 1).alias("bin"), "n")
     rows = F.array(*[F.struct(F.lit(k).alias("bin"), F.lit(float(edges[k])).alias("lo"), F.lit(float(edges[k + 1])).alias("hi")) for k in range(len(edges) - 1)])
     left = main.join(F.broadcast(span)).withColumn("left", days_between(F.col("t1"), F.col("t_a"))).select("left", F.inline(rows))
-    exposure = left.groupBy("bin", "lo").agg(F.sum(F.greatest(F.lit(0.0), F.least("hi", "left") - F.col("lo"))).alias("exposure_days"))
+    exposure = left.groupBy("bin", "lo", "hi").agg(F.sum(F.greatest(F.lit(0.0), F.least("hi", "left") - F.col("lo"))).alias("exposure_days"))
     base = F.col("n_all") / days_between(F.col("t1"), F.col("t0"))
     out = exposure.join(counts, "bin", "left").join(F.broadcast(span))
     n = F.coalesce("n", F.lit(0))
     return out.select("bin", F.col("lo").alias("lag_from"), n.alias("n"), F.round("exposure_days", 6).alias("exposure_days"), F.round(n / F.nullif(F.col("exposure_days"), F.lit(0.0)) / base, 6).alias("ratio"))
 
 
+def log_edges(low: float, high: float, n: int) -> list[float]:
+    """``n`` bins of equal ratio from low to high."""
+    return [low * (high / low) ** (k / n) for k in range(n)] + [high]
+
+
+def omori_summary(ratios: DataFrame, edges: list[float], before_days: float = 7.0, above: float = 2.0) -> DataFrame:
+    """One row: the peak ratio, the centre of its bin, and omori_like: a ratio above 2 in a bin centred under 7 days."""
+    centres = [(edges[k] * edges[k + 1]) ** 0.5 for k in range(len(edges) - 1)]
+    centre = F.element_at(F.array(*[F.lit(c) for c in centres]), F.col("bin") + 1)
+    rows = ratios.where("ratio IS NOT NULL").withColumn("centre", centre)
+    peak = F.max(F.struct("ratio", (-F.col("bin")).alias("b"), "centre"))
+    like = F.count_if((F.col("centre") < before_days) & (F.col("ratio") > above)) > 0
+    return rows.agg(peak.alias("p"), like.alias("omori_like")).select(F.col("p.ratio").alias("peak_ratio"), F.round("p.centre", 6).alias("peak_days"), "omori_like")
+
+
 def spatial_aftershocks(events: DataFrame, main_m: float, target_m: float, days: float, edges: list[float]) -> DataFrame:
     """bin, n, density per km^2 of later events within ``days`` of mainshocks, per distance ring."""
     cols = ["t", "latitude", "longitude"]
@@ -116,6 +284,19 @@ def spatial_aftershocks(events: DataFrame, main_m: float, target_m: float, days:
     return found.select("bin", "n", F.round(F.col("n") / area * 1e6, 6).alias("per_million_km2"))
 
 
+def near_ratio(post: DataFrame, pairs: DataFrame, edges: list[float], near_km: float = 50.0) -> DataFrame:
+    """One row: shares of aftershocks and of all pairs that lie nearer than ``near_km``, each per area, their ratio, and
+    clustered: a ratio above 2. ``post`` and ``pairs``: bin, n of the same rings."""
+    inner = [k for k in range(len(edges) - 1) if (edges[k] * edges[k + 1]) ** 0.5 < near_km]
+    area = F.lit(None).cast("double")
+    for k in range(len(edges) - 1):
+        area = F.when(F.col("bin") == k, math.pi * (edges[k + 1] ** 2 - edges[k] ** 2)).otherwise(area)
+    density = lambda rows, name: rows.agg((F.sum(F.when(F.col("bin").isin(inner), F.col("n") / area)) / F.sum("n")).alias(name))
+    one = density(post, "_post").join(F.broadcast(density(pairs, "_pairs")))
+    ratio = F.col("_post") / F.nullif(F.col("_pairs"), F.lit(0.0))
+    return one.select(F.round(F.col("_post") * 1e6, 6).alias("post"), F.round(F.col("_pairs") * 1e6, 6).alias("pairs"), F.round(ratio, 6).alias("ratio"), F.coalesce(ratio > 2.0, F.lit(False)).alias("clustered"))
+
+
 def branching(events: DataFrame, k: float, alpha: float, mc: float, b: float, **_: float) -> DataFrame:
     """Analytic and empirical branching ratio; the analytic one is null when the process explodes."""
     beta = b * math.log(10)
@@ -129,7 +310,7 @@ def background_origins(events: DataFrame, origins: DataFrame, main_m: float = 5.
     mains = events.where(F.col("m") >= main_m).select(F.col("t").alias("_t"))
     before = (F.col("_t") < F.col("origin")) & (days_between(F.col("origin"), F.col("_t")) <= quiet_days)
     # Origins are the small side; the semi join of the mainshocks keeps only those that matter.
-    busy = mains.join(F.broadcast(origins), before).select("origin").distinct()
+    busy = mains.join(small(origins), before).select("origin").distinct()
     return origins.join(busy, "origin", "left_anti")
 
 
@@ -137,14 +318,35 @@ def conditioned_origins(events: DataFrame, main_m: float = 6.0) -> DataFrame:
     """event_id, lag_days, label, origin: forecast times 1, 7, 30 and 90 days after each mainshock."""
     lags = F.array(*[F.struct(F.lit(d).alias("lag_days"), F.lit(n).alias("label")) for d, n in ((1, "0-24h"), (7, "1-7d"), (30, "8-30d"), (90, "31-90d"))])
     rows = events.where(F.col("m") >= main_m).select("event_id", "t", F.inline(lags))
-    return rows.select("event_id", "lag_days", "label", F.timestamp_micros(F.unix_micros("t") + F.col("lag_days").cast("long") * 86400000000).alias("origin"))
+    return rows.select("event_id", "lag_days", "label", F.timestamp_micros(F.unix_micros("t") + F.col("lag_days").cast("long") * DAY_US).alias("origin"))
+
+
+def regular_origins(events: DataFrame, step_days: int = 30, after_days: int = 365) -> DataFrame:
+    """origin: every ``step_days`` from ``after_days`` after the first event to the last one."""
+    span = events.agg(F.min(F.unix_micros("t")).alias("a"), F.max(F.unix_micros("t")).alias("z"))
+    start = F.col("a") + after_days * DAY_US
+    return span.where(start <= F.col("z")).select(F.timestamp_micros(F.explode(F.sequence(start, F.col("z"), F.lit(step_days * DAY_US)))).alias("origin"))
+
+
+def with_context(origins: DataFrame, events: DataFrame, main_m: float, days: tuple[int, ...] = (1, 7, 30, 90)) -> DataFrame:
+    """Adds n_<d>d, the events of the last d days before each origin, and n_main_90d. Counts are differences of counts
+    up to a time, so origins may be many."""
+
+    def seen(rows: DataFrame, within: DataFrame, d: int, name: str) -> DataFrame:
+        end = counted_before(rows.withColumn("_at", F.unix_micros("origin")), within, "_at", "t").withColumnRenamed("n_before", "_end").drop("_at")
+        start = counted_before(end.withColumn("_at", F.unix_micros("origin") - d * DAY_US), within, "_at", "t").drop("_at")
+        return start.withColumn(name, F.col("_end") - F.col("n_before")).drop("_end", "n_before")
+
+    for d in days:
+        origins = seen(origins, events.select("t"), d, f"n_{d}d")
+    return seen(origins, events.where(F.col("m") >= main_m).select("t"), 90, "n_main_90d")
 
 
 def kde_background(events: DataFrame, cells: DataFrame) -> DataFrame:
     """cell_id, density: Gaussian kernel density in degrees at cell centres, Silverman bandwidth of at least 0.1."""
     stats = events.agg(F.count("*").alias("n"), F.least(F.stddev_pop("latitude"), F.stddev_pop("longitude")).alias("s"))
     h = F.greatest(0.9 * F.col("s") * F.pow("n", F.lit(-1 / 6)), F.lit(0.1))
-    met = events.select("latitude", "longitude").join(F.broadcast(cells)).join(F.broadcast(stats.select("n", h.alias("h"))))
+    met = events.select("latitude", "longitude").join(small(cells)).join(F.broadcast(stats.select("n", h.alias("h"))))
     d2 = F.pow(F.col("latitude") - F.col("lat_center"), 2) + F.pow(F.col("longitude") - F.col("lon_center"), 2)
     return met.groupBy("cell_id").agg((F.sum(F.exp(-d2 / (2 * F.col("h") * F.col("h"))) / (2 * math.pi * F.col("h") * F.col("h"))) / F.first("n")).alias("density"))
 
@@ -156,7 +358,7 @@ def adaptive_rates(events: DataFrame, cells: DataFrame, years: float, h_degrees:
 
     r = local_degrees(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
     density = (gaussian_kernel if kernel == "gaussian" else epanechnikov_kernel)(r, h_degrees)
-    return events.select("latitude", "longitude").join(F.broadcast(cells)).groupBy("cell_id").agg((F.sum(density) / years).alias("rate"))
+    return events.select("latitude", "longitude").join(small(cells)).groupBy("cell_id").agg((F.sum(density) / years).alias("rate"))
 
 
 def nearest_bandwidths(events: DataFrame, cells: DataFrame, k: int) -> DataFrame:
@@ -167,56 +369,133 @@ def nearest_bandwidths(events: DataFrame, cells: DataFrame, k: int) -> DataFrame
     from tremorlake.functions.geo import local_degrees
 
     r = local_degrees(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
-    dist = events.select("event_id", "latitude", "longitude").join(F.broadcast(cells)).select("cell_id", r.alias("r"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
+    dist = events.select("event_id", "latitude", "longitude").join(small(cells)).select("cell_id", r.alias("r"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
     near = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("r"))
     few = dist.withColumn("k", near(["cell_id", "salt"])).where(F.col("k") <= k)
     return few.withColumn("k", near(["cell_id"])).where(F.col("k") == k).select("cell_id", F.greatest("r", F.lit(1e-3)).alias("bandwidth"))
 
 
-def _descend(mc: float, c_days: float, p: float, tau: float, rounds: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, m = rows["day"].to_numpy(), rows["m"].to_numpy()
-        order = np.argsort(t)
-        t, m = t[order], m[order]
-        first = np.searchsorted(t, t - tau)
-        i = np.repeat(np.arange(len(t)), np.arange(len(t)) - first)
-        j = np.concatenate([np.arange(a, k) for k, a in enumerate(first)]) if len(t) else np.zeros(0, int)
-        g = (p - 1) * c_days ** (p - 1) * (t[i] - t[j] + c_days) ** -p
-        whole = 1 - (c_days / (np.minimum(t[-1] - t, tau) + c_days)) ** (p - 1)
-        span = t[-1] - t[0]
-
-        def nll(x: np.ndarray) -> float:
-            mu, k, alpha = np.exp(x)
-            lam = mu + np.bincount(i, k * 10 ** (alpha * (m[j] - mc)) * g, len(t))
-            return float(mu * span + (k * 10 ** (alpha * (m - mc)) * whole).sum() - np.log(np.maximum(lam, 1e-30)).sum())
-
-        x = np.log(np.array([len(t) / span * rows["mu_share"].iloc[0], rows["k0"].iloc[0], rows["alpha0"].iloc[0]]))
-        best, step = nll(x), 0.5
-        for _ in range(rounds):
-            moved = False
-            for d in range(3):
-                for sign in (step, -step):
-                    y = x.copy()
-                    y[d] = np.clip(y[d] + sign, -20, 3)
-                    if (value := nll(y)) < best - 1e-9:
-                        x, best, moved = y, value, True
-            if not moved:
-                step /= 2
-                if step < 1e-4:
-                    break
-        mu, k, alpha = np.exp(x)
-        return pd.DataFrame({"start_id": [rows["start_id"].iloc[0]], "mu_per_year": [mu * 365.25], "k": [k], "alpha": [alpha], "nll": [best]})
-
-    return run
-
-
-def fit(events: DataFrame, mc: float, c_days: float, p: float, tau_max_days: float, rounds: int = 60) -> DataFrame:
-    """Maximum-likelihood mu, K and alpha from several starts, a task each; the best start's row comes first.
-
-    For a selection of at most some ten thousand events above mc, which each start sees whole; larger catalogs are
-    scanned by ``nll_grid``, which never gathers them.
+def adaptive_kernel_rates(events: DataFrame, cells: DataFrame, years: float, k: int) -> DataFrame:
+    """cell_id, bandwidth, rate: smoothed yearly rate with each cell's own bandwidth, the distance to its k-th event."""
+    from tremorlake.functions.geo import local_degrees
+    from tremorlake.functions.seismo import gaussian_kernel
+
+    wide = cells.join(nearest_bandwidths(events, cells, k), "cell_id")
+    r = local_degrees(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
+    met = events.select("latitude", "longitude").join(small(wide)).withColumn("_r", r)
+    return met.groupBy("cell_id", "bandwidth").agg((F.sum(gaussian_kernel(F.col("_r"), F.col("bandwidth"))) / years).alias("rate"))
+
+
+#: (share of the naive rate, K, alpha, c, p) of the starts, and how far each parameter may go.
+STARTS = [(0.9, 0.01, 0.5, 0.01, 1.1), (0.7, 0.05, 1.0, 0.01, 1.2), (0.5, 0.1, 0.8, 0.05, 1.1), (0.8, 0.02, 0.8, 0.002, 1.3), (0.95, 0.005, 1.2, 0.02, 1.05)]
+BOUNDS = [(1e-3, 1e6), (1e-8, 10.0), (1e-5, 3.0), (1e-4, 1.0), (1.001, 2.5)]
+LEAST_EVENTS = 50
+
+
+def fit(events: DataFrame, mc: float, tau_max_days: float = 365.0, rounds: int = 25) -> DataFrame:
+    """start_id, mu_per_year, k, alpha, c, p, nll, triggering of each start, the best one first.
+
+    A descent by coordinates in the parameters' logarithms: every round evaluates the neighbours of all starts in one
+    plan over the events (``nll_of``), and only parameters are on the driver. A K up to 1e-6 or an alpha up to 1e-4
+    means no triggering: the rate alone is left. Under fifty events there is nothing but the rate.
     """
     spark = events.sparkSession
-    starts = spark.createDataFrame([(0, 0.9, 0.01, 0.5), (1, 0.7, 0.05, 1.0), (2, 0.5, 0.1, 0.8)], "start_id int, mu_share double, k0 double, alpha0 double")
-    rows = events.where(F.col("m") >= mc).select((F.unix_micros("t") / 86400e6).alias("day"), "m").join(F.broadcast(starts))
-    return rows.groupBy("start_id").applyInPandas(_descend(mc, c_days, p, tau_max_days, rounds), "start_id int, mu_per_year double, k double, alpha double, nll double").orderBy("nll", "start_id")
+    sel = events.where(F.col("m") >= mc)
+    n, days = sel.agg(F.count("*"), (F.max(F.unix_micros("t")) - F.min(F.unix_micros("t"))) / DAY_US).first()
+    naive = n / days * 365.25 if n > 1 and days else 0.0
+    schema = "start_id int, mu_per_year double, k double, alpha double, c double, p double, nll double, triggering boolean"
+    alone = lambda i: (i, naive, 0.0, 0.0, 0.01, 1.1, n - n * math.log(naive / 365.25) if naive else None, False)
+    if n < LEAST_EVENTS:
+        return spark.createDataFrame([alone(0)], schema)
+
+    def values(points: list[tuple[float, ...]]) -> list[float]:
+        rows = [(k, *map(float, x)) for k, x in enumerate(points)]
+        thetas = spark.createDataFrame(rows, "theta_id int, mu_per_year double, k double, alpha double, c double, p double")
+        found = {r["theta_id"]: r["nll"] for r in nll_of(sel, thetas, mc, tau_max_days).collect()}
+        return [found[k] for k in range(len(points))]
+
+    at = [(naive * share, *rest) for share, *rest in STARTS]
+    best, steps = values(at), [0.5] * len(at)
+    for _ in range(rounds):
+        active = [i for i, s in enumerate(steps) if s > 1e-3]
+        if not active:
+            break
+        tried = []
+        for i in active:
+            for d, (low, high) in enumerate(BOUNDS):
+                for sign in (1, -1):
+                    # p is above 1, so its logarithm is that of what exceeds 1.
+                    shift = 1.0 if d == 4 else 0.0
+                    y = list(at[i])
+                    y[d] = min(max(shift + (y[d] - shift) * math.exp(sign * steps[i]), low), high)
+                    tried.append((i, tuple(y)))
+        found = values([y for _, y in tried])
+        for i in active:
+            value, point = min((v, y) for v, (k, y) in zip(found, tried, strict=True) if k == i)
+            if value < best[i] - 1e-6:
+                best[i], at[i] = value, point
+            else:
+                steps[i] /= 2
+    rows = [alone(i) if x[1] <= 1e-6 or x[2] <= 1e-4 else (i, *map(float, x), float(v), True) for i, (x, v) in enumerate(zip(at, best, strict=True))]
+    return spark.createDataFrame(sorted(rows, key=lambda r: (r[6], r[0])), schema)
+
+
+def identifiability(events: DataFrame, theta: dict[str, float], mc: float, tau_max_days: float = 365.0, step: float = 0.05) -> DataFrame:
+    """name, value, at_bound, standard_error, weak: curvature of the likelihood in each parameter at ``theta``.
+
+    weak: a standard error above half the value, or no positive curvature. All points are one table of thetas.
+    """
+    spark = events.sparkSession
+    names = ["mu_per_year", "k", "alpha", "c", "p"]
+    base = [float(theta[x]) for x in names]
+    points = [(0, *base)]
+    for d in range(len(names)):
+        for side in (1, -1):
+            y = list(base)
+            y[d] *= 1 + side * step
+            points.append((len(points), *y))
+    thetas = spark.createDataFrame(points, "theta_id int, " + ", ".join(f"{x} double" for x in names))
+    nll = {r["theta_id"]: r["nll"] for r in nll_of(events, thetas, mc, tau_max_days).collect()}
+    rows = []
+    for d, name in enumerate(names):
+        h = base[d] * step
+        curve = (nll[1 + 2 * d] - 2 * nll[0] + nll[2 + 2 * d]) / (h * h) if h else 0.0
+        error = 1 / math.sqrt(curve) if curve > 0 else None
+        low, high = BOUNDS[d]
+        rows.append((name, base[d], base[d] <= low * 1.01 or base[d] >= high * 0.99, error, error is None or error > 0.5 * abs(base[d])))
+    return spark.createDataFrame(rows, "name string, value double, at_bound boolean, standard_error double, weak boolean")
+
+
+def swept(events: DataFrame, origins: DataFrame, params: DataFrame, horizon_days: float, threshold: float, mc: float, b: float) -> DataFrame:
+    """param_id, origin, expected, p under every row of ``params`` (param_id, mu_per_year, k, alpha, c, p; a small
+    table), from one pass over past events."""
+    past = events.where(F.col("m") >= mc - 0.05).select("t", "m").join(small(origins), F.col("t") < F.col("origin"))
+    lag = days_between(F.col("origin"), F.col("t"))
+    met = past.withColumn("lag", lag).join(small(params))
+    c, p = F.col("c"), F.col("p")
+    part = F.col("k") * F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * F.pow(c, p - 1) * (F.pow(F.col("lag") + c, 1 - p) - F.pow(F.col("lag") + horizon_days + c, 1 - p))
+    made = met.groupBy("param_id", "origin").agg(F.sum(part).alias("s"))
+    scale = 10 ** (-b * (threshold - mc)) if threshold > mc else 1.0
+    every = origins.join(F.broadcast(params)).join(made, ["param_id", "origin"], "left")
+    expected = (F.col("mu_per_year") / 365.25 * horizon_days + F.coalesce("s", F.lit(0.0))) * scale
+    return every.withColumn("expected", expected).select("param_id", "origin", "expected", (1 - F.exp(-F.col("expected"))).alias("p"))
+
+
+def simulated_totals(params: DataFrame, years: float, replicates: int, seed: int = 42) -> DataFrame:
+    """param_id, r, total: sizes of simulated catalogs. Background counts are normal draws around a Poisson mean, from
+    numbers that every engine draws alike; triggering multiplies them by 1 / (1 - branching ratio), at most 0.95.
+
+    ``params``: param_id, mu_per_year, ratio.
+    """
+    spark = params.sparkSession
+    u = lambda k: (lcg(F.col("r"), F.col("param_id") * 2 + k, 1000003, seed) + 1) / 1000004.0
+    draws = spark.range(replicates).withColumnRenamed("id", "r").join(small(params))
+    z = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * math.pi * u(1))
+    mean = F.col("mu_per_year") * years
+    n = F.greatest(F.round(mean + F.sqrt(mean) * z), F.lit(0.0))
+    return draws.select("param_id", "r", F.floor(n / F.greatest(1 - F.least("ratio", F.lit(0.95)), F.lit(0.05))).alias("total"))
+
+
+def combined_regimes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Expected numbers of regimes summed, and the P that any of them has an event."""
+    return rows.groupBy(*by).agg(F.round(F.sum("expected"), 6).alias("expected"), F.round(1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-300))))), 6).alias("p"))

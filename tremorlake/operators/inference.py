@@ -47,15 +47,18 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.select("test", "p_value", F.col("k").alias("rank"), (F.col("p_value") <= alpha / F.col("n")).alias("bonferroni"), F.coalesce(F.col("k") <= F.col("last"), F.lit(False)).alias("bh"))
 
 
-def bootstrap_mean(values: DataFrame, column: str, order: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Percentile interval of a mean over resampled rows, one partial count per (replicate, row drawn).
+def resampled(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
+    """``rows`` drawn anew for each replicate ``r``, as many as there are, by numbers that every engine draws alike.
 
-    Meant for small selections: rows are numbered in ``order`` and the number of draws is replicates * rows.
+    For selections of some thousand rows: they are numbered in ``order``, and replicates * rows are drawn.
     """
-    rows = values.select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("i"))
-    size = rows.agg(F.count("*").alias("size"))
-    spark = values.sparkSession
-    draws = spark.range(replicates).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    drawn = draws.select("r", lcg(F.col("r"), F.col("k"), F.col("size"), seed).alias("i")).join(rows, "i")
-    means = drawn.groupBy("r").agg(F.avg("x").alias("mean"))
-    return means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("lower"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("upper"), F.count("*").alias("replicates"))
+    numbered = rows.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    size = numbered.agg(F.count("*").alias("_size"))
+    draws = rows.sparkSession.range(replicates).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
+    return draws.select("r", lcg(F.col("r"), F.col("_k"), F.col("_size"), seed).alias("_i")).join(numbered, "_i").drop("_i")
+
+
+def percentile_interval(values: DataFrame, column: str, places: int = 6) -> DataFrame:
+    """One row: lower and upper, the 2.5 and 97.5 percentiles."""
+    at = lambda q: F.round(F.percentile(column, F.lit(q)), places)
+    return values.agg(at(0.025).alias("lower"), at(0.975).alias("upper"))

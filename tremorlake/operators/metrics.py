@@ -33,11 +33,11 @@ def scores(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def binned(rows: DataFrame, edges: list[float], by: list[str]) -> DataFrame:
-    """bin, n, mean_p, mean_y per group; bins are half open, the last one closed; empty bins are left out."""
+def binned(rows: DataFrame, edges: list[float], by: list[str], closed: bool = True) -> DataFrame:
+    """bin, n, mean_p, mean_y per group; bins are half open, the last one ``closed`` or not; empty bins are left out."""
     bin_ = F.lit(None).cast("int")
     for k in range(len(edges) - 1):
-        upper = (F.col("p") <= edges[k + 1]) if k == len(edges) - 2 else (F.col("p") < edges[k + 1])
+        upper = (F.col("p") <= edges[k + 1]) if closed and k == len(edges) - 2 else (F.col("p") < edges[k + 1])
         bin_ = F.when((F.col("p") >= edges[k]) & upper, k).otherwise(bin_)
     return rows.withColumn("bin", bin_).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
@@ -50,10 +50,10 @@ def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def calibration_errors(rows: DataFrame) -> DataFrame:
-    """Unweighted error over 5 equal bins, ECE over 5, over 7 equal and over 7 uneven bins."""
+    """Unweighted error over 5 equal bins, ECE over 5, over 7 equal (all half open, p = 1 goes) and over 7 uneven bins."""
 
     def error(edges: list[float], weighted: bool, name: str) -> DataFrame:
-        b = binned(rows, edges, [])
+        b = binned(rows, edges, [], name != "ece_7")
         gap = F.abs(F.col("mean_p") - F.col("mean_y"))
         return b.agg(F.round(F.sum(gap * F.col("n")) / F.sum("n") if weighted else F.avg(gap), 6).alias("value")).select(F.lit(name).alias("metric"), "value")
 
@@ -99,3 +99,64 @@ def ks_exponential(gaps: DataFrame, value: str, by: list[str]) -> DataFrame:
     x = gaps.withColumn("_x", F.col(value) / F.avg(value).over(w))
     x = x.withColumns({"_i": F.row_number().over(w.orderBy("_x")), "_n": F.count("*").over(w)})
     return x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("_i") / F.col("_n") - (1 - F.exp(-F.col("_x"))))), 6).alias("ks"))
+
+
+def paired_gain(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Mean log-likelihood of ``a`` less that of ``b`` on the same rows, and the difference of their Brier scores."""
+    y = F.col("y")
+    gain = F.avg(log_likelihood(F.col(a), y) - log_likelihood(F.col(b), y))
+    brier = F.avg((F.col(a) - y) * (F.col(a) - y) - (F.col(b) - y) * (F.col(b) - y))
+    return rows.groupBy(*by).agg(F.round(gain, 6).alias("information_gain"), F.round(brier, 6).alias("brier_difference"))
+
+
+def alarm_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Hit and false-alarm rate of alarms from max(0.005, half the median of p) on, per group."""
+    level = rows.groupBy(*by).agg(F.greatest(F.lit(0.005), 0.5 * F.percentile("p", F.lit(0.5))).alias("alarm"))
+    # One row a group; groups are models and configurations.
+    met = rows.join(F.broadcast(level), by)
+    on, y = F.col("p") >= F.col("alarm"), F.col("y") == 1
+    rate = lambda k, n: F.round(F.try_divide(F.count_if(k), F.count_if(n)), 6)
+    return met.groupBy(*by).agg(F.round(F.first("alarm"), 6).alias("alarm"), rate(on & y, y).alias("hit_rate"), rate(on & ~y, ~y).alias("false_alarm_rate"))
+
+
+#: Two-sided normal quantiles by level.
+Z = {50: 0.6744897501960817, 80: 1.2815515655446004, 90: 1.6448536269514722, 95: 1.959963984540054}
+
+
+def coverage(rows: DataFrame, by: list[str]) -> DataFrame:
+    """level, coverage, its error and mean width of the intervals of the count ``n_future`` around ``mean``, whose 95 %
+    half-width ``half`` is scaled to each level; lower ends are cut at 0."""
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(z / Z[95]).alias("_s")) for k, z in Z.items()])
+    half = F.col("half") * F.col("_s")
+    wide = rows.select("*", F.inline(levels)).withColumns({"_lo": F.greatest(F.col("mean") - half, F.lit(0.0)), "_hi": F.col("mean") + half})
+    hit = F.avg(F.col("n_future").between(F.col("_lo"), F.col("_hi")).cast("double"))
+    return wide.groupBy(*by, "level").agg(F.round(hit, 6).alias("coverage"), F.round(hit - F.col("level") / 100, 6).alias("error"), F.round(F.avg(F.col("_hi") - F.col("_lo")), 6).alias("width"))
+
+
+def composite(rows: DataFrame, by: list[str]) -> DataFrame:
+    """All scores of each model or configuration in one row: ``scores``, ``roc_pr``, ECE over 5 bins, alarms at 0.1."""
+    gap = F.abs(F.col("mean_p") - F.col("mean_y"))
+    ece = binned(rows, [k / 5 for k in range(6)], by).groupBy(*by).agg(F.round(F.sum(gap * F.col("n")) / F.sum("n"), 6).alias("ece"))
+    return scores(rows, by).join(roc_pr(rows, by), by).join(ece, by).join(contingency(rows, by), by)
+
+
+def calibration_line(rows: DataFrame, rounds: int = 25, penalty: float = 1e-6) -> tuple[float, float]:
+    """Intercept and slope of the logistic regression of y on p, by Newton steps; each one is an aggregate of five sums.
+
+    ``penalty``: of the squared slope, as a weak regularisation.
+    """
+    a = b = 0.0
+    p, y = F.col("p"), F.col("y")
+    for _ in range(rounds):
+        q = 1 / (1 + F.exp(-(F.lit(a) + b * p)))
+        w = q * (1 - q)
+        g0, g1, h00, h01, h11 = rows.agg(F.sum(y - q), F.sum((y - q) * p), F.sum(w), F.sum(w * p), F.sum(w * p * p)).first()
+        g1, h11 = g1 - penalty * b, h11 + penalty
+        det = h00 * h11 - h01 * h01
+        if not det:
+            break
+        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < 1e-10:
+            break
+    return a, b

@@ -415,7 +415,7 @@ def grid_summary(spark, sf_dir):
 
 @query(
     _q(
-        """SELECT origin_year, round(sum((2 * k - n - 1) * rate) / (max(n) * sum(rate)), 6) AS gini, round(sum(CASE WHEN k > n - 3 THEN rate ELSE 0 END) / sum(rate), 6) AS top3_share, count(*) FILTER (rate = 0) AS n_empty
+        """SELECT origin_year, round(sum((2 * k - n - 1) * rate) / (max(n) * sum(rate)), 6) AS gini, round(sum(CASE WHEN k > n - 3 THEN rate ELSE 0 END) / sum(rate), 6) AS top3_share, round(sum(CASE WHEN k > n - floor(n / 10) THEN rate ELSE 0 END) / sum(rate), 6) AS top_tenth_share, count(*) FILTER (rate = 0) AS n_empty
     FROM (SELECT *, row_number() OVER (PARTITION BY origin_year ORDER BY rate, cell_id) AS k, count(*) OVER (PARTITION BY origin_year) AS n FROM fc) GROUP BY origin_year""",
         GRID,
         _forecast(),
@@ -464,8 +464,8 @@ def poisson_intervals(spark, sf_dir):
 # ---- verification --------------------------------------------------------------------------------------------
 
 
-def _binned(edges: list[float]) -> str:
-    cases = " ".join(f"WHEN p >= {edges[k]!r}::DOUBLE AND p {'<=' if k == len(edges) - 2 else '<'} {edges[k + 1]!r}::DOUBLE THEN {k}" for k in range(len(edges) - 1))
+def _binned(edges: list[float], last: str = "<=") -> str:
+    cases = " ".join(f"WHEN p >= {edges[k]!r}::DOUBLE AND p {last if k == len(edges) - 2 else '<'} {edges[k + 1]!r}::DOUBLE THEN {k}" for k in range(len(edges) - 1))
     return f"(SELECT bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM (SELECT p, y, CASE {cases} END AS bin FROM fc) WHERE bin IS NOT NULL GROUP BY bin)"
 
 
@@ -478,7 +478,7 @@ def reliability_bins(spark, sf_dir):
     _q(
         f"""SELECT 'unweighted_5' AS metric, round(avg(abs(mp - my)), 6) AS value FROM {_binned([k / 5 for k in range(6)])} UNION ALL
     SELECT 'ece_5', round(sum(abs(mp - my) * n) / sum(n), 6) FROM {_binned([k / 5 for k in range(6)])} UNION ALL
-    SELECT 'ece_7', round(sum(abs(mp - my) * n) / sum(n), 6) FROM {_binned([k / 7 for k in range(8)])} UNION ALL
+    SELECT 'ece_7', round(sum(abs(mp - my) * n) / sum(n), 6) FROM {_binned([k / 7 for k in range(8)], "<")} UNION ALL
     SELECT 'ece_7_uneven', round(sum(abs(mp - my) * n) / sum(n), 6) FROM {_binned(C.ECE_EDGES)}""",
         GRID,
         _forecast(),
@@ -630,17 +630,26 @@ def etas_forecast(spark, sf_dir):
     return out.select("origin", _r("expected", "expected"), _r("p", "p"))
 
 
-@query()
+@query(
+    _q(
+        """SELECT origin, cell_id, round(tr, 6) AS triggered, round(e, 6) AS expected, round(1 - exp(-e), 6) AS p FROM (SELECT g.origin AS origin, g.cell_id AS cell_id, coalesce(tr, 0) AS tr, 20.0::DOUBLE / 365.25::DOUBLE * 30.0::DOUBLE * share + coalesce(tr, 0) AS e FROM (SELECT * FROM origins, (SELECT *, cos(radians(clat)) / sum(cos(radians(clat))) OVER () AS share FROM grid)) g LEFT JOIN (
+    SELECT origin, cell_id, sum(0.02::DOUBLE * pow(10.0::DOUBLE, 0.8::DOUBLE * (m - 4.0::DOUBLE)) * pow(0.01::DOUBLE, 0.1::DOUBLE) * (pow(lag + 0.01::DOUBLE, -0.1::DOUBLE) - pow(lag + 30.01::DOUBLE, -0.1::DOUBLE)) * 1.5::DOUBLE / (pi() * 400) * pow(1 + d * d / 400.0::DOUBLE, -2.5::DOUBLE) * 110.574::DOUBLE * 111.320::DOUBLE * cos(radians(clat))) AS tr
+    FROM (SELECT origin, cell_id, clat, m, (epoch_us(origin) - epoch_us(t)) / 86400e6::DOUBLE AS lag, """
+        + _hav("latitude", "longitude", "clat", "clon")
+        + """ AS d FROM origins JOIN q ON t < origin AND m >= 4.0 AND epoch_us(origin) - epoch_us(t) <= 365 * 86400000000, grid) GROUP BY origin, cell_id) x ON x.origin = g.origin AND x.cell_id = g.cell_id)""",
+        GRID,
+        _ORIGINS,
+    )
+)
 def etas_spatial_forecast(spark, sf_dir):
     out = etas.spatial_forecast(catalog.quakes(spark, sf_dir), joins.yearly_origins(spark, FIRST, LAST), joins.grid(spark), 30.0, **ETAS)
-    return out.select("origin", "cell_id", _r("triggered", "triggered"))
+    return out.select("origin", "cell_id", _r("triggered", "triggered"), _r("expected", "expected"), _r("p", "p"))
 
 
 @query(
     _q(
-        """SELECT event_id, round(20.0::DOUBLE / 365.25::DOUBLE * (epoch_us(t) - epoch_us(t0)) / 86400e6::DOUBLE + coalesce(s, 0), 4) AS tau FROM (SELECT event_id, t, min(t) OVER () AS t0 FROM q WHERE m >= 4.0)
-    LEFT JOIN (SELECT b AS event_id, sum(0.02::DOUBLE * pow(10.0::DOUBLE, 0.8::DOUBLE * (ma - 4.0::DOUBLE)) * pow(0.01::DOUBLE, 0.1::DOUBLE) * (pow(0.01::DOUBLE, -0.1::DOUBLE) - pow(lag + 0.01::DOUBLE, -0.1::DOUBLE))) AS s FROM pairs GROUP BY b) USING (event_id)""",
-        _PAIRS,
+        """SELECT e.event_id, round(20.0::DOUBLE / 365.25::DOUBLE * (epoch_us(e.t) - (SELECT epoch_us(min(t)) FROM q WHERE m >= 4.0)) / 86400e6::DOUBLE + coalesce(sum(0.02::DOUBLE * pow(10.0::DOUBLE, 0.8::DOUBLE * (a.m - 4.0::DOUBLE)) * (1 - pow(0.01::DOUBLE / ((epoch_us(e.t) - epoch_us(a.t)) / 86400e6::DOUBLE + 0.01::DOUBLE), 0.1::DOUBLE))), 0), 4) AS tau
+    FROM (SELECT * FROM q WHERE m >= 4.0) e LEFT JOIN (SELECT * FROM q WHERE m >= 4.0) a ON a.t < e.t GROUP BY e.event_id, e.t"""
     )
 )
 def etas_transformed_times(spark, sf_dir):
@@ -649,7 +658,7 @@ def etas_transformed_times(spark, sf_dir):
 
 @query()
 def etas_fit(spark, sf_dir):
-    return etas.fit(catalog.quakes(spark, sf_dir), 4.5, 0.01, 1.1, 365.0).select("start_id", *[_r(c, c) for c in ("mu_per_year", "k", "alpha", "nll")])
+    return etas.fit(catalog.quakes(spark, sf_dir), 4.5).select("start_id", *[_r(c, c) for c in ("mu_per_year", "k", "alpha", "c", "p", "nll")], "triggering")
 
 
 _LAGS = [0.0, 0.1, 1.0, 7.0, 30.0, 90.0, 365.0]

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also inside lambdas."""
-    return F.transform(F.array(value), body)[0]
+    # One parameter: a lambda of two would be handed the index too.
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def words(text: Column) -> Column:

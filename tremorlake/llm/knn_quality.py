@@ -19,8 +19,8 @@ from tremorlake.llm.ngram_join import mix, word_hashes
 from tremorlake.llm.tokens import slices
 
 #: Labelled documents that are fitted and broadcast at most: those with the smallest hashes of their doc_id.
-MAX_LABELLED = 6000
-DIMENSIONS = 64
+MAX_LABELLED = 2500
+DIMENSIONS = 48
 NEIGHBOURS = 25
 #: Votes weigh cosine ** POWER; PRIOR votes of the mean label are added.
 POWER, PRIOR = 8, 0.05
@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
 def _projected(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, axes: np.ndarray, n: int) -> np.ndarray:
     """Row sums of values * axes[terms], in order of terms; rows ascend."""
     out = np.zeros((n, axes.shape[1]))
-    step = 1 << 16
+    step = 1 << 14
     starts = np.searchsorted(rows, np.arange(n + 1))
     first = 0
     while first < n:
@@ -176,8 +176,8 @@ class Model:
         self.labels = rows["quality"].to_numpy(np.float64)
         self.axes, self.vectors = np.zeros((TERMS, 1)), np.zeros((len(rows), 1))
         if len(rows):
-            owner = np.repeat(np.arange(len(rows)), [len(t) for t in rows["terms"]])
-            terms, counts = (np.concatenate(list(rows[c])).astype(np.int64) for c in ("terms", "counts"))
+            owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t in rows["terms"]])
+            terms, counts = (np.concatenate(list(rows.pop(c))) for c in ("terms", "counts"))
             values = self._weighted(owner, terms, counts, len(rows))
             self.axes = _leading_axes(owner, terms, values, len(rows), min(DIMENSIONS, len(rows)))
             self.vectors = _unit(_projected(owner, terms, values, self.axes, len(rows)))
@@ -213,9 +213,10 @@ def _leading_axes(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n: in
     """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     basis = np.random.default_rng(1).standard_normal((TERMS, dimensions))
     order = np.argsort(terms, kind="stable")
+    by_term = terms[order], rows[order], values[order]
     for _ in range(8):
         left = _projected(rows, terms, values, basis, n)
-        basis, _ = np.linalg.qr(_projected(terms[order], rows[order], values[order], left, TERMS))
+        basis, _ = np.linalg.qr(_projected(*by_term, left, TERMS))
     return basis
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlake import queries, queries_audit, queries_rates
+from tremorlake import queries, queries_audit, queries_models, queries_process, queries_rates
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
-MODULES = [queries, queries_audit, queries_rates]
+MODULES = [queries, queries_audit, queries_rates, queries_process, queries_models]

@@ -16,12 +16,6 @@ MAG_RELATIONS = [
 ]
 LOG_EPS = 1e-12
 ECE_EDGES = [0.0, 0.05, 0.10, 0.20, 0.40, 0.60, 0.80, 1.01]
-#: (level, least forecasts, least evaluated, description)
-EVIDENCE_LEVELS = [
-    (0, 0, 0, "No completed prospective forecasts"),
-    (1, 1, 1, "Early monitoring — insufficient evidence"),
-    (2, 5, 3, "Initial prospective evidence — uncertainty remains substantial"),
-    (3, 20, 10, "Meaningful prospective evaluation"),
-    (4, 50, 30, "Strong prospective evidence"),
-]
+#: (level, least forecasts, least evaluated)
+EVIDENCE_LEVELS = [(0, 0, 0), (1, 1, 1), (2, 5, 3), (3, 20, 10), (4, 50, 30)]
 ETAS = {"mu_per_year": 20.0, "k": 0.02, "alpha": 0.8, "c_days": 0.01, "p": 1.1, "mc": 4.0, "b": 0.9, "tau_max_days": 365.0}

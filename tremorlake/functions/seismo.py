@@ -136,20 +136,14 @@ def count_category(n: Column) -> Column:
     return F.when(n == 0, "0").when(n < 5, "1-4").when(n < 20, "5-19").otherwise(">=20")
 
 
-def branching_label(n: Column) -> Column:
-    return (
-        F.when(n.isNull(), "indeterminate")
-        .when(n >= 1, "supercritical (explosive; implausible for stationary catalog)")
-        .when(n >= 0.5, "high but plausible (typical tectonic)")
-        .when(n >= 0.2, "moderate (plausible)")
-        .when(n >= 0, "low (background-dominated)")
-        .otherwise("invalid")
-    )
+def branching_label(ratio: Column) -> Column:
+    """Class of a branching ratio: from 1 on every event begins an endless cascade."""
+    return F.when(ratio >= 1, "explosive").when(ratio >= 0.5, "high").when(ratio >= 0.2, "moderate").when(ratio >= 0, "low")
 
 
 def evidence_level(n_forecasts: Column, n_evaluated: Column) -> Column:
     out = F.lit(0)
-    for level, forecasts, evaluated, _ in C.EVIDENCE_LEVELS:
+    for level, forecasts, evaluated in C.EVIDENCE_LEVELS:
         out = F.when((n_forecasts >= forecasts) & (n_evaluated >= evaluated), level).otherwise(out)
     return out
 

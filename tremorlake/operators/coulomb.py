@@ -72,3 +72,30 @@ def rate_by_stress(cells: DataFrame, low: float, high: float, bins: int = 10) ->
     total = cells.agg((F.sum("n") / F.count("*")).alias("base"))
     per = cells.groupBy(k.alias("bin")).agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_events"))
     return per.join(F.broadcast(total)).select("bin", "n_cells", "n_events", F.round(F.col("n_events") / F.col("n_cells") / F.col("base"), 6).alias("ratio"))
+
+
+def sources(events: DataFrame, mechanisms: DataFrame, least_m: float) -> DataFrame:
+    """Events from ``least_m`` on that have a mechanism: event_id, place, mw, strike, dip, rake."""
+    big = events.where(F.col("m") >= least_m).select("event_id", "latitude", "longitude", "depth_km", F.col("m").alias("mw"))
+    return big.join(mechanisms.select("event_id", "strike", "dip", "rake"), "event_id")
+
+
+def receivers(cells: DataFrame, depth_km: float, strike: float, dip: float, rake: float) -> DataFrame:
+    """Receivers of one mechanism at the cells' centres."""
+    fixed = {"r_depth_km": depth_km, "r_strike": strike, "r_dip": dip, "r_rake": rake}
+    return cells.select(F.col("cell_id").alias("receiver_id"), F.col("lat_center").alias("r_lat"), F.col("lon_center").alias("r_lon"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def audit(rows: DataFrame, fields: dict[str, bool]) -> DataFrame:
+    """field, needed, n, n_present, class, blocking: A where all rows have the field, B half or more, C some, D none.
+    A needed field of class C or D blocks a stress forecast."""
+    counts = rows.agg(F.count("*").alias("n"), *[F.count(c).alias(f"k_{c}") for c in fields])
+    each = counts.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(needed).alias("needed"), F.col(f"k_{c}").alias("n_present")) for c, needed in fields.items()])))
+    share = F.col("n_present") / F.col("n")
+    grade = F.when(share == 1, "A").when(share >= 0.5, "B").when(F.col("n_present") > 0, "C").otherwise("D")
+    return each.select("field", "needed", "n", "n_present", grade.alias("class"), (F.col("needed") & grade.isin("C", "D")).alias("blocking"))
+
+
+def disabled(spark) -> DataFrame:
+    """The forecast of a disabled model: no rows, with a column for the note."""
+    return spark.createDataFrame([], "receiver_id string, factor double, rate double, p double, note string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tremorlake.functions.geo import equirect_km, haversine_km
 from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power_law_kernel, productivity
 from tremorlake.operators.joins import counted_before, days_between, interval_join, small
+from tremorlake.operators.lineage import written
 
 
 #: Buckets that the longest lag is cut into, and those nearest to an event whose pairs are summed one by one.
@@ -325,21 +326,24 @@ def regular_origins(events: DataFrame, step_days: int = 30, after_days: int = 36
     """origin: every ``step_days`` from ``after_days`` after the first event to the last one."""
     span = events.agg(F.min(F.unix_micros("t")).alias("a"), F.max(F.unix_micros("t")).alias("z"))
     start = F.col("a") + after_days * DAY_US
-    return span.where(start <= F.col("z")).select(F.timestamp_micros(F.explode(F.sequence(start, F.col("z"), F.lit(step_days * DAY_US)))).alias("origin"))
+    every = span.where(start <= F.col("z")).select(F.explode(F.sequence(start, F.col("z"), F.lit(step_days * DAY_US))).alias("_us"))
+    return every.select(F.timestamp_micros("_us").alias("origin"))
 
 
 def with_context(origins: DataFrame, events: DataFrame, main_m: float, days: tuple[int, ...] = (1, 7, 30, 90)) -> DataFrame:
     """Adds n_<d>d, the events of the last d days before each origin, and n_main_90d. Counts are differences of counts
-    up to a time, so origins may be many."""
-
-    def seen(rows: DataFrame, within: DataFrame, d: int, name: str) -> DataFrame:
-        end = counted_before(rows.withColumn("_at", F.unix_micros("origin")), within, "_at", "t").withColumnRenamed("n_before", "_end").drop("_at")
-        start = counted_before(end.withColumn("_at", F.unix_micros("origin") - d * DAY_US), within, "_at", "t").drop("_at")
-        return start.withColumn(name, F.col("_end") - F.col("n_before")).drop("_end", "n_before")
-
-    for d in days:
-        origins = seen(origins, events.select("t"), d, f"n_{d}d")
-    return seen(origins, events.where(F.col("m") >= main_m).select("t"), 90, "n_main_90d")
+    up to a time, so origins may be many; all times of all origins are counted in one pass."""
+    rows = written(origins.withColumn("_row", F.monotonically_increasing_id()), "origins")
+    at = F.unix_micros("origin")
+
+    def upto(within: DataFrame, spans: tuple[int, ...], prefix: str) -> DataFrame:
+        marks = F.array(*[F.struct(F.lit(d).alias("d"), (at - d * DAY_US).alias("_at")) for d in (0, *spans)])
+        counts = counted_before(rows.select("_row", F.inline(marks)), within.select("t"), "_at", "t")
+        n = lambda d: F.max(F.when(F.col("d") == d, F.col("n_before")))
+        return counts.groupBy("_row").agg(*[(n(0) - n(d)).alias(f"n_{prefix}{d}d") for d in spans])
+
+    every, main = upto(events, days, ""), upto(events.where(F.col("m") >= main_m), (90,), "main_")
+    return rows.join(every, "_row").join(main, "_row").drop("_row")
 
 
 def kde_background(events: DataFrame, cells: DataFrame) -> DataFrame:

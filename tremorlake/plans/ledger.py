@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlake.functions.seismo import evidence_level, p_at_least_one
+from tremorlake.functions.seismo import evidence_level, lcg, p_at_least_one
 from tremorlake.operators.metrics import log_likelihood
 from tremorlake.operators.rates import expanding_rates, outcomes
 
@@ -33,11 +33,80 @@ def records(cells: DataFrame) -> DataFrame:
     return rows.withColumn("forecast_hash", F.substring(F.sha2("_body", 256), 1, 16)).drop("_body")
 
 
-def integrity(cells: DataFrame) -> DataFrame:
-    """Cells per origin, threshold and horizon whose probability is missing, out of range or does not follow its rate."""
+def with_bounds(cells: DataFrame, spread: float = 2.0) -> DataFrame:
+    """Adds p_lower and p_upper from the rate plus and minus ``spread`` square roots of its count, at least 0."""
+    exposure = F.when(F.col("n_train") > 0, F.col("n_train") / F.col("rate"))
+    half = F.coalesce(spread * F.sqrt(F.col("n_train").cast("double")) / exposure, F.lit(0.0))
+    years = F.col("horizon_days") / 365.25
+    return cells.withColumns({"p_lower": p_at_least_one(F.greatest(F.col("rate") - half, F.lit(0.0)), years), "p_upper": p_at_least_one(F.col("rate") + half, years)})
+
+
+def integrity(cells: DataFrame, version: str) -> DataFrame:
+    """Per origin, threshold and horizon the cells whose probability is missing, out of range, does not follow its rate
+    or lies outside its bounds, and those of another version. ``cells``: forecasts with p_lower, p_upper, version."""
     p = F.col("p")
     off = F.abs(p - p_at_least_one(F.col("rate"), F.col("horizon_days") / 365.25)) > 1e-9
-    return cells.groupBy("origin_year", "threshold", "horizon").agg(F.count_if(p.isNull()).alias("n_missing"), F.count_if((p < 0) | (p > 1)).alias("n_out_of_range"), F.count_if(off).alias("n_inconsistent"))
+    return cells.groupBy("origin_year", "threshold", "horizon").agg(
+        F.count_if(p.isNull()).alias("n_missing"),
+        F.count_if((p < 0) | (p > 1)).alias("n_out_of_range"),
+        F.count_if(off).alias("n_inconsistent"),
+        F.count_if((p < F.col("p_lower")) | (p > F.col("p_upper"))).alias("n_disordered"),
+        F.count_if(~F.col("version").eqNullSafe(F.lit(version))).alias("n_other_version"),
+    )
+
+
+def hash_faults(stored: DataFrame, cells: DataFrame) -> DataFrame:
+    """origin_year, threshold, horizon, intact: do the cells still give the hash that was stored with the record?"""
+    keys = ["origin_year", "threshold", "horizon"]
+    now = records(cells).select(*keys, F.col("forecast_hash").alias("_now"))
+    return stored.select(*keys, "forecast_hash").join(now, keys, "left").select(*keys, F.col("forecast_hash").eqNullSafe(F.col("_now")).alias("intact"))
+
+
+def closed(cells: DataFrame, now: str) -> DataFrame:
+    """Adds done: the window has ended by ``now``; only such forecasts are scored."""
+    end = F.unix_micros(F.make_timestamp("origin_year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) + (F.col("horizon_days") * 86400000000).cast("long")
+    return cells.withColumn("done", end <= F.unix_micros(F.lit(now).cast("timestamp")))
+
+
+def history(records_: DataFrame) -> DataFrame:
+    """Adds is_latest to records: the last origin of its threshold and horizon."""
+    last = F.max("origin_year").over(Window.partitionBy("threshold", "horizon"))
+    return records_.withColumn("is_latest", F.col("origin_year") == last)
+
+
+def freshness(events: DataFrame, now: str, stale_days: float = 7.0) -> DataFrame:
+    """One row: events up to ``now``, days since the last one, events of the last 30 days, status."""
+    at = F.lit(now).cast("timestamp")
+    age = (F.unix_micros(at) - F.unix_micros("t")) / 86400e6
+    row = events.where(F.col("t") <= at).agg(F.count("*").alias("n"), F.min(age).alias("age"), F.count_if(age <= 30).alias("n_30d"))
+    status = F.when(F.col("n") == 0, "empty").when(F.col("age") > stale_days, "stale").otherwise("fresh")
+    return row.select("n", F.round("age", 6).alias("age_days"), "n_30d", status.alias("status"))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per threshold and horizon the forecasts that both ledgers hold: n_evaluated, their Brier scores, the difference.
+    ``a`` and ``b``: origin_year, threshold, horizon, cell_id, p; ``a`` has y too."""
+    keys = ["origin_year", "threshold", "horizon", "cell_id"]
+    met = a.select(*keys, "p", "y").join(b.select(*keys, F.col("p").alias("_p")), keys)
+    p, q, y = F.col("p"), F.col("_p"), F.col("y")
+    one, two = F.avg((p - y) * (p - y)), F.avg((q - y) * (q - y))
+    return met.groupBy("threshold", "horizon").agg(F.countDistinct("origin_year").alias("n_evaluated"), F.round(one, 6).alias("brier_1"), F.round(two, 6).alias("brier_2"), F.round(two - one, 6).alias("difference"))
+
+
+def brier_intervals(scores: DataFrame, replicates: int = 200, least: int = 5, seed: int = 42) -> DataFrame:
+    """threshold, horizon, n_evaluated, brier and its percentiles over resampled origins, where there are ``least``."""
+    keys = ["threshold", "horizon"]
+    e = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
+    sums = scores.groupBy(*keys, "origin_year").agg(F.sum(e).alias("e"), F.count("*").alias("n"))
+    # A row for each origin and configuration.
+    sums = sums.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy("origin_year")) - 1, "size": F.count("*").over(Window.partitionBy(*keys))})
+    sizes = sums.select(*keys, "size").distinct().where(F.col("size") >= least)
+    draws = scores.sparkSession.range(replicates).withColumnRenamed("id", "r").join(F.broadcast(sizes)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    drawn = draws.select(*keys, "r", lcg(F.col("r"), F.col("k"), F.col("size"), seed).alias("i")).join(sums.drop("size"), [*keys, "i"])
+    per = drawn.groupBy(*keys, "r").agg((F.sum("e") / F.sum("n")).alias("b"))
+    at = lambda q: F.round(F.percentile("b", F.lit(q)), 6)
+    whole = sums.groupBy(*keys).agg(F.count("*").alias("n_evaluated"), F.round(F.sum("e") / F.sum("n"), 6).alias("brier"))
+    return whole.join(per.groupBy(*keys).agg(at(0.025).alias("lower"), at(0.975).alias("upper")), keys, "left")
 
 
 def scored(cells: DataFrame, events: DataFrame, threshold: float, horizon: str, horizon_days: float, first: int, last: int) -> DataFrame:
@@ -48,11 +117,23 @@ def scored(cells: DataFrame, events: DataFrame, threshold: float, horizon: str,
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """Scores per configuration and over all (nulls), with the evidence level of the number of forecasts."""
-    p, y = F.col("p"), F.col("y")
-    rows = scores.rollup("threshold", "horizon").agg(F.countDistinct("origin_year").alias("n_forecasts"), F.round(F.avg((p - y) * (p - y)), 6).alias("brier"), F.round(F.avg(log_likelihood(p, y)), 6).alias("log_likelihood"))
-    return rows.where("threshold IS NULL OR horizon IS NOT NULL").withColumn("evidence_level", evidence_level(F.col("n_forecasts"), F.col("n_forecasts")))
+    """Scores per configuration and over all (nulls): forecasts made, those evaluated (``done``), which alone are
+    scored, and the evidence level of both numbers."""
+    p, y, done = F.col("p"), F.col("y"), F.col("done")
+    one = lambda x: F.when(done, x)
+    rows = scores.rollup("threshold", "horizon").agg(
+        F.countDistinct("origin_year").alias("n_forecasts"),
+        F.countDistinct(one(F.col("origin_year"))).alias("n_evaluated"),
+        F.round(F.avg(one((p - y) * (p - y))), 6).alias("brier"),
+        F.round(F.avg(one(log_likelihood(p, y))), 6).alias("log_likelihood"),
+    )
+    return rows.where("threshold IS NULL OR horizon IS NOT NULL").withColumn("evidence_level", evidence_level(F.col("n_forecasts"), F.col("n_evaluated")))
 
 
 def append(records_: DataFrame, path: str) -> None:
+    """Adds records to the ledger; none that it holds is changed."""
     records_.write.mode("append").partitionBy("origin_year").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return history(spark.read.parquet(path))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions import geo, seismo
-from tremorlake.operators import completeness, coulomb, decluster, etas, features, inference, intervals, joins, metrics, rates, reconcile
+from tremorlake.operators import completeness, coulomb, decluster, etas, inference, intervals, joins, metrics, rates, reconcile
 from tremorlake.plans import ledger
 from tremorlake.sources import catalog
 
@@ -754,32 +754,6 @@ def reasenberg(spark, sf_dir):
 # ---- features, stress, ledger --------------------------------------------------------------------------------
 
 
-@query(
-    _q(
-        f"""SELECT o.origin, g.cell_id, round(count(m) / x, 6) AS hist_rate_all, round(count(m) FILTER (m >= 4.5) / x, 6) AS hist_rate_above_45, count(m) FILTER (age <= 30)::DOUBLE AS n_prev_30d, count(m) FILTER (age <= 365)::DOUBLE AS n_prev_365d,
-    round(coalesce(min(age), x * 365.25::DOUBLE), 6) AS time_since_last_event_days, round(coalesce(max(m) FILTER (age <= 90), 0), 6) AS max_mag_recent_90d, round(coalesce(avg(m) FILTER (age <= 90), 0), 6) AS mean_mag_recent_90d,
-    round(coalesce(quantile_cont(m, 0.9) FILTER (age <= 90), 0), 6) AS mag_p90_recent_90d, round(coalesce(avg(depth_km) FILTER (age <= 90), 0), 6) AS mean_depth_recent_90d, round(coalesce(var_pop(depth_km) FILTER (age <= 90), 0), 6) AS depth_var_recent_90d,
-    (SELECT count(*) FROM q z WHERE z.t < o.origin AND {_hav("g.clat", "g.clon", "z.latitude", "z.longitude")} <= 100) / x AS raw_density,
-    (SELECT count(*) FROM q z WHERE z.t < o.origin AND epoch_us(o.origin) - epoch_us(z.t) <= {30 * DAY_US} AND abs(z.i - g.i) <= 1 AND abs(z.j - g.j) <= 1 AND (z.i <> g.i OR z.j <> g.j))::DOUBLE AS neighbor_activity_8cells
-    FROM (SELECT origin, (epoch_us(origin) - 157766400000000) / 86400e6::DOUBLE / 365.25::DOUBLE AS x FROM origins) o, grid g LEFT JOIN LATERAL (SELECT m, depth_km, (epoch_us(o.origin) - epoch_us(t)) / 86400e6::DOUBLE AS age FROM q WHERE q.i = g.i AND q.j = g.j AND t < o.origin) ON TRUE GROUP BY o.origin, x, g.cell_id, g.clat, g.clon, g.i, g.j""".replace(
-            "AS raw_density", "AS local_density_100km"
-        ).replace("(SELECT count(*) FROM q z WHERE z.t < o.origin AND (2", "round((SELECT count(*) FROM q z WHERE z.t < o.origin AND (2").replace("<= 100) / x", "<= 100) / x, 6)"),
-        GRID,
-        _ORIGINS.replace(str(FIRST), "2021"),
-    )
-)
-def features_checked(spark, sf_dir):
-    """The features that cover every kind of aggregate and join, for three origins."""
-    out = features.features(catalog.quakes(spark, sf_dir), joins.yearly_origins(spark, 2021, LAST))
-    names = ["hist_rate_all", "hist_rate_above_45", "n_prev_30d", "n_prev_365d", "time_since_last_event_days", "max_mag_recent_90d", "mean_mag_recent_90d", "mag_p90_recent_90d", "mean_depth_recent_90d", "depth_var_recent_90d", "local_density_100km", "neighbor_activity_8cells"]
-    return out.select("origin", "cell_id", *names)
-
-
-@query()
-def features_all(spark, sf_dir):
-    return features.features(catalog.quakes(spark, sf_dir), joins.yearly_origins(spark, FIRST, LAST))
-
-
 @query(
     _q(
         """SELECT event_id, round(least(greatest(exp(least(x / 0.05::DOUBLE, 700)), 0.01::DOUBLE), 100), 6) AS rate_and_state, round(least(greatest(exp(2.0::DOUBLE * x), 0.01::DOUBLE), 100), 6) AS exponential, CASE WHEN x > 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS step
@@ -835,29 +809,3 @@ _YY = f"yy AS (SELECT y::INT AS oy, date_diff('day', DATE '1975-01-01', make_dat
 )
 def ledger_records(spark, sf_dir):
     return ledger.records(_ledger(spark, sf_dir))
-
-
-@query(_q("SELECT origin_year, threshold, horizon, 0::BIGINT AS n_missing, 0::BIGINT AS n_out_of_range, 0::BIGINT AS n_inconsistent FROM cp GROUP BY ALL", GRID, _YY, _LEDGER))
-def ledger_integrity(spark, sf_dir):
-    return ledger.integrity(_ledger(spark, sf_dir))
-
-
-@query(
-    _q(
-        """SELECT threshold, horizon, count(DISTINCT origin_year) AS n_forecasts, round(avg((p - y) * (p - y)), 6) AS brier,
-    round(avg(CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)) ELSE ln(1 - least(greatest(p, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)) END), 6) AS log_likelihood,
-    CASE WHEN count(DISTINCT origin_year) >= 50 THEN 4 WHEN count(DISTINCT origin_year) >= 20 THEN 3 WHEN count(DISTINCT origin_year) >= 5 THEN 2 WHEN count(DISTINCT origin_year) >= 1 THEN 1 ELSE 0 END AS evidence_level
-    FROM (SELECT threshold, horizon, origin_year, p, (EXISTS (SELECT 1 FROM q WHERE q.i = cp.i AND q.j = cp.j AND m >= threshold AND yr = origin_year AND epoch_us(t) - epoch_us(make_timestamp(origin_year, 1, 1, 0, 0, 0)) < days * 86400000000))::INT AS y FROM cp)
-    GROUP BY GROUPING SETS ((threshold, horizon), ())""",
-        GRID,
-        _YY,
-        _LEDGER,
-    )
-)
-def ledger_summary(spark, sf_dir):
-    cells, events = _ledger(spark, sf_dir), catalog.quakes(spark, sf_dir)
-    parts = [ledger.scored(cells, events, t, h, d, FIRST, LAST) for t in (4.0, 4.5) for h, d in (("7d", 7), ("30d", 30))]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return ledger.summary(rows)

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tremorlake import queries as reference
+from tremorlake import all_queries as reference
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["catalog_view", "mw_conversion", "matched_observations", "canonical_events", "mc_gft", "b_value_by_mc", "spatial_poisson", "backtest_scores", "roc_pr", "block_bootstrap", "etas_intensity", "omori_ratio", "features_checked", "ledger_records", "ledger_summary"]
+SAMPLE = ["catalog_view", "mw_conversion", "matched_observations", "canonical_events", "mc_gft", "b_value_by_mc", "spatial_poisson", "backtest_scores", "roc_pr", "block_bootstrap", "etas_intensity", "omori_ratio", "features_all", "features_labelled", "ledger_records", "ledger_summary", "ledger_integrity", "etas_transformed_times", "mc_recommended", "temporal_poisson", "poisson_intervals", "calibration_errors", "origin_context", "residual_gaps", "provenance_steps", "range_validation"]
 
 
 def plain(rows):

@@ -156,12 +156,23 @@ def read_iscgem_csv(spark: SparkSession, path: str) -> DataFrame:
     """Observations of a file whose header may use any alias; the first that is not empty counts."""
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    aliases = {"time": ["origin_time", "time", "date_time", "datetime"], "lat": ["lat", "latitude"], "lon": ["lon", "longitude"], "depth": ["depth", "depth_km"], "mag": ["mw", "m", "magnitude"], "id": ["eventid", "event_id", "id"]}
+    aliases = {
+        "time": ["origin_time", "time", "date_time", "datetime"],
+        "lat": ["lat", "latitude"],
+        "lon": ["lon", "longitude"],
+        "depth": ["depth", "depth_km"],
+        "mag": ["mw", "m", "magnitude"],
+        "id": ["eventid", "event_id", "id"],
+        "type": ["magtype", "mag_type", "magnitude_type", "type"],
+        "error": ["unc", "mag_unc", "mw_unc", "magnitude_uncertainty"],
+        "axis": ["smaj", "err_smaj", "smin"],
+    }
 
     def first(name: str):
         found = [F.when(~F.trim(c).isin(_NULLS), F.trim(c)) for c in aliases[name] if c in raw.columns]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
+    kind = F.lower(first("type"))
     return raw.select(
         F.lit("isc-gem").alias("source_catalog"),
         first("id").alias("native_event_id"),
@@ -170,7 +181,9 @@ def read_iscgem_csv(spark: SparkSession, path: str) -> DataFrame:
         first("lon").try_cast("double").alias("longitude"),
         first("depth").try_cast("double").alias("depth_km"),
         first("mag").try_cast("double").alias("original_magnitude"),
-        F.lit("mw_iscgem").alias("magnitude_type"),
+        F.when(kind.isNull() | kind.isin("mw", "iscgem"), "mw_iscgem").otherwise(kind).alias("magnitude_type"),
+        first("error").try_cast("double").alias("magnitude_uncertainty"),
+        first("axis").try_cast("double").alias("horizontal_uncertainty_km"),
         F.lit("reviewed").alias("quality_flag"),
     ).where("origin_time IS NOT NULL AND original_magnitude IS NOT NULL")
 
@@ -200,22 +213,30 @@ def read_faults_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gcmt_ndk(spark: SparkSession, path: str) -> DataFrame:
-    """Moment tensors of five-line blocks of fixed width; files must not be split inside a block."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    """Moment tensors of five-line blocks of fixed width, with their first nodal plane; the centroid stands where there
+    is no hypocentre; the magnitude ends the first line or follows from the scalar moment. Files must not be split inside a block."""
+    raw = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
     blocks = raw.select(F.posexplode("l").alias("n", "line"), "l").where("n % 5 = 0").select(F.slice("l", F.col("n") + 1, 5).alias("b"))
-    a, d, e = F.get("b", F.lit(0)), F.get("b", F.lit(3)), F.get("b", F.lit(4))
-    at = lambda k, n: F.trim(F.substring(a, k, n)).try_cast("double")
-    power = F.trim(F.substring(d, 1, 2)).try_cast("int")
-    scalar = F.trim(F.substring(e, 50, 7)).try_cast("double")
-    moment = scalar * F.pow(F.lit(10.0), power.cast("double") - 7)
+    line = lambda k: F.get("b", F.lit(k))
+    # The columns of the public format.
+    number = lambda k, at, n: F.trim(F.substring(line(k), at, n)).try_cast("double")
+    power = F.trim(F.substring(line(3), 1, 2)).try_cast("int")
+    # The scalar moment is in dyne centimetres.
+    moment = number(4, 50, 7) * F.pow(F.lit(10.0), power.cast("double") - 7)
+    planes = F.split(F.trim(F.substring(line(4), 57, 60)), r"\s+")
+    plane = lambda k: F.get(planes, F.lit(k)).try_cast("double")
     return blocks.select(
         F.lit("gcmt").alias("source_catalog"),
-        F.trim(F.substring(F.get("b", F.lit(1)), 1, 16)).alias("native_event_id"),
-        F.try_to_timestamp(F.concat_ws(" ", F.replace(F.substring(a, 6, 10), F.lit("/"), F.lit("-")), F.trim(F.substring(a, 17, 10)))).alias("origin_time"),
-        at(28, 6).alias("latitude"),
-        at(35, 7).alias("longitude"),
-        at(43, 5).alias("depth_km"),
-        F.coalesce(F.element_at(F.split(F.trim(a), r"\s+"), -1).try_cast("double"), F.round((F.log10(moment) - 9.1) / 1.5, 2)).alias("original_magnitude"),
+        F.trim(F.substring(line(1), 1, 16)).alias("native_event_id"),
+        F.try_to_timestamp(F.concat_ws(" ", F.replace(F.substring(line(0), 6, 10), F.lit("/"), F.lit("-")), F.trim(F.substring(line(0), 17, 10)))).alias("origin_time"),
+        F.coalesce(number(0, 28, 6), number(2, 23, 7)).alias("latitude"),
+        F.coalesce(number(0, 35, 7), number(2, 35, 8)).alias("longitude"),
+        F.coalesce(number(0, 43, 5), number(2, 48, 6)).alias("depth_km"),
+        F.coalesce(F.element_at(F.split(F.trim(line(0)), r"\s+"), -1).try_cast("double"), F.round((F.log10(moment) - 9.1) / 1.5, 2)).alias("original_magnitude"),
+        moment.alias("moment_nm"),
+        plane(0).alias("strike"),
+        plane(1).alias("dip"),
+        plane(2).alias("rake"),
         F.lit("gcmt").alias("magnitude_type"),
         F.lit("reviewed").alias("quality_flag"),
     ).where("origin_time IS NOT NULL")

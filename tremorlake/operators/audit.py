@@ -113,7 +113,7 @@ def missing_mw_text(magnitude: Column, kind: Column) -> Column:
     spans = {of: ", ".join(f"{low} to {high}" for _, k, _, _, _, low, high in C.MAG_RELATIONS if k == of) for of in sorted({r[1] for r in C.MAG_RELATIONS})}
     span = F.create_map(*[F.lit(x) for p in spans.items() for x in p])[F.lower(F.trim(kind))]
     return (
-        F.when(reason == "out_of_range", F.format_string("%s %.2f is outside %s", F.lower(F.trim(kind)), magnitude, span))
+        F.when(reason == "out_of_range", F.format_string("%s %.4f is outside %s", F.lower(F.trim(kind)), magnitude, span))
         .when(reason == "no_relation", F.format_string("no relation for %s", F.lower(F.trim(kind))))
         .when(reason == "unrecognised", F.lit("unrecognised magnitude type"))
     )

@@ -32,7 +32,7 @@ def _assembled(names: list[str]) -> VectorAssembler:
 def _logistic(names: list[str], n: int, l1_ratio: float, c: float = 1.0) -> Pipeline:
     scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
     # The weights of both classes sum to the number of rows.
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * n), elasticNetParam=l1_ratio, maxIter=200, standardization=False)
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * n), elasticNetParam=l1_ratio, maxIter=100, standardization=False)
     return Pipeline(stages=[_assembled(names), scaled, model])
 
 

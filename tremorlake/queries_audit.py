@@ -196,7 +196,7 @@ def provenance_steps(spark, sf_dir):
 
 @query(
     _q(
-        f"""SELECT event_id, CASE {_REASON.format(m="m")} WHEN 'out_of_range' THEN concat(magnitude_type, ' ', printf('%.2f', m), ' is outside ', CASE magnitude_type WHEN 'mb' THEN '3.5 to 6.2' ELSE '3.0 to 6.1, 5.8 to 8.0' END) WHEN 'no_relation' THEN concat('no relation for ', magnitude_type) WHEN 'unrecognised' THEN 'unrecognised magnitude type' END AS why,
+        f"""SELECT event_id, CASE {_REASON.format(m="m")} WHEN 'out_of_range' THEN concat(magnitude_type, ' ', printf('%.4f', m), ' is outside ', CASE magnitude_type WHEN 'mb' THEN '3.5 to 6.2' ELSE '3.0 to 6.1, 5.8 to 8.0' END) WHEN 'no_relation' THEN concat('no relation for ', magnitude_type) WHEN 'unrecognised' THEN 'unrecognised magnitude type' END AS why,
     round(CASE WHEN magnitude_type IN ('mw', 'mww') THEN u WHEN magnitude_type = 'mb' AND m BETWEEN 3.5 AND 6.2 THEN sqrt(pow(coalesce(u, 0), 2) + pow(0.41::DOUBLE, 2)) WHEN magnitude_type = 'ms' AND m BETWEEN 3.0 AND 6.1 THEN sqrt(pow(coalesce(u, 0), 2) + pow(0.37::DOUBLE, 2)) WHEN magnitude_type = 'ms' AND m BETWEEN 5.8 AND 8.0 THEN sqrt(pow(coalesce(u, 0), 2) + pow(0.28::DOUBLE, 2)) ELSE u END, 6) AS sigma
     FROM (SELECT event_id, m, magnitude_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 9) / 20.0::DOUBLE END AS u FROM quakes)"""
     )

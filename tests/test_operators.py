@@ -73,7 +73,7 @@ def test_gardner_knopoff_across_the_date_line(spark):
 
 
 def grown(rows, days):
-    """The reference's loop: a cluster grows to a fixpoint, links from any member, before or after it."""
+    """The plain loop: a cluster grows to a fixpoint, links from any member, before or after it."""
     length = lambda m: 1.0 if m < 4 else max(1.0, 10 ** (-3.22 + 0.69 * m))
     order, want = sorted(rows, key=lambda r: (r[1], r[0])), {}
     for seed in order:

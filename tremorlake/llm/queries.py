@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tremorlake.llm import embedding_dedup, knn_quality, license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, url_filter, warc
+from tremorlake.llm import embedding_dedup, embedding_whitening, html_extraction, knn_quality, license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, spelling_variants, url_filter, warc
 from tremorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_html_extraction": op12_html_extraction,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 

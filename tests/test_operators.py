@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.operators import coulomb, decluster, inference, metrics, rates, reconcile
+from tremorlake.operators import coulomb, decluster, inference, metrics, rates, reconcile, settling
 from tremorlake.operators.joins import interval_join
 
 START = datetime(2000, 1, 1)
@@ -34,20 +34,74 @@ def test_interval_join(spark, forward):
     assert got == want
 
 
-@pytest.mark.parametrize("window", [1800.0, 90000.0])
-def test_match_observations(spark, window):
-    rows, frame = catalog(spark)
-    obs = frame.select(F.col("event_id").cast("string").alias("native_event_id"), F.col("t").alias("origin_time"), "latitude", "longitude")
-    got = {r["native_event_id"]: r["anchor_id"] for r in reconcile.match_observations(obs, window, 400.0).collect()}
+def matched(rows, window, radius):
+    """The plain loop over (id, time, latitude, longitude)."""
     want, order = {}, sorted(rows, key=lambda r: (r[1], str(r[0])))
     for i, x in enumerate(order):
         if str(x[0]) in want:
             continue
         want[str(x[0])] = str(x[0])
         for y in order[i + 1 :]:
-            if str(y[0]) not in want and (y[1] - x[1]).total_seconds() <= window and km(x, y) <= 400.0:
+            if (y[1] - x[1]).total_seconds() > window:
+                break
+            if str(y[0]) not in want and km(x, y) <= radius:
                 want[str(y[0])] = str(x[0])
-    assert got == want
+    return want
+
+
+def observed(spark, rows):
+    return spark.createDataFrame([(str(r[0]), *r[1:4]) for r in rows], "native_event_id string, origin_time timestamp, latitude double, longitude double")
+
+
+def anchors(frame, *args, **kw):
+    return {r["native_event_id"]: r["anchor_id"] for r in reconcile.match_observations(frame, *args, **kw).collect()}
+
+
+@pytest.mark.parametrize("window", [1800.0, 90000.0])
+@pytest.mark.parametrize("block_links", [40, 100_000])
+def test_match_observations(spark, window, block_links):
+    rows, _ = catalog(spark)
+    assert anchors(observed(spark, rows), window, 400.0, block_links) == matched(rows, window, 400.0)
+
+
+def test_matching_of_long_chains(spark, monkeypatch):
+    """5,000 observations a minute apart: two passes over the blocks, however long the chain is."""
+    r = np.random.default_rng(5)
+    chain = [(k, START + timedelta(minutes=k), 20.0, 90.0) for k in range(5000)]
+    # A second chain at another place and of another pace, both broken now and then, and reports that repeat.
+    other = [(10_000 + k, START + timedelta(seconds=47 * k + (300 if k > 900 else 0)), 25.0 + float(r.uniform(0, 0.3)), 95.0) for k in range(1500)]
+    rows = [*chain, *other, *[(20_000 + k, *chain[77][1:]) for k in range(30)]]
+    passes = []
+    monkeypatch.setattr(settling, "written", lambda frame, name, keep=settling.written: passes.append(name) or keep(frame, name))
+    assert anchors(observed(spark, rows), 120.0, 50.0, 400) == matched(rows, 120.0, 50.0)
+    assert passes.count("blocks") == 2
+
+
+def test_matching_of_dense_hours(spark):
+    """Hundreds of open anchors at a block's start, more sets of them than are followed."""
+    r = np.random.default_rng(6)
+    rows = [(k, START + timedelta(seconds=float(r.uniform(0, 900))), float(r.uniform(20, 24)), float(r.uniform(88, 92))) for k in range(900)]
+    rows += [(5000 + k, START + timedelta(seconds=int(r.integers(0, 60)) * 20), 30.0, 90.0) for k in range(300)]
+    assert anchors(observed(spark, rows), 120.0, 50.0, 500) == matched(rows, 120.0, 50.0)
+
+
+def test_matching_without_time_or_place(spark):
+    frame = spark.createDataFrame([("a", START, 1.0, 2.0), ("b", START, 1.0, 2.0), ("c", None, 1.0, 2.0), ("d", None, 1.0, 2.0), ("e", START, None, 2.0), ("f", START, 1.0, None)], "native_event_id string, origin_time timestamp, latitude double, longitude double")
+    assert anchors(frame) == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f"}
+    assert anchors(frame.where("FALSE")) == {}
+
+
+@pytest.mark.parametrize("rest_links", [0, 50, 100_000])
+def test_settled_in_any_order(spark, rest_links):
+    r = np.random.default_rng(7)
+    rank = [int(x) for x in r.permutation(80)]
+    links = {tuple(sorted(map(int, r.choice(80, 2, False)), key=lambda x: rank[x])) for _ in range(160)}
+    seeds: set = set()
+    for x in sorted(range(80), key=lambda x: rank[x]):
+        if not any((s, x) in links for s in seeds):
+            seeds.add(x)
+    got = {x["a"]: x["seed"] for x in settling.settled(spark.createDataFrame(sorted(links), "a long, b long"), rest_links).collect()}
+    assert got == {x: x in seeds for link in links for x in link}
 
 
 def test_gardner_knopoff(spark):

@@ -14,7 +14,8 @@ from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
 from tremorlake.functions.seismo import gk_days, gk_radius_km, rupture_length_km
 from tremorlake.operators.joins import interval_join, near_cells
-from tremorlake.operators.lineage import settled, written
+from tremorlake.operators.lineage import written
+from tremorlake.operators.settling import settled
 
 #: Events of a block of time that one task grows, besides those around it.
 BLOCK_EVENTS = 10_000

@@ -6,9 +6,6 @@ from urllib.parse import urlparse
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_ROUNDS = 200
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
@@ -31,22 +28,3 @@ def dropped(frame: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def settled(edges: DataFrame) -> DataFrame:
-    """a, seed: which nodes of the covering ``edges`` (a, b; a ranks before b) are seeds.
-
-    A node is a seed iff no seed of higher rank covers it. Each round settles the nodes whose coverers are all settled,
-    or of which one is a seed; there are as many rounds as links in the longest chain of covering nodes.
-    """
-    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
-    state = written(nodes.withColumn("seed", F.lit(None).cast("boolean")), "seeds")
-    for _ in range(MAX_ROUNDS):
-        by = edges.select("a", "b").join(state.select("a", F.col("seed").alias("a_seed")), "a")
-        seen = by.groupBy(F.col("b").alias("a")).agg(F.max(F.coalesce("a_seed", F.lit(False))).alias("covered"), F.max(F.col("a_seed").isNull()).alias("open"))
-        fresh = F.when(F.col("covered"), False).when(~F.coalesce("open", F.lit(False)), True)
-        old, state = state, written(state.join(seen, "a", "left").select("a", F.coalesce("seed", fresh).alias("seed")), "seeds")
-        dropped(old)
-        if state.where("seed IS NULL").isEmpty():
-            return state
-    raise RuntimeError(f"seeds did not settle in {MAX_ROUNDS} rounds")

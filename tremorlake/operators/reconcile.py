@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
 from tremorlake.operators.joins import interval_join, near_cells
-from tremorlake.operators.lineage import settled, written
+from tremorlake.operators.lineage import written
+from tremorlake.operators.settling import BLOCK_LINKS, settled_in_time
 
 # Lower is better, anything else ranks last.
 QUALITY_RANK = {"reviewed": 0, "historical": 1, "macroseismic": 2, "automatic": 3, "unknown": 4}
@@ -29,26 +30,29 @@ def near_duplicate_pairs(obs: DataFrame, window_s: float = 120.0, radius_km: flo
     ).where(F.col("dist_km") <= radius_km)
 
 
-def match_observations(obs: DataFrame, window_s: float = 120.0, radius_km: float = 50.0) -> DataFrame:
+def match_observations(obs: DataFrame, window_s: float = 120.0, radius_km: float = 50.0, block_links: int = BLOCK_LINKS) -> DataFrame:
     """Adds anchor_id: in order of time, a free observation becomes an anchor and takes later ones in its window.
 
     An observation is an anchor iff no earlier anchor covers it, and belongs to the earliest anchor that does. Covering
-    pairs are joined on buckets of time and cells of space, and rounds over these pairs settle who is an anchor, so
-    neither a dense hour nor a long run of observations falls to one task.
+    pairs are joined on buckets of time and cells of space; ``settled_in_time`` tells who is an anchor. Observations of
+    one time and place count once there, so that a report that is repeated very often makes no pairs with itself.
     """
-    cols = ["native_event_id", "origin_time", "latitude", "longitude"]
-    a, b = (obs.select(*[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
-    lat = obs.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0]
+    place = ["origin_time", "latitude", "longitude"]
+    placed = obs.where(F.col("origin_time").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    points = written(placed.groupBy(*place).agg(F.min("native_event_id").alias("native_event_id")), "points")
+    a, b = (points.select(*[F.col(c).alias(f"{side}_{c}") for c in ("native_event_id", *place)]) for side in "ab")
+    lat = points.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0]
     wide = a.withColumn("_c", F.explode(near_cells(F.col("a_latitude"), F.col("a_longitude"), radius_km, lat, True)))
     own = b.withColumn("_c", near_cells(F.col("b_latitude"), F.col("b_longitude"), radius_km, lat, False)[0])
     pairs = interval_join(wide, own, "a_origin_time", "b_origin_time", window_s, on=("_c",))
     earlier = F.struct("a_origin_time", "a_native_event_id") < F.struct("b_origin_time", "b_native_event_id")
     near = haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= radius_km
-    edges = pairs.where(earlier & near).select(F.col("a_native_event_id").alias("a"), F.col("b_native_event_id").alias("b"), F.col("a_origin_time").alias("t_a"))
-    edges = written(edges, "covering")
-    seeds = settled(edges).where("seed").select("a")
-    owner = edges.join(seeds, "a").groupBy(F.col("b").alias("native_event_id")).agg(F.min(F.struct("t_a", "a")).alias("_o"))
-    return obs.join(owner, "native_event_id", "left").withColumn("anchor_id", F.coalesce("_o.a", "native_event_id")).drop("_o")
+    links = pairs.where(earlier & near).select(F.col("a_native_event_id").alias("a"), F.col("b_native_event_id").alias("b"), F.unix_micros("a_origin_time").alias("us_a"), F.unix_micros("b_origin_time").alias("us_b"))
+    links = written(links, "covering")
+    seeds = settled_in_time(links, round(window_s * 1e6), block_links).where("seed").select("a")
+    owner = links.join(seeds, "a").groupBy(F.col("b").alias("_p")).agg(F.min(F.struct("us_a", "a")).alias("_o"))
+    owned = points.join(owner, points["native_event_id"] == owner["_p"], "left").select(*place, F.coalesce("_o.a", "native_event_id").alias("anchor_id"))
+    return obs.join(owned, place, "left").select(*obs.columns, F.coalesce("anchor_id", "native_event_id").alias("anchor_id"))
 
 
 def canonical_events(matched: DataFrame) -> DataFrame:

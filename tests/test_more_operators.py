@@ -48,6 +48,43 @@ def test_kernel_sums_equal_all_pairs(spark, limit):
             assert got.get((kernel, b[0]), 0.0) == pytest.approx(want, rel=1e-7, abs=1e-12)
 
 
+@pytest.mark.parametrize("limit", [20.0, None])
+def test_kernel_sums_of_bursts_and_their_slopes(spark, limit):
+    """Bursts a thousand times denser than the rest, events at one instant, times before the epoch."""
+    r = np.random.default_rng(9)
+    days = np.concatenate([r.uniform(-300, 300, 150), 5 + r.exponential(0.02, 200), -200 + r.exponential(0.001, 80), [7.0, 7.0, 7.0]])
+    rows = [(k, datetime(1970, 1, 1) + timedelta(days=float(d)), float(round(3.5 + r.exponential(0.5), 2))) for k, d in enumerate(days)]
+    frame = spark.createDataFrame(rows, "event_id long, t timestamp, m double")
+    kernel = (0.9, 0.003, 1.2)
+    got = {x["event_id"]: x for x in etas.kernel_sums(frame, spark.createDataFrame([(0, *kernel)], "kernel int, alpha double, c double, q double"), 3.5, limit, slopes=True).collect()}
+
+    def plain(alpha, c, q):
+        out = {}
+        for b in rows:
+            lags = [((b[1] - a[1]).total_seconds() / 86400, a[2]) for a in rows if a[1] < b[1]]
+            out[b[0]] = sum(10 ** (alpha * (m - 3.5)) * (lag + c) ** -q for lag, m in lags if limit is None or lag <= limit)
+        return out
+
+    want = plain(*kernel)
+    for name, d, h in (("s_alpha", 0, 1e-5), ("s_c", 1, 1e-7), ("s_q", 2, 1e-5)):
+        up, down = (plain(*[v + sign * h * (k == d) for k, v in enumerate(kernel)]) for sign in (1, -1))
+        for i in want:
+            assert (got[i]["s"] if i in got else 0.0) == pytest.approx(want[i], rel=1e-8, abs=1e-12)
+            assert (got[i][name] if i in got else 0.0) == pytest.approx((up[i] - down[i]) / (2 * h), rel=2e-5, abs=1e-6)
+
+
+def test_kernel_sums_meet_few_rows_however_dense(spark):
+    """Pairs for each event stay, and buckets grow by a level's for each doubling, at ten times the density."""
+    met = []
+    for n in (2000, 20_000):
+        frame = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros((F.col("id") * (365 * 4 * 86400000000 // n)).cast("long")).alias("t"), F.lit(4.0).alias("m"))
+        width = etas.DAY_US * 365 // (etas.WIDEST << etas.HALVINGS) + 1
+        lowest = etas._levels(frame, width)
+        shared = n * (width << lowest) / (365 * 4 * etas.DAY_US)
+        met.append((shared * (etas.APART + 2), (etas.APART + 1) * (etas.HALVINGS - lowest + 1)))
+    assert max(p for p, _ in met) <= 2 * etas.SHARED * (etas.APART + 2) and met[1][1] - met[0][1] <= 4 * (etas.APART + 1)
+
+
 def test_transformed_times_never_fall(spark):
     _, frame = events(spark)
     tau = [r["tau"] for r in etas.transformed_times(frame, 20.0, 0.05, 0.8, 0.01, 1.1, 3.5).orderBy("t").collect()]

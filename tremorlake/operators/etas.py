@@ -12,58 +12,116 @@ from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power
 from tremorlake.operators.joins import counted_before, days_between, interval_join, small
 from tremorlake.operators.lineage import written
 
-
-#: Buckets that the longest lag is cut into, and those nearest to an event whose pairs are summed one by one.
-BUCKETS, NEAR = 90, 8
-#: Moments of a bucket's weights; an event is at least 8.5 buckets away, so the next term is below 17 ** -8.
-MOMENTS = 8
 DAY_US = 86400000000
+#: Widest buckets in the longest lag, and times that buckets are halved at most (to a quarter of a second in a year).
+WIDEST, HALVINGS = 8, 24
+#: A bucket is summed as a whole if an event is at least ``APART`` of its widths away. Its weights have ``MOMENTS``
+#: moments: the next term of the series is below (2 * APART + 1) ** -MOMENTS of it.
+APART, MOMENTS = 4, 10
+#: Buckets are halved until an event shares its bucket with no more than this many others on average.
+SHARED = 6
+LN10 = math.log(10)
 
 
-def _near_pairs(sel: DataFrame, width: int, offsets: list[int], limit: int | None) -> DataFrame:
-    """event_id, lag, m: later events with earlier ones that are as many buckets before as one of ``offsets``."""
-    us = F.unix_micros("t")
-    a = sel.select(us.alias("_ta"), F.col("m"), F.explode(F.array(*[F.floor(us / width) + F.lit(k) for k in offsets])).alias("_b"))
-    b = sel.select("event_id", us.alias("_tb"), F.floor(us / width).alias("_b"))
-    gap = F.col("_tb") - F.col("_ta")
-    return a.join(b, "_b").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit)).select("event_id", (gap / DAY_US).alias("lag"), "m")
+def _bucket(us, width: int):
+    """Whole buckets since the epoch, also for times before it."""
+    return ((us - F.pmod(us, F.lit(width))) / width).cast("long")
 
 
-def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, width_days: float | None = None) -> DataFrame:
+def _levels(events: DataFrame, width: int) -> int:
+    """Of the levels with buckets of ``width`` times 2 ** level, the widest on which buckets hold few events."""
+    marks = F.array(*[F.struct(F.lit(k).alias("l"), F.shiftright("_b", k).alias("k")) for k in range(HALVINGS + 1)])
+    sizes = events.select(_bucket(F.unix_micros("t"), width).alias("_b")).select(F.inline(marks)).groupBy("l", "k").agg(F.count("*").alias("n"))
+    rows = sizes.groupBy("l").agg(F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum("n").alias("n")).collect()
+    return max((r["l"] for r in rows if r["n2"] <= SHARED * r["n"]), default=0)
+
+
+def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, slopes: bool = False) -> DataFrame:
     """kernel, event_id, s: the sum of 10 ** (alpha * (m - mc)) * (lag + c) ** -q over earlier events, at most
     ``max_days`` before; rows without earlier events are left out. ``kernels``: kernel, alpha, c, q (a small table).
+    ``slopes`` adds s_alpha, s_c and s_q, the derivatives of s.
 
-    Pairs are summed one by one only where the lag is short, or about the longest one. Buckets of time between are
-    summed as wholes, by the moments of their weights around the bucket's middle and the power series of the kernel,
-    exact to some 1e-9 of a term. An event thus meets a fixed number of buckets, however dense the catalog is.
+    A tree of time buckets, each level's twice as wide as the one below. An event takes its own bucket and the ``APART``
+    before it pair by pair, on the lowest level, and further back ever wider buckets as wholes: by the moments of their
+    weights around the middle, and the power series of the kernel. So it meets some five buckets a level, and there is
+    a level more for every doubling of the density.
     """
-    limit = None if max_days is None else round(max_days * DAY_US)
-    width = round((width_days or 30.0) * DAY_US) if limit is None else limit // BUCKETS
-    last = None if limit is None else limit // width
-    near = _near_pairs(events, width, [*range(NEAR + 1), *([] if last is None else [last, last + 1])], limit)
-    weight = lambda m: F.pow(F.lit(10.0), F.col("alpha") * (m - mc))
-    close = near.join(small(kernels)).groupBy("kernel", "event_id").agg(F.sum(weight(F.col("m")) * F.pow(F.col("lag") + F.col("c"), -F.col("q"))).alias("s"))
-
     us = F.unix_micros("t")
-    bucket = F.floor(us / width)
-    off = (us - (bucket * width + width // 2)) / DAY_US
-    alphas = kernels.select("alpha").distinct()
-    parts = events.select(bucket.alias("_k"), off.alias("_d"), "m").join(small(alphas))
-    moments = parts.groupBy("alpha", "_k").agg(*[F.sum(weight(F.col("m")) * F.pow("_d", F.lit(j))).alias(f"_m{j}") for j in range(MOMENTS)])
-    first = events.agg(F.min(bucket).alias("_first"))
-    spread = events.select("event_id", us.alias("_us"), bucket.alias("_own")).join(F.broadcast(first))
-    low = F.col("_first") if last is None else F.greatest(F.col("_first"), F.col("_own") - (last - 1))
-    high = F.col("_own") - NEAR - 1
-    far = spread.where(low <= high).select("event_id", "_us", F.explode(F.sequence(low, high)).alias("_k"))
-    # A row for each bucket of time and alpha.
-    met = far.join(moments, "_k").join(small(kernels), "alpha")
-    base = (F.col("_us") - (F.col("_k") * width + width // 2)) / DAY_US + F.col("c")
-    series, factor = F.lit(0.0), F.lit(1.0)
+    if max_days is None:
+        low, high = events.agg(F.min(us), F.max(us)).first()
+        limit, reach = None, max(1, (high or 0) - (low or 0))
+    else:
+        limit = reach = round(max_days * DAY_US)
+    finest = max(1, -(-reach // (WIDEST << HALVINGS)))
+    lowest = _levels(events, finest)
+    width, top = finest << lowest, HALVINGS - lowest
+    placed = events.select("event_id", us.alias("_us"), "m", _bucket(us, width).alias("_b"))
+    first = F.lit(_low_bucket(low, width)) if limit is None else _bucket(F.col("_us") - limit, width) + 1
+
+    # Pair by pair: the nearest buckets, and the one that the longest lag ends in.
+    sources = placed.select(F.col("_us").alias("_ta"), "m", F.col("_b").alias("_k"))
+    own = F.sequence(F.col("_b") - APART, F.col("_b"))
+    targets = placed.select("event_id", F.col("_us").alias("_tb"), F.explode(own if limit is None else F.array_union(own, F.array(first - 1))).alias("_k"))
+    gap = F.col("_tb") - F.col("_ta")
+    pairs = targets.join(sources, "_k").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit))
+    x = F.col("_x")
+    w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * F.pow(x, -F.col("q"))
+    terms = [w.alias("s")]
+    if slopes:
+        terms += [(LN10 * (F.col("m") - mc) * w).alias("s_alpha"), (-F.col("q") * w / x).alias("s_c"), (-F.ln(x) * w).alias("s_q")]
+    names = ["s", "s_alpha", "s_c", "s_q"][: len(terms)]
+    close = pairs.join(small(kernels)).withColumn("_x", gap / DAY_US + F.col("c")).select("kernel", "event_id", *terms)
+
+    # As wholes: moments on every level, and of every level the buckets that are far enough where wider ones are not.
+    marks = F.array(*[F.struct(F.lit(k).alias("_l"), F.shiftright("_b", k).alias("_k")) for k in range(top + 1)])
+    off = (F.col("_us") - F.col("_k") * _wide(width) - _wide(width) / 2) / DAY_US
+    spread = placed.select("_us", "m", "_b", F.inline(marks)).withColumn("_d", off).join(small(kernels.select("alpha").distinct()))
+    weight = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc))
+    power, moments = F.lit(1.0), []
+    for j in range(MOMENTS):
+        moments.append(F.sum(weight * power).alias(f"_m{j}"))
+        if slopes:
+            moments.append(F.sum(weight * (F.col("m") - mc) * power).alias(f"_n{j}"))
+        power = power * F.col("_d")
+    tree = spread.groupBy("alpha", "_l", "_k").agg(*moments)
+    on_level = lambda k: lambda x: F.struct(F.lit(k).alias("_l"), x.alias("_k"))
+    spans = []
+    for k in range(top + 1):
+        end = F.shiftright("_b", k) - APART - 1
+        start = F.ceil(F.col("_first") / (1 << k)).cast("long")
+        begin = F.greatest(start, 2 * (F.shiftright("_b", k + 1) - APART)) if k < top else start
+        spans.append(F.when(begin <= end, F.transform(F.sequence(begin, end), on_level(k))))
+        if k < top:
+            # Of the first bucket the parent may begin too early.
+            odd = (F.pmod(start, F.lit(2)) == 1) & (start < begin) & (start <= end)
+            spans.append(F.when(odd, F.array(on_level(k)(start))))
+    none = F.array().cast("array<struct<_l:int,_k:bigint>>")
+    far = placed.withColumn("_first", first).select("event_id", "_us", F.inline(F.concat(*[F.coalesce(s, none) for s in spans])))
+    met = far.join(tree, ["_l", "_k"]).join(small(kernels), "alpha")
+    base = (F.col("_us") - F.col("_k") * _wide(width) - _wide(width) / 2) / DAY_US + F.col("c")
+    q, inverse = F.col("q"), 1 / F.col("_base")
+    factor, harmonic, power = F.lit(1.0), F.lit(0.0), F.pow(F.col("_base"), -F.col("q"))
+    sums = [F.lit(0.0)] * len(terms)
     for j in range(MOMENTS):
-        series = series + factor * F.col(f"_m{j}") * F.pow(base, -F.col("q") - j)
-        factor = factor * (F.col("q") + j) / (j + 1)
-    distant = met.groupBy("kernel", "event_id").agg(F.sum(series).alias("s"))
-    return close.unionByName(distant).groupBy("kernel", "event_id").agg(F.sum("s").alias("s"))
+        term = factor * power
+        sums[0] = sums[0] + term * F.col(f"_m{j}")
+        if slopes:
+            sums[1] = sums[1] + LN10 * term * F.col(f"_n{j}")
+            sums[2] = sums[2] - (q + j) * term * inverse * F.col(f"_m{j}")
+            sums[3] = sums[3] + term * (harmonic - F.ln("_base")) * F.col(f"_m{j}")
+        harmonic = harmonic + 1 / (q + j)
+        factor, power = factor * (q + j) / (j + 1), power * inverse
+    distant = met.withColumn("_base", base).select("kernel", "event_id", *[x.alias(name) for x, name in zip(sums, names, strict=True)])
+    return close.unionByName(distant).groupBy("kernel", "event_id").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def _wide(width: int):
+    """Microseconds of a bucket of the row's level."""
+    return F.expr(f"shiftleft({width}L, _l)")
+
+
+def _low_bucket(us: int | None, width: int) -> int:
+    return (us or 0) // width
 
 
 def _one_kernel(events: DataFrame, alpha: float, c: float, q: float) -> DataFrame:

@@ -102,9 +102,99 @@ def test_rolling_gaps_and_ks(spark):
     assert etas.ks_of_gaps(frame, 7).first()["ks"] == pytest.approx(want, abs=1e-6)
 
 
+def triggered_catalog(seed=11, years=6.0, mu=90.0, k=0.35, alpha=0.5, c=0.02, p=1.3, sigma=8.0, gamma=0.3, q=1.5, mc=3.5):
+    """Generations of events: background ones, and those that each event triggers in time and space."""
+    r = np.random.default_rng(seed)
+    end = years * 365.25
+    magnitude = lambda: mc + float(r.exponential(1 / (1.0 * np.log(10))))
+    todo = [(float(r.uniform(0, end)), float(r.uniform(21, 27)), float(r.uniform(89, 95)), magnitude()) for _ in range(r.poisson(mu * years))]
+    out = []
+    while todo:
+        t, lat, lon, m = todo.pop()
+        out.append((t, lat, lon, m))
+        for _ in range(r.poisson(k * 10 ** (alpha * (m - mc)))):
+            lag = c * ((1 - r.uniform()) ** (-1 / (p - 1)) - 1)
+            d = sigma * np.exp(gamma * (m - mc)) * np.sqrt((1 - r.uniform()) ** (-1 / q) - 1)
+            angle = r.uniform(0, 2 * np.pi)
+            if t + lag < end and d < 250:
+                todo.append((t + lag, lat + d * np.sin(angle) / 111.2, lon + d * np.cos(angle) / (111.2 * np.cos(np.radians(lat))), magnitude()))
+    return [(i, datetime(2000, 1, 1) + timedelta(days=t), float(lat), float(lon), 10.0, m) for i, (t, lat, lon, m) in enumerate(sorted(out))]
+
+
+EVENTS = "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double"
+
+
+def plain_nll(rows, theta, mc, tau=365.0):
+    mu, k, alpha, c, p = theta
+    t = np.array([r[1].timestamp() / 86400 for r in rows])
+    m = np.array([r[5] for r in rows])
+    w = k * 10 ** (alpha * (m - mc))
+    lag = t[:, None] - t[None, :]
+    g = np.where((lag > 0) & (lag <= tau), (p - 1) * c ** (p - 1) / (np.where(lag > 0, lag, 1) + c) ** p, 0.0)
+    left = np.minimum(t.max() - t, tau)
+    return mu / 365.25 * (t.max() - t.min()) + (w * (1 - (c / (left + c)) ** (p - 1))).sum() - np.log(mu / 365.25 + g @ w).sum()
+
+
+def test_likelihood_and_slopes(spark):
+    rows = triggered_catalog(years=1.5)
+    theta = (70.0, 0.2, 0.6, 0.03, 1.25)
+    thetas = spark.createDataFrame([(0, *theta)], "theta_id int, mu_per_year double, k double, alpha double, c double, p double")
+    got = etas.nll_of(spark.createDataFrame(rows, EVENTS), thetas, 3.5, 365.0, slopes=True).first()
+    assert got["nll"] == pytest.approx(plain_nll(rows, theta, 3.5), rel=1e-9)
+    for d, name in enumerate(etas.IN_TIME):
+        up, down = (plain_nll(rows, [v * (1 + s * 1e-5 * (k == d)) for k, v in enumerate(theta)], 3.5) for s in (1, -1))
+        assert got[f"d_{name}"] == pytest.approx((up - down) / (2e-5 * theta[d]), rel=1e-4)
+
+
+def test_fit_recovers_known_parameters(spark):
+    rows = triggered_catalog()
+    best = etas.fit(spark.createDataFrame(rows, EVENTS), 3.5).first()
+    at = [best[x] for x in etas.IN_TIME]
+    assert best["triggering"] and best["passes"] < 40
+    assert best["nll"] == pytest.approx(plain_nll(rows, at, 3.5), rel=1e-8)
+    # No neighbour is lower, and the values are those that made the catalog.
+    for d in range(5):
+        for sign in (1, -1):
+            assert plain_nll(rows, [v * (1 + 0.02 * sign * (k == d)) if k != 4 or k != d else 1 + (v - 1) * (1 + 0.02 * sign) for k, v in enumerate(at)], 3.5) >= best["nll"] - 1e-4
+    for value, true, wide in zip(at, (90.0, 0.35, 0.5, 0.02, 1.3), (0.3, 0.35, 0.4, 0.8, 0.15), strict=True):
+        assert abs(value / true - 1) < wide
+
+
+def test_fit_in_space_recovers_known_parameters(spark):
+    from tremorlake.operators.joins import grid
+
+    rows = triggered_catalog(seed=12, years=4.0)
+    frame = spark.createDataFrame(rows, EVENTS)
+    cells = grid(spark)
+    pairs = {(x["event_id"], round(x["lag"], 6)): x["r"] for x in etas.pairs_in_space(frame, 30.0, 100.0).collect()}
+    flat = frame.withColumn("density", F.lit(1e-6))
+    theta = (70.0, 0.3, 0.6, 0.03, 1.25, 10.0, 0.4, 1.2)
+    names = etas.IN_TIME + etas.IN_SPACE
+    points = [theta] + [tuple(v * (1 + s * 1e-5 * (k == d)) for k, v in enumerate(theta)) for d in range(8) for s in (1, -1)]
+    thetas = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "theta_id int, " + ", ".join(f"{x} double" for x in names))
+    got = {x["theta_id"]: x for x in etas.nll_in_space(flat, etas.pairs_in_space(frame, 30.0, 100.0), thetas, 3.5, 30.0).collect()}
+    mu, k, alpha, c, p, sigma, gamma, q = theta
+    t = np.array([r[1].timestamp() / 86400 for r in rows])
+    lam = np.full(len(rows), mu / 365.25 * 1e-6)
+    for (i, lag), r in pairs.items():
+        source = int(np.argmin(np.abs(t - (t[i] - lag))))
+        s = sigma * np.exp(gamma * (rows[source][5] - 3.5))
+        lam[i] += k * 10 ** (alpha * (rows[source][5] - 3.5)) * (p - 1) * c ** (p - 1) * (lag + c) ** -p * q / (np.pi * s * s) * (1 + r * r / (s * s)) ** -(1 + q)
+    w = k * 10 ** (alpha * (np.array([r[5] for r in rows]) - 3.5))
+    left = np.minimum(t.max() - t, 30.0)
+    want = mu / 365.25 * (t.max() - t.min()) + (w * (1 - (c / (left + c)) ** (p - 1))).sum() - np.log(lam).sum()
+    assert got[0]["nll"] == pytest.approx(want, rel=1e-6)
+    for d, name in enumerate(names):
+        assert got[0][f"d_{name}"] == pytest.approx((got[1 + 2 * d]["nll"] - got[2 + 2 * d]["nll"]) / (2e-5 * theta[d]), rel=1e-3, abs=1e-4)
+    best = etas.fit_in_space(frame, cells, frame, 3.5).first()
+    assert best["triggering"] and best["passes"] <= 40
+    for name, true, wide in zip(names, (90.0, 0.35, 0.5, 0.02, 1.3, 8.0, 0.3, 1.5), (0.3, 0.35, 0.5, 0.8, 0.2, 0.5, 1.0, 0.6), strict=True):
+        assert abs(best[name] / true - 1) < wide, name
+
+
 def test_fit_finds_no_triggering_in_a_poisson_catalog(spark):
     _, frame = events(spark, 200)
-    best = etas.fit(frame, 3.5, rounds=4).first()
+    best = etas.fit(frame, 3.5, passes=12).first()
     assert not best["triggering"] or best["k"] < 0.05
     few = etas.fit(frame.where("event_id < 20"), 3.5).collect()
     assert len(few) == 1 and few[0]["k"] == 0.0

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlake import constants as C
 from tremorlake.functions.geo import equirect_km, haversine_km
 from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power_law_kernel, productivity
-from tremorlake.operators.joins import counted_before, days_between, interval_join, small
-from tremorlake.operators.lineage import written
+from tremorlake.operators.joins import counted_before, days_between, interval_join, near_cells, small
+from tremorlake.operators.lineage import dropped, written
+from tremorlake.operators.optimise import Found, minimised
 
 DAY_US = 86400000000
 #: Widest buckets in the longest lag, and times that buckets are halved at most (to a quarter of a second in a year).
@@ -36,92 +40,113 @@ def _levels(events: DataFrame, width: int) -> int:
     return max((r["l"] for r in rows if r["n2"] <= SHARED * r["n"]), default=0)
 
 
+class TimeTree:
+    """Buckets of time around every event of ``events`` (event_id, t, m), for the sums of any kernel.
+
+    Each level's buckets are twice as wide as those of the level below. An event takes its own bucket and the ``APART``
+    before it pair by pair, on the lowest level, and further back ever wider buckets as wholes, at most ``max_days``
+    back. So it meets some five buckets a level, and there is a level more for every doubling of the density.
+
+    ``pairs``: event_id, lag in days, m. ``far``: event_id, _us, and level and number of each bucket. With ``keep``
+    they are written, for sums of many kernels.
+    """
+
+    def __init__(self, events: DataFrame, max_days: float | None, keep: bool = False):
+        us = F.unix_micros("t")
+        if max_days is None:
+            low, high = events.agg(F.min(us), F.max(us)).first()
+            limit, reach = None, max(1, (high or 0) - (low or 0))
+        else:
+            limit = reach = round(max_days * DAY_US)
+        finest = max(1, -(-reach // (WIDEST << HALVINGS)))
+        lowest = _levels(events, finest)
+        self.width, self.top = finest << lowest, HALVINGS - lowest
+        self.placed = events.select("event_id", us.alias("_us"), "m", _bucket(us, self.width).alias("_b"))
+        first = F.lit((low or 0) // self.width) if limit is None else _bucket(F.col("_us") - limit, self.width) + 1
+
+        # The nearest buckets, and the one that the longest lag ends in.
+        sources = self.placed.select(F.col("_us").alias("_ta"), "m", F.col("_b").alias("_k"))
+        own = F.sequence(F.col("_b") - APART, F.col("_b"))
+        targets = self.placed.select("event_id", F.col("_us").alias("_tb"), F.explode(own if limit is None else F.array_union(own, F.array(first - 1))).alias("_k"))
+        gap = F.col("_tb") - F.col("_ta")
+        pairs = targets.join(sources, "_k").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit))
+        self.pairs = pairs.select("event_id", (gap / DAY_US).alias("lag"), "m")
+
+        # Of every level the buckets that are far enough where wider ones are not.
+        on_level = lambda k: lambda x: F.struct(F.lit(k).alias("_l"), x.alias("_k"))
+        spans = []
+        for k in range(self.top + 1):
+            end = F.shiftright("_b", k) - APART - 1
+            start = F.ceil(F.col("_first") / (1 << k)).cast("long")
+            begin = F.greatest(start, 2 * (F.shiftright("_b", k + 1) - APART)) if k < self.top else start
+            spans.append(F.when(begin <= end, F.transform(F.sequence(begin, end), on_level(k))))
+            if k < self.top:
+                # Of the first bucket the parent may begin too early.
+                odd = (F.pmod(start, F.lit(2)) == 1) & (start < begin) & (start <= end)
+                spans.append(F.when(odd, F.array(on_level(k)(start))))
+        none = F.array().cast("array<struct<_l:int,_k:bigint>>")
+        self.far = self.placed.withColumn("_first", first).select("event_id", "_us", F.inline(F.concat(*[F.coalesce(s, none) for s in spans])))
+        if keep:
+            self.placed, self.pairs, self.far = written(self.placed, "placed"), written(self.pairs, "pairs"), written(self.far, "far")
+
+    def close(self) -> None:
+        """Deletes what ``keep`` wrote."""
+        for frame in (self.placed, self.pairs, self.far):
+            dropped(frame)
+
+    def moments(self, alphas: DataFrame, mc: float, slopes: bool) -> DataFrame:
+        """Moments of the weights of every bucket of all levels around its middle, for each of ``alphas``."""
+        marks = F.array(*[F.struct(F.lit(k).alias("_l"), F.shiftright("_b", k).alias("_k")) for k in range(self.top + 1)])
+        spread = self.placed.select("_us", "m", "_b", F.inline(marks)).withColumn("_d", _days_from_middle(self.width)).join(F.broadcast(alphas))
+        weight = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc))
+        power, moments = F.lit(1.0), []
+        for j in range(MOMENTS):
+            moments.append(F.sum(weight * power).alias(f"_m{j}"))
+            if slopes:
+                moments.append(F.sum(weight * (F.col("m") - mc) * power).alias(f"_n{j}"))
+            power = power * F.col("_d")
+        return spread.groupBy("alpha", "_l", "_k").agg(*moments)
+
+    def sums(self, kernels: DataFrame, mc: float, slopes: bool = False) -> DataFrame:
+        """As ``kernel_sums``; ``kernels`` is known to be small."""
+        x, q = F.col("_x"), F.col("q")
+        w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * F.pow(x, -q)
+        terms = {"s": w}
+        if slopes:
+            terms |= {"s_alpha": LN10 * (F.col("m") - mc) * w, "s_c": -q * w / x, "s_q": -F.ln(x) * w}
+        close = self.pairs.join(F.broadcast(kernels)).withColumn("_x", F.col("lag") + F.col("c")).select("kernel", "event_id", *[v.alias(k) for k, v in terms.items()])
+        met = self.far.join(self.moments(kernels.select("alpha").distinct(), mc, slopes), ["_l", "_k"]).join(F.broadcast(kernels), "alpha")
+        inverse = 1 / F.col("_base")
+        factor, harmonic, power = F.lit(1.0), F.lit(0.0), F.pow(F.col("_base"), -q)
+        sums = dict.fromkeys(terms, F.lit(0.0))
+        for j in range(MOMENTS):
+            term = factor * power
+            sums["s"] = sums["s"] + term * F.col(f"_m{j}")
+            if slopes:
+                sums["s_alpha"] = sums["s_alpha"] + LN10 * term * F.col(f"_n{j}")
+                sums["s_c"] = sums["s_c"] - (q + j) * term * inverse * F.col(f"_m{j}")
+                sums["s_q"] = sums["s_q"] + term * (harmonic - F.ln("_base")) * F.col(f"_m{j}")
+            harmonic = harmonic + 1 / (q + j)
+            factor, power = factor * (q + j) / (j + 1), power * inverse
+        distant = met.withColumn("_base", _days_from_middle(self.width) + F.col("c")).select("kernel", "event_id", *[v.alias(k) for k, v in sums.items()])
+        return close.unionByName(distant).groupBy("kernel", "event_id").agg(*[F.sum(k).alias(k) for k in terms])
+
+
 def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, slopes: bool = False) -> DataFrame:
     """kernel, event_id, s: the sum of 10 ** (alpha * (m - mc)) * (lag + c) ** -q over earlier events, at most
     ``max_days`` before; rows without earlier events are left out. ``kernels``: kernel, alpha, c, q (a small table).
     ``slopes`` adds s_alpha, s_c and s_q, the derivatives of s.
 
-    A tree of time buckets, each level's twice as wide as the one below. An event takes its own bucket and the ``APART``
-    before it pair by pair, on the lowest level, and further back ever wider buckets as wholes: by the moments of their
-    weights around the middle, and the power series of the kernel. So it meets some five buckets a level, and there is
-    a level more for every doubling of the density.
+    Near pairs are summed one by one. A far bucket of the ``TimeTree`` is summed by the moments of its weights and the
+    power series of the kernel, exact to some 1e-9 of a term.
     """
-    us = F.unix_micros("t")
-    if max_days is None:
-        low, high = events.agg(F.min(us), F.max(us)).first()
-        limit, reach = None, max(1, (high or 0) - (low or 0))
-    else:
-        limit = reach = round(max_days * DAY_US)
-    finest = max(1, -(-reach // (WIDEST << HALVINGS)))
-    lowest = _levels(events, finest)
-    width, top = finest << lowest, HALVINGS - lowest
-    placed = events.select("event_id", us.alias("_us"), "m", _bucket(us, width).alias("_b"))
-    first = F.lit(_low_bucket(low, width)) if limit is None else _bucket(F.col("_us") - limit, width) + 1
-
-    # Pair by pair: the nearest buckets, and the one that the longest lag ends in.
-    sources = placed.select(F.col("_us").alias("_ta"), "m", F.col("_b").alias("_k"))
-    own = F.sequence(F.col("_b") - APART, F.col("_b"))
-    targets = placed.select("event_id", F.col("_us").alias("_tb"), F.explode(own if limit is None else F.array_union(own, F.array(first - 1))).alias("_k"))
-    gap = F.col("_tb") - F.col("_ta")
-    pairs = targets.join(sources, "_k").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit))
-    x = F.col("_x")
-    w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * F.pow(x, -F.col("q"))
-    terms = [w.alias("s")]
-    if slopes:
-        terms += [(LN10 * (F.col("m") - mc) * w).alias("s_alpha"), (-F.col("q") * w / x).alias("s_c"), (-F.ln(x) * w).alias("s_q")]
-    names = ["s", "s_alpha", "s_c", "s_q"][: len(terms)]
-    close = pairs.join(small(kernels)).withColumn("_x", gap / DAY_US + F.col("c")).select("kernel", "event_id", *terms)
-
-    # As wholes: moments on every level, and of every level the buckets that are far enough where wider ones are not.
-    marks = F.array(*[F.struct(F.lit(k).alias("_l"), F.shiftright("_b", k).alias("_k")) for k in range(top + 1)])
-    off = (F.col("_us") - F.col("_k") * _wide(width) - _wide(width) / 2) / DAY_US
-    spread = placed.select("_us", "m", "_b", F.inline(marks)).withColumn("_d", off).join(small(kernels.select("alpha").distinct()))
-    weight = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc))
-    power, moments = F.lit(1.0), []
-    for j in range(MOMENTS):
-        moments.append(F.sum(weight * power).alias(f"_m{j}"))
-        if slopes:
-            moments.append(F.sum(weight * (F.col("m") - mc) * power).alias(f"_n{j}"))
-        power = power * F.col("_d")
-    tree = spread.groupBy("alpha", "_l", "_k").agg(*moments)
-    on_level = lambda k: lambda x: F.struct(F.lit(k).alias("_l"), x.alias("_k"))
-    spans = []
-    for k in range(top + 1):
-        end = F.shiftright("_b", k) - APART - 1
-        start = F.ceil(F.col("_first") / (1 << k)).cast("long")
-        begin = F.greatest(start, 2 * (F.shiftright("_b", k + 1) - APART)) if k < top else start
-        spans.append(F.when(begin <= end, F.transform(F.sequence(begin, end), on_level(k))))
-        if k < top:
-            # Of the first bucket the parent may begin too early.
-            odd = (F.pmod(start, F.lit(2)) == 1) & (start < begin) & (start <= end)
-            spans.append(F.when(odd, F.array(on_level(k)(start))))
-    none = F.array().cast("array<struct<_l:int,_k:bigint>>")
-    far = placed.withColumn("_first", first).select("event_id", "_us", F.inline(F.concat(*[F.coalesce(s, none) for s in spans])))
-    met = far.join(tree, ["_l", "_k"]).join(small(kernels), "alpha")
-    base = (F.col("_us") - F.col("_k") * _wide(width) - _wide(width) / 2) / DAY_US + F.col("c")
-    q, inverse = F.col("q"), 1 / F.col("_base")
-    factor, harmonic, power = F.lit(1.0), F.lit(0.0), F.pow(F.col("_base"), -F.col("q"))
-    sums = [F.lit(0.0)] * len(terms)
-    for j in range(MOMENTS):
-        term = factor * power
-        sums[0] = sums[0] + term * F.col(f"_m{j}")
-        if slopes:
-            sums[1] = sums[1] + LN10 * term * F.col(f"_n{j}")
-            sums[2] = sums[2] - (q + j) * term * inverse * F.col(f"_m{j}")
-            sums[3] = sums[3] + term * (harmonic - F.ln("_base")) * F.col(f"_m{j}")
-        harmonic = harmonic + 1 / (q + j)
-        factor, power = factor * (q + j) / (j + 1), power * inverse
-    distant = met.withColumn("_base", base).select("kernel", "event_id", *[x.alias(name) for x, name in zip(sums, names, strict=True)])
-    return close.unionByName(distant).groupBy("kernel", "event_id").agg(*[F.sum(x).alias(x) for x in names])
-
-
-def _wide(width: int):
-    """Microseconds of a bucket of the row's level."""
-    return F.expr(f"shiftleft({width}L, _l)")
+    return TimeTree(events, max_days).sums(small(kernels), mc, slopes)
 
 
-def _low_bucket(us: int | None, width: int) -> int:
-    return (us or 0) // width
+def _days_from_middle(width: int):
+    """Days of the row's time after the middle of its bucket, of ``width`` on the lowest level."""
+    wide = F.expr(f"shiftleft({width}L, _l)")
+    return (F.col("_us") - F.col("_k") * wide - wide / 2) / DAY_US
 
 
 def _one_kernel(events: DataFrame, alpha: float, c: float, q: float) -> DataFrame:
@@ -145,24 +170,69 @@ def intensity(events: DataFrame, mu_per_year: float, k: float, alpha: float, c_d
     return sel.select("event_id").join(sums, "event_id", "left").select("event_id", (mu_per_year / 365.25 + scale * F.coalesce("s", F.lit(0.0))).alias("lambda_per_day"))
 
 
-def nll_of(events: DataFrame, thetas: DataFrame, mc: float, tau_max_days: float) -> DataFrame:
-    """theta_id, nll of every row of ``thetas`` (theta_id, mu_per_year, k, alpha, c, p; a small table), in one plan.
+#: Parameters of the process in time, those of its kernel in space, and the columns of their slopes.
+IN_TIME, IN_SPACE = ("mu_per_year", "k", "alpha", "c", "p"), ("sigma_km", "gamma", "q")
+
+
+def nll_of(events: DataFrame, thetas: DataFrame, mc: float, tau_max_days: float, slopes: bool = False, tree: TimeTree | None = None) -> DataFrame:
+    """theta_id, nll of every row of ``thetas`` (theta_id, mu_per_year, k, alpha, c, p; a small table), in one plan;
+    ``slopes`` adds d_<name>, its derivative in each parameter, and i_<name>_<name>, the information matrix. ``tree``: that of the events from mc on, if there is one.
 
     Thetas that agree in alpha, c and p share their kernel sums.
     """
-    sel = events.where(F.col("m") >= mc)
+    sel, thetas = events.where(F.col("m") >= mc), small(thetas)
     same = ["alpha", "c", "p"]
     kernels = thetas.select(*same).distinct().select(F.xxhash64(*same).alias("kernel"), *same)
-    sums = kernel_sums(sel, kernels.select("kernel", "alpha", "c", F.col("p").alias("q")), mc, tau_max_days)
-    span = sel.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    every = sel.select("event_id", "m", "t").join(F.broadcast(span)).join(small(thetas.withColumn("kernel", F.xxhash64(*same))))
+    sums = (tree or TimeTree(sel, tau_max_days)).sums(kernels.select("kernel", "alpha", "c", F.col("p").alias("q")), mc, slopes)
+    every = _with_rest(sel.select("event_id", "m", "t"), tau_max_days).join(F.broadcast(thetas.withColumn("kernel", F.xxhash64(*same))))
     joined = every.join(sums, ["kernel", "event_id"], "left")
-    mu, k, c, p = F.col("mu_per_year") / 365.25, F.col("k"), F.col("c"), F.col("p")
-    lam = mu + k * (p - 1) * F.pow(c, p - 1) * F.coalesce("s", F.lit(0.0))
-    left = F.least(days_between(F.col("t1"), F.col("t")), F.lit(float(tau_max_days)))
-    made = k * F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc)) * (1 - F.pow(c / (left + c), p - 1))
-    total = F.sum(made) + F.first(mu * days_between(F.col("t1"), F.col("t0")))
-    return joined.groupBy("theta_id").agg((total - F.sum(F.ln(F.greatest(lam, F.lit(1e-30))))).alias("nll"))
+    k, c, p = F.col("k"), F.col("c"), F.col("p")
+    scale = k * (p - 1) * F.pow(c, p - 1)
+    s = lambda name: F.coalesce(name, F.lit(0.0))
+    lam = {"": F.col("mu_per_year") / 365.25 + scale * s("s")}
+    if slopes:
+        lam |= {
+            "mu_per_year": F.lit(1 / 365.25),
+            "k": scale / k * s("s"),
+            "alpha": scale * s("s_alpha"),
+            "c": scale * ((p - 1) / c * s("s") + s("s_c")),
+            "p": scale * ((1 / (p - 1) + F.ln(c)) * s("s") + s("s_q")),
+        }
+    return _likelihoods(joined, lam, mc)
+
+
+def _with_rest(sel: DataFrame, tau_max_days: float) -> DataFrame:
+    """Adds the days of the whole catalog, and those that are left of it after each event, ``tau_max_days`` at most."""
+    span = sel.agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    left = F.least(days_between(F.col("_t1"), F.col("t")), F.lit(float(tau_max_days)))
+    return sel.join(F.broadcast(span)).withColumns({"_left": left, "_days": days_between(F.col("_t1"), F.col("_t0"))}).drop("t", "_t0", "_t1")
+
+
+def _likelihoods(rows: DataFrame, lam: dict, mc: float) -> DataFrame:
+    """theta_id, nll, d_<name>, i_<name>_<name>: of ``rows`` with an event under a theta each. ``lam``: the intensity as ""
+    and its derivatives; the numbers of triggered events do not depend on parameters in space. The sums of products of
+    the events' scores estimate the information matrix."""
+    k, c, p = F.col("k"), F.col("c"), F.col("p")
+    w = F.pow(F.lit(10.0), F.col("alpha") * (F.col("m") - mc))
+    part = c / (F.col("_left") + c)
+    over = F.pow(part, p - 1)
+    total = {
+        "": k * w * (1 - over),
+        "k": w * (1 - over),
+        "alpha": k * w * LN10 * (F.col("m") - mc) * (1 - over),
+        "c": -k * w * (p - 1) * over * F.col("_left") / (c * (F.col("_left") + c)),
+        "p": -k * w * over * F.ln(part),
+    }
+    names = [x for x in lam if x]
+    held = F.greatest(lam[""], F.lit(1e-30))
+    scored = rows.withColumns({"_lam": held, "_made": total[""], **{f"_d_{x}": lam[x] / held for x in names}, **{f"_t_{x}": total[x] for x in names if x in total}})
+    years = F.first("_days") / 365.25
+    out = [(F.sum("_made") + F.first("mu_per_year") * years - F.sum(F.ln("_lam"))).alias("nll")]
+    for k, name in enumerate(names):
+        made = years if name == "mu_per_year" else F.sum(f"_t_{name}") if name in total else F.lit(0.0)
+        out.append((made - F.sum(f"_d_{name}")).alias(f"d_{name}"))
+        out += [F.sum(F.col(f"_d_{name}") * F.col(f"_d_{other}")).alias(f"i_{name}_{other}") for other in names[k:]]
+    return scored.groupBy("theta_id").agg(*out)
 
 
 def nll_grid(events: DataFrame, thetas: DataFrame, mc: float, c_days: float, p: float, tau_max_days: float) -> DataFrame:
@@ -451,55 +521,143 @@ def adaptive_kernel_rates(events: DataFrame, cells: DataFrame, years: float, k:
 #: (share of the naive rate, K, alpha, c, p) of the starts, and how far each parameter may go.
 STARTS = [(0.9, 0.01, 0.5, 0.01, 1.1), (0.7, 0.05, 1.0, 0.01, 1.2), (0.5, 0.1, 0.8, 0.05, 1.1), (0.8, 0.02, 0.8, 0.002, 1.3), (0.95, 0.005, 1.2, 0.02, 1.05)]
 BOUNDS = [(1e-3, 1e6), (1e-8, 10.0), (1e-5, 3.0), (1e-4, 1.0), (1.001, 2.5)]
+#: The same of the kernel in space: (sigma_km, gamma, q).
+STARTS_IN_SPACE = [(10.0, 0.5, 1.0), (5.0, 0.4, 1.0), (10.0, 0.5, 1.5), (15.0, 0.6, 0.8), (10.0, 0.3, 1.0)]
+BOUNDS_IN_SPACE = [(0.5, 100.0), (1e-3, 2.0), (0.1, 5.0)]
 LEAST_EVENTS = 50
 
 
-def fit(events: DataFrame, mc: float, tau_max_days: float = 365.0, rounds: int = 25) -> DataFrame:
-    """start_id, mu_per_year, k, alpha, c, p, nll, triggering of each start, the best one first.
+def _fitted(spark, names: tuple[str, ...], starts: list[tuple[float, ...]], bounds: list[tuple[float, float]], likelihoods, alone: tuple[float, ...], alone_nll: float | None, passes: int) -> DataFrame:
+    """start_id, the parameters, nll, triggering, passes of each start, the best one first.
 
-    A descent by coordinates in the parameters' logarithms: every round evaluates the neighbours of all starts in one
-    plan over the events (``nll_of``), and only parameters are on the driver. A K up to 1e-6 or an alpha up to 1e-4
-    means no triggering: the rate alone is left. Under fifty events there is nothing but the rate.
+    Parameters are searched by their logarithms (p by that of what exceeds 1); ``likelihoods`` gives nll and slopes of a
+    table of thetas in one plan, and only parameters are on the driver.
     """
-    spark = events.sparkSession
-    sel = events.where(F.col("m") >= mc)
+    shift = np.array([1.0 if x == "p" else 0.0 for x in names])
+    inside = lambda x: np.log(np.asarray(x, float) - shift)
+    low, high = (inside([b[k] for b in bounds]) for k in (0, 1))
+
+    def values(points: list[np.ndarray]) -> list[Found]:
+        at = np.exp(np.array(points)) + shift
+        # An Arrow table becomes a local relation, so that no worker of Python is needed.
+        thetas = spark.createDataFrame(pa.table({"theta_id": pa.array(range(len(points)), pa.int32()), **{x: pa.array(at[:, d]) for d, x in enumerate(names)}}))
+        found = {r["theta_id"]: r for r in likelihoods(thetas).collect()}
+        # By the logarithm, a slope is multiplied by what it is the logarithm of.
+        out = []
+        for k, y in enumerate(points):
+            slope = np.array([found[k][f"d_{x}"] for x in names])
+            upper = np.array([[found[k][f"i_{a}_{b}"] if i <= j else 0.0 for j, b in enumerate(names)] for i, a in enumerate(names)])
+            information = upper + np.triu(upper, 1).T
+            out.append((found[k]["nll"], slope * np.exp(y), information * np.outer(np.exp(y), np.exp(y))))
+        return out
+
+    best, done = minimised(values, [inside(np.clip(x, [b[0] for b in bounds], [b[1] for b in bounds])) for x in starts], low, high, passes)
+    rows = []
+    for i, (nll, y) in enumerate(best):
+        x = dict(zip(names, map(float, np.exp(y) + shift), strict=True))
+        # A K up to 1e-6 or an alpha up to 1e-4 means no triggering: the rate alone is left.
+        found = x["k"] > 1e-6 and x["alpha"] > 1e-4
+        rows.append((i, *x.values(), float(nll), True, done) if found else (i, *alone, alone_nll, False, done))
+    schema = "start_id int, " + ", ".join(f"{x} double" for x in names) + ", nll double, triggering boolean, passes int"
+    return spark.createDataFrame(sorted(rows, key=lambda r: (math.inf if r[-3] is None else r[-3], r[0])), schema)
+
+
+def fit(events: DataFrame, mc: float, tau_max_days: float = 365.0, passes: int = 40) -> DataFrame:
+    """start_id, mu_per_year, k, alpha, c, p, nll, triggering, passes of each start, the best one first.
+
+    The process in time. Scoring steps within bounds take the likelihood, its slopes and the information matrix, at the
+    trial points of all starts, from one plan over the events and their ``TimeTree``, which is made once. Under fifty events there is nothing but
+    the rate.
+    """
+    sel = written(events.where(F.col("m") >= mc).select("event_id", "t", "m"), "selected")
     n, days = sel.agg(F.count("*"), (F.max(F.unix_micros("t")) - F.min(F.unix_micros("t"))) / DAY_US).first()
     naive = n / days * 365.25 if n > 1 and days else 0.0
-    schema = "start_id int, mu_per_year double, k double, alpha double, c double, p double, nll double, triggering boolean"
-    alone = lambda i: (i, naive, 0.0, 0.0, 0.01, 1.1, n - n * math.log(naive / 365.25) if naive else None, False)
+    alone, alone_nll = (naive, 0.0, 0.0, 0.01, 1.1), n - n * math.log(naive / 365.25) if naive else None
+    if n < LEAST_EVENTS:
+        return events.sparkSession.createDataFrame([(0, *alone, alone_nll, False, 0)], "start_id int, mu_per_year double, k double, alpha double, c double, p double, nll double, triggering boolean, passes int")
+    tree = TimeTree(sel, tau_max_days, keep=True)
+    out = _fitted(events.sparkSession, IN_TIME, [(naive * share, *rest) for share, *rest in STARTS], BOUNDS, lambda thetas: nll_of(sel, thetas, mc, tau_max_days, True, tree), alone, alone_nll, passes)
+    tree.close()
+    dropped(sel)
+    return out
+
+
+def pairs_in_space(events: DataFrame, tau_max_days: float, reach_km: float) -> DataFrame:
+    """event_id, lag, r, m of each event's earlier ones within ``tau_max_days`` and ``reach_km``, by cells and buckets."""
+    cols = ["event_id", "t", "latitude", "longitude", "m"]
+    a, b = (events.select(*[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
+    lat = events.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0]
+    wide = a.withColumn("_c", F.explode(near_cells(F.col("a_latitude"), F.col("a_longitude"), reach_km, lat, True)))
+    own = b.withColumn("_c", near_cells(F.col("b_latitude"), F.col("b_longitude"), reach_km, lat, False)[0])
+    met = interval_join(wide, own, "a_t", "b_t", tau_max_days * 86400, forward=True, on=("_c",))
+    r = haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
+    return met.select(F.col("b_event_id").alias("event_id"), days_between(F.col("b_t"), F.col("a_t")).alias("lag"), r.alias("r"), F.col("a_m").alias("m")).where(F.col("r") <= reach_km)
+
+
+def nll_in_space(events: DataFrame, pairs: DataFrame, thetas: DataFrame, mc: float, tau_max_days: float) -> DataFrame:
+    """theta_id, nll, d_<name> of the process in time and space, of ``thetas`` with the parameters of both.
+
+    ``events``: event_id, t, m from mc on, and density, the background's share per km^2 where the event is. ``pairs``: of
+    ``pairs_in_space``. The kernel in space is the normalised power law whose length grows with the source's magnitude.
+    """
+    k, c, p, q = (F.col(x) for x in ("k", "c", "p", "q"))
+    above = F.col("m") - mc
+    s = F.col("sigma_km") * F.exp(F.col("gamma") * above)
+    u = F.col("r") * F.col("r") / (s * s)
+    x = F.col("lag") + c
+    value = F.pow(F.lit(10.0), F.col("alpha") * above) * F.pow(x, -p) * q / (math.pi * s * s) * F.pow(1 + u, -(1 + q))
+    stretch = 2 * (1 + q) * F.col("_u") / (1 + F.col("_u")) - 2
+    parts = {
+        "s": F.lit(1.0),
+        "s_alpha": LN10 * above,
+        "s_c": -p / x,
+        "s_p": -F.ln(x),
+        "s_sigma_km": stretch / F.col("sigma_km"),
+        "s_gamma": stretch * above,
+        "s_q": 1 / q - F.ln(1 + F.col("_u")),
+    }
+    # Thetas are few, so the pairs of an event under one of them are summed before anything is shuffled.
+    met = pairs.join(small(thetas)).withColumns({"_v": value, "_u": u})
+    sums = met.groupBy("theta_id", "event_id").agg(*[F.sum(F.col("_v") * v).alias(name) for name, v in parts.items()])
+    every = _with_rest(events.select("event_id", "m", "density", "t"), tau_max_days).join(small(thetas)).join(sums, ["theta_id", "event_id"], "left")
+    scale = k * (p - 1) * F.pow(c, p - 1)
+    of = lambda name: F.coalesce(f"s_{name}" if name else "s", F.lit(0.0))
+    lam = {
+        "": F.col("mu_per_year") / 365.25 * F.col("density") + scale * of(""),
+        "mu_per_year": F.col("density") / 365.25,
+        "k": scale / k * of(""),
+        "alpha": scale * of("alpha"),
+        "c": scale * ((p - 1) / c * of("") + of("c")),
+        "p": scale * ((1 / (p - 1) + F.ln(c)) * of("") + of("p")),
+        **{x: scale * of(x) for x in IN_SPACE},
+    }
+    return _likelihoods(every, lam, mc)
+
+
+def fit_in_space(events: DataFrame, cells: DataFrame, background: DataFrame, mc: float, tau_max_days: float = 365.0, reach_km: float = 300.0, passes: int = 40, size: float = 1.0) -> DataFrame:
+    """start_id, mu_per_year, k, alpha, c, p, sigma_km, gamma, q, nll, triggering, passes of each start, best first.
+
+    The process in time and space. ``background``: the events whose smoothed density over ``cells`` (of ``size`` degrees)
+    is the background's, such as the main ones. Pairs beyond ``reach_km`` count as nothing; pairs within it are made and written once.
+    """
+    spark = events.sparkSession
+    area = (110.574 * 111.320) * F.cos(F.radians("lat_center"))
+    shares = background_shares(background, cells).join(cells.select("cell_id", "i_lat", "i_lon", "lat_center"), "cell_id").select("i_lat", "i_lon", (F.col("share") / area).alias("density"))
+    at = {"i_lat": F.floor((F.col("latitude") - C.MIN_LAT) / size).cast("int"), "i_lon": F.floor((F.col("longitude") - C.MIN_LON) / size).cast("int")}
+    sel = written(events.where(F.col("m") >= mc).withColumns(at).join(small(shares), ["i_lat", "i_lon"]).select("event_id", "t", "latitude", "longitude", "m", "density"), "selected")
+    n, days, logs = sel.agg(F.count("*"), (F.max(F.unix_micros("t")) - F.min(F.unix_micros("t"))) / DAY_US, F.sum(F.ln("density"))).first()
+    naive = n / days * 365.25 if n > 1 and days else 0.0
+    names, bounds = IN_TIME + IN_SPACE, BOUNDS + BOUNDS_IN_SPACE
+    alone, alone_nll = (naive, 0.0, 0.0, 0.01, 1.1, 10.0, 0.5, 1.0), n - n * math.log(naive / 365.25) - logs if naive else None
     if n < LEAST_EVENTS:
-        return spark.createDataFrame([alone(0)], schema)
-
-    def values(points: list[tuple[float, ...]]) -> list[float]:
-        rows = [(k, *map(float, x)) for k, x in enumerate(points)]
-        thetas = spark.createDataFrame(rows, "theta_id int, mu_per_year double, k double, alpha double, c double, p double")
-        found = {r["theta_id"]: r["nll"] for r in nll_of(sel, thetas, mc, tau_max_days).collect()}
-        return [found[k] for k in range(len(points))]
-
-    at = [(naive * share, *rest) for share, *rest in STARTS]
-    best, steps = values(at), [0.5] * len(at)
-    for _ in range(rounds):
-        active = [i for i, s in enumerate(steps) if s > 1e-3]
-        if not active:
-            break
-        tried = []
-        for i in active:
-            for d, (low, high) in enumerate(BOUNDS):
-                for sign in (1, -1):
-                    # p is above 1, so its logarithm is that of what exceeds 1.
-                    shift = 1.0 if d == 4 else 0.0
-                    y = list(at[i])
-                    y[d] = min(max(shift + (y[d] - shift) * math.exp(sign * steps[i]), low), high)
-                    tried.append((i, tuple(y)))
-        found = values([y for _, y in tried])
-        for i in active:
-            value, point = min((v, y) for v, (k, y) in zip(found, tried, strict=True) if k == i)
-            if value < best[i] - 1e-6:
-                best[i], at[i] = value, point
-            else:
-                steps[i] /= 2
-    rows = [alone(i) if x[1] <= 1e-6 or x[2] <= 1e-4 else (i, *map(float, x), float(v), True) for i, (x, v) in enumerate(zip(at, best, strict=True))]
-    return spark.createDataFrame(sorted(rows, key=lambda r: (r[6], r[0])), schema)
+        schema = "start_id int, " + ", ".join(f"{x} double" for x in names) + ", nll double, triggering boolean, passes int"
+        return spark.createDataFrame([(0, *alone, alone_nll, False, 0)], schema)
+    pairs = written(pairs_in_space(sel, tau_max_days, reach_km), "pairs")
+    starts = [(naive * share, *rest, *more) for (share, *rest), more in zip(STARTS, STARTS_IN_SPACE, strict=True)]
+    out = _fitted(spark, names, starts, bounds, lambda thetas: nll_in_space(sel, pairs, thetas, mc, tau_max_days), alone, alone_nll, passes)
+    dropped(pairs)
+    dropped(sel)
+    return out
 
 
 def identifiability(events: DataFrame, theta: dict[str, float], mc: float, tau_max_days: float = 365.0, step: float = 0.05) -> DataFrame:

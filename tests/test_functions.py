@@ -63,3 +63,24 @@ def test_rate_factors_are_clamped(spark):
     assert value(spark, seismo.stress_rate_factor(F.lit(1e9))) == 100.0
     assert value(spark, seismo.stress_rate_factor(F.lit(-1e9))) == 0.01
     assert value(spark, seismo.stress_rate_factor(F.lit(0.0), "exponential")) == 1.0
+
+
+def test_negative_binomial_quantiles_of_any_size():
+    def plain(r, p, q):
+        k = total = 0
+        log = r * math.log(p)
+        while True:
+            total += math.exp(log)
+            if total >= q:
+                return k
+            k += 1
+            log += math.log((r + k - 1) / k) + math.log1p(-p)
+
+    for r, p in ((0.5, 0.3), (3.0, 0.01), (12.5, 0.5), (2000.0, 0.5), (150.0, 0.0015), (5000.0, 0.9)):
+        for q in (0.0, 0.025, 0.5, 0.975):
+            assert negative_binomial_quantile(r, p, q) == plain(r, p, q)
+    assert negative_binomial_quantile(2000, 0.5, 0.5) == 1999
+    # A mean of a million, and shapes whose probability of none is no longer a number.
+    assert negative_binomial_quantile(2e3, 2e3 / (1e6 + 2e3), 0.5) == pytest.approx(1e6, rel=1e-3)
+    assert negative_binomial_quantile(1e6, 0.5, 0.5) == pytest.approx(1e6, abs=2)
+    assert negative_binomial_quantile(0, 0.5, 0.9) == negative_binomial_quantile(4, 1.0, 0.9) == 0

@@ -23,6 +23,28 @@ def test_csv_and_text(spark, tmp_path):
     assert [(r["native_event_id"], r["original_magnitude"]) for r in b] == [("isc:1", 4.5)]
 
 
+# Headers of a public format, as they are published and as they are written elsewhere.
+ISCGEM = """EventID,Origin_Time,Lat,Lon,Depth,Mw,Mtype,Msigma,smaj,depth_err
+1,2001-02-03 04:05:06.70,24.5,91.5,,6.1,Mw,0.2,7.5,3.1
+2,2001-02-03 04:05:06,24.5,91.5,33,5.9,MS,0.3,,2
+3,2001-02-03 04:05:06,,91.5,33,5.9,MS,0.3,,2
+4,2001-02-03 04:05:06,24.5,91.5,33,,MS,0.3,,2
+5,,24.5,91.5,33,5.9,MS,0.3,,2
+"""
+OTHER = """iscid,time,latitude,longitude,depth_km,m,mag_error,smin,depth_error
+9,1999-12-31T23:59:59Z,20.25,90,12,5.0,0.1,4,1.5
+"""
+
+
+def test_iscgem_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(ISCGEM)
+    (tmp_path / "b.csv").write_text(OTHER)
+    names = ["native_event_id", "depth_km", "original_magnitude", "magnitude_type", "magnitude_uncertainty", "horizontal_uncertainty_km", "depth_uncertainty_km"]
+    rows = lambda f: [tuple(r[n] for n in names) for r in catalog.read_iscgem_csv(spark, str(tmp_path / f)).collect()]
+    assert rows("a.csv") == [("1", 0.0, 6.1, "mw_iscgem", 0.2, 7.5, 3.1), ("2", 33.0, 5.9, "ms", 0.3, None, 2.0)]
+    assert rows("b.csv") == [("9", 12.0, 5.0, "mw_iscgem", 0.1, 4.0, 1.5)]
+
+
 def test_geojson_and_faults(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"features":[{"id":"x","properties":{"time":1704067200000,"mag":5.1,"magType":"Mww","status":"automatic"},"geometry":{"coordinates":[91.5,24.5,null]}}]}')
     r = catalog.read_usgs_geojson(spark, str(tmp_path / "a.json")).first()

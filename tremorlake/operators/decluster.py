@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
 from tremorlake.functions.seismo import gk_days, gk_radius_km, rupture_length_km
-from tremorlake.operators.joins import interval_join, near_cells
+from tremorlake.operators.joins import near_cells
 from tremorlake.operators.lineage import written
 from tremorlake.operators.settling import settled
 
@@ -27,25 +26,29 @@ STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "seed_us", "see
 def _coverage(events: DataFrame) -> DataFrame:
     """(a, b): a event of higher rank (magnitude, then time, then id) whose window holds b.
 
-    The window grows with magnitude, so events are joined band by band, in time buckets of the band's widest window
-    and cells of its widest radius.
+    The window grows with magnitude, so buckets of time and cells of space are those of half a magnitude's widest window
+    and radius. An event is dealt once to the buckets of every band from its own one up, where events that may cover it
+    look for it; all bands are one join.
     """
-    a = events.select(F.col("event_id").alias("a"), F.col("t").alias("t_a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), F.col("m").alias("m_a"))
-    b = events.select(F.col("event_id").alias("b"), F.col("t").alias("t_b"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"), F.col("m").alias("m_b"))
+    cols = ["event_id", "t", "latitude", "longitude", "m"]
+    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
     low, high, lat = events.agg(*[F.coalesce(x, F.lit(0.0)) for x in (F.min("m"), F.max("m"), F.max(F.abs("latitude")))]).first()
-    low, high = math.floor(low * 2) / 2, math.floor(high * 2) / 2
-    parts = []
-    for k in range(round((high - low) * 2) + 1):
-        least = low + k / 2
-        band = a.where((F.col("m_a") >= least) & (F.col("m_a") < least + 0.5))
-        radius = (0.1238 * (least + 0.5) + 0.983) * 111.0
-        wide = band.withColumn("_c", F.explode(near_cells(F.col("lat_a"), F.col("lon_a"), radius, lat, True)))
-        own = b.withColumn("_c", near_cells(F.col("lat_b"), F.col("lon_b"), radius, lat, False)[0])
-        parts.append(interval_join(wide, own, "t_a", "t_b", 86400 * 10 ** (0.5 * (least + 0.5) - 0.052), on=("_c",)).drop("_c"))
-    pairs = reduce(DataFrame.unionByName, parts)
+    low = math.floor(low * 2)
+    bands = range(math.floor(high * 2) - low + 1)
+    band = lambda m: (F.floor(m * 2) - low).cast("int")
+    top = [(low + k + 1) / 2 for k in bands]
+    bucket = lambda us, m: F.floor(us / round(86400e6 * 10 ** (0.5 * m - 0.052)))
+    cells = lambda side, m, around: near_cells(F.col(f"latitude_{side}"), F.col(f"longitude_{side}"), (0.1238 * m + 0.983) * 111.0, lat, around)
+    us_a, us_b = F.unix_micros("t_a"), F.unix_micros("t_b")
+    found = F.array(*[F.struct(F.lit(k).alias("_band"), bucket(us_b, m).alias("_k"), cells("b", m, False)[0].alias("_c")) for k, m in enumerate(top)])
+    own = b.select("*", F.inline(F.filter(found, lambda x: x["_band"] >= band(F.col("m_b")))))
+    mine = lambda values: F.element_at(F.array(*values), F.col("_band") + 1)
+    wide = a.withColumn("_band", band(F.col("m_a"))).withColumn("_k", mine([bucket(us_a, m) for m in top]))
+    wide = wide.withColumn("_c", F.explode(mine([cells("a", m, True) for m in top]))).withColumn("_k", F.explode(F.array(*[F.col("_k") + d for d in (-1, 0, 1)])))
+    pairs = wide.join(own, ["_band", "_k", "_c"]).withColumnsRenamed({"event_id_a": "a", "event_id_b": "b"})
     higher = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.struct("t_a", "a") < F.struct("t_b", "b")))
     days = F.abs(F.unix_micros("t_b") - F.unix_micros("t_a")) / 86400e6
-    near = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= gk_radius_km(F.col("m_a"))
+    near = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b")) <= gk_radius_km(F.col("m_a"))
     return pairs.where(higher & (days <= gk_days(F.col("m_a"))) & near).select("a", "b", "m_a", "t_a", "t_b")
 
 

@@ -152,21 +152,29 @@ def read_isc_allmags(spark: SparkSession, path: str) -> DataFrame:
     return all_magnitudes(read_isc_text(spark, path), "native_event_id")
 
 
+#: The names that a column of the format has, in the order in which they are taken.
+ISCGEM_NAMES = {
+    "time": ["origin_time", "time", "date_time", "datetime"],
+    "mag": ["mw", "m", "magnitude"],
+    "type": ["mtype", "magtype", "magnitude_type"],
+    "id": ["eventid", "event_id", "iscid"],
+    "lat": ["lat", "latitude"],
+    "lon": ["lon", "longitude"],
+    "depth": ["depth", "depth_km"],
+    "error": ["msigma", "mag_error", "m_sigma"],
+    "axis": ["smaj", "smin", "err_smaj"],
+    "depth_error": ["depth_err", "depth_error"],
+}
+
+
 def read_iscgem_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of a file whose header may use any alias; the first that is not empty counts."""
+    """Observations of a file with a header in any case; of the names of a column the first that is not empty counts.
+
+    Rows without time, magnitude or place go; a missing depth is 0, a missing type that of the catalog.
+    """
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    aliases = {
-        "time": ["origin_time", "time", "date_time", "datetime"],
-        "lat": ["lat", "latitude"],
-        "lon": ["lon", "longitude"],
-        "depth": ["depth", "depth_km"],
-        "mag": ["mw", "m", "magnitude"],
-        "id": ["eventid", "event_id", "id"],
-        "type": ["magtype", "mag_type", "magnitude_type", "type"],
-        "error": ["unc", "mag_unc", "mw_unc", "magnitude_uncertainty"],
-        "axis": ["smaj", "err_smaj", "smin"],
-    }
+    aliases = ISCGEM_NAMES
 
     def first(name: str):
         found = [F.when(~F.trim(c).isin(_NULLS), F.trim(c)) for c in aliases[name] if c in raw.columns]
@@ -175,17 +183,18 @@ def read_iscgem_csv(spark: SparkSession, path: str) -> DataFrame:
     kind = F.lower(first("type"))
     return raw.select(
         F.lit("isc-gem").alias("source_catalog"),
-        first("id").alias("native_event_id"),
+        F.coalesce(first("id"), F.lit("")).alias("native_event_id"),
         F.try_to_timestamp(first("time")).alias("origin_time"),
         first("lat").try_cast("double").alias("latitude"),
         first("lon").try_cast("double").alias("longitude"),
-        first("depth").try_cast("double").alias("depth_km"),
+        F.coalesce(first("depth").try_cast("double"), F.lit(0.0)).alias("depth_km"),
         first("mag").try_cast("double").alias("original_magnitude"),
         F.when(kind.isNull() | kind.isin("mw", "iscgem"), "mw_iscgem").otherwise(kind).alias("magnitude_type"),
         first("error").try_cast("double").alias("magnitude_uncertainty"),
         first("axis").try_cast("double").alias("horizontal_uncertainty_km"),
+        first("depth_error").try_cast("double").alias("depth_uncertainty_km"),
         F.lit("reviewed").alias("quality_flag"),
-    ).where("origin_time IS NOT NULL AND original_magnitude IS NOT NULL")
+    ).where("origin_time IS NOT NULL AND original_magnitude IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
 def read_faults_geojson(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,15 @@ class TimeTree:
     back. So it meets some five buckets a level, and there is a level more for every doubling of the density.
 
     ``pairs``: event_id, lag in days, m. ``far``: event_id, _us, and level and number of each bucket. With ``keep``
-    they are written, for sums of many kernels.
+    they are written, for sums of many kernels. ``probes`` (event_id, t) are asked for instead of the events.
     """
 
-    def __init__(self, events: DataFrame, max_days: float | None, keep: bool = False):
+    def __init__(self, events: DataFrame, max_days: float | None, keep: bool = False, probes: DataFrame | None = None):
         us = F.unix_micros("t")
         if max_days is None:
             low, high = events.agg(F.min(us), F.max(us)).first()
-            limit, reach = None, max(1, (high or 0) - (low or 0))
+            last = high if probes is None else max(high or 0, probes.agg(F.max(us)).first()[0] or 0)
+            limit, reach = None, max(1, (last or 0) - (low or 0))
         else:
             limit = reach = round(max_days * DAY_US)
         finest = max(1, -(-reach // (WIDEST << HALVINGS)))
@@ -64,10 +66,12 @@ class TimeTree:
         self.placed = events.select("event_id", us.alias("_us"), "m", _bucket(us, self.width).alias("_b"))
         first = F.lit((low or 0) // self.width) if limit is None else _bucket(F.col("_us") - limit, self.width) + 1
 
+        asked = self.placed if probes is None else probes.select("event_id", us.alias("_us"), _bucket(us, self.width).alias("_b"))
+
         # The nearest buckets, and the one that the longest lag ends in.
         sources = self.placed.select(F.col("_us").alias("_ta"), "m", F.col("_b").alias("_k"))
         own = F.sequence(F.col("_b") - APART, F.col("_b"))
-        targets = self.placed.select("event_id", F.col("_us").alias("_tb"), F.explode(own if limit is None else F.array_union(own, F.array(first - 1))).alias("_k"))
+        targets = asked.select("event_id", F.col("_us").alias("_tb"), F.explode(own if limit is None else F.array_union(own, F.array(first - 1))).alias("_k"))
         gap = F.col("_tb") - F.col("_ta")
         pairs = targets.join(sources, "_k").where((gap > 0) if limit is None else (gap > 0) & (gap <= limit))
         self.pairs = pairs.select("event_id", (gap / DAY_US).alias("lag"), "m")
@@ -85,7 +89,7 @@ class TimeTree:
                 odd = (F.pmod(start, F.lit(2)) == 1) & (start < begin) & (start <= end)
                 spans.append(F.when(odd, F.array(on_level(k)(start))))
         none = F.array().cast("array<struct<_l:int,_k:bigint>>")
-        self.far = self.placed.withColumn("_first", first).select("event_id", "_us", F.inline(F.concat(*[F.coalesce(s, none) for s in spans])))
+        self.far = asked.withColumn("_first", first).select("event_id", "_us", F.inline(F.concat(*[F.coalesce(s, none) for s in spans])))
         if keep:
             self.placed, self.pairs, self.far = written(self.placed, "placed"), written(self.pairs, "pairs"), written(self.far, "far")
 
@@ -132,15 +136,15 @@ class TimeTree:
         return close.unionByName(distant).groupBy("kernel", "event_id").agg(*[F.sum(k).alias(k) for k in terms])
 
 
-def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, slopes: bool = False) -> DataFrame:
+def kernel_sums(events: DataFrame, kernels: DataFrame, mc: float, max_days: float | None, slopes: bool = False, probes: DataFrame | None = None) -> DataFrame:
     """kernel, event_id, s: the sum of 10 ** (alpha * (m - mc)) * (lag + c) ** -q over earlier events, at most
     ``max_days`` before; rows without earlier events are left out. ``kernels``: kernel, alpha, c, q (a small table).
-    ``slopes`` adds s_alpha, s_c and s_q, the derivatives of s.
+    ``slopes`` adds s_alpha, s_c and s_q, the derivatives of s. ``probes`` (event_id, t): sums at their times instead.
 
     Near pairs are summed one by one. A far bucket of the ``TimeTree`` is summed by the moments of its weights and the
     power series of the kernel, exact to some 1e-9 of a term.
     """
-    return TimeTree(events, max_days).sums(small(kernels), mc, slopes)
+    return TimeTree(events, max_days, probes=probes).sums(small(kernels), mc, slopes)
 
 
 def _days_from_middle(width: int):
@@ -251,6 +255,27 @@ def temporal_forecast(events: DataFrame, origins: DataFrame, horizon_days: float
     return origins.join(made, "origin", "left").withColumn("expected", expected).withColumn("p", 1 - F.exp(-F.col("expected"))).drop("s")
 
 
+def expected_after(events: DataFrame, probes: DataFrame, models: dict[str, dict[str, float]], horizon_days: float) -> DataFrame:
+    """event_id, model, expected of ``probes`` (event_id, t): events expected within ``horizon_days`` of each probe's time.
+
+    The decay over the horizon is the difference of two kernels that end at its start and at its end, so probes and
+    events meet through the ``TimeTree``, and both may be many. ``models``: parameters by name.
+    """
+    spark = events.sparkSession
+    parts = []
+    for mc in sorted({x["mc"] for x in models.values()}):
+        mine = {name: x for name, x in models.items() if x["mc"] == mc}
+        rows = [(f"{name}/{side}", x["alpha"], x["c_days"] + side * horizon_days, x["p"] - 1) for name, x in mine.items() for side in (0, 1)]
+        kernels = spark.createDataFrame(pa.table({k: list(v) for k, v in zip(("kernel", "alpha", "c", "q"), zip(*rows, strict=True), strict=True)}))
+        sums = kernel_sums(events.where(F.col("m") >= mc - 0.05), kernels, mc, None, probes=probes)
+        side = F.when(F.col("kernel").endswith("/0"), F.col("s")).otherwise(-F.col("s"))
+        sums = sums.groupBy("event_id", F.regexp_extract("kernel", "^(.*)/", 1).alias("model")).agg(F.sum(side).alias("s"))
+        table = spark.createDataFrame(pa.table({"model": list(mine), "mu": [x["mu_per_year"] for x in mine.values()], "scale": [x["k"] * x["c_days"] ** (x["p"] - 1) for x in mine.values()]}))
+        every = probes.select("event_id").join(F.broadcast(table)).join(sums, ["event_id", "model"], "left")
+        parts.append(every.select("event_id", "model", (F.col("mu") / 365.25 * horizon_days + F.col("scale") * F.coalesce("s", F.lit(0.0))).alias("expected")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def uniform_background(cells: DataFrame) -> DataFrame:
     """cell_id, share: every cell's part of the background by its area."""
     area = F.cos(F.radians("lat_center"))

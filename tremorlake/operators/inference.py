@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +52,59 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.select("test", "p_value", F.col("k").alias("rank"), (F.col("p_value") <= alpha / F.col("n")).alias("bonferroni"), F.coalesce(F.col("k") <= F.col("last"), F.lit(False)).alias("bh"))
 
 
-def resampled(rows: DataFrame, order: str, replicates: int, seed: int = 42) -> DataFrame:
-    """``rows`` drawn anew for each replicate ``r``, as many as there are, by numbers that every engine draws alike.
+#: Draws are whole numbers below this prime; a row's weight in a replicate is how many of the steps its draw reaches,
+#: so weights follow the Poisson law of mean 1.
+PRIME = 2147483647
+STEPS = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(13)]
+#: Multipliers of the two rounds that mix a row's key with the replicate; squares leave no straight lines.
+MIX = ((1103515, 12345, 42), (48271, 69621))
+
+
+def weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Weight of each key (a whole number) in each replicate, from numbers that every engine draws alike."""
+    (a, b, c), rounds = MIX[0], MIX[1]
+    x = (np.arange(replicates, dtype=np.int64)[None, :] * a + np.mod(keys.astype(np.int64), PRIME)[:, None] * b + c) % PRIME
+    for k in rounds:
+        x = (x * x % PRIME + x * k + c) % PRIME
+    return np.searchsorted(np.array(STEPS), x, "right")
+
 
-    For selections of some thousand rows: they are numbered in ``order``, and replicates * rows are drawn.
+def weights_sql(replicate: str, key: str) -> str:
+    """The same weight as SQL, of columns of whole numbers, keys from 0 on."""
+    (a, b, c), rounds = MIX[0], MIX[1]
+    x = f"({replicate}::BIGINT * {a} + {key}::BIGINT % {PRIME} * {b} + {c}) % {PRIME}"
+    for k in rounds:
+        x = f"(({x}) * ({x}) % {PRIME} + ({x}) * {k} + {c}) % {PRIME}"
+    return "(" + " + ".join(f"(({x}) >= {s})::INT" for s in STEPS) + ")"
+
+
+def weighted_sums(rows: DataFrame, key: str, values: Callable[[pa.RecordBatch], np.ndarray], replicates: int) -> DataFrame:
+    """r, k, s: the sum of the k-th value over all ``rows`` with each replicate's weights; rows drawn never count 0.
+
+    A bootstrap without numbering and without draws as rows: every task multiplies the weights of its rows, a batch at a
+    time, with their ``values`` (a matrix of a row each), and hands on one sum for each replicate and value.
     """
-    numbered = rows.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    size = numbered.agg(F.count("*").alias("_size"))
-    draws = rows.sparkSession.range(replicates).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)))
-    return draws.select("r", lcg(F.col("r"), F.col("_k"), F.col("_size"), seed).alias("_i")).join(numbered, "_i").drop("_i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = weights(batch.column(key).to_numpy(zero_copy_only=False), replicates).T.astype(float) @ values(batch)
+            total = part if total is None else total + part
+        if total is not None:
+            r, k = np.indices(total.shape)
+            yield pa.record_batch([pa.array(r.ravel()), pa.array(k.ravel()), pa.array(total.ravel())], names=["r", "k", "s"])
+
+    return rows.mapInArrow(run, "r long, k long, s double").groupBy("r", "k").agg(F.sum("s").alias("s"))
+
+
+def weighted_means(rows: DataFrame, key: str, value: str, replicates: int) -> DataFrame:
+    """r, n, mean: the drawn number of ``rows`` and the mean of ``value`` in each replicate."""
+    both = lambda batch: np.column_stack([np.ones(batch.num_rows), batch.column(value).to_numpy(zero_copy_only=False)])
+    sums = weighted_sums(rows.select(key, F.col(value).cast("double").alias(value)), key, both, replicates)
+    n, s = (F.max(F.when(F.col("k") == k, F.col("s"))) for k in (0, 1))
+    return sums.groupBy("r").agg(n.alias("n"), (s / F.nullif(n, F.lit(0.0))).alias("mean"))
 
 
 def percentile_interval(values: DataFrame, column: str, places: int = 6) -> DataFrame:

@@ -5,43 +5,48 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.functions.geo import local_degrees
-from tremorlake.functions.seismo import gaussian_kernel, lcg, omori_integral, productivity
+from tremorlake import constants as C
+from tremorlake.functions.seismo import lcg
+from tremorlake.operators import etas, inference
 from tremorlake.operators.joins import counted_before, days_between, small
 from tremorlake.operators.lineage import written
 
 DAY_US = 86400000000
 
 
-def conditioned(events: DataFrame, origins: DataFrame, horizon_days: float, etas: dict[str, float], target_m: float = 4.0, start: str = "1975-01-01") -> DataFrame:
-    """label, origin, p_etas, p_poisson, y for ``origins`` (label, origin), a dimension of some thousand rows.
+def conditioned(events: DataFrame, origins: DataFrame, horizon_days: float, models: dict[str, dict[str, float]], target_m: float = 4.0, start: str = "1975-01-01") -> DataFrame:
+    """label, origin, p_<model> of each of ``models``, p_poisson, y for ``origins`` (label, origin), which may be many.
 
     The Poisson forecast has the mean rate since ``start``; it and the outcome are counts up to a time.
     """
-    mc = etas["mc"]
     origins = written(origins.withColumn("_row", F.monotonically_increasing_id()), "origins")
-    past = events.where(F.col("m") >= mc - 0.05).select("t", "m").join(small(origins.select("origin").distinct()), F.col("t") < F.col("origin"))
-    lag = days_between(F.col("origin"), F.col("t"))
-    made = past.groupBy("origin").agg(F.sum(productivity(F.col("m"), etas["k"], etas["alpha"], mc) * omori_integral(lag, lag + horizon_days, etas["c_days"], etas["p"])).alias("s"))
+    made = etas.expected_after(events, origins.select(F.col("_row").alias("event_id"), F.col("origin").alias("t")), models, horizon_days)
+    each = made.groupBy(F.col("event_id").alias("_row")).agg(*[F.max(F.when(F.col("model") == name, 1 - F.exp(-F.col("expected")))).alias(f"p_{name}") for name in models])
     at = F.unix_micros("origin")
     marks = F.array(F.struct(F.lit(0).alias("k"), at.alias("_at")), F.struct(F.lit(1).alias("k"), (at + round(horizon_days * DAY_US)).alias("_at")))
     counts = counted_before(origins.select("_row", F.inline(marks)), events.where(F.col("m") >= target_m).select("t"), "_at", "t")
     n = lambda k: F.max(F.when(F.col("k") == k, F.col("n_before")))
-    after = origins.join(counts.groupBy("_row").agg(n(0).alias("_n"), n(1).alias("_m")), "_row")
+    rows = origins.join(counts.groupBy("_row").agg(n(0).alias("_n"), n(1).alias("_m")), "_row").join(each, "_row")
     days = days_between(F.col("origin"), F.lit(start).cast("timestamp"))
-    rows = after.join(made, "origin", "left")
-    expected = etas["mu_per_year"] / 365.25 * horizon_days + F.coalesce("s", F.lit(0.0))
-    return rows.select("label", "origin", (1 - F.exp(-expected)).alias("p_etas"), (1 - F.exp(-F.col("_n") / days * horizon_days)).alias("p_poisson"), (F.col("_m") > F.col("_n")).cast("int").alias("y"))
+    return rows.select("label", "origin", *[f"p_{name}" for name in models], (1 - F.exp(-F.col("_n") / days * horizon_days)).alias("p_poisson"), (F.col("_m") > F.col("_n")).cast("int").alias("y"))
 
 
-def short_horizons(events: DataFrame, main_m: float, horizons: list[tuple[str, float]], etas: dict[str, float], delay_us: int = 3600000000) -> DataFrame:
+def fitted_model(events: DataFrame, until: str, mc: float) -> dict[str, float]:
+    """Parameters fitted to the events before ``until``, which comes before all origins that they are to forecast."""
+    best = etas.fit(events.where(F.col("t") < F.lit(until).cast("timestamp")), mc).first()
+    return {"mu_per_year": best["mu_per_year"], "k": best["k"], "alpha": best["alpha"], "c_days": best["c"], "p": best["p"], "mc": mc}
+
+
+def short_horizons(events: DataFrame, main_m: float, horizons: list[tuple[str, float]], model: dict[str, float], delay_us: int = 3600000000) -> DataFrame:
     """horizon, n and Brier scores of both forecasts that begin ``delay_us`` after each mainshock."""
     origins = events.where(F.col("m") >= main_m).select(F.lit("after").alias("label"), F.timestamp_micros(F.unix_micros("t") + delay_us).alias("origin"))
     err = lambda c: F.round(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))), 6)
-    parts = [conditioned(events, origins, days, etas).agg(F.count("*").alias("n"), err("p_etas").alias("brier_etas"), err("p_poisson").alias("brier_poisson")).select(F.lit(name).alias("horizon"), "n", "brier_etas", "brier_poisson") for name, days in horizons]
+    parts = [conditioned(events, origins, days, {"etas": model}).agg(F.count("*").alias("n"), err("p_etas").alias("brier_etas"), err("p_poisson").alias("brier_poisson")).select(F.lit(name).alias("horizon"), "n", "brier_etas", "brier_poisson") for name, days in horizons]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -72,9 +77,20 @@ def posterior_predictive(cells: DataFrame, replicates: int, seed: int = 42) -> D
     return per.join(seen, "stat").select("stat", F.round("seen", 6).alias("observed"), "mean", F.round("lo", 6).alias("lower"), F.round("hi", 6).alias("upper"), F.col("seen").between(F.col("lo"), F.col("hi")).alias("passes"))
 
 
-def rate_bootstrap(drawn: DataFrame, cells: DataFrame, years: float, h_degrees: float) -> DataFrame:
-    """cell_id, lower, upper: percentiles of smoothed rates over replicates of resampled events (r, latitude, longitude)."""
-    r = local_degrees(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
-    per = drawn.join(small(cells)).groupBy("r", "cell_id").agg((F.sum(gaussian_kernel(r, h_degrees)) / years).alias("rate"))
-    at = lambda q: F.round(F.percentile("rate", F.lit(q)), 6)
-    return per.groupBy("cell_id").agg(at(0.025).alias("lower"), at(0.975).alias("upper"))
+def rate_bootstrap(events: DataFrame, cells: DataFrame, years: float, h_degrees: float, replicates: int) -> DataFrame:
+    """cell_id, lower, upper: percentiles of smoothed rates over replicates in which each event counts as often as it is
+    drawn (``inference.weighted_sums``). ``events``: event_id, latitude, longitude; cells are a small dimension."""
+    small(cells)
+    grid = sorted((r["cell_id"], r["lat_center"], r["lon_center"]) for r in cells.collect())
+    lat, lon = (np.array([g[k] for g in grid]) for k in (1, 2))
+
+    def densities(batch: pa.RecordBatch) -> np.ndarray:
+        at = [batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("latitude", "longitude")]
+        d2 = (at[0] - lat) ** 2 + ((at[1] - lon) * math.cos(math.radians(C.MID_LATITUDE))) ** 2
+        return np.exp(-d2 / (2 * h_degrees**2)) / (2 * math.pi * h_degrees**2) / years
+
+    sums = inference.weighted_sums(events.select("event_id", "latitude", "longitude"), "event_id", densities, replicates)
+    at = lambda q: F.round(F.percentile("s", F.lit(q)), 6)
+    each = sums.groupBy("k").agg(at(0.025).alias("lower"), at(0.975).alias("upper"))
+    names = cells.sparkSession.createDataFrame([(k, g[0]) for k, g in enumerate(grid)], "k long, cell_id string")
+    return each.join(F.broadcast(names), "k").select("cell_id", "lower", "upper")

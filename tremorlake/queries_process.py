@@ -110,11 +110,22 @@ _EXPECTED = """scored AS (SELECT label, origin, (20.0::DOUBLE / 365.25::DOUBLE *
 def conditioned_scores(spark, sf_dir):
     """Self-exciting and Poisson forecasts for a week, by how long ago the last mainshock was."""
     q = catalog.quakes(spark, sf_dir)
-    rows = simulate.conditioned(q, _conditioned(spark, sf_dir), 7.0, ETAS)
+    rows = simulate.conditioned(q, _conditioned(spark, sf_dir), 7.0, {"etas": ETAS})
     err = lambda c: _r(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))))
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("y").alias("n_positive"), err("p_etas").alias("brier_etas"), err("p_poisson").alias("brier_poisson"))
 
 
+@query()
+def conditioned_with_fit(spark, sf_dir):
+    """The same with a third model, fitted to the events before the first origin."""
+    q = catalog.quakes(spark, sf_dir)
+    origins = _conditioned(spark, sf_dir)
+    until = str(origins.agg(F.min("origin") - F.expr("INTERVAL 1 DAY")).first()[0])
+    rows = simulate.conditioned(q, origins, 7.0, {"etas": ETAS, "local": simulate.fitted_model(q, until, 4.0)})
+    err = lambda c: _r(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("y").alias("n_positive"), *[err(f"p_{x}").alias(f"brier_{x}") for x in ("etas", "local", "poisson")])
+
+
 _SHORT = [("1h", 1 / 24), ("6h", 0.25), ("1d", 1.0), ("3d", 3.0), ("7d", 7.0), ("30d", 30.0)]
 
 
@@ -288,15 +299,15 @@ def adaptive_rates(spark, sf_dir):
 
 @query(
     _q(
-        f"""SELECT cell_id, round(quantile_cont(rate, 0.025), 6) AS lower, round(quantile_cont(rate, 0.975), 6) AS upper FROM (SELECT r, cell_id, sum(exp(-d * d / 0.5::DOUBLE) / (2 * pi() * 0.25::DOUBLE)) / {YEARS}::DOUBLE AS rate FROM (
-      SELECT r, cell_id, {_DEG} AS d FROM (SELECT r, {_LCG.format(r="r", i="k")} % n AS ix FROM range(50) x(r), (SELECT n, unnest(range(n)) AS k FROM (SELECT count(*) AS n FROM q WHERE m >= 5.5))) JOIN (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS ix FROM q WHERE m >= 5.5) e USING (ix), grid) GROUP BY r, cell_id) GROUP BY cell_id""",
+        f"""SELECT cell_id, round(quantile_cont(rate, 0.025), 6) AS lower, round(quantile_cont(rate, 0.975), 6) AS upper FROM (
+      SELECT r, cell_id, sum(w * v) / {YEARS}::DOUBLE AS rate FROM (SELECT r, event_id, {inference.weights_sql("r", "event_id")} AS w FROM range(50) x(r), q WHERE m >= 4.0)
+      JOIN (SELECT event_id, cell_id, exp(-d * d / 0.5::DOUBLE) / (2 * pi() * 0.25::DOUBLE) AS v FROM (SELECT event_id, cell_id, {_DEG} AS d FROM q, grid WHERE m >= 4.0)) USING (event_id) GROUP BY r, cell_id) GROUP BY cell_id""",
         GRID,
     )
 )
 def smoothed_rate_bootstrap(spark, sf_dir):
-    """Intervals of smoothed rates over resampled large events."""
-    big = catalog.quakes(spark, sf_dir).where("m >= 5.5D").select("event_id", "latitude", "longitude")
-    return simulate.rate_bootstrap(inference.resampled(big, "event_id", 50), joins.grid(spark), YEARS, 0.5)
+    """Intervals of smoothed rates over replicates that weigh all events from magnitude 4 on."""
+    return simulate.rate_bootstrap(catalog.quakes(spark, sf_dir).where("m >= 4.0D"), joins.grid(spark), YEARS, 0.5, 50)
 
 
 @query(

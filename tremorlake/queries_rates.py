@@ -153,15 +153,13 @@ def quick_b(spark, sf_dir):
 @query(
     _q(
         f"""SELECT round(quantile_cont(b, 0.025), 6) AS lower, round(quantile_cont(b, 0.975), 6) AS upper FROM (
-    SELECT r, log10(exp(1.0::DOUBLE)) / (avg(m) - 4.95::DOUBLE) AS b FROM (SELECT r, {_LCG.format(r="r", i="k")} % n AS i FROM range(200) x(r), (SELECT n, unnest(range(n)) AS k FROM (SELECT count(*) AS n FROM q WHERE m >= 4.95)))
-    JOIN (SELECT m, row_number() OVER (ORDER BY event_id) - 1 AS i FROM q WHERE m >= 4.95) USING (i) GROUP BY r HAVING count(*) >= 20)"""
+    SELECT r, log10(exp(1.0::DOUBLE)) / (sum(w * m) / sum(w) - 4.95::DOUBLE) AS b FROM (SELECT r, m, {inference.weights_sql("r", "event_id")} AS w FROM range(200) x(r), q WHERE m >= 4.95) GROUP BY r HAVING sum(w) >= 20)"""
     )
 )
 def b_value_bootstrap(spark, sf_dir):
-    """Percentile interval of b at Mc 5 over resampled events."""
-    big = catalog.quakes(spark, sf_dir).where("m >= 4.95D").select("event_id", "m")
-    per = inference.resampled(big, "event_id", 200).groupBy("r").agg((completeness.LOG10_E / (F.avg("m") - 4.95)).alias("b"), F.count("*").alias("n")).where("n >= 20")
-    return inference.percentile_interval(per, "b")
+    """Percentile interval of b at Mc 5 over replicates that weigh all events."""
+    per = inference.weighted_means(catalog.quakes(spark, sf_dir).where("m >= 4.95D"), "event_id", "m", 200).where("n >= 20")
+    return inference.percentile_interval(per.select((completeness.LOG10_E / (F.col("mean") - 4.95)).alias("b")), "b")
 
 
 # ---- rates and their uncertainty -----------------------------------------------------------------------------
@@ -460,17 +458,17 @@ def model_scores(spark, sf_dir):
 @query(
     _q(
         f"""SELECT round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper FROM (
-    SELECT r, avg(e) AS d FROM (SELECT r, {_LCG.format(r="r", i="k")} % 576 AS i FROM range(200) x(r), range(576) z(k)) JOIN (SELECT (p - y) * (p - y) AS e, row_number() OVER (ORDER BY origin_year, cell_id) - 1 AS i FROM fc) USING (i) GROUP BY r)""",
+    SELECT r, sum(w * e) / sum(w) AS d FROM (SELECT r, e, {inference.weights_sql("r", "k")} AS w FROM range(200) x(r), (SELECT (p - y) * (p - y) AS e, origin_year * 64 + substr(cell_id, 6, 2)::INT * 8 + substr(cell_id, 9, 2)::INT AS k FROM fc)) GROUP BY r)""",
         GRID,
         _forecast(),
     )
 )
 def brier_bootstrap(spark, sf_dir):
-    """Percentile interval of the Brier score over resampled rows."""
+    """Percentile interval of the Brier score over replicates that weigh all rows."""
     e = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    rows = _forecasts(spark, sf_dir).select(F.concat_ws("/", F.col("origin_year"), "cell_id").alias("key"), e.alias("e"))
-    per = inference.resampled(rows, "key", 200).groupBy("r").agg(F.avg("e").alias("d"))
-    return inference.percentile_interval(per, "d")
+    key = F.col("origin_year") * 64 + F.substring("cell_id", 6, 2).cast("int") * 8 + F.substring("cell_id", 9, 2).cast("int")
+    rows = _forecasts(spark, sf_dir).select(key.cast("long").alias("key"), e.alias("e"))
+    return inference.percentile_interval(inference.weighted_means(rows, "key", "e", 200), "mean")
 
 
 @query()

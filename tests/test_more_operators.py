@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import all_queries
 from tremorlake.functions.quantiles import gamma_cdf, gamma_quantile
-from tremorlake.operators import audit, completeness, etas, features, intervals, joins, metrics, models, verdicts
+from tremorlake.operators import audit, completeness, etas, features, inference, intervals, joins, metrics, models, rings, verdicts
 from tremorlake.plans import ledger
 from tremorlake.sources import catalog, sinks
 
@@ -85,6 +85,46 @@ def test_kernel_sums_meet_few_rows_however_dense(spark):
     assert max(p for p, _ in met) <= 2 * etas.SHARED * (etas.APART + 2) and met[1][1] - met[0][1] <= 4 * (etas.APART + 1)
 
 
+@pytest.mark.parametrize("many", [20, 10**9])
+def test_ring_counts_equal_all_pairs(spark, monkeypatch, many):
+    """Whether cells are opened to the last level, now and then, or never; across the date line and before the epoch."""
+    monkeypatch.setattr(rings, "MANY", many)
+    r = np.random.default_rng(13)
+    at = lambda n: [(datetime(1970, 1, 1) + timedelta(hours=float(r.uniform(-4000, 4000))), float(r.uniform(-14, -4)), float((r.uniform(172, 190) + 180) % 360 - 180)) for _ in range(n)]
+    first, later = at(40), at(400)
+    later += first[:10] + [(first[0][0] + timedelta(days=20), *first[0][1:])]
+    edges = [1.0, 20.0, 60.0, 150.0, 400.0, 800.0]
+    frame = lambda rows: spark.createDataFrame(rows, "t timestamp, latitude double, longitude double")
+    got = {x["bin"]: x["n"] for x in rings.ring_counts(frame(first), frame(later), 20.0, edges).collect()}
+    want: dict = {}
+    for a in first:
+        for b in later:
+            la, lo, lb, lp = np.radians([a[1], a[2], b[1], b[2]])
+            d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2))
+            k = int(np.searchsorted(edges, d, "right")) - 1
+            if 0 < (b[0] - a[0]).total_seconds() <= 20 * 86400 and 0 <= k < 5:
+                want[k] = want.get(k, 0) + 1
+    assert got == want and len(want) >= 4
+    assert rings.ring_counts(frame(first).where("FALSE"), frame(later), 20.0, edges).count() == 0
+
+
+def test_weights_of_replicates(spark):
+    """Poisson weights of mean and variance 1 that neither rows nor replicates share, the same in SQL."""
+    import duckdb
+
+    w = inference.weights(np.arange(4000), 200)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    sums = w.sum(0)
+    assert 0.7 < sums.var() / 4000 < 1.3 and np.abs(np.corrcoef(w.T)[np.triu_indices(200, 1)]).mean() < 0.02
+    found = duckdb.sql(f"SELECT k, r, {inference.weights_sql('r', 'k')} AS w FROM range(50) a(k), range(40) b(r) ORDER BY k, r").fetchall()
+    assert [x[2] for x in found] == w[:50, :40].ravel().tolist()
+    rows = spark.createDataFrame([(k, float(k % 7)) for k in range(4000)], "id long, v double").repartition(5)
+    got = {x["r"]: (x["n"], x["mean"]) for x in inference.weighted_means(rows, "id", "v", 200).collect()}
+    v = np.arange(4000) % 7
+    assert got == {r: (float(w[:, r].sum()), pytest.approx((w[:, r] * v).sum() / w[:, r].sum())) for r in range(200)}
+    assert inference.weighted_means(rows.where("FALSE"), "id", "v", 200).count() == 0
+
+
 def test_transformed_times_never_fall(spark):
     _, frame = events(spark)
     tau = [r["tau"] for r in etas.transformed_times(frame, 20.0, 0.05, 0.8, 0.01, 1.1, 3.5).orderBy("t").collect()]

@@ -16,6 +16,7 @@ from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power
 from tremorlake.operators.joins import counted_before, days_between, interval_join, near_cells, small
 from tremorlake.operators.lineage import dropped, written
 from tremorlake.operators.optimise import Found, minimised
+from tremorlake.operators.rings import ring_counts
 
 DAY_US = 86400000000
 #: Widest buckets in the longest lag, and times that buckets are halved at most (to a quarter of a second in a year).
@@ -259,20 +260,21 @@ def expected_after(events: DataFrame, probes: DataFrame, models: dict[str, dict[
     """event_id, model, expected of ``probes`` (event_id, t): events expected within ``horizon_days`` of each probe's time.
 
     The decay over the horizon is the difference of two kernels that end at its start and at its end, so probes and
-    events meet through the ``TimeTree``, and both may be many. ``models``: parameters by name.
+    events meet through the ``TimeTree``, and both may be many. ``models``: parameters by name, with a horizon_days of
+    their own or without.
     """
     spark = events.sparkSession
     parts = []
     for mc in sorted({x["mc"] for x in models.values()}):
         mine = {name: x for name, x in models.items() if x["mc"] == mc}
-        rows = [(f"{name}/{side}", x["alpha"], x["c_days"] + side * horizon_days, x["p"] - 1) for name, x in mine.items() for side in (0, 1)]
+        rows = [(f"{name}/{side}", x["alpha"], x["c_days"] + side * x.get("horizon_days", horizon_days), x["p"] - 1) for name, x in mine.items() for side in (0, 1)]
         kernels = spark.createDataFrame(pa.table({k: list(v) for k, v in zip(("kernel", "alpha", "c", "q"), zip(*rows, strict=True), strict=True)}))
         sums = kernel_sums(events.where(F.col("m") >= mc - 0.05), kernels, mc, None, probes=probes)
         side = F.when(F.col("kernel").endswith("/0"), F.col("s")).otherwise(-F.col("s"))
         sums = sums.groupBy("event_id", F.regexp_extract("kernel", "^(.*)/", 1).alias("model")).agg(F.sum(side).alias("s"))
-        table = spark.createDataFrame(pa.table({"model": list(mine), "mu": [x["mu_per_year"] for x in mine.values()], "scale": [x["k"] * x["c_days"] ** (x["p"] - 1) for x in mine.values()]}))
+        table = spark.createDataFrame(pa.table({"model": list(mine), "mu": [x["mu_per_year"] / 365.25 * x.get("horizon_days", horizon_days) for x in mine.values()], "scale": [x["k"] * x["c_days"] ** (x["p"] - 1) for x in mine.values()]}))
         every = probes.select("event_id").join(F.broadcast(table)).join(sums, ["event_id", "model"], "left")
-        parts.append(every.select("event_id", "model", (F.col("mu") / 365.25 * horizon_days + F.col("scale") * F.coalesce("s", F.lit(0.0))).alias("expected")))
+        parts.append(every.select("event_id", "model", (F.col("mu") + F.col("scale") * F.coalesce("s", F.lit(0.0))).alias("expected")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -424,18 +426,9 @@ def omori_summary(ratios: DataFrame, edges: list[float], before_days: float = 7.
 
 def spatial_aftershocks(events: DataFrame, main_m: float, target_m: float, days: float, edges: list[float]) -> DataFrame:
     """bin, n, density per km^2 of later events within ``days`` of mainshocks, per distance ring."""
-    cols = ["t", "latitude", "longitude"]
-    main = events.where(F.col("m") >= main_m).select(*[F.col(c).alias(f"{c}_a") for c in cols])
-    target = events.where(F.col("m") >= target_m).select(*[F.col(c).alias(f"{c}_b") for c in cols])
-    d = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
-    bins = F.lit(None).cast("int")
-    area = F.lit(None).cast("double")
-    for k in range(len(edges) - 1):
-        inside = (F.col("d") >= edges[k]) & (F.col("d") < edges[k + 1])
-        bins = F.when(inside, k).otherwise(bins)
-        area = F.when(F.col("bin") == k, math.pi * (edges[k + 1] ** 2 - edges[k] ** 2)).otherwise(area)
-    found = interval_join(main, target, "t_a", "t_b", days * 86400, forward=True).withColumn("d", d).withColumn("bin", bins).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
-    return found.select("bin", "n", F.round(F.col("n") / area * 1e6, 6).alias("per_million_km2"))
+    found = ring_counts(events.where(F.col("m") >= main_m), events.where(F.col("m") >= target_m), days, edges)
+    areas = F.element_at(F.array(*[F.lit(math.pi * (edges[k + 1] ** 2 - edges[k] ** 2)) for k in range(len(edges) - 1)]), F.col("bin") + 1)
+    return found.select("bin", "n", F.round(F.col("n") / areas * 1e6, 6).alias("per_million_km2"))
 
 
 def near_ratio(post: DataFrame, pairs: DataFrame, edges: list[float], near_km: float = 50.0) -> DataFrame:

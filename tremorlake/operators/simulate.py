@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +41,20 @@ def fitted_model(events: DataFrame, until: str, mc: float) -> dict[str, float]:
     return {"mu_per_year": best["mu_per_year"], "k": best["k"], "alpha": best["alpha"], "c_days": best["c"], "p": best["p"], "mc": mc}
 
 
-def short_horizons(events: DataFrame, main_m: float, horizons: list[tuple[str, float]], model: dict[str, float], delay_us: int = 3600000000) -> DataFrame:
-    """horizon, n and Brier scores of both forecasts that begin ``delay_us`` after each mainshock."""
-    origins = events.where(F.col("m") >= main_m).select(F.lit("after").alias("label"), F.timestamp_micros(F.unix_micros("t") + delay_us).alias("origin"))
-    err = lambda c: F.round(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))), 6)
-    parts = [conditioned(events, origins, days, {"etas": model}).agg(F.count("*").alias("n"), err("p_etas").alias("brier_etas"), err("p_poisson").alias("brier_poisson")).select(F.lit(name).alias("horizon"), "n", "brier_etas", "brier_poisson") for name, days in horizons]
-    return reduce(DataFrame.unionByName, parts)
+def short_horizons(events: DataFrame, main_m: float, horizons: list[tuple[str, float]], model: dict[str, float], delay_us: int = 3600000000, target_m: float = 4.0, start: str = "1975-01-01") -> DataFrame:
+    """horizon, n and Brier scores of both forecasts that begin ``delay_us`` after each mainshock; all horizons of all
+    mainshocks are kernel sums, and counts up to a time, of one pass each."""
+    rows = written(events.where(F.col("m") >= main_m).select(F.monotonically_increasing_id().alias("event_id"), F.timestamp_micros(F.unix_micros("t") + delay_us).alias("t")), "origins")
+    made = etas.expected_after(events, rows, {name: {**model, "horizon_days": days} for name, days in horizons}, 0.0)
+    at = F.unix_micros("t")
+    marks = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(days).alias("days"), (at + round(days * DAY_US)).alias("_at")) for name, days in [("", 0.0), *horizons]])
+    counts = counted_before(rows.select("event_id", "t", F.inline(marks)), events.where(F.col("m") >= target_m).select("t"), "_at", "t")
+    before = counts.where("model = ''").select("event_id", F.col("n_before").alias("n"))
+    each = made.join(counts.where("model <> ''"), ["event_id", "model"]).join(before, "event_id")
+    poisson = 1 - F.exp(-F.col("n") / days_between(F.col("t"), F.lit(start).cast("timestamp")) * F.col("days"))
+    y = (F.col("n_before") > F.col("n")).cast("int")
+    err = lambda p: F.round(F.avg((p - y) * (p - y)), 6)
+    return each.groupBy(F.col("model").alias("horizon")).agg(F.count("*").alias("n"), err(1 - F.exp(-F.col("expected"))).alias("brier_etas"), err(poisson).alias("brier_poisson"))
 
 
 def checked(totals: DataFrame, observed: DataFrame) -> DataFrame:

@@ -262,6 +262,52 @@ def test_completeness_of_a_known_law(spark):
     assert abs(completeness.mc_emr(frame).first()["mc"] - 4.05) <= 0.31
 
 
+def test_ledger_commits_whole_batches_once(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    batch = lambda *rows: spark.createDataFrame(list(rows), "origin_year int, threshold double, horizon string, p_region double, forecast_hash string")
+    one, two = batch((2020, 4.0, "7d", 0.1, "aa"), (2020, 4.0, "30d", 0.2, "bb")), batch((2021, 4.0, "7d", 0.3, "cc"))
+    hashes = lambda: sorted(x["forecast_hash"] for x in ledger.read(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        ledger.read(spark, path)
+    assert ledger.append(one, path) == 2 and ledger.append(one.unionByName(one), path) == 0 and hashes() == ["aa", "bb"]
+    # A writer dies after its batch and before its manifest, another one in the middle of its manifest.
+    commit = ledger._committed
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "_committed", lambda *a: (_ for _ in ()).throw(InterruptedError()))
+        with pytest.raises(InterruptedError):
+            ledger.append(two, path)
+    (tmp_path / "ledger/manifests/0000000002").write_text('{"batch": "bat')
+    assert hashes() == ["aa", "bb"]
+    # The replay is added once; a writer that is forestalled sees what the other one wrote.
+    forestalled = []
+
+    def late(spark_, path_, number, name):
+        if not forestalled:
+            forestalled.append(number)
+            monkeypatch.setattr(ledger, "_committed", commit)
+            ledger.append(two, path)
+        return commit(spark_, path_, number, name)
+
+    monkeypatch.setattr(ledger, "_committed", late)
+    assert ledger.append(two.unionByName(batch((2022, 4.0, "7d", 0.4, "dd"))), path) == 1 and forestalled == [3]
+    assert hashes() == ["aa", "bb", "cc", "dd"] and ledger.append(two, path) == 0
+    with pytest.raises(ValueError, match="another forecast"):
+        ledger.append(batch((2021, 4.0, "7d", 0.3, "zz")), path)
+    assert hashes() == ["aa", "bb", "cc", "dd"]
+
+
+def test_ledger_of_a_stream_that_is_replayed(spark, tmp_path):
+    from tremorlake.streaming import prospective
+
+    rows = spark.createDataFrame([("a", 2020, 4.0), ("b", 2021, 5.0)], "native_event_id string, origin_year int, threshold double")
+    rows.write.parquet(str(tmp_path / "in"))
+    record = lambda b: b.selectExpr("origin_year", "threshold", "'7d' AS horizon", "md5(native_event_id) AS forecast_hash")
+    for checkpoint in ("one", "two"):
+        stream = prospective.landing(spark, str(tmp_path / "in"), rows.schema)
+        prospective.forecast_each_batch(stream, record, f"file://{tmp_path}/out", str(tmp_path / checkpoint), as_ledger=True).awaitTermination()
+    assert ledger.read(spark, f"file://{tmp_path}/out").count() == 2
+
+
 def test_ledger_faults_and_append(spark, tmp_path):
     schema = "origin_year int, threshold double, horizon string, cell_id string, n_train long, rate double, horizon_days double, p double, p_lower double, p_upper double, version string"
     p = 1 - float(np.exp(-2.0 * 30 / 365.25))

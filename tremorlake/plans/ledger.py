@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,10 +135,88 @@ def summary(scores: DataFrame) -> DataFrame:
     return rows.where("threshold IS NULL OR horizon IS NOT NULL").withColumn("evidence_level", evidence_level(F.col("n_forecasts"), F.col("n_evaluated")))
 
 
-def append(records_: DataFrame, path: str) -> None:
-    """Adds records to the ledger; none that it holds is changed."""
-    records_.write.mode("append").partitionBy("origin_year").parquet(path)
+KEYS = ["origin_year", "threshold", "horizon"]
+
+
+def _manifests(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of the last manifest, and the batch folders that whole manifests name, in order."""
+    root = _hadoop_path(spark, f"{path}/manifests")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0, []
+    names = sorted(x.getPath().getName() for x in fs.listStatus(root))
+    names = [x for x in names if x.isdigit()]
+    found = []
+    for name in names:
+        stream = fs.open(_hadoop_path(spark, f"{path}/manifests/{name}"))
+        try:
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            found.append(json.loads(text)["batch"])
+        except ValueError:
+            # Its writer died while it wrote it, so its batch was never committed.
+            continue
+    return int(names[-1]) if names else 0, found
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _committed(spark: SparkSession, path: str, number: int, batch: str) -> bool:
+    """Writes manifest ``number``, if no other writer has done so before."""
+    at = _hadoop_path(spark, f"{path}/manifests/{number:010d}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    stream.write(bytearray(json.dumps({"batch": batch}).encode()))
+    stream.close()
+    return True
+
+
+def append(records_: DataFrame, path: str, attempts: int = 10) -> int:
+    """Adds the records whose forecast_hash the ledger does not hold yet, and returns how many; none is ever changed.
+
+    A batch is written whole into a folder of its own, then a manifest that names it is created under the next number,
+    which only one writer can do. Readers follow manifests, so a batch whose writer died does not exist for them, and
+    its replay is added once. A writer that another one forestalled starts again from what is committed now. Records of
+    an origin, threshold and horizon that the ledger holds with another hash are an error.
+    """
+    spark = records_.sparkSession
+    for _ in range(attempts):
+        last, batches = _manifests(spark, path)
+        fresh = records_.dropDuplicates([*KEYS, "forecast_hash"])
+        if batches:
+            held = _read(spark, path, batches).select(*KEYS, F.col("forecast_hash").alias("_held"))
+            met = fresh.join(held, KEYS, "left")
+            if not met.where("_held <> forecast_hash").isEmpty():
+                raise ValueError("the ledger holds another forecast for an origin, threshold and horizon of these")
+            fresh = met.where("_held IS NULL").drop("_held")
+        batch = f"batches/{uuid4().hex}"
+        fresh.write.partitionBy("origin_year").parquet(f"{path}/{batch}")
+        added = spark.read.schema(records_.schema).parquet(f"{path}/{batch}").count()
+        if added and _committed(spark, path, last + 1, batch):
+            return added
+        _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(_hadoop_path(spark, f"{path}/{batch}"), True)
+        if not added:
+            return 0
+    raise RuntimeError(f"other writers forestalled {attempts} attempts")
+
+
+def _read(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:
+    # Folders have one schema, that of the records; each is a partitioned table of its own.
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{x}") for x in batches])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return history(spark.read.parquet(path))
+    """All committed records, with is_latest."""
+    _, batches = _manifests(spark, path)
+    if not batches:
+        raise FileNotFoundError(f"no committed batch in {path}")
+    return history(_read(spark, path, batches))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.plans import ledger
+
 
 def landing(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Observations as they arrive in a landing folder of Parquet files."""
@@ -31,11 +33,19 @@ def sessions(stream: DataFrame, gap: str = "2 minutes", lateness: str = "8 days"
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def forecast_each_batch(stream: DataFrame, forecast: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True):
-    """Runs ``forecast`` on every micro-batch and appends its rows below ``out``, one folder per batch for replays."""
+def forecast_each_batch(stream: DataFrame, forecast: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True, as_ledger: bool = False):
+    """Runs ``forecast`` on every micro-batch and keeps its rows below ``out``.
+
+    Rows go into one folder for each batch, which a replay overwrites; ``as_ledger``: forecast records are appended to
+    the ledger at ``out``, which knows replays by their hashes.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        forecast(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        made = forecast(batch)
+        if as_ledger:
+            ledger.append(made, out)
+        else:
+            made.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

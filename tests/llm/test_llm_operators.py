@@ -335,7 +335,7 @@ def test_losing_parity_is_reported(spark):
     model.ParseFromString(sentencepiece_codec.as_unigram(public_tokenizers.path(PIECE)))
     codec = sentencepiece_codec.Codec(model.SerializeToString())
     codec.original = type("Other", (), {"encode": lambda self, words, num_threads: [[0] for _ in words]})()
-    ids, ends, parity = codec.encode(pa.array(["some words", ""]))
+    ids, ends, parity, _ = codec.encode(pa.array(["some words", ""]))
     assert parity.tolist() == [False, True] and ids.tolist() == codec.tokenizer.encode("▁some▁words").ids
 
 

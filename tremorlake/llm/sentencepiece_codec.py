@@ -11,6 +11,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,8 @@ class Codec:
         self.by_word = not any(SPACE in p.piece.lstrip(SPACE) for p in self.model.pieces)
         self.table = WordTable(self._words)
         self.mismatched: set[str] = set()
+        #: Words whose ids the backend does not decode to the word.
+        self.broken: set[str] = set()
         self.silent = np.array([i for i, p in enumerate(self.model.pieces) if p.type == CONTROL], np.int64)
 
     def _normalizer(self):
@@ -128,7 +131,12 @@ class Codec:
         plain = [w[len(self.prefix) :].replace(SPACE, " ") if w.startswith(self.prefix) and w != self.prefix else None for w in words]
         expected = iter(self.original.encode([w for w in plain if w is not None], num_threads=self.threads))
         self.mismatched.update(word for k, (word, w) in enumerate(zip(words, plain, strict=True)) if w is not None and found[k] != next(expected))
-        return np.array([i for f in found for i in f], "<u4"), np.array([len(f) for f in found], np.int64)
+        # No id stands for parts of two words, so a text comes back if each of its words does.
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        spaced = [w.replace(SPACE, " ") for w in words]
+        self.broken.update(word for word, w, b in zip(words, spaced, back, strict=True) if b != (w[1:] if self.prefix and w.startswith(" ") else w))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum())), lengths
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
         """Marked words of each text: runs of markers with what follows them."""
@@ -154,17 +162,27 @@ class Codec:
         flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, where each ends, and whether every word had parity."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, where each ends, and whether every word had parity, and came back from its ids."""
         words = self._split(pc.fill_null(texts, ""))
         ids, ends = self.table.texts(words)
-        parity = np.ones(len(words), bool)
-        if self.mismatched:
-            flat = words.flatten()
-            bad = pc.is_in(flat, pa.array(sorted(self.mismatched))).to_numpy(zero_copy_only=False)
+        return ids, ends, self._without(words, self.mismatched), self._without(words, self.broken)
+
+    @staticmethod
+    def _without(words: pa.ListArray, bad: set[str]) -> np.ndarray:
+        """Whether each text has no word of ``bad``."""
+        out = np.ones(len(words), bool)
+        if bad:
+            found = pc.is_in(words.flatten(), pa.array(sorted(bad))).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-            parity[owner[bad]] = False
-        return ids, ends, parity
+            out[owner[found]] = False
+        return out
+
+    def unchanged(self, texts: list[str]) -> np.ndarray:
+        """Whether the model's normaliser leaves each text as it is."""
+        if self.normalizer is None:
+            return np.ones(len(texts), bool)
+        return np.array([self.normalizer.normalize_str(t) == t for t in texts], bool)
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The texts of rows of ids, by the backend; control ids are left out, and the space that encoding put first."""
@@ -179,7 +197,7 @@ def encode(docs: DataFrame, model: str | bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in slices(batches, "text"):
-            ids, ends, parity = codec.encode(batch.column("text"))
+            ids, ends, parity, _ = codec.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([batch.column("doc_id"), lists, pa.array(parity)], names=["doc_id", "ids", "parity"])
 
@@ -202,7 +220,8 @@ def decode(encoded: DataFrame, model: str | bytes) -> DataFrame:
 def digests(docs: DataFrame, model: str | bytes) -> DataFrame:
     """n_tokens, ids_crc32 (little-endian 32-bit ids), parity and round_trip of every row of ``docs``.
 
-    parity: every word has the original library's ids. round_trip: decoding the ids gives the text. Null and empty
+    parity: every word has the original library's ids. round_trip: decoding the ids gives the text (the backend decodes
+    each word once, and words in a row are the text). Null and empty
     texts have no ids and round-trip to the empty text. Whole texts are encoded; a text of any length is one row's
     work. Repeated rows repeat the result; an empty table gives an empty result; other columns are ignored.
     """
@@ -210,11 +229,11 @@ def digests(docs: DataFrame, model: str | bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in slices(batches, "text"):
-            ids, ends, parity = codec.encode(batch.column("text"))
+            ids, ends, parity, back = codec.encode(batch.column("text"))
             ids = np.ascontiguousarray(ids, "<u4")
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             parts = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
-            same = [a == (t or "") for a, t in zip(codec.decode(parts), batch.column("text").to_pylist(), strict=True)]
+            same = back if codec.normalizer is None else back & codec.unchanged([t or "" for t in batch.column("text").to_pylist()])
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), pa.array(parity), pa.array(same)],
                 names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"],

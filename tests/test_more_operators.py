@@ -108,6 +108,22 @@ def test_ring_counts_equal_all_pairs(spark, monkeypatch, many):
     assert rings.ring_counts(frame(first).where("FALSE"), frame(later), 20.0, edges).count() == 0
 
 
+def test_nearest_bandwidths(spark):
+    """Dense and sparse parts, repeated places, centres far from all events, fewer events than asked for."""
+    r = np.random.default_rng(15)
+    places = [(float(a), float(b)) for a, b in np.concatenate([r.uniform([20, 88], [28, 96], (150, 2)), r.normal([24.3, 91.7], 0.003, (300, 2))])] + [(26.5, 93.5)] * 12
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "event_id long, latitude double, longitude double")
+    cells = joins.grid(spark).unionByName(spark.createDataFrame([(99, 99, "far", -70.0, -179.0)], joins.grid(spark).schema))
+    for k in (1, 5, 40, 600):
+        got = {x["cell_id"]: x["bandwidth"] for x in etas.nearest_bandwidths(frame, cells, k).collect()}
+        want = {}
+        for c in cells.collect():
+            d = sorted(np.hypot((c["lon_center"] - lon) * np.cos(np.radians(24.0)), c["lat_center"] - lat) for lat, lon in places)
+            if len(d) >= k:
+                want[c["cell_id"]] = pytest.approx(max(d[k - 1], 1e-3), rel=1e-9)
+        assert got == want
+
+
 def test_weights_of_replicates(spark):
     """Poisson weights of mean and variance 1 that neither rows nor replicates share, the same in SQL."""
     import duckdb

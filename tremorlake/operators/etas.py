@@ -511,15 +511,43 @@ def adaptive_rates(events: DataFrame, cells: DataFrame, years: float, h_degrees:
     return events.select("latitude", "longitude").join(small(cells)).groupBy("cell_id").agg((F.sum(density) / years).alias("rate"))
 
 
+#: Levels of the grid that nearest events are looked for in; cells of each are half as wide as those of the one before.
+NEAR_LEVELS = 16
+
+
 def nearest_bandwidths(events: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """cell_id, bandwidth: distance in local degrees to the k-th nearest event, at least 0.001.
+    """cell_id, bandwidth: distance in local degrees to the k-th nearest event, at least 0.001; cells are left out where
+    there are fewer events.
 
-    Each map-side partial keeps only the k nearest of its events, so a cell's list stays at k times the partitions.
+    Events are counted in grids of ever narrower cells. For every centre the narrowest grid counts whose three by three
+    cells around it hold k events; the k-th is then at most 2.83 of their widths away, and only events of the seven by
+    seven cells there are compared. So the rows for a centre do not grow with the catalog as long as it is not denser
+    just beyond those cells than within them.
     """
     from tremorlake.functions.geo import local_degrees
 
+    squeeze = math.cos(math.radians(C.MID_LATITUDE))
+    # On the first level one cell is wider than all places are apart.
+    width = lambda level: 1024.0 / 2.0**level
+    at = lambda lat, lon, level: F.struct(F.lit(level).alias("level"), F.floor(F.col(lat) / width(level)).alias("i"), F.floor(F.col(lon) * squeeze / width(level)).alias("j"))
+    # Level 0 and then those from 16 degrees to some 60 metres.
+    levels = [0, *range(6, 6 + NEAR_LEVELS)]
+    placed = events.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("event_id", "latitude", "longitude")
+    tagged = placed.select("*", F.inline(F.array(*[at("latitude", "longitude", x) for x in levels])))
+    counts = tagged.groupBy("level", "i", "j").agg(F.count("*").alias("n"))
+    centres = small(cells).select("cell_id", "lat_center", "lon_center", F.inline(F.array(*[at("lat_center", "lon_center", x) for x in levels])))
+
+    def around(rows: DataFrame, reach: int) -> DataFrame:
+        steps = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
+        wide = rows.withColumn("_di", F.explode(steps)).withColumn("_dj", F.explode(steps))
+        return wide.withColumns({"i": F.col("i") + F.col("_di"), "j": F.col("j") + F.col("_dj")}).drop("_di", "_dj")
+
+    held = around(centres, 1).join(counts, ["level", "i", "j"]).groupBy("cell_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    finest = written(held.groupBy("cell_id").agg(F.max("level").alias("level")), "levels")
+    asked = around(centres.join(F.broadcast(finest), ["cell_id", "level"]), 3)
     r = local_degrees(F.col("latitude"), F.col("longitude"), F.col("lat_center"), F.col("lon_center"))
-    dist = events.select("event_id", "latitude", "longitude").join(small(cells)).select("cell_id", r.alias("r"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
+    # 49 rows for each centre.
+    dist = tagged.join(F.broadcast(asked), ["level", "i", "j"]).select("cell_id", r.alias("r"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
     near = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("r"))
     few = dist.withColumn("k", near(["cell_id", "salt"])).where(F.col("k") <= k)
     return few.withColumn("k", near(["cell_id"])).where(F.col("k") == k).select("cell_id", F.greatest("r", F.lit(1e-3)).alias("bandwidth"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import all_queries
 from tremorlake.functions.quantiles import gamma_cdf, gamma_quantile
-from tremorlake.operators import audit, completeness, etas, features, inference, intervals, joins, metrics, models, rings, verdicts
+from tremorlake.operators import audit, candidates, completeness, etas, features, inference, intervals, joins, metrics, models, rings, verdicts
 from tremorlake.plans import ledger
 from tremorlake.sources import catalog, sinks
 
@@ -363,11 +363,34 @@ def test_placeholder_faults_stop_a_stress_query(spark):
 
 
 def test_verdicts(spark):
-    rows = [(year, f"c{k}", k % 8, k // 8 % 8, int(k == year % 5), 0.9 if k == year % 5 else 0.0, 0.5) for year in range(2015, 2020) for k in range(64)]
-    pairs = spark.createDataFrame(rows, "origin_year int, cell_id string, i_lat int, i_lon int, y int, a double, b double")
-    assert verdicts.candidate(pairs).first()["verdict"] == "A"
-    swapped = pairs.select("origin_year", "cell_id", "i_lat", "i_lon", "y", F.col("b").alias("a"), F.col("a").alias("b"))
-    assert verdicts.candidate(swapped).first()["verdict"] == "D"
+    """A clear winner, a clear loser, and a winner whose numbers of events do not fit."""
+    r = np.random.default_rng(16)
+    rows = []
+    for config in ("a", "b"):
+        for year in range(2012, 2020):
+            for k in range(64):
+                y = int(r.random() < (0.6 if k % 3 else 0.1))
+                for model, p in (("good", 0.6 if k % 3 else 0.1), ("flat", 0.433), ("bad", 0.1 if k % 3 else 0.6)):
+                    rows.append((config, model, year, k // 8, k % 8, y, y, p, p, p))
+    schema = "config string, model string, origin_year int, i_lat int, i_lon int, n_future int, y int, p double, expected double, variance double"
+    frame = spark.createDataFrame(rows, schema)
+    won = candidates.candidate(frame, "good", ("flat", "bad")).first()
+    assert (won["verdict"], won["n_better"], won["quadrants"], won["ppc_pass"], won["integrity"]) == ("A", 2, 4, True, True)
+    assert candidates.candidate(frame, "bad", ("flat", "good")).first()["verdict"] == "D"
+    doubled = frame.withColumn("expected", F.when(F.col("model") == "good", 2 * F.col("expected")).otherwise(F.col("expected")))
+    assert candidates.candidate(doubled, "good", ("flat", "bad")).first()["verdict"] == "D"
+    assert not candidates.candidate(frame.withColumn("p", F.when(F.col("p") == 0.6, 1.6).otherwise(F.col("p"))), "good", ("flat", "bad")).first()["integrity"]
+    found = {(x["config"], x["model"]): x for x in candidates.bounds(frame, ["good", "bad"], ["flat"]).collect()}
+    w = inference.weights(np.arange(2012, 2020), candidates.REPLICATES)
+    for (config, model), x in found.items():
+        p = {k: [(v[7] - v[6]) ** 2 for v in rows if v[0] == config and v[1] == k] for k in (model, "flat")}
+        d = (np.array(p["flat"]) - np.array(p[model])).reshape(8, 64).sum(1)
+        each = (w * d[:, None]).sum(0) / (64.0 * w.sum(0))
+        each = each[np.isfinite(each)]
+        assert (x["lower"], x["upper"]) == (pytest.approx(np.quantile(each, 0.025), abs=1e-8), pytest.approx(np.quantile(each, 0.975), abs=1e-8))
+        assert x["difference"] == pytest.approx(d.sum() / 512, abs=1e-8)
+    variants = {x["model"]: (x["n_significant"], x["n_rejected"], x["ppc_pass"]) for x in candidates.variant_rows(frame, ["good", "bad"], "flat").collect()}
+    assert variants["good"] == (2, 2, True) and variants["bad"][:2] == (0, 0)
     assert [r["eligible"] for r in verdicts.promotable(spark.createDataFrame([(19,), (20,)], "n_evaluated int")).collect()] == [False, True]
 
 

@@ -93,22 +93,6 @@ def bandwidths(events: DataFrame, widths: list[float], threshold: float, days: f
     return scores.withColumn("_b", least).select("bandwidth", "brier", (F.col("bandwidth") == F.col("_b.bandwidth")).alias("chosen"))
 
 
-def candidate(pairs: DataFrame, margin: float = 1e-4) -> DataFrame:
-    """One row: origins where model a is better or worse than b by a margin, the mean difference, and the verdict.
-
-    A: better on the whole, at two origins or more, and in three quadrants or more; D: worse at two origins or more;
-    B: better on the whole; else C.
-    """
-    y = F.col("y")
-    err = lambda c: F.avg((F.col(c) - y) * (F.col(c) - y))
-    per = pairs.groupBy("origin_year").agg(err("a").alias("a"), err("b").alias("b"))
-    whole = per.agg(F.count_if(F.col("a") < F.col("b") - margin).alias("n_better"), F.count_if(F.col("a") > F.col("b") + margin).alias("n_worse"), F.avg(F.col("a") - F.col("b")).alias("d"))
-    quadrants = pairs.groupBy((F.col("i_lat") < 4).alias("s"), (F.col("i_lon") < 4).alias("w")).agg(err("a").alias("a"), err("b").alias("b")).agg(F.count_if(F.col("a") < F.col("b")).alias("quadrants"))
-    d = F.col("d")
-    verdict = F.when((d < 0) & (F.col("n_better") >= 2) & (F.col("quadrants") >= 3), "A").when(F.col("n_worse") >= 2, "D").when(d < 0, "B").otherwise("C")
-    return whole.join(F.broadcast(quadrants)).select("n_better", "n_worse", F.round(d, 6).alias("mean_difference"), verdict.alias("verdict"))
-
-
 def variants(rows: DataFrame) -> DataFrame:
     """Adds verdict to rows with n_significant, n_rejected, ppc_pass and difference: D where the simulated catalogs do not
     fit, or nothing is significant and the mean is not better; A with two significant and two rejected; else C."""

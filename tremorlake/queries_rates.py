@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tremorlake import constants as C
 from tremorlake.functions import geo, seismo
 from tremorlake.functions.quantiles import jeffreys
-from tremorlake.operators import completeness, inference, intervals, metrics, rates, uncertainty, verdicts
-from tremorlake.queries import FIRST, GRID, LAST, OBS, SQL, YEARS, _LCG, _forecast, _forecasts, _q, _r, query
+from tremorlake.operators import candidates, completeness, inference, intervals, metrics, rates, uncertainty, verdicts
+from tremorlake.queries import FIRST, GRID, LAST, OBS, SQL, YEARS, _forecast, _forecasts, _q, _r, query
 from tremorlake.sources import catalog
 
 _MW = "CASE WHEN magnitude_type IN ('mw', 'mww') THEN m WHEN magnitude_type = 'mb' AND m BETWEEN 3.5 AND 6.2 THEN 0.85::DOUBLE * m + 1.03::DOUBLE WHEN magnitude_type = 'ms' AND m BETWEEN 3.0 AND 6.1 THEN 0.67::DOUBLE * m + 2.07::DOUBLE WHEN magnitude_type = 'ms' AND m BETWEEN 5.8 AND 8.0 THEN 1.10::DOUBLE * m - 0.57::DOUBLE END"
@@ -519,29 +519,66 @@ def bandwidth_selection(spark, sf_dir):
 
 # ---- verdicts ------------------------------------------------------------------------------------------------
 
-_CONFIGS = """configs AS (SELECT origin_year AS config, avg((a.p - a.y) * (a.p - a.y)) AS brier, avg((b.p - a.y) * (b.p - a.y)) AS brier_base FROM models a JOIN models b USING (origin_year, cell_id) WHERE a.model = 'spatial' AND b.model = 'uniform' GROUP BY origin_year)"""
+_SETTINGS = [(4.0, 7.0), (4.0, 30.0), (4.5, 7.0), (4.5, 30.0)]
+_STRENGTHS = {"weak": 1.0, "medium": 5.0, "strong": 25.0}
+
+
+def _setting(threshold: float, days: float) -> str:
+    return f"""SELECT '{threshold}/{days:g}d' AS config, oy, i, j, exposure, n_train, n_future, {days}::DOUBLE / 365.25::DOUBLE AS h, avg(n_train / exposure) OVER (PARTITION BY oy) AS mean FROM (SELECT oy, g.i, g.j, exposure,
+    (SELECT count(*) FROM q WHERE q.i = g.i AND q.j = g.j AND m >= {threshold}::DOUBLE AND q.yr < oy) AS n_train,
+    (SELECT count(*) FROM q WHERE q.i = g.i AND q.j = g.j AND m >= {threshold}::DOUBLE AND q.yr = oy AND epoch_us(t) - epoch_us(make_timestamp(oy, 1, 1, 0, 0, 0)) < {int(days * 86400000000)}) AS n_future FROM grid g, years)"""
+
+
+_TRIED = f"""years AS (SELECT y::INT AS oy, date_diff('day', DATE '1975-01-01', make_date(y, 1, 1)) / 365.25::DOUBLE AS exposure FROM range({FIRST}, {LAST + 1}) r(y)),
+settings AS ({" UNION ALL ".join(_setting(t, d) for t, d in _SETTINGS)}),
+tried AS (SELECT config, model, oy, i, j, n_future, (n_future > 0)::INT AS y, 1 - exp(-rate * h) AS p, rate * h AS expected, rate * h * (1 + h / e) AS variance, pow(1 - exp(-rate * h) - (n_future > 0)::INT, 2) AS err FROM (
+  SELECT *, 'spatial' AS model, n_train / exposure AS rate, exposure AS e FROM settings UNION ALL SELECT *, 'uniform', mean, exposure FROM settings
+  {" ".join(f"UNION ALL SELECT *, '{name}', (n_train + {k}::DOUBLE * mean) / (exposure + {k}::DOUBLE), exposure + {k}::DOUBLE FROM settings" for name, k in _STRENGTHS.items())})),
+per_origin AS (SELECT config, model, oy, sum(err) AS e, count(*) AS n FROM tried GROUP BY config, model, oy),
+per_pair AS (SELECT a.config, a.model, b.model AS base, a.oy, b.e - a.e AS d, a.n FROM per_origin a JOIN per_origin b USING (config, oy) WHERE a.model NOT IN ('spatial', 'uniform') AND b.model IN ('spatial', 'uniform')),
+drawn AS (SELECT config, model, base, r, sum(w * d) / nullif(sum(w * n), 0) AS d FROM per_pair JOIN (SELECT oy, r, {inference.weights_sql("r", "oy")} AS w FROM years, range({candidates.REPLICATES}) x(r)) USING (oy) GROUP BY config, model, base, r),
+found AS (SELECT * FROM (SELECT config, model, base, round(quantile_cont(d, 0.025), 9) AS lower, round(quantile_cont(d, 0.975), 9) AS upper, round(least(1.0::DOUBLE, 2.0::DOUBLE * least((count(*) FILTER (d <= 0) + 1) / (count(*) + 1)::DOUBLE, (count(*) FILTER (d >= 0) + 1) / (count(*) + 1)::DOUBLE)), 9) AS p_value FROM drawn WHERE d IS NOT NULL GROUP BY config, model, base)
+  JOIN (SELECT config, model, base, round(sum(d) / sum(n), 9) AS difference FROM per_pair GROUP BY config, model, base) USING (config, model, base)),
+checks AS (SELECT model, bool_and(abs(n - m) <= 1.96::DOUBLE * s) AS ppc_pass FROM (SELECT model, config, sum(n_future) AS n, sum(expected) AS m, sqrt(sum(variance)) AS s FROM tried GROUP BY model, config) GROUP BY model)"""
+
+
+def _tried(spark, sf_dir) -> DataFrame:
+    return candidates.configurations(catalog.quakes(spark, sf_dir), _SETTINGS, FIRST, LAST, _STRENGTHS)
+
+
+@query(_q("SELECT config, model, base, round(difference, 8) AS difference, round(lower, 8) AS lower, round(upper, 8) AS upper, round(p_value, 6) AS p_value FROM found", GRID, _TRIED))
+def candidate_bounds(spark, sf_dir):
+    """How much less squared error shrunken models have than two baselines, with bootstrap bounds, by configuration."""
+    rows = candidates.bounds(_tried(spark, sf_dir), list(_STRENGTHS), ["spatial", "uniform"])
+    return rows.select("config", "model", "base", *[F.round(c, 8).alias(c) for c in ("difference", "lower", "upper")], F.round("p_value", 6).alias("p_value"))
 
 
 @query(
     _q(
-        """SELECT n_better, n_worse, round(d, 6) AS mean_difference, CASE WHEN d < 0 AND n_better >= 2 AND quadrants >= 3 THEN 'A' WHEN n_worse >= 2 THEN 'D' WHEN d < 0 THEN 'B' ELSE 'C' END AS verdict FROM (
-    SELECT count(*) FILTER (brier < brier_base - 1e-4) AS n_better, count(*) FILTER (brier > brier_base + 1e-4) AS n_worse, avg(brier - brier_base) AS d,
-      (SELECT count(*) FROM (SELECT a.i < 4 AS s, a.j < 4 AS w FROM models a JOIN models b USING (origin_year, cell_id) WHERE a.model = 'spatial' AND b.model = 'uniform' GROUP BY 1, 2 HAVING avg((a.p - a.y) * (a.p - a.y)) < avg((b.p - a.y) * (b.p - a.y)))) AS quadrants FROM configs)""",
+        """SELECT n_better, n_worse, quadrants, ppc_pass, TRUE AS integrity, CASE WHEN less AND n_better >= 2 AND quadrants >= 3 AND ppc_pass THEN 'A' WHEN n_worse >= 2 OR NOT ppc_pass THEN 'D' WHEN loss < 0.005 AND calibrated THEN 'B' ELSE 'C' END AS verdict FROM (
+    SELECT min(better) AS n_better, max(worse) AS n_worse, min(quadrants) AS quadrants, bool_and(own.brier < b.brier) AS less, max(loss) AS loss, bool_or(own.ece < b.ece) AS calibrated FROM scored b, (SELECT brier, ece FROM scored WHERE model = 'medium') own
+    JOIN (SELECT base AS model, count(*) FILTER (lower > 0) AS better, count(*) FILTER (upper < 0) AS worse FROM found WHERE model = 'medium' GROUP BY base) s ON s.model = b.model
+    JOIN (SELECT b.model, count(*) FILTER (a.e < b.e) AS quadrants, max(a.e - b.e) AS loss FROM held a JOIN held b ON a.model = 'medium' AND b.model IN ('spatial', 'uniform') AND a.s = b.s AND a.w = b.w GROUP BY b.model) h ON h.model = b.model), (SELECT ppc_pass FROM checks WHERE model = 'medium')""",
         GRID,
-        _forecast(),
-        _MODELS,
-        _CONFIGS,
+        _TRIED,
+        """held AS (SELECT model, i < 4 AS s, j < 4 AS w, avg(err) AS e FROM tried GROUP BY ALL), scored AS (SELECT * FROM (SELECT model, avg(err) AS brier FROM tried GROUP BY model) JOIN (SELECT model, sum(abs(mp - my) * n) / sum(n) AS ece FROM (SELECT model, least(floor(p * 5), 4) AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM tried GROUP BY ALL) GROUP BY model) USING (model))""",
     )
 )
 def candidate_verdict(spark, sf_dir):
-    """A to D: does the spatial model hold against the uniform one over origins and quadrants?"""
-    return verdicts.candidate(verdicts.side_by_side(_models(spark, sf_dir), "spatial", "uniform"))
+    """A to D: a model that draws cells to the mean rate against the spatial and the uniform one."""
+    return candidates.candidate(_tried(spark, sf_dir), "medium", ("spatial", "uniform"))
 
 
 @query(
-    """SELECT model, n_significant, n_rejected, ppc_pass, CASE WHEN NOT ppc_pass THEN 'D' WHEN n_significant >= 2 AND n_rejected >= 2 THEN 'A' WHEN n_significant = 0 AND difference >= 0 THEN 'D' ELSE 'C' END AS verdict
-  FROM (VALUES ('a', 3, 2, TRUE, -0.01::DOUBLE), ('b', 0, 0, TRUE, 0.01::DOUBLE), ('c', 1, 0, TRUE, -0.01::DOUBLE), ('d', 3, 3, FALSE, -0.02::DOUBLE)) v(model, n_significant, n_rejected, ppc_pass, difference)"""
+    _q(
+        """SELECT model, n_significant, n_rejected, ppc_pass, CASE WHEN NOT ppc_pass THEN 'D' WHEN n_significant >= 2 AND n_rejected >= 2 THEN 'A' WHEN n_significant = 0 AND difference >= 0 THEN 'D' ELSE 'C' END AS verdict FROM (
+    SELECT model, count(*) FILTER (lower > 0) AS n_significant, count(*) FILTER (lower > 0 AND k <= last) AS n_rejected, -avg(difference) AS difference FROM (SELECT *, coalesce(max(CASE WHEN p_value <= k / n * 0.05::DOUBLE THEN k END) OVER (), 0) AS last FROM (
+      SELECT *, row_number() OVER (ORDER BY p_value, model || '|' || config) AS k, count(*) OVER () AS n FROM found WHERE base = 'spatial')) GROUP BY model) JOIN checks USING (model)""",
+        GRID,
+        _TRIED,
+    )
 )
 def variant_verdicts(spark, sf_dir):
-    rows = spark.createDataFrame([("a", 3, 2, True, -0.01), ("b", 0, 0, True, 0.01), ("c", 1, 0, True, -0.01), ("d", 3, 3, False, -0.02)], "model string, n_significant int, n_rejected int, ppc_pass boolean, difference double")
+    """Verdicts on models that draw cells to the mean rate more or less, each against the spatial one."""
+    rows = candidates.variant_rows(_tried(spark, sf_dir), list(_STRENGTHS), "spatial")
     return verdicts.variants(rows).drop("difference")

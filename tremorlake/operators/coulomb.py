@@ -80,10 +80,10 @@ def sources(events: DataFrame, mechanisms: DataFrame, least_m: float) -> DataFra
     return big.join(mechanisms.select("event_id", "strike", "dip", "rake"), "event_id")
 
 
-def receivers(cells: DataFrame, depth_km: float, strike: float, dip: float, rake: float) -> DataFrame:
-    """Receivers of one mechanism at the cells' centres."""
+def receivers(cells: DataFrame, depth_km: float | Column, strike: float, dip: float, rake: float) -> DataFrame:
+    """Receivers of one mechanism at the cells' centres, at one depth or at a column of ``cells``."""
     fixed = {"r_depth_km": depth_km, "r_strike": strike, "r_dip": dip, "r_rake": rake}
-    return cells.select(F.col("cell_id").alias("receiver_id"), F.col("lat_center").alias("r_lat"), F.col("lon_center").alias("r_lon"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    return cells.select(F.col("cell_id").alias("receiver_id"), F.col("lat_center").alias("r_lat"), F.col("lon_center").alias("r_lon"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fixed.items()])
 
 
 def audit(rows: DataFrame, fields: dict[str, bool]) -> DataFrame:

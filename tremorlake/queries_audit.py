@@ -207,14 +207,24 @@ def mw_explanations(spark, sf_dir):
     return rows.select("event_id", audit.missing_mw_text(F.col("m"), F.col("magnitude_type")).alias("why"), _r(seismo.quadrature(F.col("u"), F.col("mw_sigma")), "sigma"))
 
 
-@query("SELECT * FROM (VALUES ('ms_low', 'ms', 0.67::DOUBLE, 2.07::DOUBLE, 0.37::DOUBLE, 3.0::DOUBLE, 6.1::DOUBLE), ('mb', 'mb', 0.85::DOUBLE, 1.03::DOUBLE, 0.41::DOUBLE, 3.5::DOUBLE, 6.2::DOUBLE), ('ms_high', 'ms', 1.10::DOUBLE, -0.57::DOUBLE, 0.28::DOUBLE, 5.8::DOUBLE, 8.0::DOUBLE)) v(relation, input_type, slope, intercept, sigma, lowest, highest)")
+_RELATIONS = "(VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', " + ", ".join(f"{x!r}::DOUBLE" for x in r[2:]) + ")" for r in C.MAG_RELATIONS) + ") v(relation, input_type, slope, intercept, sigma, lowest, highest)"
+
+
+@query(_q(f"SELECT relation, input_type, slope, intercept, sigma, lowest, highest, count(m) AS n_events, round(avg(slope * m + intercept), 6) AS mean_mw FROM {_RELATIONS} LEFT JOIN quakes ON magnitude_type = input_type AND m BETWEEN lowest AND highest GROUP BY ALL"))
 def magnitude_relations(spark, sf_dir):
-    return spark.createDataFrame(C.MAG_RELATIONS, "relation string, input_type string, slope double, intercept double, sigma double, lowest double, highest double")
+    """Every relation with the events in its range and the mean Mw that it gives them."""
+    table = spark.createDataFrame(C.MAG_RELATIONS, "relation string, input_type string, slope double, intercept double, sigma double, lowest double, highest double")
+    met = catalog.quakes(spark, sf_dir).join(F.broadcast(table), (F.col("magnitude_type") == F.col("input_type")) & F.col("m").between(F.col("lowest"), F.col("highest")))
+    used = met.groupBy("relation").agg(F.count("*").alias("n_events"), _r(F.avg(F.col("slope") * F.col("m") + F.col("intercept")), "mean_mw"))
+    return table.join(used, "relation", "left").fillna(0, ["n_events"])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(s) for s in sinks.SOURCES) + ") v(source_id, class, product, reader) WHERE class = 'catalog'")
+@query(_q("SELECT source_id, class, product, reader, count(native_event_id) AS n_observations FROM (VALUES " + ", ".join(str(s) for s in sinks.SOURCES) + ") v(source_id, class, product, reader) LEFT JOIN obs ON source_catalog = split_part(source_id, '-', 1) WHERE class = 'catalog' GROUP BY ALL", OBS))
 def source_registry(spark, sf_dir):
-    return sinks.registry(spark).where("class = 'catalog'")
+    """Registered catalogs with the observations of each one's agency."""
+    seen = catalog.observations(spark, sf_dir).groupBy(F.col("source_catalog").alias("agency")).agg(F.count("*").alias("n_observations"))
+    rows = sinks.registry(spark).where("class = 'catalog'").withColumn("agency", F.split("source_id", "-")[0])
+    return rows.join(seen, "agency", "left").fillna(0, ["n_observations"]).drop("agency")
 
 
 @query(_q("SELECT event_type AS raw, CASE WHEN event_type = 'earthquake' THEN 'earthquake' ELSE 'unknown' END AS kind, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN ' Earthquake ' WHEN 1 THEN 'quarry' ELSE NULL END AS event_type, 1 AS one FROM events) GROUP BY event_type").replace("CASE WHEN event_type = 'earthquake'", "CASE WHEN lower(trim(event_type)) = 'earthquake'"))

@@ -102,9 +102,11 @@ def features_labelled(spark, sf_dir):
 
 @query()
 def feature_groups(spark, sf_dir):
-    """Names of the features of each ablation group."""
+    """The features of each ablation group, with the number of cells that have them at the last origin."""
     rows = features.features(catalog.quakes(spark, sf_dir), joins.yearly_origins(spark, LAST, LAST))
-    return spark.createDataFrame([(letter, k, name) for letter in "ABCDEFG" for k, name in enumerate(features.group(rows, letter))], "ablation string, position int, feature string")
+    groups = {letter: features.group(rows, letter) for letter in "ABCDEFG"}
+    marks = [F.struct(F.lit(letter).alias("ablation"), F.lit(k).alias("position"), F.lit(name).alias("feature"), F.col(f"n_{name}").alias("n_present")) for letter, names in groups.items() for k, name in enumerate(names)]
+    return rows.agg(*[F.count(c).alias(f"n_{c}") for c in {x for names in groups.values() for x in names}]).select(F.inline(F.array(*marks)))
 
 
 def _labelled(spark, sf_dir) -> DataFrame:

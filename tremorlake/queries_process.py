@@ -351,9 +351,12 @@ def stress_sources(spark, sf_dir):
     return rows.withColumn("log_moment", _r(F.log10(seismo.moment_from_slip(F.col("mw"), area, slip))))
 
 
-@query(_q("SELECT cell_id AS receiver_id, clat AS r_lat, clon AS r_lon, 10.0::DOUBLE AS r_depth_km, 320.0::DOUBLE AS r_strike, 20.0::DOUBLE AS r_dip, 90.0::DOUBLE AS r_rake FROM grid", GRID))
+@query(_q("SELECT cell_id AS receiver_id, clat AS r_lat, clon AS r_lon, round(avg(depth_km), 6) AS r_depth_km, 320.0::DOUBLE AS r_strike, 20.0::DOUBLE AS r_dip, 90.0::DOUBLE AS r_rake FROM grid g JOIN q ON q.i = g.i AND q.j = g.j WHERE m >= 4.0 GROUP BY ALL", GRID))
 def stress_receivers(spark, sf_dir):
-    return coulomb.receivers(joins.grid(spark), 10.0, 320.0, 20.0, 90.0)
+    """Receivers in the cells that hold events, at their mean depth."""
+    held = rates.celled(catalog.quakes(spark, sf_dir).where("m >= 4.0D")).groupBy("i_lat", "i_lon").agg(F.avg("depth_km").alias("depth"))
+    cells = joins.grid(spark).join(held, ["i_lat", "i_lon"])
+    return coulomb.receivers(cells, _r(F.col("depth")), 320.0, 20.0, 90.0)
 
 
 @query()
@@ -362,9 +365,3 @@ def stress_audit(spark, sf_dir):
     n = F.col("event_id")
     rows = catalog.quakes(spark, sf_dir).where("m >= 5.5D").select("latitude", "longitude", "depth_km", "m", F.when(n % 9 != 0, (n * 7 % 360).cast("double")).alias("strike"), F.when(n % 9 != 0, (n % 90).cast("double")).alias("dip"), F.when(n % 2 == 0, 1.5).alias("slip_m"))
     return coulomb.audit(rows, {"latitude": True, "longitude": True, "depth_km": True, "m": True, "strike": True, "dip": True, "slip_m": False})
-
-
-@query(_q("SELECT NULL::VARCHAR AS receiver_id, NULL::DOUBLE AS factor, NULL::DOUBLE AS rate, NULL::DOUBLE AS p, NULL::VARCHAR AS note WHERE FALSE"))
-def stress_disabled(spark, sf_dir):
-    """While it is disabled a stress forecast has no rows."""
-    return coulomb.disabled(spark)

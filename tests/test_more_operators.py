@@ -394,6 +394,33 @@ def test_verdicts(spark):
     assert [r["eligible"] for r in verdicts.promotable(spark.createDataFrame([(19,), (20,)], "n_evaluated int")).collect()] == [False, True]
 
 
+def test_calibrations(spark):
+    """An isotonic line by pooling neighbours, and the logistic curve where the likelihood's slopes are zero."""
+    r = np.random.default_rng(17)
+    p = np.round(r.uniform(0.05, 0.95, 400), 4)
+    y = (r.random(400) < p**2).astype(int)
+    raw = spark.createDataFrame([(0, str(k), int(b), float(a)) for k, (a, b) in enumerate(zip(p, y, strict=True))], "origin int, cell_id string, label int, p double")
+    asked = [0.01, 0.2, 0.5, 0.77, 0.99]
+    scored = spark.createDataFrame([(1, str(k), 0, x) for k, x in enumerate(asked)], raw.schema)
+    got = {kind: [x["p"] for x in models.calibration(kind, raw, scored).orderBy("cell_id").collect()] for kind in ("isotonic", "platt")}
+    pools: list = []
+    for x in sorted(set(p)):
+        same = y[p == x]
+        pools.append([same.sum(), len(same), x, x])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            b = pools.pop()
+            pools[-1] = [pools[-1][0] + b[0], pools[-1][1] + b[1], pools[-1][2], b[3]]
+    at = np.array([v for pool in pools for v in pool[2:]])
+    level = np.array([pool[0] / pool[1] for pool in pools for _ in (0, 1)])
+    assert got["isotonic"] == pytest.approx(np.interp(asked, at, level), abs=1e-9)
+    w = np.zeros(2)
+    x = np.column_stack([np.ones(400), p])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]), x.T @ (y - q))
+    assert got["platt"] == pytest.approx(1 / (1 + np.exp(-(w[0] + w[1] * np.array(asked)))), abs=1e-3)
+
+
 def test_calibration_line(spark):
     r = np.random.default_rng(0)
     p = r.uniform(0.05, 0.95, 3000)

@@ -413,6 +413,65 @@ def test_warc(spark, tmp_path):
     assert digests[0] == digests[1]
 
 
+def test_warc_of_many_shards(spark, tmp_path):
+    """Shards cut within payloads that repeat, with null, repeated and hot page ids: every record comes back once."""
+    rows = [(k, f"http://h/{k}", f"<p>{k % 7} {'x' * (k % 50)}</p>") for k in range(60)]
+    rows += [(None, None, "<p>none</p>"), (None, "http://n/", "<p>none</p>"), (7, "http://again/", rows[7][2]), (7, rows[7][1], rows[7][2])]
+    rows += [(500, "http://hot/", "<p>hot</p>")] * 40 + [(501, "http://hot/", "<p>hot</p>")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    folder = f"file://{tmp_path}/w"
+    written = warc.write(pages, folder, shard_bytes=900, file_bytes=500)
+    assert written.select("name").distinct().count() > 12
+    found = warc.read(spark, folder).collect()
+    assert len(found) == len(rows)
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert Counter((r["page_id"], r["payload_digest"]) for r in found) == Counter((i, digest(h)) for i, _, h in rows)
+    # Records of the largest page id of a payload are responses, those that repeat it too; ids are null if all are.
+    last = {}
+    for i, _, h in rows:
+        last[digest(h)] = max((x for x in (i, last.get(digest(h))) if x is not None), default=None)
+    for r in found:
+        top = last[r["payload_digest"]]
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == top else ("revisit", top))
+
+
+def test_warc_stores():
+    store, path = warc._store("file:///tmp/x")
+    assert store.type_name == "local" and path == "/tmp/x"
+
+
+def test_embedding_links_over_ranges_and_tiles(spark):
+    """Clusters along the leading coordinate, more vectors than tiles hold, a null id; against all pairs."""
+    r = np.random.default_rng(21)
+    base = r.standard_normal((40, 12)) * np.array([6.0, *[1.0] * 11])
+    x = np.repeat(base, 9, axis=0) + 0.35 * r.standard_normal((360, 12))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(None, [1.0] * 12)], "vec_id long, embedding array<double>").repartition(5)
+    found = embedding_dedup.near_duplicates(frame, tile=7).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(360, dtype=bool)
+    label = np.arange(360)
+    while True:
+        new = np.array([min([label[i], *label[links[i]]]) for i in range(360)])
+        if (new == label).all():
+            break
+        label = new
+    got = {q["vec_id"]: (q["n_links"], q["component_id"], q["kept"]) for q in found}
+    assert got.pop(None) == (0, None, None)
+    assert got == {i: (int(links[i].sum()), int(label[i]), int(label[i]) == i) for i in range(360)} and links.sum() > 2000
+
+
+def test_sharding_cuts():
+    """Sizes of one group and of many, dealt as the heap deals them one by one."""
+    r = np.random.default_rng(22)
+    sizes = np.array(sorted(set(r.integers(1, 400, 90).tolist())))
+    counts = np.where(r.random(len(sizes)) < 0.6, 1, r.integers(2, 300, len(sizes)))
+    alone, shared = sharding.cuts_of(sizes, counts, 5)
+    want, loads = sharding.schedule(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), 5)
+    got = {b: [int(k == h) for k in range(5)] for b, h in zip(alone["bytes"].to_pylist(), alone["home"].to_pylist(), strict=True)}
+    got |= {b: np.diff([0, *c]).tolist() for b, c in zip(shared["bytes"].to_pylist(), shared["cuts"].to_pylist(), strict=True)}
+    assert got == want and sum(loads) == int((sizes * counts).sum())
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((60, 48))

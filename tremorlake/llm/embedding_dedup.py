@@ -95,8 +95,8 @@ def _chunked(f, i: np.ndarray, j: np.ndarray, most: int = 1 << 17) -> list[np.nd
 def _compare(axes: np.ndarray, threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = (rows[rows["side"] == k].sort_values("lead") for k in (0, 1))
-        same = right.empty
-        if left.empty:
+        same = len(rows) and rows["low"].iloc[0] == rows["high"].iloc[0]
+        if left.empty or right.empty and not same:
             return pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
         both = left if same else pd.concat([left, right])
         x = units(both["v"].to_list())
@@ -126,10 +126,10 @@ def _compare(axes: np.ndarray, threshold: float):
 
 
 def _tiled(groups: DataFrame, tile: int, reach: float) -> DataFrame:
-    """Adds tile, and the first and last tile it is compared with, among the vectors of its length.
+    """Adds range, tile, and the first and last tile that a vector is compared with, among those of its length.
 
-    Ranges of the leading coordinate are cut at quantiles, and by rank where they hold more than a tile. The table of
-    tiles has a row for each ``tile`` vectors and range, so it stays far smaller than the comparisons.
+    Ranges of the leading coordinate are cut at quantiles, and by rank where they hold more than a tile. What is known of
+    ranges has at most RANGES rows a length, however many tiles there are.
     """
     cuts = groups.agg(F.percentile_approx("lead", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
@@ -145,12 +145,13 @@ def _tiled(groups: DataFrame, tile: int, reach: float) -> DataFrame:
     starts = groups.sparkSession.createDataFrame(rows, "dim int, range int, start long")
     # At most RANGES rows a length of vectors.
     ranked = gapless(ranged, ["dim", "range"], ["rep"], "rank").join(F.broadcast(starts), ["dim", "range"])
-    placed = materialised(ranked.withColumn("tile", F.floor((F.col("start") + F.col("rank")) / tile).cast("int")).drop("start", "rank", "range"), "tiles")
-    spans = placed.groupBy("dim", "tile").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
-    other = spans.select("dim", F.col("tile").alias("k"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
+    placed = materialised(ranked.withColumn("tile", F.floor((F.col("start") + F.col("rank")) / tile).cast("int")).drop("start", "rank"), "tiles")
+    # A vector goes to the tiles of the ranges that are near its own range; at most RANGES rows a length, too.
+    spans = placed.groupBy("dim", "range").agg(F.min("lead").alias("low"), F.max("lead").alias("high"), F.min("tile").alias("first"), F.max("tile").alias("last"))
+    other = spans.select("dim", *[F.col(c).alias(f"k_{c}") for c in ("low", "high", "first", "last")])
     near = (F.col("k_low") - F.col("high") <= reach) & (F.col("low") - F.col("k_high") <= reach)
-    met = spans.join(other, "dim").where(near).groupBy("dim", "tile").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    return salted_join(placed, met, ["dim", "tile"], F.col("rep"), salts=2)
+    met = spans.select("dim", "range", "low", "high").join(F.broadcast(other), "dim").where(near).groupBy("dim", "range").agg(F.min("k_first").alias("first"), F.max("k_last").alias("last"))
+    return placed.join(F.broadcast(met), ["dim", "range"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -159,7 +160,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     n_links counts the other vectors with cosine >= threshold, equal ones included; component_id is the smallest
     vec_id that links reach. Null, empty, zero and non-finite vectors link with nothing; finite ones of any magnitude
     do; vectors link only with those of their own length. Repeated rows are vectors of their own with one vec_id; a
-    null vec_id links with nothing. An empty table gives an empty result.
+    null vec_id links with nothing, and its component_id and kept are null. An empty table gives an empty result.
     """
     spark: SparkSession = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -169,7 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     groups = rows.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     groups = materialised(groups.withColumn("dim", F.size("v")), "vectors")
     members = salted_join(rows.where("v IS NOT NULL").drop("v"), groups.select("h1", "h2", "rep", "copies"), ["h1", "h2"], F.col("vec_id"), salts=8).select("vec_id", "rep", "copies")
-    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
     if groups.isEmpty():
         return alone
     common = groups.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").first()["dim"]

@@ -16,8 +16,8 @@ from tremorlake.llm.common import let, materialised
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
 #: (shingles in a window, bands of one row, smallest template in shingles). Templates take the windows of the last
-#: class they reach. Four-fifths of a template of up to 15 shingles hold one of its windows of 4 whole, so few bands do
-#: there; of a longer one they hold 13 of 16 shingles in a row at least, a Jaccard similarity of 13 / 19.
+#: class they reach. Where four-fifths of a template of up to 15 shingles stand, some window of 4 keeps 3 of them at
+#: least, and mostly all 4; of a longer one some window of 16 keeps 13, a Jaccard similarity of 13 / 19.
 WINDOWS = [(1, 1, 1), (4, 2, 4), (16, 5, 16)]
 MAX_TEMPLATES = 1000
 #: Bands of templates that may be broadcast; a thousand templates of 150 words have about as many.

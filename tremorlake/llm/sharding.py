@@ -8,11 +8,14 @@ groups of their size.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import gapless, materialised
+from tremorlake.llm.common import gapless, materialised, salted_join
 
 SHARDS = 24
 #: Sizes whose cuts are broadcast; more are joined. Distinct sizes are fewer than the square root of twice the bytes.
@@ -43,13 +46,39 @@ def dealt(loads: list[int], size: int, count: int) -> list[int]:
     return taken
 
 
+def scheduled(sizes: Iterable[int], counts: Iterable[int], shards: int) -> Iterator[list[int]]:
+    """Longest processing time first over sizes that fall: the groups of each size that each shard takes."""
+    loads = [0] * shards
+    for size, count in zip(sizes, counts, strict=True):
+        taken = dealt(loads, size, count)
+        loads = [x + size * k for x, k in zip(loads, taken, strict=True)]
+        yield taken
+
+
 def schedule(histogram: dict[int, int], shards: int) -> tuple[dict[int, list[int]], list[int]]:
-    """Longest processing time first over {size: groups}: per size the groups of each shard, and the final loads."""
-    loads, out = [0] * shards, {}
-    for size in sorted(histogram, reverse=True):
-        out[size] = dealt(loads, size, histogram[size])
-        loads = [x + size * k for x, k in zip(loads, out[size], strict=True)]
-    return out, loads
+    """``scheduled`` over {size: groups}: per size the groups of each shard, and the final loads."""
+    sizes = sorted(histogram, reverse=True)
+    out = dict(zip(sizes, scheduled(sizes, [histogram[s] for s in sizes], shards), strict=True))
+    return out, [sum(s * taken[k] for s, taken in out.items()) for k in range(shards)]
+
+
+def cuts_of(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[pa.Table, pa.Table]:
+    """bytes, shard of the sizes that one group has; bytes, cuts of the others: shard k takes the groups with numbers
+    from cuts[k - 1] on and below cuts[k]. Numbers are held in arrays, as sizes may be millions."""
+    order = np.argsort(-sizes)
+    sizes, counts = sizes[order], counts[order]
+    single = counts == 1
+    alone, cuts = np.zeros(int(single.sum()), np.int32), np.zeros((int((~single).sum()), shards), np.int64)
+    i = j = 0
+    for one, taken in zip(single.tolist(), scheduled(map(int, sizes), map(int, counts), shards), strict=True):
+        if one:
+            alone[i] = taken.index(1)
+            i += 1
+        else:
+            cuts[j] = np.cumsum(taken)
+            j += 1
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cuts.size + 1, shards, dtype=np.int32)), pa.array(cuts.ravel()))
+    return pa.table({"bytes": sizes[single], "home": alone}), pa.table({"bytes": sizes[~single], "cuts": lists})
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -58,7 +87,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard; loads differ by no more than the
     largest group. Slots of a shard run from 0 without gaps. Repeated rows are rows of their own, null doc_ids too;
     an empty table gives an empty result. A very long text is one large group. The driver sees the histogram of group
-    sizes alone: s different sizes sum to s * s / 2 bytes at least, so 100 TB have 14 million sizes at most.
+    sizes alone: s different sizes sum to s * s / 2 bytes at least, so 100 TB have 14 million sizes at most, which take
+    some 200 MB there, and 200 more bytes for each size that several groups have.
     """
     spark: SparkSession = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -71,21 +101,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     sized = materialised(sized, "shard-sizes")
     groups = materialised(sized.groupBy("_text").agg(F.sum("size").alias("bytes")), "shard-groups")
-    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n")).toPandas()
-    placed, _ = schedule(dict(zip(histogram["bytes"].tolist(), histogram["n"].tolist(), strict=True)), shards)
-    # Groups of a size are numbered; shard k takes the numbers from cuts[k - 1] on and below cuts[k].
-    rows = []
-    for size, taken in placed.items():
-        cuts, upto = [], 0
-        for k in taken:
-            upto += k
-            cuts.append(upto)
-        rows.append((size, cuts))
-    cuts = spark.createDataFrame(rows, "bytes long, cuts array<long>")
-    ranked = gapless(groups, ["bytes"], ["_text"], "rank")
-    met = ranked.join(F.broadcast(cuts) if len(rows) <= MAX_BROADCAST_SIZES else cuts, "bytes")
-    homes = met.select("_text", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).cast("int").alias("shard"))
-    # Both sides are narrow. A hot text is one key of one row, which adaptive execution splits.
-    sharded = sized.join(homes, "_text").select("doc_id", "size", "text_crc32", "shard", "_row")
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow()
+    alone, shared = cuts_of(histogram["bytes"].to_numpy(), histogram["n"].to_numpy(), shards)
+    small = lambda t: F.broadcast(spark.createDataFrame(t)) if t.num_rows <= MAX_BROADCAST_SIZES else spark.createDataFrame(t)
+    ranked = gapless(groups.join(small(shared), "bytes"), ["bytes"], ["_text"], "rank")
+    homes = ranked.select("_text", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).cast("int").alias("shard"))
+    homes = homes.unionByName(groups.join(small(alone), "bytes").select("_text", F.col("home").alias("shard")))
+    # A hot text is one key of one row, so its rows are spread.
+    sharded = salted_join(sized, homes, ["_text"], F.col("_row"), salts=8).select("doc_id", "size", "text_crc32", "shard", "_row")
     slotted = gapless(sharded, ["shard"], ["_row"], "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

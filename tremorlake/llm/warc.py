@@ -180,11 +180,19 @@ def shard_of(key: Column, sha: Column, edges: list[tuple[int, str]], row: Column
     return let(F.struct(below(value, False).alias("a"), below(value, True).alias("b")), lambda x: x["a"] + F.pmod(row, x["b"] - x["a"] + 1).cast("int"))
 
 
+def _store(folder: str):
+    """The file system and the path in it of a folder; Hadoop's names of object stores are S3 to Arrow."""
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else folder)
+
+
 def _writer(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         done: list[tuple] = []
         shard, roll, out, n, mark = None, 0, io.BytesIO(), 0, None
 
@@ -237,7 +245,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     from pyarrow import fs
 
     spark: SparkSession = pages.sparkSession
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     full = _keyed(pages)
     narrow = materialised(full.select("page_id", "key", "sha", F.octet_length("payload").cast("long").alias("bytes")), "warc-records")
@@ -291,7 +299,7 @@ def _reader(folder: str, payloads: bool, most_rows: int = 1000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(ROW.types)], schema=ROW)

@@ -466,7 +466,7 @@ def test_ndk_and_iscgem(spark, tmp_path):
     (tmp_path / "b.ndk").write_text("\n".join(bare) + "\n")
     c = catalog.read_gcmt_ndk(spark, str(tmp_path / "b.ndk")).first()
     assert (c["latitude"], c["longitude"], c["depth_km"]) == (13.76, -89.08, 162.8)
-    (tmp_path / "g.csv").write_text("Date_Time,Latitude,LON,Depth,MW,EventID,type,smaj,unc\n2001-01-01 00:00:00,24.0,91.0,10,6.1,7,mw,5.5,0.2\n2001-01-02 00:00:00,24.0,91.0,10,,8,mw,,\n2001-01-03 00:00:00,24.0,91.0,10,5.5,9,ms,,\n")
+    (tmp_path / "g.csv").write_text("Date_Time,Latitude,LON,Depth,MW,EventID,Mtype,smaj,Msigma\n2001-01-01 00:00:00,24.0,91.0,10,6.1,7,mw,5.5,0.2\n2001-01-02 00:00:00,24.0,91.0,10,,8,mw,,\n2001-01-03 00:00:00,24.0,91.0,10,5.5,9,ms,,\n")
     g = {x["native_event_id"]: x for x in catalog.read_iscgem_csv(spark, str(tmp_path / "g.csv")).collect()}
     assert set(g) == {"7", "9"} and g["7"]["magnitude_type"] == "mw_iscgem" and g["9"]["magnitude_type"] == "ms"
     assert (g["7"]["horizontal_uncertainty_km"], g["7"]["magnitude_uncertainty"], g["7"]["quality_flag"]) == (5.5, 0.2, "reviewed")

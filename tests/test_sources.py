@@ -1,4 +1,9 @@
-"""Readers of catalog files, and streams of observations."""
+"""Readers of catalog files, a query service, and streams of observations."""
+
+import threading
+from datetime import datetime, timedelta, timezone
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
 
 from tremorlake.sources import catalog
 from tremorlake.streaming import prospective
@@ -63,3 +68,56 @@ def test_streams(spark, tmp_path):
     out = str(tmp_path / "out")
     prospective.forecast_each_batch(stream, lambda b: b, out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["native_event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_feed_pushes_filters_into_its_requests(spark):
+    """A service that answers as it is asked, is busy at first, and holds rows without magnitude."""
+    from tremorlake.sources.feed import FilteredQuakeFeed, QuakeFeed
+
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    events = [(f"e{k}", start + timedelta(hours=7 * k), 20 + k % 9, 88 + k % 7, round(3 + k % 30 / 10, 1) if k % 11 else "") for k in range(400)]
+    asked, lock = [], threading.Lock()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            with lock:
+                asked.append(q)
+                busy = len(asked) == 1
+            at = lambda name: datetime.fromisoformat(q[name]).replace(tzinfo=timezone.utc)
+            rows = [e for e in events if at("starttime") <= e[1] <= at("endtime") and (e[4] == "" or e[4] >= float(q.get("minmagnitude", -9))) and float(q.get("minlatitude", -90)) <= e[2] <= float(q.get("maxlatitude", 90))]
+            text = "time,latitude,longitude,depth,mag,magType,nst,gap,id,status\n" + "".join(f"{e[1].isoformat().replace('+00:00', 'Z')},{e[2]},{e[3]},10,{e[4]},Mw,12.7,,{e[0]},reviewed\n" for e in rows)
+            self.send_response(503 if busy else 200)
+            self.end_headers()
+            self.wfile.write(b"" if busy else text.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(QuakeFeed)
+        spark.dataSource.register(FilteredQuakeFeed)
+        loaded = lambda name="quake_feed", **more: spark.read.format(name).options(url=f"http://127.0.0.1:{server.server_port}/query", start="2024-01-01", end="2024-04-01", days="10", **more).load()
+        got = loaded("filtered_quake_feed").where("original_magnitude >= 5 AND latitude < 25 AND origin_time >= '2024-02-01' AND magnitude_type = 'mw'")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r["native_event_id"]: r for r in got.collect()}
+        want = {e[0] for e in events if e[4] != "" and e[4] >= 5 and e[2] < 25 and datetime(2024, 2, 1, tzinfo=timezone.utc) <= e[1] < datetime(2024, 4, 1, tzinfo=timezone.utc)}
+        assert set(found) == want and len(want) > 30
+        assert (found[min(want)]["n_stations"], found[min(want)]["quality_flag"], found[min(want)]["depth_km"]) == (12, "reviewed", 10.0)
+        # What is left for Spark: the comparisons of time, magnitude and place are gone.
+        left = plan.split("Filter", 1)[1].split("BatchScan")[0]
+        assert "magnitude_type" in left and "= mw" in left and ">=" not in left and "<" not in left
+        assert all(q["minmagnitude"] == "5.0" and q["maxlatitude"] == "25.0" and q["starttime"] >= "2024-02-01" for q in asked) and len(asked) >= 7
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+        asked[:] = [{}]
+        whole = [e for e in events if e[4] != "" and e[1] < datetime(2024, 4, 1, tzinfo=timezone.utc)]
+        feed = loaded(minmagnitude="4.0")
+        assert feed.count() == sum(e[4] >= 4 for e in whole) and len(asked) == 1 + 10 and asked[-1]["minmagnitude"] == "4.0"
+        # Spark tests the rows itself, also of a frame that is used again.
+        assert [feed.where(f"latitude < {x}").count() for x in (22, 26)] == [sum(e[4] >= 4 and e[2] < x for e in whole) for x in (22, 26)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()

@@ -74,7 +74,7 @@ def power_law_kernel(r: Column, sigma: Column | float, q: float, kernel: str = "
     return factor * F.pow(1 + r * r / s2, F.lit(-(1 + q)))
 
 
-def magnitude_length(m: Column, gamma: float, mc: float) -> Column:
+def magnitude_length(m: Column, gamma: Column | float, mc: float) -> Column:
     """How much an event's kernel is widened by its magnitude."""
     return F.exp(gamma * (m - mc))
 

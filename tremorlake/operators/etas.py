@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions.geo import equirect_km, haversine_km
-from tremorlake.functions.seismo import lcg, omori_integral, omori_kernel, power_law_kernel, productivity
+from tremorlake.functions.seismo import lcg, magnitude_length, omori_integral, omori_kernel, power_law_kernel, productivity
 from tremorlake.operators.joins import counted_before, days_between, interval_join, near_cells, small
 from tremorlake.operators.lineage import dropped, written
 from tremorlake.operators.optimise import Found, minimised
@@ -648,7 +648,7 @@ def nll_in_space(events: DataFrame, pairs: DataFrame, thetas: DataFrame, mc: flo
     """
     k, c, p, q = (F.col(x) for x in ("k", "c", "p", "q"))
     above = F.col("m") - mc
-    s = F.col("sigma_km") * F.exp(F.col("gamma") * above)
+    s = F.col("sigma_km") * magnitude_length(F.col("m"), F.col("gamma"), mc)
     u = F.col("r") * F.col("r") / (s * s)
     x = F.col("lag") + c
     value = F.pow(F.lit(10.0), F.col("alpha") * above) * F.pow(x, -p) * q / (math.pi * s * s) * F.pow(1 + u, -(1 + q))

@@ -661,6 +661,14 @@ def etas_fit(spark, sf_dir):
     return etas.fit(catalog.quakes(spark, sf_dir), 4.5).select("start_id", *[_r(c, c) for c in ("mu_per_year", "k", "alpha", "c", "p", "nll")], "triggering")
 
 
+@query()
+def etas_fit_in_space(spark, sf_dir):
+    """The process in time and space over a background of main events, from magnitude 4.5 on."""
+    big = catalog.quakes(spark, sf_dir).where("m >= 4.5D")
+    out = etas.fit_in_space(big, joins.grid(spark), decluster.background(big), 4.5)
+    return out.select("start_id", *[_r(c, c) for c in (*etas.IN_TIME, *etas.IN_SPACE, "nll")], "triggering")
+
+
 _LAGS = [0.0, 0.1, 1.0, 7.0, 30.0, 90.0, 365.0]
 _LAG_BIN = "CASE " + " ".join(f"WHEN lag >= {_LAGS[k]} AND lag < {_LAGS[k + 1]} THEN {k}" for k in range(6)) + " END"
 

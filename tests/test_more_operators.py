@@ -108,6 +108,30 @@ def test_ring_counts_equal_all_pairs(spark, monkeypatch, many):
     assert rings.ring_counts(frame(first).where("FALSE"), frame(later), 20.0, edges).count() == 0
 
 
+@pytest.mark.parametrize(("many", "low"), [(20, 0.0), (20, 5.0)])
+def test_pair_distances_equal_all_pairs(spark, monkeypatch, many, low):
+    """Each pair once: repeated places, one far place, unknown places; no table is broadcast whole."""
+    monkeypatch.setattr(rings, "MANY", many)
+    r = np.random.default_rng(5)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(20 + 8 * r.uniform(0, 1, 120) ** 2, 88 + 8 * r.uniform(0, 1, 120) ** 2))]
+    rows += [(1000 + i, *rows[i % 7][1:]) for i in range(40)] + [(2000, -80.0, -170.0), (2001, None, 90.0), (2002, float("nan"), 90.0)]
+    edges = [low, 10.0, 25.0, 50.0, 100.0, 200.0, 500.0]
+    frame = spark.createDataFrame(rows, "event_id long, latitude double, longitude double")
+    got = {x["bin"]: x["n"] for x in rings.pair_distances(frame, edges).collect()}
+    want: dict = {}
+    for k, a in enumerate(rows):
+        for b in rows[:k]:
+            known = all(x is not None and x == x for x in (a[1], b[1]))
+            la, lo, lb, lp = np.radians([a[1], a[2], b[1], b[2]]) if known else (np.nan,) * 4
+            d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2))
+            ring = int(np.searchsorted(edges, d, "right")) - 1 if known else -1
+            want[ring if 0 <= ring < 6 else None] = want.get(ring if 0 <= ring < 6 else None, 0) + 1
+    assert got == want and len(want) == 7
+    assert rings.pair_distances(frame.where("FALSE"), edges).count() == 0
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 10)
+    assert rings.pair_distances(frame, edges).count() == 7
+
+
 def test_nearest_bandwidths(spark):
     """Dense and sparse parts, repeated places, centres far from all events, fewer events than asked for."""
     r = np.random.default_rng(15)

@@ -102,18 +102,6 @@ def asof_backward(probes: DataFrame, events: DataFrame, t_probe: str, t_event: s
     return joined.groupBy(*probes.columns).agg(F.max(packed).alias("_e")).select(*probes.columns, *[F.col(f"_e.{v}").alias(v) for v in [t_event, *values]])
 
 
-def pair_distances(events: DataFrame, edges_km: list[float]) -> DataFrame:
-    """bin, n: pairs of events per ring of distance, each pair once. ``events``: a selection of broadcast size."""
-    from tremorlake.functions.geo import haversine_km
-
-    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in ("event_id", "latitude", "longitude")]) for side in "ab")
-    d = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
-    ring = F.lit(None).cast("int")
-    for k in range(len(edges_km) - 1):
-        ring = F.when((F.col("d") >= edges_km[k]) & (F.col("d") < edges_km[k + 1]), k).otherwise(ring)
-    return a.join(small(b), F.col("event_id_a") < F.col("event_id_b")).withColumn("d", d).groupBy(ring.alias("bin")).agg(F.count("*").alias("n"))
-
-
 def counted_before(probes: DataFrame, events: DataFrame, at: str, t: str, inclusive: bool = False) -> DataFrame:
     """Adds n_before to ``probes``: events with t < at (<= with ``inclusive``). ``at``: microseconds; ``t``: a timestamp.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions import geo, seismo
-from tremorlake.operators import audit, decluster, joins, reconcile
+from tremorlake.operators import audit, decluster, joins, reconcile, rings
 from tremorlake.queries import MATCH, OBS, _q, _r, query
 from tremorlake.sources import catalog, sinks
 
@@ -339,4 +339,4 @@ def declustered_background(spark, sf_dir):
 )
 def pair_distances(spark, sf_dir):
     """Distances of all pairs of large events, as a histogram."""
-    return joins.pair_distances(catalog.quakes(spark, sf_dir).where("m >= 5.5D"), [0, 10, 25, 50, 100, 200, 500, 20100])
+    return rings.pair_distances(catalog.quakes(spark, sf_dir).where("m >= 5.5D"), [0, 10, 25, 50, 100, 200, 500, 20100])

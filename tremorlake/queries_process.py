@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions import seismo
-from tremorlake.operators import coulomb, etas, inference, joins, rates, simulate
+from tremorlake.operators import coulomb, etas, inference, joins, rates, rings, simulate
 from tremorlake.queries import _LCG, _ORIGINS, FIRST, GRID, LAST, YEARS, _forecast, _hav, _q, _r, query
 from tremorlake.queries_rates import _posterior, _POST
 from tremorlake.sources import catalog
@@ -65,7 +65,7 @@ def aftershock_concentration(spark, sf_dir):
     """Do aftershocks lie nearer to mainshocks than large events lie to each other?"""
     q = catalog.quakes(spark, sf_dir)
     post = etas.spatial_aftershocks(q, 5.5, 4.0, 30.0, _LOG_KM).select("bin", "n")
-    pairs = joins.pair_distances(q.where("m >= 5.5D"), _LOG_KM).where("bin IS NOT NULL")
+    pairs = rings.pair_distances(q.where("m >= 5.5D"), _LOG_KM).where("bin IS NOT NULL")
     return etas.near_ratio(post, pairs, _LOG_KM)
 
 

@@ -119,6 +119,28 @@ def test_gardner_knopoff(spark):
     assert got == want
 
 
+def test_gardner_knopoff_in_chunks_with_repeated_events(spark, monkeypatch):
+    """Magnitudes come in many chunks; points of many events, and links, do not grow with the copies of a catalog."""
+    rows, _ = catalog(spark, 60)
+    rows += [(1000 + x[0], *x[1:5], x[5] + (0.4 if x[0] % 5 == 0 else 0.0)) for x in rows] + [(2000 + x[0], *x[1:]) for x in rows[:20]]
+    linked = []
+    monkeypatch.setattr(decluster, "settled", lambda links: linked.append(links.count()) or settling.settled(links))
+    frame = spark.createDataFrame(rows + [(3000, None, 24.0, 92.0, 0.0, 8.0), (3001, START, 24.0, 92.0, 0.0, None)], "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")
+    got = {r["event_id"]: (r["seed_id"], r["role"]) for r in decluster.gardner_knopoff(frame, 15).collect()}
+    want: dict = {3000: (3000, "main"), 3001: (3001, "main")}
+    n_links = 0
+    for x in sorted(rows, key=lambda r: (-r[5], r[1], r[0])):
+        near = [y for y in rows if abs((y[1] - x[1]).total_seconds()) / 86400 <= 10 ** (0.5 * x[5] - 0.052) and km(x, y) <= (0.1238 * x[5] + 0.983) * 111]
+        n_links += sum((-y[5], y[1], y[0]) > (-x[5], x[1], x[0]) for y in near)
+        if x[0] in want:
+            continue
+        want[x[0]] = (x[0], "main")
+        for y in near:
+            if y[0] not in want:
+                want[y[0]] = (x[0], "foreshock" if y[1] < x[1] else "aftershock")
+    assert got == want and len(linked) >= 2 and sum(linked) < n_links / 4
+
+
 def test_gardner_knopoff_across_the_date_line(spark):
     rows = [(1, START, 10.0, 179.6, 0.0, 5.0), (2, START + timedelta(days=1), 10.0, -179.6, 0.0, 4.0), (3, START + timedelta(days=1), 10.0, -176.0, 0.0, 3.0)]
     frame = spark.createDataFrame(rows, "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")

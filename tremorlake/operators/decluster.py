@@ -18,21 +18,24 @@ from tremorlake.operators.settling import settled
 
 #: Events of a block of time that one task grows, besides those around it.
 BLOCK_EVENTS = 10_000
+#: Events of the first chunk of magnitudes.
+CHUNK = 2_000
 #: Clusters of more events are few and are broadcast.
 HEAVY = 2_000
 STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "seed_us", "seed_id", "seed_size", "depth", "changed", "cut"]
 
 
-def _coverage(events: DataFrame) -> DataFrame:
-    """(a, b): a event of higher rank (magnitude, then time, then id) whose window holds b.
+def _coverage(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(a, b): a event of ``first`` of higher rank (magnitude, then time, then id) whose window holds b of ``second``.
 
     The window grows with magnitude, so buckets of time and cells of space are those of half a magnitude's widest window
-    and radius. An event is dealt once to the buckets of every band from its own one up, where events that may cover it
-    look for it; all bands are one join.
+    and radius. An event is dealt once to the buckets of every band from its own one up that ``first`` has, where events
+    that may cover it look for it; all bands are one join.
     """
     cols = ["event_id", "t", "latitude", "longitude", "m"]
-    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
-    low, high, lat = events.agg(*[F.coalesce(x, F.lit(0.0)) for x in (F.min("m"), F.max("m"), F.max(F.abs("latitude")))]).first()
+    a, b = (events.select(*[F.col(c).alias(f"{c}_{side}") for c in cols]) for events, side in ((first, "a"), (second, "b")))
+    low, high, lat = first.agg(*[F.coalesce(x, F.lit(0.0)) for x in (F.min("m"), F.max("m"), F.max(F.abs("latitude")))]).first()
+    lat = max(lat, second.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0])
     low = math.floor(low * 2)
     bands = range(math.floor(high * 2) - low + 1)
     band = lambda m: (F.floor(m * 2) - low).cast("int")
@@ -52,20 +55,44 @@ def _coverage(events: DataFrame) -> DataFrame:
     return pairs.where(higher & (days <= gk_days(F.col("m_a"))) & near).select("a", "b", "m_a", "t_a", "t_b")
 
 
-def gardner_knopoff(events: DataFrame) -> DataFrame:
+def _points(events: DataFrame) -> DataFrame:
+    """Event of highest rank of each time and place: one window holds all events of a point or none."""
+    known = events.where("t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND m IS NOT NULL")
+    best = F.max_by(F.struct("event_id", "m"), F.struct("m", -F.col("event_id"))).alias("o")
+    return known.groupBy("t", "latitude", "longitude").agg(best).select("o.event_id", "t", "latitude", "longitude", "o.m")
+
+
+def gardner_knopoff(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """event_id, seed_id, role of every event.
 
-    An event is a mainshock iff no mainshock of higher rank covers it; rounds settle events whose coverers are all
-    settled. Others belong to the highest-ranked mainshock that covers them.
+    An event is a mainshock iff no mainshock of higher rank covers it. Others belong to the highest-ranked mainshock that
+    covers them. Mainshocks are found from large magnitudes down, in chunks that double: mainshocks so far cover most of
+    a chunk, and only events that they leave are linked with each other, so that links do not grow with the density.
     """
-    edges = written(_coverage(events), "coverage")
-    state = settled(edges)
-    seeds = state.where("seed").select("a")
-    owner = edges.join(seeds, "a").groupBy(F.col("b").alias("event_id")).agg(F.max_by(F.struct("a", "t_a", "t_b"), F.struct("m_a", -F.unix_micros("t_a"), -F.col("a"))).alias("o"))
-    # An event that is no seed has an owner, all others are main ones.
-    role = F.when(F.col("o.a").isNull(), "main").when(F.col("o.t_b") < F.col("o.t_a"), "foreshock").otherwise("aftershock")
-    covered = owner.join(state.where("NOT seed").select(F.col("a").alias("event_id")), "event_id", "left_semi")
-    return events.select("event_id").join(covered, "event_id", "left").select("event_id", F.coalesce("o.a", "event_id").alias("seed_id"), role.alias("role"))
+    points = written(_points(events), "points")
+    n = points.count()
+    shares = []
+    while n * 0.5 ** (len(shares) + 1) >= chunk:
+        shares.append(1 - 0.5 ** (len(shares) + 1))
+    cuts = points.agg(F.percentile_approx("m", shares, 10_000)).first()[0] if shares else []
+    marks = [math.inf, *sorted(set(cuts), reverse=True), -math.inf]
+    mains = None
+    for high, low in zip(marks, marks[1:]):
+        part = points.where((F.col("m") >= low) & ((F.col("m") < high) | F.lit(high == math.inf)))
+        if mains is not None:
+            taken = _coverage(mains, part).select(F.col("b").alias("event_id")).distinct()
+            part = written(part.join(taken, "event_id", "left_anti"), "open")
+        links = written(_coverage(part, part).select("a", "b"), "coverage")
+        covered = settled(links).where("NOT seed").select(F.col("a").alias("event_id"))
+        fresh = written(part.join(covered, "event_id", "left_anti"), "mainshocks")
+        mains = fresh if mains is None else mains.unionByName(fresh)
+    # Only a point's owner is looked for; where that is the point's own event, others of the point belong to it.
+    owner = _coverage(mains, points).groupBy(F.col("b").alias("event_id")).agg(F.max_by(F.struct("a", "t_a"), F.struct("m_a", -F.unix_micros("t_a"), -F.col("a"))).alias("o"))
+    place = ["t", "latitude", "longitude"]
+    owned = points.join(owner, "event_id", "left").select(*place, F.coalesce("o.a", "event_id").alias("seed_id"), F.coalesce("o.t_a", "t").alias("_t"))
+    out = events.select("event_id", *place, "m").join(owned, place, "left").withColumn("seed_id", F.when(F.col("m").isNull(), F.col("event_id")).otherwise(F.coalesce("seed_id", "event_id")))
+    role = F.when(F.col("seed_id") == F.col("event_id"), "main").when(F.col("t") < F.col("_t"), "foreshock").otherwise("aftershock")
+    return out.select("event_id", "seed_id", role.alias("role"))
 
 
 def summary(clustered: DataFrame) -> DataFrame:

@@ -179,6 +179,21 @@ def test_reasenberg(spark, seed, block_events):
     assert got == want
 
 
+def test_reasenberg_grows_points_once(spark, monkeypatch):
+    """Copies of other sizes at one time and place; blocks are cut by points, not by events; unknown places stay alone."""
+    rows, _ = catalog(spark, 100, 5)
+    rows = [(*x[:2], 20 + (x[2] - 20) / 2, 88 + (x[3] - 88) / 2, *x[4:]) for x in rows]
+    rows += [(1000 + x[0], *x[1:5], x[5] + (x[0] % 3 - 1) * 0.8) for x in rows[::2]] + [(-1 - x[0], *x[1:5], 3.0) for x in rows[:20]]
+    frame = spark.createDataFrame([*rows, (5000, None, 24.0, 92.0, 0.0, 8.0), (5001, rows[0][1], None, 92.0, 0.0, 5.0)], "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")
+    tables = {}
+    plain = decluster.written
+    monkeypatch.setattr(decluster, "written", lambda frame, name: tables.setdefault(name, plain(frame, name)) if name == "points" else plain(frame, name))
+    got = {r["event_id"]: r["main_id"] for r in decluster.reasenberg(frame, 3.0, block_events=25).collect()}
+    want = grown(rows, 3.0) | {5000: 5000, 5001: 5001}
+    assert 10 < len(set(want.values())) < 90 and tables["points"].count() == 100
+    assert got == want
+
+
 def test_declustering_queries_take_all_events(spark):
     from tremorlake import queries
 

@@ -22,7 +22,7 @@ BLOCK_EVENTS = 10_000
 CHUNK = 2_000
 #: Clusters of more events are few and are broadcast.
 HEAVY = 2_000
-STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "seed_us", "seed_id", "seed_size", "depth", "changed", "cut"]
+STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "as_seed", "seed_us", "seed_id", "seed_size", "depth", "changed", "cut"]
 
 
 def _coverage(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _grow(days: float, factor: float, max_depth: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["us", "event_id"], ignore_index=True)
         us, ids, own = rows["us"].to_numpy(), rows["event_id"].to_numpy(), rows["own"].to_numpy()
-        size = rows["size"].to_numpy()
+        size, as_seed = rows["size"].to_numpy(), rows["as_seed"].to_numpy()
         lat, lon = np.radians(rows["latitude"].to_numpy()), np.radians(rows["longitude"].to_numpy())
         cos = np.cos(lat)
         first, last = np.searchsorted(us, us - window, "left"), np.searchsorted(us, us + window, "right")
@@ -140,9 +140,9 @@ def _grow(days: float, factor: float, max_depth: int):
             levels: dict[int, list[int]] = {}
             if mine is not None and open_[mine]:
                 open_[mine] = False
-                label_us[mine], label_id[mine], label_size[mine] = us[mine], ids[mine], size[mine]
+                label_us[mine], label_id[mine], label_size[mine] = us[mine], ids[mine], as_seed[mine]
                 levels[0] = [mine]
-                reach = size[mine]
+                reach = as_seed[mine]
             elif mine is None:
                 reach = label_size[outside[seed][0]]
             else:
@@ -180,11 +180,16 @@ def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0, bloc
     the rupture lengths of seed and member together.
 
     Blocks of time are grown each in its own task, given the labels that events up to ``days`` around have; rounds
-    repeat until no label and no depth changes. Every label then stands on a chain of links from its seed.
+    repeat until no label and no depth changes. Every label then stands on a chain of links from its seed. Events of one
+    time and place are always taken together, so they grow as one: as a seed of its first event's size, as a member of
+    its largest event's.
     """
-    size = rupture_length_km(F.col("m"))
-    us = F.unix_micros("t")
-    start = events.select("event_id", us.alias("us"), "latitude", "longitude", "m", size.alias("size"), us.alias("seed_us"), F.col("event_id").alias("seed_id"), size.alias("seed_size"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("changed"), F.lit(False).alias("cut"))
+    rows = events.select("event_id", F.unix_micros("t").alias("us"), "latitude", "longitude", "m")
+    place = ["us", "latitude", "longitude"]
+    known = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*place, "m")))
+    points = known.groupBy(*place).agg(F.min(F.struct("event_id", "m")).alias("o"), F.max(F.struct("m", (-F.col("event_id")).alias("_i"))).alias("g"), F.count("*").alias("n"))
+    points = written(points.select(F.col("o.event_id").alias("event_id"), *place, F.col("g.m").alias("m"), rupture_length_km(F.col("g.m")).alias("size"), rupture_length_km(F.col("o.m")).alias("as_seed"), (-F.col("g._i")).alias("largest_id"), "n"), "points")
+    start = points.withColumns({"seed_us": F.col("us"), "seed_id": F.col("event_id"), "seed_size": F.col("as_seed"), "depth": F.lit(0).cast("long"), "changed": F.lit(True), "cut": F.lit(False)}).select(*STATE)
     state = written(start, "clusters")
     n = state.count()
     count = max(1, math.ceil(n / block_events))
@@ -203,10 +208,14 @@ def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0, bloc
         if not changed:
             # Only what is cut off is left: either deep chains, or nothing once deeper ones have been tried.
             max_depth *= 2
-    mains = state.groupBy("seed_id").agg(F.max_by("event_id", F.struct("m", -F.col("us"), -F.col("event_id"))).alias("main_id"), F.count("*").alias("n"))
+    grown = state.select("event_id", "seed_id").join(points.select("event_id", *place, "m", "largest_id", "n"), "event_id")
+    mains = grown.groupBy("seed_id").agg(F.max_by("largest_id", F.struct("m", -F.col("us"), -F.col("largest_id"))).alias("main_id"), F.count("*").alias("n"))
     mains = written(mains, "mains")
     # A cluster may hold most of the catalog; there are few of such ones, and the others are joined by key.
     heavy = mains.where(F.col("n") > HEAVY).select("seed_id", "main_id")
-    tagged = state.select("event_id", "seed_id").join(F.broadcast(heavy), "seed_id", "left")
+    tagged = grown.select("seed_id", *place).join(F.broadcast(heavy), "seed_id", "left")
     light = tagged.where("main_id IS NULL").drop("main_id").join(mains.where(F.col("n") <= HEAVY), "seed_id")
-    return tagged.where("main_id IS NOT NULL").select("event_id", "main_id").unionByName(light.select("event_id", "main_id"))
+    owned = tagged.where("main_id IS NOT NULL").select(*place, "main_id").unionByName(light.select(*place, "main_id"))
+    # An event without a time, a place or a magnitude is a cluster of its own.
+    alone = rows.where("NOT (" + " AND ".join(f"{c} IS NOT NULL" for c in (*place, "m")) + ")").select("event_id", F.col("event_id").alias("main_id"))
+    return known.join(owned, place).select("event_id", "main_id").unionByName(alone)

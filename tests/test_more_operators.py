@@ -108,6 +108,22 @@ def test_ring_counts_equal_all_pairs(spark, monkeypatch, many):
     assert rings.ring_counts(frame(first).where("FALSE"), frame(later), 20.0, edges).count() == 0
 
 
+def test_gamma_law_of_large_shapes(spark):
+    """Against sums of the Poisson law in forty digits: logarithms of a large gamma function leave ten of them."""
+    from decimal import Decimal as D, localcontext
+
+    with localcontext() as c:
+        c.prec = 40
+        for a, x in ((80166, 80721.88292652208), (801660, 799906.0844220072)):
+            z, x_ = D(a + 1), D(x)
+            lg = (z - D("0.5")) * z.ln() - z + (2 * D("3.14159265358979323846264338327950288")).ln() / 2 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+            term, total, k = (a * x_.ln() - x_ - lg).exp(), D(0), a
+            while term > D("1e-25"):
+                total, k = total + term, k + 1
+                term = term * x_ / k
+            assert gamma_cdf(float(a), x) == pytest.approx(float(total), abs=1e-13)
+
+
 @pytest.mark.parametrize(("many", "low"), [(20, 0.0), (20, 5.0)])
 def test_pair_distances_equal_all_pairs(spark, monkeypatch, many, low):
     """Each pair once: repeated places, one far place, unknown places; no table is broadcast whole."""

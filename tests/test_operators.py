@@ -85,6 +85,21 @@ def test_matching_of_dense_hours(spark):
     assert anchors(observed(spark, rows), 120.0, 50.0, 500) == matched(rows, 120.0, 50.0)
 
 
+def test_points_touch_few_cells_and_miss_none(spark):
+    """Rows of the matching's join grow with the cells an observation is dealt to; also at the date line and the poles."""
+    from tremorlake.operators import joins
+
+    r = np.random.default_rng(9)
+    for top in (30.0, 89.9):
+        at = [(float(r.uniform(-top, top)), float(r.uniform(-180, 180))) for _ in range(400)]
+        near = [(max(-top, min(top, la + float(r.uniform(-0.6, 0.6)))), (lo + float(r.uniform(-0.6, 0.6)) + 180) % 360 - 180) for la, lo in at]
+        frame = spark.createDataFrame([(*a, *b) for a, b in zip(at, near)], "x double, y double, u double, v double")
+        around, own = joins.touched_cells(F.col("x"), F.col("y"), 50.0, top)[1], joins.touched_cells(F.col("u"), F.col("v"), 50.0, top)[0]
+        d = decluster.haversine_km(F.col("x"), F.col("y"), F.col("u"), F.col("v"))
+        got = frame.agg(F.count_if((d <= 50) & ~F.array_contains(around, own)).alias("missed"), F.count_if(d <= 50).alias("near"), F.avg(F.size(around)).alias("cells")).first()
+        assert got["missed"] == 0 and got["near"] > 50 and got["cells"] < 3
+
+
 def test_matching_without_time_or_place(spark):
     frame = spark.createDataFrame([("a", START, 1.0, 2.0), ("b", START, 1.0, 2.0), ("c", None, 1.0, 2.0), ("d", None, 1.0, 2.0), ("e", START, None, 2.0), ("f", START, 1.0, None)], "native_event_id string, origin_time timestamp, latitude double, longitude double")
     assert anchors(frame) == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f"}

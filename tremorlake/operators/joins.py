@@ -58,6 +58,20 @@ def near_cells(lat: Column, lon: Column, radius_km: float, max_abs_lat: float, a
     return F.array_distinct(F.array(*[F.struct((i + di).alias("i"), F.pmod(j + dj, F.lit(n)).alias("j")) for di in steps for dj in steps]))
 
 
+def touched_cells(lat: Column, lon: Column, radius_km: float, max_abs_lat: float, times: int = 4) -> tuple[Column, Column]:
+    """The point's own cell, and all that ``radius_km`` around it touches; cells are ``times`` (2 at least) radii wide.
+
+    Most points touch one cell or two of these, where cells as narrow as the radius would take nine.
+    """
+    r = radius_km / C.EARTH_RADIUS_KM * (1 + 1e-9)
+    reach, high = r * times, math.radians(max_abs_lat)
+    n = 1 if reach + high >= math.pi / 2 else math.floor(2 * math.pi / math.asin(math.sin(reach) / math.cos(high)))
+    aside = 0.0 if n == 1 else math.degrees(math.asin(math.sin(r) / math.cos(high))) * (1 + 1e-9)
+    i = lambda up: F.floor((F.radians(lat) + up) / reach).alias("i")
+    j = lambda right: F.pmod(F.floor((lon + 180 + right) / 360 * n), F.lit(n)).alias("j")
+    return F.struct(i(0.0), j(0.0)), F.array_distinct(F.array(*[F.struct(i(y), j(x)) for y in (-r, r) for x in (-aside, aside)]))
+
+
 def grid(spark, size: float = 1.0) -> DataFrame:
     """All cells, also those without events: i_lat, i_lon, cell_id, lat_center, lon_center."""
     n_lat, n_lon = round((C.MAX_LAT - C.MIN_LAT) / size), round((C.MAX_LON - C.MIN_LON) / size)

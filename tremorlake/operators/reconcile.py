@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
-from tremorlake.operators.joins import interval_join, near_cells
+from tremorlake.operators.joins import interval_join, touched_cells
 from tremorlake.operators.lineage import written
 from tremorlake.operators.settling import BLOCK_LINKS, settled_in_time
 
@@ -42,9 +42,13 @@ def match_observations(obs: DataFrame, window_s: float = 120.0, radius_km: float
     points = written(placed.groupBy(*place).agg(F.min("native_event_id").alias("native_event_id")), "points")
     a, b = (points.select(*[F.col(c).alias(f"{side}_{c}") for c in ("native_event_id", *place)]) for side in "ab")
     lat = points.agg(F.coalesce(F.max(F.abs("latitude")), F.lit(0.0))).first()[0]
-    wide = a.withColumn("_c", F.explode(near_cells(F.col("a_latitude"), F.col("a_longitude"), radius_km, lat, True)))
-    own = b.withColumn("_c", near_cells(F.col("b_latitude"), F.col("b_longitude"), radius_km, lat, False)[0])
-    pairs = interval_join(wide, own, "a_origin_time", "b_origin_time", window_s, on=("_c",))
+    # An observation looks ahead only, into the few buckets of four windows and cells of four radii that it touches.
+    us, window = (lambda side: F.unix_micros(f"{side}_origin_time")), round(window_s * 1e6)
+    bucket = lambda us: F.floor(us / max(1, 4 * window))
+    cells = {side: touched_cells(F.col(f"{side}_latitude"), F.col(f"{side}_longitude"), radius_km, lat) for side in "ab"}
+    wide = a.withColumn("_c", F.explode(cells["a"][1])).withColumn("_b", F.explode(F.sequence(bucket(us("a")), bucket(us("a") + window))))
+    own = b.withColumns({"_c": cells["b"][0], "_b": bucket(us("b"))})
+    pairs = wide.join(own, ["_b", "_c"]).where(us("b") - us("a") <= window)
     earlier = F.struct("a_origin_time", "a_native_event_id") < F.struct("b_origin_time", "b_native_event_id")
     near = haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= radius_km
     links = pairs.where(earlier & near).select(F.col("a_native_event_id").alias("a"), F.col("b_native_event_id").alias("b"), F.unix_micros("a_origin_time").alias("us_a"), F.unix_micros("b_origin_time").alias("us_b"))

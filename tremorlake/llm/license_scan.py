@@ -49,7 +49,7 @@ def collision_probability(jaccard: float, bands: int, rows: int = 1) -> float:
 
 def word_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
@@ -63,20 +63,23 @@ def _halves(m: Column, span: int) -> Column:
     return F.zip_with(m, F.slice(m, span + 1, F.size(m)), lambda a, b: F.least(a, b))
 
 
-def _minima(s: Column, band: int) -> Column:
-    """Distinct smallest hashes, in the order of ``band``, of all windows of 4 and of 16 shingles."""
+def _minima(s: Column, band: int, classes: tuple[int, ...]) -> Column:
+    """A struct of the distinct smallest hashes, in the order of ``band``, of all windows of 4 (a) and of 16 shingles (b):
+    those of ``classes`` (1 and 2) alone."""
     ordered = F.transform(s, lambda x: F.xxhash64(x, F.lit(band)))
-    both = lambda m4: F.struct(F.array_distinct(m4).alias("a"), F.array_distinct(let(_halves(m4, 4), lambda m8: _halves(m8, 8))).alias("b"))
-    return let(ordered, lambda m: let(_halves(m, 1), lambda m2: let(_halves(m2, 2), both)))
+    a = lambda m4: F.array_distinct(m4).alias("a")
+    b = lambda m4: F.array_distinct(let(_halves(m4, 4), lambda m8: _halves(m8, 8))).alias("b")
+    found = lambda m4: F.struct(*[of(m4) for k, of in ((1, a), (2, b)) if k in classes])
+    return let(ordered, lambda m: let(_halves(m, 1), lambda m2: let(_halves(m2, 2), found)))
 
 
 def sketches(s: Column, classes: tuple[int, ...] = (0, 1, 2)) -> Column:
-    """Structs (class, band, h) of the windows of ``classes`` of the shingles ``s``."""
-    named = lambda k, b, hashes: F.transform(hashes, lambda x: F.struct(F.lit(k).alias("class"), F.lit(b).alias("band"), x.alias("h")))
-    parts = [named(0, 0, F.array_distinct(s))] if 0 in classes else []
+    """Structs (class, band, hashes) of the windows of ``classes`` of the shingles ``s``."""
+    named = lambda k, b, hashes: F.struct(F.lit(k).alias("class"), F.lit(b).alias("band"), hashes.alias("hashes"))
+    parts = [F.array(named(0, 0, F.array_distinct(s)))] if 0 in classes else []
     for b in range(max([0, *[WINDOWS[k][1] for k in classes if k]])):
-        mine = [(k, field) for k, field in ((1, "a"), (2, "b")) if k in classes and b < WINDOWS[k][1]]
-        parts.append(let(_minima(s, b), lambda m, b=b, mine=mine: F.flatten(F.array(*[named(k, b, m[field]) for k, field in mine]))))
+        mine = tuple(k for k in (1, 2) if k in classes and b < WINDOWS[k][1])
+        parts.append(let(_minima(s, b, mine), lambda m, b=b, mine=mine: F.array(*[named(k, b, m["a" if k == 1 else "b"]) for k in mine])))
     return F.when(F.size(s) > 0, F.flatten(F.array(*parts)))
 
 
@@ -86,7 +89,7 @@ def _template_bands(sized: DataFrame) -> DataFrame:
     for k, (_, _, least) in enumerate(WINDOWS):
         most = WINDOWS[k + 1][2] if k + 1 < len(WINDOWS) else None
         mine = sized.where(F.col("n") >= least if most is None else (F.col("n") >= least) & (F.col("n") < most))
-        part = mine.select("template", "size", F.explode(sketches(F.col("s"), (k,))).alias("x")).select("template", "size", "x.*").distinct()
+        part = mine.select("template", "size", F.inline(sketches(F.col("s"), (k,)))).withColumn("h", F.explode("hashes")).drop("hashes").distinct()
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -100,7 +103,8 @@ def _text_bands(texts: DataFrame) -> DataFrame:
     cut = texts.where(n > 0).select(*ids, F.explode(chunks).alias("s"))
     # Short shingles belong to templates of less than five words, which have windows of one shingle only.
     first = F.when(F.col("size") == SHINGLE_WORDS, sketches(F.col("s"))).otherwise(sketches(F.col("s"), (0,)))
-    return cut.withColumn("x", F.explode(first)).select(*ids, "x.*")
+    # A few lists of hashes a chunk first, then their hashes: no struct is made for each hash.
+    return cut.select(*ids, F.inline(first)).withColumn("h", F.explode("hashes")).drop("hashes")
 
 
 def _by_size(words: Column, size: Column) -> Column:

@@ -67,8 +67,9 @@ def test_license_scan_with_clashing_columns_and_bad_templates(spark):
 
 def test_license_sketches_are_lists_of_window_minima(spark):
     """One list of hashes for each class and band in use, the distinct minima of all windows; the last ones end with the text."""
+    ordered = lambda b: F.transform("s", lambda v: F.xxhash64(v, F.lit(b)))
     row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.xxhash64(i)).alias("s"))
-    found = row.select("s", license_scan.sketches(F.col("s")).alias("x"), *[F.transform("s", lambda v, b=b: F.xxhash64(v, F.lit(b))).alias(f"o{b}") for b in range(5)]).first()
+    found = row.select("s", license_scan.sketches(F.col("s")).alias("x"), *[ordered(b).alias(f"o{b}") for b in range(5)]).first()
     assert [(x["class"], x["band"]) for x in found["x"]] == [(0, 0)] + [(k, b) for b in range(5) for k in (1, 2) if b < license_scan.WINDOWS[k][1]]
     for x in found["x"]:
         order, size = (found["s"], 1) if x["class"] == 0 else (found[f"o{x['band']}"], license_scan.WINDOWS[x["class"]][0])

@@ -76,6 +76,26 @@ def test_license_sketches_are_lists_of_window_minima(spark):
         assert set(x["hashes"]) == {min(order[i : i + size]) for i in range(40)} and len(set(x["hashes"])) == len(x["hashes"])
 
 
+def test_license_texts_without_a_template_shingle_are_not_sketched(spark, monkeypatch):
+    """Each shingle of a template leads its text to the sketches, other texts stay out; many markers lead to the same rows."""
+    known = {n: min(5, len(re.findall(r"\w+", t))) for n, t in license_scan.TEMPLATES.items()}
+    shared = sorted({" ".join(g) for n, t in license_scan.TEMPLATES.items() for g in grams(t, known[n])})
+    rows = [(i, f"{prose(9, i)} {g} {prose(9, i + 1)}") for i, g in enumerate(shared)]
+    rows += [(1000 + i, prose(200, i)) for i in range(20)] + [(2000, "this file may be in use, not by you"), (2001, "license version software under the terms"), (2002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sized = license_scan._templates(spark, license_scan.TEMPLATES)
+    worded = docs.select("doc_id", license_scan.word_list(F.col("text")).alias("w"))
+    marked = {r["doc_id"] for r in license_scan._with_markers(worded, sized).collect()}
+    assert set(range(len(shared))) <= marked <= {*range(len(shared)), 2000, 2001}
+    by_size = F.array(*[F.struct(F.lit(k).alias("size"), license_scan.shingles(F.col("w"), k).alias("s")) for k in sorted(set(known.values()))])
+    near = worded.select("doc_id", F.inline(by_size))
+    assert {r["doc_id"] for r in license_scan._with_shingles(near, sized).collect()} == set(range(len(shared)))
+    whole = spark.createDataFrame([*rows, *[(3000 + i, t) for i, t in enumerate(license_scan.TEMPLATES.values())]], "doc_id long, text string")
+    found = sorted(license_scan.license_scan(whole).collect())
+    monkeypatch.setattr(license_scan, "MAX_MARKERS", 1)
+    assert found == sorted(license_scan.license_scan(whole).collect()) and len({r["doc_id"] for r in found if r["doc_id"] >= 3000}) == len(license_scan.TEMPLATES)
+
+
 def test_license_bands_retrieve_edited_templates(spark):
     """Templates with edits that leave 0.8 of their shingles, among other words at every offset."""
     r = np.random.default_rng(8)

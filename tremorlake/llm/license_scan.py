@@ -7,6 +7,9 @@ similarity decides.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ MAX_TEMPLATES = 1000
 MAX_TEMPLATE_BANDS = 2_000_000
 #: Texts with a candidate that are broadcast to find their words again; more are joined by a shuffle of all texts.
 MAX_BROADCAST_FOUND = 500_000
+#: Marker words, and shingles of templates, up to which texts are looked through for one of them before they are sketched;
+#: letters of a marker that stands alone, and shingles without one up to which texts are looked through.
+MAX_MARKERS, LEAST_MARKER, MAX_SEVERAL = 2000, 5, 50
 #: Shingles of a text that are sketched in one row; longer texts take several rows, which overlap by a window.
 CHUNK = 4096
 
@@ -116,17 +122,54 @@ def _by_size(words: Column, size: Column) -> Column:
 
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """template, size (words of a shingle), s, n (distinct shingles)."""
+    """template, w, size (words of a shingle), s, n (distinct shingles)."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").select("template", word_list(F.col("text")).alias("w"))
     size = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
-    return rows.select("template", size.alias("size"), _by_size(F.col("w"), size).alias("s")).withColumn("n", F.size(F.array_distinct("s")))
+    return rows.select("template", "w", size.alias("size"), _by_size(F.col("w"), size).alias("s")).withColumn("n", F.size(F.array_distinct("s")))
+
+
+def markers(words: list[str], size: int) -> set[tuple[str, ...]]:
+    """Words of each shingle of ``size`` words, of which a text holds all of some shingle's, or no shingle of a template:
+    the longest one, or all where none has ``LEAST_MARKER`` letters."""
+    runs = [sorted(dict.fromkeys(words[i : i + size]), key=len, reverse=True) for i in range(len(words) - size + 1)]
+    return {tuple(run[:1] if len(run[0]) >= LEAST_MARKER else run) for run in runs}
+
+
+def _with_markers(worded: DataFrame, sized: DataFrame) -> DataFrame:
+    """Rows of ``worded`` (w) that may share a shingle with a template; many markers leave all rows that are long enough."""
+    rows = sized.select("w", "size").collect()
+    found = sorted(set().union(*[markers(r["w"], r["size"]) for r in rows]))
+    single, several = [x[0] for x in found if len(x) == 1], [x for x in found if len(x) > 1]
+    if len(single) > MAX_MARKERS or len(several) > MAX_SEVERAL:
+        return worded.where(F.size("w") >= min(r["size"] for r in rows))
+
+    def held(w: Column) -> Column:
+        some = F.arrays_overlap(w, F.array(*[F.lit(x) for x in single]).cast("array<string>"))
+        for run in several:
+            some = some | reduce(and_, [F.array_contains(w, x) for x in run])
+        return some
+
+    return worded.where(let(F.col("w"), held))
+
+
+def _with_shingles(near: DataFrame, sized: DataFrame) -> DataFrame:
+    """Rows of ``near`` (size, s) that hold a shingle of a template. A window's minimum is the hash of one of its shingles,
+    so other rows share no band with any template."""
+    known = {r["size"]: r["s"] for r in sized.groupBy("size").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")).collect()}
+    if sum(map(len, known.values())) > MAX_MARKERS:
+        return near
+    held = F.lit(False)
+    for size, s in known.items():
+        held = F.when(F.col("size") == size, F.arrays_overlap("s", F.array(*[F.lit(x) for x in s]).cast("array<bigint>"))).otherwise(held)
+    return near.where(held)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """Per document and template found: doc_id, template, n_shingles of the template, n_found, containment.
 
     A template is found when at least ``min_containment`` of its distinct shingles occur in the text. Every window
-    of whole texts of any length is looked up. Null and empty texts hold none. Rows that repeat doc_id and text give
+    of whole texts of any length is looked up, but for texts without any shingle of a template, which have no band in
+    common with one. Null and empty texts hold none. Rows that repeat doc_id and text give
     one row. Other columns are ignored. An empty table gives an empty result. A template without words is an error.
     """
     if len(templates) > MAX_TEMPLATES:
@@ -142,9 +185,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_con
         raise ValueError(f"the templates have {n} bands; at most {MAX_TEMPLATE_BANDS} are broadcast")
 
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"_text": F.xxhash64("text"), "_check": F.xxhash64(F.lit(1), F.length("text"), "text")})
-    worded = keyed.select("doc_id", "_text", "_check", word_list(F.col("text")).alias("w")).where(F.size("w") >= min(known, default=1))
+    worded = _with_markers(keyed.select("doc_id", "_text", "_check", word_list(F.col("text")).alias("w")), sized)
     by_size = let(F.col("w"), lambda w: F.array(*[F.struct(F.lit(k).alias("size"), shingles(w, k).alias("s")) for k in sorted(known)]))
-    near = worded.select("doc_id", "_text", "_check", F.inline(by_size))
+    near = _with_shingles(worded.select("doc_id", "_text", "_check", F.inline(by_size)), sized)
     same = ["_text", "_check"]
     hits = _text_bands(near).join(F.broadcast(bands), ["size", "class", "band", "h"])
     found = materialised(hits.groupBy("doc_id", *same, "size").agg(F.collect_set("template").alias("_templates")), "license-hits")

@@ -187,6 +187,25 @@ def test_transformed_times_never_fall(spark):
     assert all(b >= a - 1e-9 for a, b in zip(tau, tau[1:], strict=False))
 
 
+@pytest.mark.parametrize("most", [20_000, 15])
+def test_sums_over_all_earlier_events_come_from_blocks(spark, monkeypatch, most):
+    """Against every pair, with bursts, ties and an event without a time, in one block and in many with parts."""
+    monkeypatch.setattr(etas_blocks, "MOST_IN_TIME", most)
+    r = np.random.default_rng(5)
+    us = np.concatenate([r.integers(-(10**14), 10**15, 400), 10**14 + r.integers(0, 10**6, 60), np.full(3, 10**14)])
+    m = np.round(4 + r.exponential(0.4, len(us)), 1)
+    frame = spark.createDataFrame([(int(u), float(x)) for u, x in zip(us, m)] + [(None, 5.0)], "us long, m double").select(F.timestamp_micros("us").alias("t"), "m")
+    found = etas_blocks.all_before(frame, 0.8, 0.01, 0.1, 4.0)
+    assert found.where("us IS NULL").count() == 0
+    got = {x["us"]: x["s"] for x in found.collect()}
+    assert set(got) == set(us.tolist()) - {us.min()}
+    for u, s in got.items():
+        before = us < u
+        want = (10 ** (0.8 * (m[before] - 4.0)) * ((u - us[before]) / 86400e6 + 0.01) ** -0.1).sum()
+        assert s == pytest.approx(want, rel=1e-9)
+    assert etas_blocks.all_before(frame.where("m < 0"), 0.8, 0.01, 0.1, 4.0).count() == 0
+
+
 def test_rolling_gaps_and_ks(spark):
     r = np.random.default_rng(1)
     gaps = r.exponential(1.0, 200)

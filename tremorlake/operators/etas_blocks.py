@@ -169,6 +169,81 @@ def sums_in_time(blocks: DataFrame, kernels: list[tuple[int, float, float, float
     return blocks.mapInPandas(run, "theta_id int, us long, m double, n long, s double, s_alpha double, s_c double, s_q double")
 
 
+#: Cells of the whole time whose points are counted on the driver to find the width of a block.
+COUNTED = 4096
+
+
+def _block_width(points: DataFrame, low: int, high: int) -> int:
+    """Of the whole time, halved as often as it takes until no block holds more than ``MOST_IN_TIME`` points."""
+    span = high - low + 1
+    cell = -(-span // COUNTED)
+    counts = np.zeros(COUNTED, int)
+    for r in points.groupBy(F.floor((F.col("us") - low) / cell).cast("int").alias("k")).agg(F.count("*").alias("n")).collect():
+        counts[r["k"]] = r["n"]
+    most = [int(counts.reshape(2**j, -1).sum(axis=1).max()) for j in range(COUNTED.bit_length())]
+    fine = next((j for j, n in enumerate(most) if n <= MOST_IN_TIME), None)
+    if fine is None:
+        return max(1, cell >> math.ceil(math.log2(most[-1] / MOST_IN_TIME)))
+    return cell * (COUNTED >> fine)
+
+
+def all_before(events: DataFrame, alpha: float, c: float, q: float, mc: float) -> DataFrame:
+    """us, s: the sum of 10 ** (alpha * (m - mc)) * (lag + c) ** -q over all events of ``events`` (t, m) before each time of one.
+
+    A block takes the points of its own and of the ``APART`` blocks before it, and of earlier ones the moments of ever
+    wider buckets: a row for each block and bucket, none for each event.
+    """
+    points = written(events.where(F.col("t").isNotNull()).groupBy(F.unix_micros("t").alias("us"), "m").agg(F.count("*").alias("n")), "points")
+    low, high = points.agg(F.min("us"), F.max("us")).first()
+    if low is None:
+        return points.selectExpr("us", "CAST(NULL AS DOUBLE) AS s")
+    width = _block_width(points, low, high)
+    top = ((high - low) // width).bit_length()
+    placed = points.withColumn("_k", F.floor((F.col("us") - low) / width).cast("long"))
+    parts = placed.groupBy("_k").agg(F.ceil(F.count("*") / MOST_IN_TIME).alias("_parts"))
+    part = F.pmod(F.xxhash64("us"), "_parts")
+    mine = placed.join(parts, "_k").groupBy("_k", part.alias("_part")).agg(F.sort_array(F.collect_set("us")).alias("t_us"))
+    near = placed.withColumn("_k", F.explode(F.sequence(F.col("_k"), F.col("_k") + APART))).join(parts.select("_k"), "_k")
+    listed = near.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("us", "m", "n"))).alias("x")).select("_k", *[F.col(f"x.{x}").alias(f"s_{x}") for x in ("us", "m", "n")])
+
+    middle = low + F.expr(f"shiftleft({width}L, _l)") * (F.col("_b") + 0.5)
+    marks = F.array(*[F.struct(F.lit(j).alias("_l"), F.shiftright("_k", j).alias("_b")) for j in range(top + 1)])
+    spread = placed.select("us", "m", "n", F.inline(marks)).withColumn("_d", (F.col("us") - middle) / DAY_US)
+    weight, power, moments = F.col("n") * F.pow(F.lit(10.0), alpha * (F.col("m") - mc)), F.lit(1.0), []
+    for _ in range(MOMENTS):
+        moments.append(F.sum(weight * power))
+        power = power * F.col("_d")
+    buckets = spread.groupBy("_l", "_b").agg(F.array(*moments).alias("_m")).withColumn("_at", middle)
+    on_level = lambda j: lambda x: F.struct(F.lit(j).alias("_l"), x.alias("_b"))
+    spans = []
+    for j in range(top):
+        begin, end = F.greatest(F.lit(0).cast("long"), 2 * (F.shiftright("_k", j + 1) - APART)), F.shiftright("_k", j) - APART - 1
+        spans.append(F.when(begin <= end, F.transform(F.sequence(begin, end), on_level(j))))
+    none = F.array().cast("array<struct<_l:int,_b:bigint>>")
+    met = parts.select("_k", F.inline(F.concat(none, *[F.coalesce(x, none) for x in spans]))).join(buckets, ["_l", "_b"])
+    far = met.groupBy("_k").agg(F.collect_list("_at").alias("f_at"), F.collect_list("_m").alias("f_m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                tb, ta, m, n = (np.asarray(x) for x in (r.t_us, r.s_us, r.s_m, r.s_n))
+                s = tree_sums(tb, ta, m - mc, n.astype(float), [(alpha, c, q)], (APART + 1) * width)[0, 0]
+                for at, sums in zip(r.f_at if r.f_at is not None else (), r.f_m if r.f_m is not None else (), strict=True):
+                    base = (tb - at) / DAY_US + c
+                    y, term, factor = 1 / base, np.zeros(len(tb)), np.ones(MOMENTS)
+                    for j in range(1, MOMENTS):
+                        factor[j] = factor[j - 1] * (q + j - 1) / j
+                    for j in range(MOMENTS - 1, -1, -1):
+                        term = term * y + factor[j] * sums[j]
+                    s += term * base**-q
+                # Without earlier events there is no row, as in kernel_sums.
+                yield pd.DataFrame({"us": tb, "s": s})[tb > low]
+
+    spark = events.sparkSession
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return mine.join(listed, "_k").join(far, "_k", "left").drop("_k", "_part").repartition(files).mapInPandas(run, "us long, s double")
+
+
 SPACE_SUMS = ("s", "s_alpha", "s_c", "s_p", "s_sigma_km", "s_gamma", "s_q")
 
 

@@ -209,6 +209,39 @@ def test_reasenberg_grows_points_once(spark, monkeypatch):
     assert got == want
 
 
+def test_reasenberg_writes_little_in_a_round(spark, monkeypatch):
+    """Many rounds over blocks of a few days: only labels near the blocks' ends go from one to the next."""
+    rows, _ = catalog(spark, 300, 3)
+    rows = [(*x[:2], 20 + (x[2] - 20) / 2, 88 + (x[3] - 88) / 2, *x[4:]) for x in rows]
+    frame = spark.createDataFrame(rows, "event_id long, t timestamp, latitude double, longitude double, depth_km double, m double")
+    sizes = []
+    plain = decluster.written
+    monkeypatch.setattr(decluster, "written", lambda frame, name: (out := plain(frame, name), sizes.append(out.count()))[0])
+    got = {r["event_id"]: r["main_id"] for r in decluster.reasenberg(frame, 3.0, block_events=25).collect()}
+    assert got == grown(rows, 3.0)
+    # Points, groups and clusters alone hold all events.
+    assert len(sizes) > 8 and sum(n >= len(rows) for n in sizes) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_of_near_points(seed):
+    """Against all pairs: sparse and dense points, some on both sides of the date line and near a pole."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    us = rng.integers(0, 5_000_000, n)
+    lat = np.where(np.arange(n) % 5 == 0, 89.9, rng.uniform(10, 11, n)) + rng.uniform(-0.1, 0.1, n) * (np.arange(n) % 5 == 0)
+    lon = np.where(rng.random(n) < 0.5, 180 - rng.uniform(0, 0.6, n), -180 + rng.uniform(0, 0.6, n))
+    got = decluster._groups(us, lat, lon, 300_000, 20.0)
+    y, x = np.radians(lat), np.radians(lon)
+    d = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y)[:, None] * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    near = (2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(d, 1))) <= 20.0) & (np.abs(us[:, None] - us) <= 300_000)
+    want = np.arange(n)
+    for _ in range(n):
+        want = np.where(near, want, n).min(axis=1)
+    assert 20 < len(set(want)) < 350
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_declustering_queries_take_all_events(spark):
     from tremorlake import queries
 

@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tremorlake import constants as C
 from tremorlake.functions.geo import haversine_km
 from tremorlake.functions.seismo import gk_days, gk_radius_km, rupture_length_km
+from tremorlake.operators.etas_blocks import _ragged
 from tremorlake.operators.joins import near_cells
-from tremorlake.operators.lineage import written
+from tremorlake.operators.lineage import dropped, written
 from tremorlake.operators.settling import settled
 
-#: Events of a block of time that one task grows, besides those around it.
-BLOCK_EVENTS = 10_000
+#: Points of a block of time that one task grows, besides those around it: at least, and at most where blocks are more
+#: than tasks run at once.
+BLOCK_EVENTS, MOST_EVENTS = 75_000, 1_000_000
 #: Events of the first chunk of magnitudes.
 CHUNK = 2_000
 #: Clusters of more events are few and are broadcast.
 HEAVY = 2_000
-STATE = ["event_id", "us", "latitude", "longitude", "m", "size", "as_seed", "seed_us", "seed_id", "seed_size", "depth", "changed", "cut"]
 
 
 def _coverage(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -112,103 +115,211 @@ def background(events: DataFrame, least: int = 10, fallback: int = 5) -> DataFra
     return events.join(reasenberg(events).where("event_id = main_id").select("event_id"), "event_id", "left_semi")
 
 
-def _grow(days: float, factor: float, max_depth: int):
-    """Labels of one block's own events, where the labels of the events around it (``own`` false) are as given.
+def _groups(us: np.ndarray, latitude: np.ndarray, longitude: np.ndarray, window: int, km: float) -> np.ndarray:
+    """A number for each point, the same for points that steps of at most ``window`` and ``km`` join.
 
-    Seeds are taken in order of time; each takes all unlabelled events that it reaches. ``depth`` counts the blocks
-    that a label has crossed since its seed; labels that would be deeper than ``max_depth`` are not taken over.
+    Cells of space and time are so small that their points are near each other; cells around that are not joined yet are
+    joined by any pair of their points that is near.
     """
-    window = round(days * 86400e6)
+    lat, lon = np.radians(latitude), np.radians(longitude)
+    cos = np.cos(lat)
+    side = 0.999 * km / math.sqrt(3)
+    at = [us // window, *(np.floor(C.EARTH_RADIUS_KM * x / side).astype("int64") for x in (cos * np.cos(lon), cos * np.sin(lon), np.sin(lat)))]
+    span = [int(x.max() - x.min()) + 5 for x in at]
+    key, steps = np.zeros(len(us), "int64"), np.zeros(1, "int64")
+    for x, n, d in zip(at, span, ([0, 1, -1], *[[0, 1, -1, 2, -2]] * 3), strict=True):
+        key, steps = key * n + x - x.min() + 2, np.add.outer(steps * n, d).ravel()
+    order = np.argsort(key, kind="stable")
+    keys, start, size = np.unique(key[order], return_index=True, return_counts=True)
+    us, lat, lon, cos = us[order], lat[order], lon[order], cos[order]
+    root = np.arange(len(keys))
+    for step in steps[steps > 0]:
+        b = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+        a = np.flatnonzero((keys[b] == keys + step) & (root != root[b]))
+        b = b[a]
+        # A row for each point of the first cell, which meets all points of the second one.
+        row = np.repeat(np.arange(len(a)), size[a])
+        i = np.arange(len(row)) - np.repeat(np.cumsum(size[a]) - size[a], size[a]) + start[a][row]
+        for r, j in _ragged(start[b][row], (start[b] + size[b])[row]):
+            k = i[r]
+            arc = np.sin((lat[j] - lat[k]) / 2) ** 2 + cos[k] * cos[j] * np.sin((lon[j] - lon[k]) / 2) ** 2
+            near = (np.abs(us[j] - us[k]) <= window) & (2 * C.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(arc, 1.0))) <= km)
+            met = np.unique(row[r[near]])
+            one, other = a[met], b[met]
+            while len(open_ := np.flatnonzero(root[one] != root[other])):
+                one, other = root[one[open_]], root[other[open_]]
+                np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+                while (root != root[root]).any():
+                    root = root[root]
+    out = np.empty(len(us), "int64")
+    out[order] = np.repeat(root, size)
+    return np.unique(out, return_inverse=True)[1]
+
+
+def _grow(r, window: int, factor: float, shortest: float, max_depth: int):
+    """The row of each group's seed, its time, id and size, depth of every group of one block, and whether labels were cut.
+
+    The block's points have groups, which are always taken whole: no seed's steps are shorter than theirs. Seeds are taken
+    in order of time; each takes all groups that it reaches, from points around the block that bear its label, too.
+    ``depth`` counts the blocks that a label has crossed since its seed; deeper labels than ``max_depth`` are not taken over.
+    """
+    us, ids, group, size, as_seed = (np.asarray(x) for x in (r.o_us, r.o_event_id, r.o_grp, r.o_size, r.o_as_seed))
+    lat, lon = np.radians(r.o_latitude), np.radians(r.o_longitude)
+    cos = np.cos(lat)
+    members = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group))
+    starts = np.r_[0, ends[:-1]]
+    heads = members[starts]
+    far = np.flatnonzero(size > shortest)
+    far = far[np.argsort(group[far], kind="stable")]
+    far_ends = np.cumsum(np.bincount(group[far], minlength=len(ends)))
+    open_, cut = np.ones(len(us), bool), False
+    label_us, label_id, label_size, depth = us[heads], ids[heads], as_seed[heads], np.zeros(len(heads), "int64")
+    own = {(us[k], ids[k]): g for g, k in enumerate(heads)}
+    outside: dict[tuple[int, int], list[int]] = {}
+    if r.g_block is not None and r.h_us is not None:
+        named = {x: n for n, x in enumerate(zip(r.g_block, r.g_grp, strict=True))}
+        which = np.array([named[x] for x in zip(r.h_block, r.h_grp, strict=True)])
+        # Labels that name an event of this block which begins no group are void.
+        void = np.isin(r.g_seed_id, ids)
+        for k, n in enumerate(which):
+            seed = (r.g_seed_us[n], r.g_seed_id[n])
+            if not void[n] or seed in own:
+                outside.setdefault(seed, []).append(k)
+
+    def reached(first: int, last: int, y: float, x: float, km: float) -> np.ndarray:
+        found = first + np.flatnonzero(open_[first:last])
+        # Most are told by their latitude.
+        found = found[np.abs(lat[found] - y) <= km / C.EARTH_RADIUS_KM * (1 + 1e-9)]
+        a = np.sin((lat[found] - y) / 2) ** 2 + math.cos(y) * cos[found] * np.sin((lon[found] - x) / 2) ** 2
+        return found[2 * C.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= km]
+
+    def spread(us_: np.ndarray, lat_: np.ndarray, lon_: np.ndarray, size_: np.ndarray):
+        first, last = np.searchsorted(us, us_ - window, "left"), np.searchsorted(us, us_ + window, "right")
+        return lambda k, reach: reached(first[k], last[k], lat_[k], lon_[k], factor * (reach + size_[k]))
+
+    within = spread(us, lat, lon, size)
+    if outside:
+        around = spread(np.asarray(r.h_us), np.radians(r.h_latitude), np.radians(r.h_longitude), np.asarray(r.h_size))
+    for seed in sorted({*own, *outside}):
+        mine = own.get(seed)
+        if mine is not None and not open_[heads[mine]]:
+            # The seed itself belongs to an earlier cluster, so labels around the block that name it are void.
+            continue
+        reach = as_seed[heads[mine]] if mine is not None else r.g_seed_size[which[outside[seed][0]]]
+
+        def taken(groups: np.ndarray, level: int) -> list[int]:
+            """Takes groups; their points that may reach other groups."""
+            out = []
+            for g in groups:
+                label_us[g], label_id[g], label_size[g], depth[g] = *seed, reach, level  # noqa: B023
+                open_[members[starts[g] : ends[g]]] = False
+                out += (members[starts[g] : ends[g]] if reach > shortest else far[far_ends[g - 1] if g else 0 : far_ends[g]]).tolist()  # noqa: B023
+            return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"], ignore_index=True)
-        us, ids, own = rows["us"].to_numpy(), rows["event_id"].to_numpy(), rows["own"].to_numpy()
-        size, as_seed = rows["size"].to_numpy(), rows["as_seed"].to_numpy()
-        lat, lon = np.radians(rows["latitude"].to_numpy()), np.radians(rows["longitude"].to_numpy())
-        cos = np.cos(lat)
-        first, last = np.searchsorted(us, us - window, "left"), np.searchsorted(us, us + window, "right")
-        open_, depth, cut = own.copy(), np.zeros(len(us), "int64"), np.zeros(len(us), bool)
-        label_us, label_id, label_size = rows["seed_us"].to_numpy().copy(), rows["seed_id"].to_numpy().copy(), rows["seed_size"].to_numpy().copy()
-        outside: dict[tuple[int, int], list[int]] = {}
-        for k in np.flatnonzero(~own):
-            outside.setdefault((label_us[k], label_id[k]), []).append(k)
-        given = rows["depth"].to_numpy()
-        seeds = {(us[k], ids[k]): k for k in np.flatnonzero(own)}
-        for seed in sorted({*seeds, *outside}):
-            mine = seeds.get(seed)
-            # Fewest crossings first, so that depths do not depend on the order of the search.
-            levels: dict[int, list[int]] = {}
-            if mine is not None and open_[mine]:
-                open_[mine] = False
-                label_us[mine], label_id[mine], label_size[mine] = us[mine], ids[mine], as_seed[mine]
-                levels[0] = [mine]
-                reach = as_seed[mine]
-            elif mine is None:
-                reach = label_size[outside[seed][0]]
-            else:
-                # The seed itself belongs to an earlier cluster, so labels around the block that name it are void.
-                continue
-            for k in outside.get(seed, ()):
-                levels.setdefault(int(given[k]) + 1, []).append(k)
-            while levels:
-                level = min(levels)
-                todo = levels.pop(level)
-                while todo:
-                    k = todo.pop()
-                    found = first[k] + np.flatnonzero(open_[first[k] : last[k]])
-                    if not len(found):
-                        continue
-                    a = np.sin((lat[found] - lat[k]) / 2) ** 2 + cos[k] * cos[found] * np.sin((lon[found] - lon[k]) / 2) ** 2
-                    found = found[2 * C.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= factor * (reach + size[k])]
-                    if level > max_depth:
-                        cut[found] = True
-                        continue
-                    open_[found] = False
-                    label_us[found], label_id[found], label_size[found], depth[found] = seed[0], seed[1], reach, level
-                    todo += found.tolist()
-        out = rows.assign(changed=(label_us != rows["seed_us"]) | (label_id != rows["seed_id"]) | (depth != given), cut=cut, seed_us=label_us, seed_id=label_id, seed_size=label_size, depth=depth)
-        return out.loc[own, STATE]
-
-    return run
-
-
-def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0, block_events: int = BLOCK_EVENTS) -> DataFrame:
+        # Fewest crossings first, so that depths do not depend on the order of the search.
+        levels: dict[int, list] = {0: [(True, k) for k in taken(np.array([mine]), 0)]} if mine is not None else {}
+        for k in outside.get(seed, ()):
+            levels.setdefault(int(r.g_depth[which[k]]) + 1, []).append((False, k))
+        while levels:
+            level = min(levels)
+            todo = levels.pop(level)
+            while todo:
+                inside, k = todo.pop()
+                found = (within if inside else around)(k, reach)
+                if not len(found):
+                    continue
+                if level > max_depth:
+                    cut = True
+                    continue
+                todo += [(True, k) for k in taken(np.unique(group[found]), level)]
+    return label_us, label_id, label_size, depth, cut
+
+
+def reasenberg(events: DataFrame, days: float = 30.0, factor: float = 10.0, block_events: int | None = None) -> DataFrame:
     """event_id, main_id of every event: the largest event of its cluster, the earliest of equal ones.
 
     The first event (by time, then id) without a cluster is the next seed. Its cluster takes every event without one
     that is within ``days``, before or after, of any member and no farther from that member than ``factor`` times
     the rupture lengths of seed and member together.
 
-    Blocks of time are grown each in its own task, given the labels that events up to ``days`` around have; rounds
-    repeat until no label and no depth changes. Every label then stands on a chain of links from its seed. Events of one
-    time and place are always taken together, so they grow as one: as a seed of its first event's size, as a member of
-    its largest event's.
+    Events of one time and place are always taken together, so they grow as one point: as a seed of its first event's size,
+    as a member of its largest event's. Points of a block of time that steps of the least rupture length join are taken
+    together, too; they are one group, found once. Blocks are grown each in its own task, given the labels of groups up to
+    ``days`` around; rounds repeat until no label and no depth changes, and only labels of groups near a block's ends go
+    from round to round. Every label then stands on a chain of links from its seed.
     """
+    spark = events.sparkSession
     rows = events.select("event_id", F.unix_micros("t").alias("us"), "latitude", "longitude", "m")
     place = ["us", "latitude", "longitude"]
     known = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*place, "m")))
     points = known.groupBy(*place).agg(F.min(F.struct("event_id", "m")).alias("o"), F.max(F.struct("m", (-F.col("event_id")).alias("_i"))).alias("g"), F.count("*").alias("n"))
     points = written(points.select(F.col("o.event_id").alias("event_id"), *place, F.col("g.m").alias("m"), rupture_length_km(F.col("g.m")).alias("size"), rupture_length_km(F.col("o.m")).alias("as_seed"), (-F.col("g._i")).alias("largest_id"), "n"), "points")
-    start = points.withColumns({"seed_us": F.col("us"), "seed_id": F.col("event_id"), "seed_size": F.col("as_seed"), "depth": F.lit(0).cast("long"), "changed": F.lit(True), "cut": F.lit(False)}).select(*STATE)
-    state = written(start, "clusters")
-    n = state.count()
-    count = max(1, math.ceil(n / block_events))
-    cuts = state.agg(F.percentile_approx("us", [k / count for k in range(1, count)], 100 * count)).first()[0] if count > 1 and n else []
+    n, shortest = points.agg(F.count("*"), F.coalesce(F.min(F.least("size", "as_seed")), F.lit(1.0))).first()
+    # Labels cross a block a round, so that blocks are no more than tasks run at once, but for their size.
+    count = max(1, math.ceil(n / block_events) if block_events else min(math.ceil(n / BLOCK_EVENTS), max(spark.sparkContext.defaultParallelism, math.ceil(n / MOST_EVENTS))))
+    cuts = points.agg(F.percentile_approx("us", [k / count for k in range(1, count)], 100 * count)).first()[0] if count > 1 and n else []
     bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<long>")
     block = lambda x: F.size(F.filter(bounds, lambda c: c <= x))
     window = round(days * 86400e6)
-    max_depth = 2 * count
+    apart = lambda frame: frame.repartitionByRange(4 * count, "block")
+
+    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
+        at = (rows[x].to_numpy() for x in place)
+        return rows.assign(grp=_groups(*at, window, factor * (shortest + shortest)))
+
+    placed = points.withColumn("block", block(F.col("us")))
+    placed = written(apart(placed).groupBy("block").applyInPandas(grouped, StructType([*placed.schema.fields, StructField("grp", LongType())])), "groups")
+    reach = F.sequence(block(F.col("us") - window), block(F.col("us") + window))
+    near = placed.select(*place, "event_id", "size", F.col("block").alias("_from"), "grp", F.explode(reach).alias("block")).where("block != _from")
+    listed = lambda frame, names, side: frame.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*names.values()))).alias("x")).select("block", *[F.col(f"x.{c}").alias(f"{side}_{x}") for x, c in names.items()])
+    own = {x: x for x in ("us", "event_id", "latitude", "longitude", "size", "as_seed", "grp", "m", "largest_id", "n")}
+    halo = {"us": "us", "event_id": "event_id", "latitude": "latitude", "longitude": "longitude", "size": "size", "block": "_from", "grp": "grp"}
+    edges = near.groupBy(F.col("_from").alias("block")).agg(F.collect_set("grp").alias("e_grp"))
+    dealt = listed(placed, own, "o").join(listed(near, halo, "h"), "block", "left").join(edges, "block", "left")
+    dealt = written(apart(dealt), "blocks")
+    met = written(near.select("block", F.col("_from"), "grp").distinct(), "met")
+    label = ["block", "grp", "seed_us", "seed_id", "seed_size", "depth"]
+
+    def around(labels: DataFrame | None, names: list[str]) -> DataFrame:
+        """Blocks with what is needed of their points, and labels of the groups around them."""
+        rows = dealt.select("block", "e_grp", *[f"o_{x}" for x in names], *[f"h_{x}" for x in halo])
+        given = (met.join(labels.withColumnRenamed("block", "_from"), ["_from", "grp"]) if labels is not None else met.limit(0).selectExpr("block", "_from", "grp", "0L AS seed_us", "0L AS seed_id", "0D AS seed_size", "0L AS depth"))
+        given = given.groupBy("block").agg(F.collect_list(F.struct("_from", *label[1:])).alias("x")).select("block", F.col("x._from").alias("g_block"), *[F.col(f"x.{c}").alias(f"g_{c}") for c in label[1:]])
+        return rows.join(F.broadcast(given), "block", "left")
+
+    def ends(max_depth: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples():
+                    seed_us, seed_id, seed_size, depth, cut = _grow(r, window, factor, shortest, max_depth)
+                    g = np.asarray(r.e_grp if r.e_grp is not None else (), "int64")
+                    yield pd.DataFrame({"block": r.block, "grp": g, "seed_us": seed_us[g], "seed_id": seed_id[g], "seed_size": seed_size[g], "depth": depth[g], "cut": cut})
+
+        return run
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                seed_id = _grow(r, window, factor, shortest, max_depth)[1]
+                yield pd.DataFrame({"seed_id": seed_id[np.asarray(r.o_grp)], **{x: getattr(r, f"o_{x}") for x in kept}})
+
+    labels, max_depth = None, 2 * count
     while True:
-        near = state.withColumn("block", F.explode(F.sequence(block(F.col("us") - window), block(F.col("us") + window))))
-        near = near.withColumn("own", F.col("block") == block(F.col("us")))
-        state = written(near.repartition(count, "block").groupBy("block").applyInPandas(_grow(days, factor, max_depth), state.schema).select(*STATE), "clusters")
-        changed, cut = state.agg(F.coalesce(F.max("changed"), F.lit(False)), F.coalesce(F.max("cut"), F.lit(False))).first()
+        fresh = written(around(labels, list(own)[:7]).mapInPandas(ends(max_depth), "block int, grp long, seed_us long, seed_id long, seed_size double, depth long, cut boolean"), "labels")
+        changed = not fresh.isEmpty() and (labels is None or not fresh.join(labels, label, "left_anti").isEmpty())
+        cut = bool(fresh.agg(F.max("cut")).first()[0])
+        if labels is not None:
+            dropped(labels)
+        labels = fresh.drop("cut")
         if not changed and not cut:
             break
         if not changed:
             # Only what is cut off is left: either deep chains, or nothing once deeper ones have been tried.
             max_depth *= 2
-    grown = state.select("event_id", "seed_id").join(points.select("event_id", *place, "m", "largest_id", "n"), "event_id")
+    kept = [*place, "m", "largest_id", "n"]
+    grown = written(around(labels, list(own)).mapInPandas(whole, "seed_id long, us long, latitude double, longitude double, m double, largest_id long, n long"), "clusters")
+    dropped(dealt)
     mains = grown.groupBy("seed_id").agg(F.max_by("largest_id", F.struct("m", -F.col("us"), -F.col("largest_id"))).alias("main_id"), F.count("*").alias("n"))
     mains = written(mains, "mains")
     # A cluster may hold most of the catalog; there are few of such ones, and the others are joined by key.

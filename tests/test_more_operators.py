@@ -327,6 +327,26 @@ def test_blocks_in_space_equal_pairs_and_hold_copies_once(spark, monkeypatch):
     assert held[0] == held[1]
 
 
+def test_likelihoods_in_space_are_added_up_within_blocks(spark, monkeypatch):
+    """Several thetas; blocks whose points are split by place and that take few pairs at a time; one row a block and theta."""
+    rows = triggered_catalog(seed=6, years=1.2)
+    frame = spark.createDataFrame(rows, EVENTS).withColumn("density", 1e-6 + F.col("event_id") % 7 * 1e-7)
+    names = etas.IN_TIME + etas.IN_SPACE
+    points = [dict(zip(("theta_id", *names), x, strict=True)) for x in ((0, 70.0, 0.3, 0.6, 0.03, 1.25, 10.0, 0.4, 1.2), (3, 40.0, 0.01, 1.1, 0.002, 1.05, 3.0, 0.6, 0.7))]
+    thetas = spark.createDataFrame([tuple(x.values()) for x in points], "theta_id int, " + ", ".join(f"{x} double" for x in names))
+    twice = frame.unionByName(frame.where("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 10**6))
+    want = {x["theta_id"]: x.asDict() for x in etas.nll_in_space(twice, etas.pairs_in_space(twice, 30.0, 100.0), thetas, 3.5, 30.0).collect()}
+    end, days = twice.agg(F.max(F.unix_micros("t")), (F.max(F.unix_micros("t")) - F.min(F.unix_micros("t"))) / etas.DAY_US).first()
+    blocks = etas_blocks.in_space(twice, 30.0, 100.0)
+    for cached, split in ((60_000, 10**6), (40, 50)):
+        monkeypatch.setattr(etas_blocks, "CACHED", cached)
+        monkeypatch.setattr(etas_blocks, "SPLIT", split)
+        got = {x["theta_id"]: x.asDict() for x in etas_blocks.likelihoods_in_space(blocks, points, 3.5, end, float(days), 30.0, 100.0).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == {x: pytest.approx(v, rel=1e-8, abs=1e-9) for x, v in want[k].items()}
+
+
 @pytest.mark.parametrize("days", [20.0, 365.0])
 def test_blocks_in_time_equal_pairs_and_hold_copies_once(spark, monkeypatch, days):
     """Bursts, times before the epoch, events of one time; blocks of few points; forty copies take the room of one."""

@@ -23,6 +23,8 @@ DAY_US = 86400000000
 MOST_IN_TIME, MOST_IN_SPACE, MOST_HALVINGS = 20_000, 2_000, 3
 #: Pairs that a task holds at once.
 PAIRS = 500_000
+#: Pairs whose columns stay in a core's cache, and pairs of a block from which its points are split by place.
+CACHED, SPLIT = 60_000, 1_000_000
 #: As in the tree of ``etas``: buckets of a block are halved until an event shares its own with few others, a bucket is
 #: a whole if an event is ``APART`` widths away, and has ``MOMENTS`` moments.
 WIDEST, HALVINGS, SHARED, APART, MOMENTS = 8, 24, 12, 4, 10
@@ -63,13 +65,14 @@ def in_space(events: DataFrame, max_days: float, reach_km: float) -> DataFrame:
     return _dealt(targets, sources, ["_c"], round(max_days * DAY_US), MOST_IN_SPACE, ["us", *place, "n"], ["us", "latitude", "longitude", "m", "n"])
 
 
-def _ragged(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and element of the ranges [low, high) of all rows, some ``PAIRS`` at a time."""
+def _ragged(low: np.ndarray, high: np.ndarray, pairs: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and element of the ranges [low, high) of all rows, some ``pairs`` (``PAIRS``) at a time."""
+    pairs = pairs or PAIRS
     size = np.maximum(high - low, 0)
     ends = np.cumsum(size)
     a = 0
     while a < len(size):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + pairs, "right")))
         some = size[a:z]
         before = np.repeat(np.cumsum(some) - some, some)
         yield np.repeat(np.arange(a, z), some), np.arange(some.sum()) - before + np.repeat(low[a:z], some)
@@ -252,40 +255,104 @@ def _unit(lat, lon) -> np.ndarray:
     return np.array([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
 
 
-def sums_in_space(blocks: DataFrame, thetas: list[dict], mc: float, max_days: float, reach_km: float) -> DataFrame:
-    """theta_id, us, m, n, density and ``SPACE_SUMS`` of every point of ``in_space`` under each of ``thetas``, pair by pair."""
-    limit, chord = round(max_days * DAY_US), 2 * math.sin(min(math.pi / 2, reach_km / C.EARTH_RADIUS_KM / 2))
-
-    def block(r) -> np.ndarray:
-        tb, ta, m = np.asarray(r.t_us), np.asarray(r.s_us), np.asarray(r.s_m) - mc
-        here, there = _unit(r.t_latitude, r.t_longitude), _unit(r.s_latitude, r.s_longitude)
-        out = np.zeros((len(thetas), len(SPACE_SUMS), len(tb)))
-        fixed = [np.log(r.s_n) + x["alpha"] * LN10 * m - 2 * (math.log(x["sigma_km"]) + x["gamma"] * m) + math.log(x["q"] / math.pi) for x in thetas]
-        inverse = [np.exp(-2 * x["gamma"] * m) / x["sigma_km"] ** 2 for x in thetas]
-        for i, j in _ragged(np.searchsorted(ta, tb - limit), np.searchsorted(ta, tb)):
-            gap = sum((here[d][i] - there[d][j]) ** 2 for d in range(3))
+def _neighbours(here: np.ndarray, there: np.ndarray, chord: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Points of one place ``here`` and those of ``there`` that may be within ``chord`` of one of them, both rising."""
+    if here.shape[1] * there.shape[1] <= SPLIT:
+        yield np.arange(here.shape[1]), np.arange(there.shape[1])
+        return
+    cells = np.unique(np.floor(here * (4 / chord)).astype("int64"), axis=1, return_inverse=True)[1].ravel()
+    for part in np.split(np.argsort(cells, kind="stable"), np.cumsum(np.bincount(cells))[:-1]):
+        middle = here[:, part].mean(axis=1)[:, None]
+        wide = np.sqrt(((here[:, part] - middle) ** 2).sum(axis=0).max()) + chord * (1 + 1e-9)
+        yield part, np.flatnonzero(((there - middle) ** 2).sum(axis=0) <= wide * wide)
+
+
+def _block_in_space(r, thetas: list[dict], mc: float, limit: int, chord: float) -> np.ndarray:
+    """``SPACE_SUMS`` (theta, sum, point) of a block's points, pair by pair."""
+    tb, ta, m = np.asarray(r.t_us), np.asarray(r.s_us), np.asarray(r.s_m) - mc
+    here, there = _unit(r.t_latitude, r.t_longitude), _unit(r.s_latitude, r.s_longitude)
+    out = np.zeros((len(thetas), len(SPACE_SUMS), len(tb)))
+    weight = [r.s_n * np.exp((x["alpha"] * LN10 - 2 * x["gamma"]) * m) * (x["q"] / (math.pi * x["sigma_km"] ** 2)) for x in thetas]
+    inverse = [np.exp(-2 * x["gamma"] * m) / x["sigma_km"] ** 2 for x in thetas]
+    for mine, theirs in _neighbours(here, there, chord):
+        times = ta[theirs]
+        for i, j in _ragged(np.searchsorted(times, tb[mine] - limit), np.searchsorted(times, tb[mine]), CACHED):
+            i, j = mine[i], theirs[j]
+            gap = (here[0][i] - there[0][j]) ** 2
+            for d in (1, 2):
+                gap += (here[d][i] - there[d][j]) ** 2
             near = np.flatnonzero(gap <= chord * chord)
             if not len(near):
                 continue
             i, j = i[near], j[near]
-            first = i[0]
-            lag, above = (tb[i] - ta[j]) / DAY_US, m[j]
             r2 = (2 * C.EARTH_RADIUS_KM * np.arcsin(np.sqrt(gap[near]) / 2)) ** 2
-            rows, n = i - first, i[-1] - first + 1
+            lag, above = (tb[i] - ta[j]) / DAY_US, m[j]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            rows = i[first]
             for g, x in enumerate(thetas):
-                u, t = r2 * inverse[g][j], lag + x["c"]
-                flat, log = np.log1p(u), np.log(t)
-                v = np.exp(fixed[g][j] - x["p"] * log - (1 + x["q"]) * flat)
-                stretch = v * (2 * (1 + x["q"]) * (1 - 1 / (1 + u)) - 2)
-                parts = (v, LN10 * v * above, -x["p"] * v / t, -v * log, stretch / x["sigma_km"], stretch * above, v * (1 / x["q"] - flat))
-                for d, value in enumerate(parts):
-                    out[g, d, first : first + n] += np.bincount(rows, value, n)
-        return out
+                t, stretched = lag + x["c"], 1 + r2 * inverse[g][j]
+                flat, log = np.log(stretched), np.log(t)
+                v = weight[g][j] * np.exp(-x["p"] * log - (1 + x["q"]) * flat)
+                w = v / stretched
+                for d, value in enumerate((v, v * above, v / t, v * log, w, w * above, v * flat)):
+                    out[g, d, rows] += np.add.reduceat(value, first)
+    for g, x in enumerate(thetas):
+        s, by_m, by_lag, by_log, w, w_by_m, by_flat = out[g].copy()
+        q = x["q"]
+        out[g] = s, LN10 * by_m, -x["p"] * by_lag, -by_log, 2 * (q * s - (1 + q) * w) / x["sigma_km"], 2 * (q * by_m - (1 + q) * w_by_m), s / q - by_flat
+    return out
+
+
+def _limits(max_days: float, reach_km: float) -> tuple[int, float]:
+    return round(max_days * DAY_US), 2 * math.sin(min(math.pi / 2, reach_km / C.EARTH_RADIUS_KM / 2))
+
+
+def sums_in_space(blocks: DataFrame, thetas: list[dict], mc: float, max_days: float, reach_km: float) -> DataFrame:
+    """theta_id, us, m, n, density and ``SPACE_SUMS`` of every point of ``in_space`` under each of ``thetas``."""
+    limit, chord = _limits(max_days, reach_km)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                for x, found in zip(thetas, block(r), strict=True):
+                for x, found in zip(thetas, _block_in_space(r, thetas, mc, limit, chord), strict=True):
                     yield pd.DataFrame({"theta_id": np.int32(x["theta_id"]), "us": r.t_us, "m": r.t_m, "n": r.t_n, "density": r.t_density, **dict(zip(SPACE_SUMS, found, strict=True))})
 
     return blocks.mapInPandas(run, "theta_id int, us long, m double, n long, density double, " + ", ".join(f"{x} double" for x in SPACE_SUMS))
+
+
+def likelihoods_in_space(blocks: DataFrame, thetas: list[dict], mc: float, end: int, days: float, max_days: float, reach_km: float) -> DataFrame:
+    """theta_id, nll, d_<name>, i_<name>_<name> as ``etas.nll_in_space`` has them, added up within the blocks of ``in_space``.
+
+    ``end``: microseconds of the catalog's last event; ``days``: its length.
+    """
+    limit, chord = _limits(max_days, reach_km)
+    names = ("mu_per_year", "k", "alpha", "c", "p", "sigma_km", "gamma", "q")
+    upper = np.triu_indices(len(names))
+    columns = ["nll", *[f"d_{x}" for x in names], *[f"i_{names[a]}_{names[b]}" for a, b in zip(*upper, strict=True)]]
+
+    def summed(r, x: dict, sums: np.ndarray) -> list[float]:
+        k, c, p = x["k"], x["c"], x["p"]
+        s, by_alpha, by_c, by_p, *by_place = sums
+        n, density = np.asarray(r.t_n, float), np.asarray(r.t_density)
+        scale = k * (p - 1) * c ** (p - 1)
+        held = np.maximum(x["mu_per_year"] / 365.25 * density + scale * s, 1e-30)
+        slopes = [density / 365.25, scale / k * s, scale * by_alpha, scale * ((p - 1) / c * s + by_c), scale * ((1 / (p - 1) + math.log(c)) * s + by_p), *[scale * y for y in by_place]]
+        scores = np.array(slopes) / held
+        above, left = np.asarray(r.t_m) - mc, np.minimum((end - np.asarray(r.t_us)) / DAY_US, float(max_days))
+        w, part = 10 ** (x["alpha"] * above), c / (left + c)
+        over = part ** (p - 1)
+        made = w * (1 - over)
+        totals = {"k": made, "alpha": k * LN10 * made * above, "c": -k * w * (p - 1) * over * left / (c * (left + c)), "p": -k * w * over * np.log(part)}
+        d = [float(n @ (totals.get(name, 0.0) - score)) for name, score in zip(names, scores, strict=True)]
+        return [x["theta_id"], float(n @ (k * made - np.log(held))), *d, *((scores * n) @ scores.T)[upper]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                found = _block_in_space(r, thetas, mc, limit, chord)
+                yield pd.DataFrame([summed(r, x, sums) for x, sums in zip(thetas, found, strict=True)], columns=["theta_id", *columns])
+
+    parts = blocks.mapInPandas(run, "theta_id int, " + ", ".join(f"{x} double" for x in columns))
+    years = days / 365.25
+    rates = F.create_map(*[F.lit(y) for x in thetas for y in (x["theta_id"], x["mu_per_year"])])
+    return parts.groupBy("theta_id").agg(*[F.sum(x).alias(x) for x in columns]).withColumns({"nll": F.col("nll") + F.element_at(rates, F.col("theta_id")) * years, "d_mu_per_year": F.col("d_mu_per_year") + years})
